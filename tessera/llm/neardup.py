@@ -6,13 +6,15 @@ is filled at last. A bin holds the smallest hash of the round that filled it fir
 with the concentration that independent bins would have. Bands of ``ROWS`` bins are the candidates' keys; every link is then
 confirmed on the full sets.
 
-Work and skew: equal sets are one node, so copies cost nothing. Each band's key links to its smallest member first
-(a star, linear in the members). What a star leaves apart is compared pairwise inside the key, in the join's own loop,
-which passes only pairs of different components whose sketches agree enough; no limit is set on members.
+Work and skew: equal sets are one node, so copies cost nothing. Inside a band's key a few hubs are compared with all members
+(stars, linear in the members). What that leaves in different components is compared with other hubs, turn by turn, as long as turns find
+links. The pairs then still apart are compared one by one inside the key, in the join's own loop, which passes only pairs of different components
+whose sketches agree enough; no limit is set on members.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,6 +30,9 @@ PERCENT = 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 
+#: Members of a band that all its others are compared with in one turn.
+HUBS = 4
+
 #: Signature columns: 4 bits of each bin, 16 bins in a long.
 SIGNS = BINS // 16
 
@@ -130,6 +135,21 @@ def _disagree(a: str, b: str) -> Column:
     return reduce(lambda p, q: p + q, parts)
 
 
+def _stars(apart: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v), u < v, of each band's hubs with its other members, where their roots differ.
+
+    The hubs of a turn are the members nearest to ``HUBS`` numbers (by exclusive or), so other turns have other hubs.
+    """
+    marks = [0 if turn == k == 0 else int(number(5000 + turn * HUBS + k)) >> 1 for k in range(HUBS)]
+    near = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"h{k}") for k, m in enumerate(marks)]
+    hubs = apart.groupBy("band").agg(*near).select("band", F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS)))).alias("hubs"))
+    pairs = apart.join(hubs, "band").select("band", "node", "root", F.explode("hubs").alias("hub")).filter("node <> hub")
+    if turn:
+        hub_roots = apart.select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+        pairs = pairs.join(hub_roots, ["band", "hub"]).filter("root <> hub_root")
+    return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
 def _may_link(a: str, b: str) -> Column:
     """What pairs of similarity 0.75 have: sizes in proportion, and sketches that agree enough."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -183,24 +203,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = feats.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     picked = F.min_by(F.struct("n_shingles", *signs, "bands"), "doc_id").alias("x")
     nodes = settle(named.groupBy("set_key").agg(F.min("doc_id").alias("u"), picked).select("set_key", "u", F.col("x.n_shingles").alias("n"), *(F.col(f"x.{s}").alias(s) for s in signs), "x.bands"))
-    bands = nodes.select(F.explode("bands").alias("band"), F.col("u").alias("v"))
-    stars = settle(bands.groupBy("band").agg(F.min("v").alias("u"), F.count("*").alias("members")).filter("members > 1"))
-    members = settle(bands.join(stars, "band").select("band", "u", "v", "members"))
+    bands = nodes.select(F.explode("bands").alias("band"), F.col("u").alias("node"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     signed = nodes.select("u", "n", *signs)
     sides = lambda pairs: pairs.join(signed.alias("a"), "u").join(signed.withColumnRenamed("u", "v").alias("b"), "v")
-    tried = members.filter("u <> v").select("u", "v").distinct()
-    links = settle(confirmed(settle(sides(tried).filter(_may_link("a", "b")).select("u", "v")), rows))
-    root = components(links)
-    # Pairs that the stars have not tried, of different components.
-    apart = members.filter("members > 2 AND u <> v").select("band", F.col("v").alias("node")).join(root, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = apart.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    rest = settle(apart.join(mixed, "band", "left_semi").join(signed.withColumnRenamed("u", "node"), "node"))
-    if not rest.isEmpty():
-        a, b = rest.alias("a"), rest.alias("b")
-        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") < F.col("b.node")) & _may_link("a", "b"))
-        more = settle(confirmed(settle(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()), rows))
-        if not more.isEmpty():
-            root = components(settle(links.unionAll(more)))
+    members = settle(bands.join(shared, "band"))
+    apart = members.withColumn("root", F.col("node"))
+    links = root = None
+    for turn in itertools.count():
+        tried = _stars(apart, turn)
+        new = settle(confirmed(settle(sides(tried).filter(_may_link("a", "b")).select("u", "v")), rows))
+        if new.isEmpty():
+            break
+        links = new if links is None else settle(links.unionAll(new))
+        root = components(links)
+        placed = members.join(root, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+        apart = settle(placed.join(mixed, "band"))
+    # What is left apart is compared pair by pair.
+    rest = settle(apart.join(signed.withColumnRenamed("u", "node"), "node"))
+    a, b = rest.alias("a"), rest.alias("b")
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") < F.col("b.node")) & _may_link("a", "b"))
+    more = settle(confirmed(settle(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()), rows))
+    if not more.isEmpty():
+        links = more if links is None else settle(links.unionAll(more))
+        root = components(links)
+    if root is None:
+        root = nodes.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0)
     class_root = nodes.select("set_key", "u").join(root.withColumnRenamed("node", "u"), "u", "left").select("set_key", F.coalesce("root", "u").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "set_key", "text_key").join(class_root, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -1,12 +1,30 @@
-"""All registered queries of the retrieval, evaluation and records operators."""
+"""All registered queries of the retrieval, evaluation and records operators, each with SQL for the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Lexical search of the benchmark passages over the document lines, measured against the passages' own lines."""
+    return QUERIES["e3_retrieval_metrics"](spark, sf_dir)
+
+
+from tessera.plans import chunk_queries, ledger_queries, record_queries, retrieval_queries, text_queries  # noqa: E402, F401

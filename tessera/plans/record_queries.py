@@ -1 +1,151 @@
-"""placeholder"""
+"""Units, formulas and record views: orders as records, line items as measurement points, parts as procedures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.operators import records as R
+from tessera.plans.registry import query
+from tessera.plans.text_queries import _MEASURED, measured
+from tessera.session import table
+
+#: Code, aliases, category, factor and offset to SI.
+UNITS = [("bar", ["Bar"], "pressure", 1e5, 0.0), ("kPa", ["kpa"], "pressure", 1e3, 0.0), ("MPa", ["mpa"], "pressure", 1e6, 0.0), ("mm", [], "length", 1e-3, 0.0), ("°C", ["oC"], "temperature", 1.0, 273.15)]
+_UNITS = "units(name, code, category, factor, off) AS (VALUES " + ", ".join(f"('{n}', '{c}', '{k}', {f!r}::DOUBLE, {o!r}::DOUBLE)" for c, a, k, f, o in UNITS for n in [c, *a]) + ")"
+_NAMES = [n for c, a, *_ in UNITS for n in [c, *a]]
+
+
+def units(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(UNITS, "code string, aliases array<string>, category string, factor double, offset double")
+
+
+_NAME_SQL = "[" + ", ".join(f"'{n}'" for n in [*_NAMES, "none"]) + "]"
+_pick = lambda k: F.get(F.array(*map(F.lit, [*_NAMES, "none"])), k.cast("int"))
+
+
+@query(f"WITH {_UNITS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(factor * l_quantity + off, 6) AS si FROM (SELECT *, {_NAME_SQL}[1 + l_partkey % {len(_NAMES) + 1}] AS u FROM lineitem) LEFT JOIN units ON u = name")
+def u1_to_si(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("value"), _pick(F.col("l_partkey") % (len(_NAMES) + 1)).alias("unit"))
+    return R.to_si(rows, units(spark)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("si", 6).alias("si"))
+
+
+@query(f"""WITH {_UNITS}, r AS (SELECT o_orderkey, o_totalprice AS value, {_NAME_SQL}[1 + o_orderkey % {len(_NAMES) + 1}] AS s, {_NAME_SQL}[1 + o_custkey % {len(_NAMES) + 1}] AS t FROM orders)
+SELECT o_orderkey, CASE WHEN a.code IS NULL OR b.code IS NULL THEN 'unknown unit' WHEN a.category <> b.category THEN 'other category' ELSE 'ok' END AS status, CASE WHEN a.category = b.category THEN round((a.factor * value + a.off - b.off) / b.factor, 6) END AS result FROM r LEFT JOIN units a ON s = a.name LEFT JOIN units b ON t = b.name""")
+def u2_convert(spark, sf_dir):
+    n = len(_NAMES) + 1
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"), _pick(F.col("o_orderkey") % n).alias("source"), _pick(F.col("o_custkey") % n).alias("target"))
+    return R.convert(rows, units(spark)).select("o_orderkey", "status", F.round("result", 6).alias("result"))
+
+
+@query(f"""WITH {_MEASURED}, m AS (SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 0 THEN CAST(q + 10 AS DOUBLE) END AS a, CASE WHEN l_linenumber % 3 = 1 THEN q + 0.5 END AS b, CASE WHEN l_linenumber % 3 = 1 THEN CAST('0.' || l_linenumber AS DOUBLE) END AS c, CASE WHEN l_linenumber % 3 = 2 THEN CAST(100 + q AS DOUBLE) END AS d FROM measured)
+SELECT id, code, count(*) AS n, round(sum(number), 6) AS total FROM (SELECT id, 'mm' AS code, b AS number FROM m WHERE b IS NOT NULL UNION ALL SELECT id, 'mm', c FROM m WHERE c IS NOT NULL UNION ALL SELECT id, 'kPa', d FROM m WHERE d IS NOT NULL) GROUP BY 1, 2""")
+def u3_mentions(spark, sf_dir):
+    rows = measured(spark, sf_dir).select(F.col("l_orderkey").alias("id"), F.col("txt").alias("text"))
+    return R.mentions(rows, units(spark)).groupBy("id", "code").agg(F.count("*").alias("n"), F.round(F.sum("number"), 6).alias("total"))
+
+
+FORMULAS = [
+    {"id": "net", "expression": "price * (1 - discount) * (1 + tax)", "variables": {"price": (0, 1e9), "discount": (0, 0.09), "tax": (0, 1)}},
+    {"id": "size", "expression": "sqrt(price ** 2 + quantity ** 2)", "variables": {"price": (0, 1e9), "quantity": (0, 100)}},
+]
+
+
+@query("""SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS case_id, CASE WHEN l_linenumber % 2 = 0 THEN 'net' ELSE 'size' END AS formula,
+  CASE WHEN l_linenumber % 2 = 1 AND l_linenumber = 5 THEN 'missing input' WHEN l_linenumber % 2 = 0 AND l_discount > 0.09 THEN 'out of bounds' ELSE 'ok' END AS status,
+  CASE WHEN l_linenumber % 2 = 0 AND l_discount <= 0.09 THEN round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) WHEN l_linenumber % 2 = 1 AND l_linenumber <> 5 THEN round(sqrt(l_extendedprice ** 2 + l_quantity ** 2), 6) END AS value
+FROM (SELECT DISTINCT ON (l_orderkey * 10000000 + l_partkey * 10 + l_linenumber) * FROM lineitem ORDER BY l_orderkey * 10000000 + l_partkey * 10 + l_linenumber, l_suppkey, l_quantity)""")
+def u4_formula_batch(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumn("case_id", F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))  # noqa: E741
+    one = l.groupBy("case_id").agg(F.min_by(F.struct("l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_quantity"), F.struct("l_suppkey", "l_quantity")).alias("x")).select("case_id", "x.*")
+    even = F.col("l_linenumber") % 2 == 0
+    part = lambda v, c: F.struct(F.lit(v).alias("variable"), F.col(c).cast("double").alias("value"))
+    given = F.when(even, F.array(part("price", "l_extendedprice"), part("discount", "l_discount"), part("tax", "l_tax"))).when(F.col("l_linenumber") == 5, F.array(part("price", "l_extendedprice"))).otherwise(F.array(part("price", "l_extendedprice"), part("quantity", "l_quantity")))
+    rows = one.select("case_id", F.when(even, "net").otherwise("size").alias("formula"), F.inline(given))
+    return R.evaluate(rows, FORMULAS).select("case_id", "formula", "status", F.round("value", 6).alias("value"))
+
+
+@query("SELECT l_suppkey, round(avg(l_extendedprice), 6) AS mean, round(sqrt(sum(l_extendedprice * l_extendedprice)), 4) AS rss, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, max(l_extendedprice) AS largest, min(l_extendedprice) AS smallest FROM lineitem GROUP BY 1")
+def u5_series(spark, sf_dir):
+    s = R.series(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")), "l_suppkey")
+    return s.select("l_suppkey", F.round("mean", 6).alias("mean"), F.round("rss", 4).alias("rss"), F.round("slope", 6).alias("slope"), "largest", "smallest")
+
+
+@query("""WITH e AS (SELECT o_custkey AS formula_id, o_orderkey AS revision, CASE WHEN o_orderkey % 3 = 0 THEN 'approved' ELSE 'pending' END AS status, o_orderpriority AS h FROM orders),
+l AS (SELECT formula_id, max(revision) AS revision, arg_max(status, revision) AS status, arg_max(h, revision) AS h FROM e GROUP BY 1)
+SELECT formula_id, revision, CASE WHEN h IS NOT DISTINCT FROM now THEN status ELSE 'stale' END AS status FROM l LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS now FROM orders GROUP BY 1) ON o_custkey = formula_id""")
+def u7_registry_state(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    e = o.select(F.col("o_custkey").alias("formula_id"), F.col("o_orderkey").alias("revision"), F.when(F.col("o_orderkey") % 3 == 0, "approved").otherwise("pending").alias("status"), F.col("o_orderpriority").alias("source_hash"))
+    return R.registry_state(e, o.groupBy(F.col("o_custkey").alias("formula_id")).agg(F.max("o_orderpriority").alias("source_hash")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(lim, 6) AS "limit", CASE WHEN abs(measured - nominal) <= lim THEN 'Đạt' ELSE 'Không đạt' END AS verdict FROM (SELECT *, greatest(abs(nominal) * rate / 100, 0.4) AS lim FROM (SELECT *, l_quantity AS nominal, l_quantity + l_linenumber / 8.0::DOUBLE AS measured, CAST(l_linenumber AS DOUBLE) AS rate FROM lineitem))""")
+def u8_verdicts(spark, sf_dir):
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("nominal"), (F.col("l_quantity") + n / 8.0).alias("measured"), n.cast("double").alias("rate"), F.lit(0.4).alias("floor"))
+    return R.verdict(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("limit", 6).alias("limit"), "verdict")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 6) AS total FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def v1_approved_only(spark, sf_dir):
+    ext = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("extraction_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("status"))
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "extraction_id")
+    return R.approved_only(rows, ext).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("total"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS record_id, l_partkey * 1000 + l_suppkey AS point_id, l_linenumber AS point_no, l_quantity AS span FROM lineitem),
+f AS (SELECT record_id, arg_min(point_id, (point_no, point_id)) AS first_point, arg_max(point_id, (span, point_id)) AS widest_point, count(*) AS n_points FROM p GROUP BY 1)
+SELECT o_orderkey AS record_id, c_name AS device, n_name AS place, first_point, widest_point, n_points FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN f ON record_id = o_orderkey""")
+def v2_wide_records(spark, sf_dir):
+    rec = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("device_id"))
+    dev = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), F.col("c_name").alias("device"), F.col("c_nationkey").alias("place_id"))
+    place = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("place"))
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("point_id"), F.col("l_linenumber").alias("point_no"), F.col("l_quantity").alias("span"))
+    return R.wide_records(rec, dev, place, points).select("record_id", "device", "place", "first_point", "widest_point", "n_points")
+
+
+@query("SELECT l_partkey AS procedure_id, max(l_quantity) FILTER (l_returnflag = 'A') AS a, max(l_quantity) FILTER (l_returnflag = 'N') AS n, max(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1")
+def v3_pivot_kinds(spark, sf_dir):
+    return R.pivot_kinds(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("procedure_id"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").alias("value")), ["A", "N", "R"])
+
+
+@query("""SELECT n.n_name AS supplier_nation, m.n_name AS customer_nation, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n ON n.n_nationkey = s_nationkey JOIN nation m ON m.n_nationkey = c_nationkey GROUP BY 1, 2""")
+def v4_two_roles(spark, sf_dir):
+    l, s, o, c, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders", "customer", "nation"))
+    rows = l.join(s, l.l_suppkey == s.s_suppkey).join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    counted = rows.groupBy("s_nationkey", "c_nationkey").agg(F.count("*").alias("n"))
+    a, b = (n.select(F.col("n_nationkey").alias(f"{p}_key"), F.col("n_name").alias(name)) for p, name in (("a", "supplier_nation"), ("b", "customer_nation")))
+    return counted.join(a, F.col("s_nationkey") == F.col("a_key")).join(b, F.col("c_nationkey") == F.col("b_key")).select("supplier_nation", "customer_nation", "n")
+
+
+@query("SELECT c_custkey, c_name, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def v5_reference_view(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("c_custkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT 'part' AS catalog, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation")
+def v6_catalogs(spark, sf_dir):
+    out = None
+    for name, p, key in (("part", "p", "partkey"), ("supplier", "s", "suppkey"), ("customer", "c", "custkey"), ("nation", "n", "nationkey")):
+        rows = table(spark, sf_dir, name).select(F.lit(name).alias("catalog"), F.col(f"{p}_{key}").cast("bigint").alias("id"), F.col(f"{p}_name").alias("name"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT o_orderkey AS record_id, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def v7_latest_by_verdict(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("verdict"), "o_totalprice")
+    return R.by_time(rows, "F", 100).select("record_id", "o_totalprice")
+
+
+@query("""WITH cells AS (SELECT p_size AS table_id, p_brand AS class, p_partkey % 40 AS low, p_partkey % 40 + 3 AS high, p_partkey % 11 = 0 AS open, p_name || p_partkey AS cell FROM part),
+q AS (SELECT o_orderkey AS query_id, CAST(o_orderkey % 50 AS INTEGER) AS table_id, 'Brand#' || (o_orderkey % 5 + 1) AS class, CAST(o_custkey % 45 AS DOUBLE) AS value FROM orders),
+h AS (SELECT query_id, count(*) AS n, min(cell) AS cell FROM q JOIN cells USING (table_id, class) WHERE CASE WHEN open THEN value > low ELSE value >= low AND value <= high END GROUP BY 1)
+SELECT q.query_id, CASE WHEN n = 1 THEN cell END AS cell FROM q LEFT JOIN h USING (query_id)""")
+def t8_range_lookup(spark, sf_dir):
+    k = F.col("p_partkey")
+    cells = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("table_id"), F.col("p_brand").alias("class"), (k % 40).alias("low"), (k % 40 + 3).alias("high"), (k % 11 == 0).alias("open"), F.concat("p_name", k.cast("string")).alias("cell"))
+    o = F.col("o_orderkey")
+    q = table(spark, sf_dir, "orders").select(o.alias("query_id"), (o % 50).cast("int").alias("table_id"), F.concat(F.lit("Brand#"), (o % 5 + 1).cast("string")).alias("class"), (F.col("o_custkey") % 45).cast("double").alias("value"))
+    return R.range_lookup(cells, q)

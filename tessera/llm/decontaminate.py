@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores them.
 
-The runs of ``SEED`` words of all test items are looked up in the corpus and the documents that have each are counted. Each item's
-rarest runs are its seeds (``SEED_SHARE`` of them, and at least ``SEED_LEAST``): every item has seeds however often it was copied, so a passage that a third of all documents
-hold is found as well. Where a document has seeds, the words around them are a passage; passages join items by seed, and each pair is
+The runs of ``SEED`` words of all test items are looked up in the corpus and the documents that have each are counted. An item's seeds are its
+runs that at most ``RARE`` times as many documents have as its median run: every item keeps at least half of its runs, however often it was copied,
+so a passage that a third of all documents hold is found as well. Where a document has seeds, the words around them are a passage; passages join items by seed, and each pair is
 aligned. A pair is reported if its score reaches ``LEAST_SCORE`` of a full match.
 """
 
@@ -18,7 +18,7 @@ from tessera.llm.blocks import blocks, grams, utf8, word_table, words
 from tessera.session import settle, ship
 
 SEED = 3
-SEED_SHARE, SEED_LEAST = 0.5, 8
+RARE = 8.0
 
 # Alignment of words: a match, another word in its place, a word too many or too few.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -226,10 +226,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         held = np.unique(np.array([r.run for r in runs.select("run").distinct().collect()], np.int64).view(np.uint64))  # at most BLOCK_WORDS
         shape = block.agg(F.max(F.size("item_words")).alias("most"), F.collect_set(F.least(F.size("item_words"), F.lit(SEED))).alias("sizes")).first()
         counted = _count_runs(rows, spark.sparkContext.broadcast(held), shape.sizes)
-        rare = Window.partitionBy("item_id").orderBy(F.col("n").asc_nulls_first(), "run")
-        of_item = Window.partitionBy("item_id")
-        ranked = runs.join(counted, "run", "left").withColumns({"rank": F.row_number().over(rare), "all": F.count("*").over(of_item)})
-        seeds = settle(ranked.filter(F.col("rank") <= F.greatest(F.lit(SEED_LEAST), F.ceil(F.col("all") * SEED_SHARE))).filter("n IS NOT NULL").select(F.col("run").alias("seed"), "item_id"))
+        usual = F.greatest(F.median("n").over(Window.partitionBy("item_id")), F.lit(1.0))
+        ranked = runs.join(counted, "run", "left").select("run", "item_id", F.coalesce("n", F.lit(0)).alias("n")).withColumn("most", RARE * usual)
+        seeds = settle(ranked.filter("n > 0 AND n <= most").select(F.col("run").alias("seed"), "item_id"))
         wanted = np.unique(np.array([r.seed for r in seeds.select("seed").distinct().collect()], np.int64).view(np.uint64))
         found = settle(_passages(rows, spark.sparkContext.broadcast(wanted), shape.sizes, shape.most))
         by_seed = found.select("doc_id", "text_key", "start", F.explode(F.array_distinct("seeds")).alias("seed"))
@@ -253,4 +252,4 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text matches no item. Rows with a null doc_id are judged by their own text."""
     bad = matches(docs, items).select(F.col("doc_id").alias("bad_doc_id"), F.col("text_key").alias("bad_text_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_doc_id")) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col("bad_text_key")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_doc_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["bad_text_key"]), "left_anti")

@@ -249,7 +249,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def rows(wanted: DataFrame) -> DataFrame:
         w = wanted.select(F.col("doc_id").alias("kept_doc_id"), F.col("text_key").alias("kept_text_key"))
-        return docs.join(w, docs["doc_id"].eqNullSafe(F.col("kept_doc_id")) & (_text_key(docs["text"]) == F.col("kept_text_key")), "left_semi")
+        return docs.join(w, docs["doc_id"].eqNullSafe(w["kept_doc_id"]) & (_text_key(docs["text"]) == w["kept_text_key"]), "left_semi")
 
     repeated = kept.filter("n > 1")
     once = rows(kept.filter("n = 1"))

@@ -52,7 +52,7 @@ def windows(text: Column, size: int = MAX_CHARS) -> Column:
 
     Where a cut falls depends on the one before, so an ordered fold carries the place; there are at most twice as many pieces as full windows.
     """
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    t = text
 
     def step(state, _):
         at = state["at"]

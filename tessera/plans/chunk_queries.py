@@ -39,7 +39,7 @@ def c2_section_paths(spark, sf_dir):
     return C.with_paths(C.sections(markdown(spark, sf_dir))).select("file_stem", "section_no", "section_path")
 
 
-@query("""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+@query("""WITH RECURSIVE t AS (SELECT doc_id, text AS t FROM documents),
 w AS (SELECT doc_id, t, 1 AS pos, 0 AS k, '' AS part FROM t UNION ALL
   SELECT doc_id, t, pos + stop, k + 1, trim(substr(piece, 1, stop)) FROM (SELECT *, CASE WHEN s > 0 THEN s ELSE length(piece) END AS stop FROM (SELECT *, CASE WHEN pos + 4000 <= length(t) AND contains(piece, ' ') THEN length(piece) - instr(reverse(piece), ' ') ELSE length(piece) END AS s FROM (SELECT *, substr(t, pos, 4000) AS piece FROM w WHERE pos <= length(t)))))
 SELECT doc_id, k AS part_no, length(part) AS n_chars, md5(part) AS digest FROM w WHERE k > 0 AND part <> ''""")

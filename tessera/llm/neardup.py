@@ -9,7 +9,7 @@ confirmed on the full sets.
 Work and skew: equal sets are one node, so copies cost nothing. Inside a band's key a few hubs are compared with all members
 (stars, linear in the members). What that leaves in different components is compared with other hubs, turn by turn, as long as turns find
 links. The pairs then still apart are compared one by one inside the key, in the join's own loop, which passes only pairs of different components
-whose sketches agree enough; no limit is set on members.
+whose finer sketches agree enough; no limit is set on members.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.blocks import blocks, grams, mix, number, utf8, word_table, words
@@ -39,32 +40,43 @@ SIGNS = BINS // 16
 #: Bins in whose 4 bits two sets of similarity 0.75 disagree: 30 expected, deviation 4.8. Six deviations above lie under 1e-9 of such pairs.
 MOST_DISAGREE = 59
 
+#: Bins of the finer sketch that pairs left apart are tried with, and how many may disagree: 240 expected at 0.75, deviation 13.6; five deviations above.
+FINE, FINE_DISAGREE = 1024, 308
+
+#: Bits of the table of wanted ids (1 MB).
+BITS = 1 << 23
+
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketches(e: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """(documents, BINS) sketches of element hashes; ``where`` is where each document's begin. Documents without elements stay empty."""
+def sketches(e: np.ndarray, where: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """(documents, bins) sketches of element hashes; ``where`` is where each document's begin. Documents without elements stay empty.
+
+    A filled bin has the number of its round in the top 12 bits and the smallest hash below. ``bins`` is a power of two, 1024 at most.
+    """
     n = len(where) - 1
-    out = np.full(n * BINS, _EMPTY, np.uint64)
+    out = np.full(n * bins, _EMPTY, np.uint64)
     doc = np.repeat(np.arange(n), np.diff(where))
-    for turn in range(2 * BINS):
+    for turn in range(2 * bins):
         if not len(e):
             break
         h = mix(e ^ number(turn))
-        if turn < BINS:
-            at = doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64)
-            h >>= np.uint64(8)
-        else:
-            at = doc * BINS + (turn - BINS)
-            h >>= np.uint64(8)
-        free = out[at] >= np.uint64(turn) << np.uint64(56)  # filled in this turn or not at all
-        np.minimum.at(out, at[free], h[free] | np.uint64(turn) << np.uint64(56))
-        if turn % 4 == 3 or turn >= BINS:
-            full = (out.reshape(n, BINS) != _EMPTY).all(1)
+        at = doc * bins + ((h & np.uint64(bins - 1)).astype(np.int64) if turn < bins else turn - bins)
+        mark = np.uint64(turn) << np.uint64(52)
+        free = out[at] >= mark  # filled in this round or not at all
+        np.minimum.at(out, at[free], h[free] >> np.uint64(12) | mark)
+        if turn % 4 == 3 or turn >= bins:
+            full = (out.reshape(n, bins) != _EMPTY).all(1)
             left = ~full[doc]
             if not left.all():
                 e, doc = e[left], doc[left]
-    return out.reshape(n, BINS)
+    return out.reshape(n, bins)
+
+
+def _signature(sketch: np.ndarray) -> np.ndarray:
+    """4 bits of each bin, 16 bins in a long."""
+    bits = (mix(sketch) & np.uint64(15)).reshape(len(sketch), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
 
 
 def _distinct(e: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
@@ -97,8 +109,7 @@ def features(docs: DataFrame) -> DataFrame:
                 none = size == 0
                 keys = [hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
                 sketch = sketches(e, where)
-                bits = (mix(sketch) & np.uint64(15)).reshape(-1, SIGNS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-                sign = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+                sign = _signature(sketch)
                 band = sketch.reshape(-1, BANDS, ROWS) * np.array([number(3000 + k) for k in range(ROWS)])
                 band = mix(band.sum(2, dtype=np.uint64) + np.array([number(4000 + k) for k in range(BANDS)])).view(np.int64)
                 offsets = pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32))
@@ -108,27 +119,67 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, " + ", ".join(f"{s} long" for s in signs) + ", bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted 64-bit hashes of its whole set."""
+def _only(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """``docs`` with a hash ``h`` of the id, and a bit table of fixed size (``BITS`` bits) of the wanted ids' hashes, with which tasks pass over most other texts.
+
+    Beyond an eighth of the bits the wanted rows are picked by a join instead.
+    """
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    if wanted.count() > BITS // 8:
+        return docs.join(wanted, "doc_id", "left_semi").withColumn("h", hashed("doc_id")), None
+    at = wanted.select((hashed("doc_id") + 1).alias("b"))
+    parts = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()  # 4 KB each, BITS in all
+    table = np.zeros(BITS // 8, np.uint8)
+    for r in parts:
+        table[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return docs.withColumn("h", hashed("doc_id")), docs.sparkSession.sparkContext.broadcast(table)
+
+
+def _wanted_rows(b: pa.RecordBatch, table: Broadcast | None) -> pa.RecordBatch:
+    """Rows of (doc_id, text, h) whose bit is set."""
+    if table is None:
+        return b
+    h = b.column(2).to_numpy(zero_copy_only=False)
+    return b.filter(pa.array((table.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and the sorted 64-bit hashes of its whole set, for at least the wanted ids."""
     ship(docs.sparkSession)
+    rows, table = _only(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (_wanted_rows(b, table) for b in batches):
             data, at = utf8(b.column(1))
             for i, j in blocks(at):
                 sets = _distinct(*_elements(data[at[i] : at[j]], at[i : j + 1] - at[i]))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "elements"])
+
+    return rows.mapInArrow(run, "doc_id long, elements array<long>")
+
+
+def fine_signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and the signature columns f0, f1, ... of a sketch of ``FINE`` bins, for at least the wanted ids."""
+    ship(docs.sparkSession)
+    rows, table = _only(docs, wanted)
+    names = [f"f{k}" for k in range(FINE // 16)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (_wanted_rows(b, table) for b in batches):
+            data, at = utf8(b.column(1))
+            for i, j in blocks(at):
+                sign = _signature(sketches(*_elements(data[at[i] : at[j]], at[i : j + 1] - at[i]), FINE))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(sign[:, k].copy()) for k in range(len(names)))], names=["doc_id", *names])
 
-    return docs.mapInArrow(run, "doc_id long, elements array<long>")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _disagree(a: str, b: str) -> Column:
+def _disagree(a: str, b: str, names: list[str]) -> Column:
     """Bins whose 4 bits differ."""
     parts = []
-    for k in range(SIGNS):
-        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
+    for name in names:
+        x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         parts.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
@@ -153,13 +204,13 @@ def _stars(apart: DataFrame, turn: int) -> DataFrame:
 def _may_link(a: str, b: str) -> Column:
     """What pairs of similarity 0.75 have: sizes in proportion, and sketches that agree enough."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & (_disagree(a, b) <= MOST_DISAGREE)
+    return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & (_disagree(a, b, [f"s{k}" for k in range(SIGNS)]) <= MOST_DISAGREE)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"))
+    sets = full_sets(docs, wanted)
     left, right = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     linked = (100 + PERCENT) * both >= PERCENT * (F.size("a") + F.size("b"))
@@ -220,10 +271,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         placed = members.join(root, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
         apart = settle(placed.join(mixed, "band"))
-    # What is left apart is compared pair by pair.
-    rest = settle(apart.join(signed.withColumnRenamed("u", "node"), "node"))
+    # What is left apart is compared pair by pair, each pair in the first band that it shares.
+    nodes_left = apart.select(F.col("node").alias("doc_id")).distinct()
+    fine = fine_signatures(rows, nodes_left).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    rest = settle(apart.join(nodes.withColumnRenamed("u", "node").drop("set_key"), "node").join(fine, "node"))
     a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") < F.col("b.node")) & _may_link("a", "b"))
+    shared_first = F.element_at("a.bands", F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True).cast("int")) == F.col("a.band")
+    close = _may_link("a", "b") & (_disagree("a", "b", [f"f{k}" for k in range(FINE // 16)]) <= FINE_DISAGREE)
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") < F.col("b.node")) & close & shared_first)
     more = settle(confirmed(settle(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()), rows))
     if not more.isEmpty():
         links = more if links is None else settle(links.unionAll(more))

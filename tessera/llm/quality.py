@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.blocks import blocks, utf8, word_table, words
+from tessera.llm.blocks import BLOCK_BYTES, blocks, utf8, word_table, words
 from tessera.session import settle, ship
 
 #: Pseudo-counts that draw the rates of short texts to the usual ones.
@@ -198,6 +198,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text is predicted good."""
+    """The rows of ``docs``, all columns as they are, whose text is predicted good. Texts are scored and rows dropped in one pass."""
     model = train(document_features(docs), labels)
-    return score(features(docs.select(F.struct("*").alias("row"), "text"), [F.col("row")]), model).filter("predicted = 1").select("row.*")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column(place))
+            for i, j in blocks(at, 8 * BLOCK_BYTES):
+                part = at[i : j + 1] - at[i]
+                own = data[at[i] : at[j]]
+                x = np.concatenate([statistics(own[part[k] : part[m]], part[k : m + 1] - part[k]) for k, m in blocks(part)])
+                yield b.slice(i, j - i).filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -60,7 +60,7 @@ def rank_formulas(questions: DataFrame, variables: DataFrame, least: float, most
     Questions (query_id, words array), variables (formula, title array, label array), one row per variable.
     """
     key = questions.select("query_id", F.explode("words").alias("w")).distinct()
-    labels = variables.withColumn("v", F.monotonically_increasing_id())
+    labels = variables
     share = lambda words, hit: F.coalesce(F.size(F.array_intersect(words, hit)) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
     touched = labels.select("formula", F.explode(F.array_union("label", "title")).alias("w")).distinct().join(key, "w").select("query_id", "formula").distinct()
     rows = touched.join(questions, "query_id").join(labels, "formula").select("query_id", "formula", share("label", "words").alias("hit"), share("title", "words").alias("t"))

@@ -9,10 +9,15 @@ ITEMS = "id string, question string, category string, expected array<struct<file
 REPORT = "files array<struct<file:string,formula_detail:array<struct<fid:string,kind:string,latex:string,ok:boolean,section:string>>>>"
 
 
+def _file_name():
+    """A file's own name; the metadata column has it with escapes."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(file_stem, text) of a folder's Markdown files, one row per file."""
     rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("file_stem"), F.col("value").alias("text"))
+    return rows.select(F.regexp_replace(_file_name(), r"\.md$", "").alias("file_stem"), F.col("value").alias("text"))
 
 
 def read_items(spark: SparkSession, path: str, category: str | None = None, limit: int | None = None) -> DataFrame:
@@ -35,7 +40,7 @@ def import_plan(spark: SparkSession, folder: str, ledger: DataFrame) -> DataFram
     """
     from tessera.operators.ledger import classify
 
-    files = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("name"), F.length("content").cast("bigint").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").load(folder).select(_file_name().alias("name"), F.length("content").cast("bigint").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
     files = files.withColumns({"ext": F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)), "new_type": classify(F.col("name"), F.lit(""))["doc_type"]})
     rows = files.join(ledger.select("name", F.col("sha256").alias("old"), "doc_type"), "name", "left")
     action = F.when(F.col("old").isNull(), "insert").when(F.col("old") != F.col("sha256"), "replace").when(F.col("doc_type") != F.col("new_type"), "update type").otherwise("skip")

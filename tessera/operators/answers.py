@@ -92,3 +92,15 @@ def fidelity(lines: DataFrame) -> DataFrame:
     }
     rows = lines.select("doc", F.explode(F.array(*(F.struct(F.lit(name).alias("problem"), (c != 0).cast("int").alias("bad")) for name, c in checks.items()))).alias("x"))
     return rows.groupBy("doc", "x.problem").agg(F.sum("x.bad").alias("n")).filter("n > 0")
+
+
+def score_records(questions: DataFrame, facts: DataFrame) -> DataFrame:
+    """One record per question: coverage of its facts, refusal, and unsupported claims. Rows (question_id, category, must_refuse, answer, context), (question_id, fact_no, kind, text, aliases)."""
+    covered = coverage(fact_present(facts, questions.select("question_id", "answer")), questions)
+    own = questions.select("question_id", "category", "must_refuse", refused(F.col("answer")).alias("refused"), F.size(unsupported_claims(F.col("answer"), F.col("context"))).alias("n_unsupported"))
+    return own.join(covered, "question_id")
+
+
+def inconsistent_gold(facts: DataFrame, gold: DataFrame) -> DataFrame:
+    """Facts that their own gold answer lacks. Gold: (question_id, answer)."""
+    return fact_present(facts, gold).filter("NOT present").select("question_id", "fact_no")

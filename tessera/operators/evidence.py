@@ -130,3 +130,31 @@ def new_numbers(old: Column, rewritten: Column) -> Column:
     """Numbers that a rewritten query adds."""
     of = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(_NUMBER), 1))
     return F.size(F.array_except(of(rewritten), of(old)))
+
+
+def is_empty_answer(answer: Column, most: int = 120) -> Column:
+    """A short answer that only says that nothing is stated."""
+    return (F.length(F.trim(answer)) <= most) & F.lower(answer).rlike("không (nêu|quy định|đề cập)")
+
+
+def with_source_block(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """Answers with a final block of the sources they cite, in the order of first use. Rows (query_id, answer), (query_id, pos, title, section_path)."""
+    refs = answers.select("query_id", F.posexplode(F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), 1), lambda r: r.cast("int")))).alias("n", "pos"))
+    lines = refs.join(sources, ["query_id", "pos"]).select("query_id", "n", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.concat_ws(", ", "title", F.nullif("section_path", F.lit("")))).alias("line"))
+    block = lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("block"))
+    return answers.join(block, "query_id", "left").select("query_id", F.when(F.col("block").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit("\n\nNguồn:\n"), "block")).alias("answer"))
+
+
+def select_cards(questions: DataFrame, aliases: DataFrame, longest: int = 6) -> DataFrame:
+    """The one formula card that a question names, or null (clarify) where it names none or several.
+
+    Aliases are found as runs of words; a run inside a longer run of another card does not count. Rows (query_id, query), (card, alias).
+    """
+    w = questions.select("query_id", word_tokens(F.col("query")).alias("w"))
+    spans = w.select("query_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(i.alias("lo"), (i + k - 1).alias("hi"), F.array_join(F.slice("w", i, k), " ").alias("run")))).otherwise(F.array().cast("array<struct<lo:int,hi:int,run:string>>"))))).alias("s")).select("query_id", "s.*")
+    found = spans.join(aliases.select("card", F.array_join(word_tokens(F.col("alias")), " ").alias("run")).distinct(), "run")
+    outer = found.select("query_id", F.col("card").alias("o_card"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
+    inside = (F.col("o_lo") <= F.col("lo")) & (F.col("hi") <= F.col("o_hi")) & (F.col("o_hi") - F.col("o_lo") > F.col("hi") - F.col("lo")) & (F.col("o_card") != F.col("card"))
+    a, b = found.alias("a"), outer.alias("b")
+    kept = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & inside, "left_anti").groupBy("query_id").agg(F.count_distinct("card").alias("n"), F.min("card").alias("card"))
+    return questions.select("query_id").join(kept, "query_id", "left").select("query_id", F.when(F.col("n") == 1, F.col("card")).alias("card"))

@@ -175,3 +175,46 @@ def m17_ambiguous_devices(spark, sf_dir):
     cat = part.filter("p_partkey < 300").select(F.col("p_brand").alias("type"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
     q = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("so "), F.lower("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.lower("p_type"))).otherwise(""), F.lit(" ?")).alias("query"))
     return E.ambiguous_devices(q, cat)
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS empty FROM orders")
+def m8_empty_answers(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    a = F.when(k == 0, "Tài liệu không nêu rõ.").when(k == 1, "Là 5 bar.").otherwise(F.concat(F.lit("Không nêu, "), F.repeat(F.lit("nhưng "), F.lit(40))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", E.is_empty_answer(a).alias("empty"))
+
+
+@query("""SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'không' WHEN 1 THEN 'a [2] b [1]' || chr(10) || chr(10) || 'Nguồn:' || chr(10) || '[2] t2' || chr(10) || '[1] ' || o_orderpriority || ', 4' ELSE 'a [9]' END AS answer FROM orders""")
+def m16_source_blocks(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    a = o.select(k.alias("query_id"), F.when(k % 3 == 0, "không").when(k % 3 == 1, "a [2] b [1]").otherwise("a [9]").alias("answer"))
+    row = lambda p, t, s: F.struct(F.lit(p).alias("pos"), t.alias("title"), F.lit(s).alias("section_path"))
+    return E.with_source_block(a, o.select(k.alias("query_id"), F.inline(F.array(row(1, F.col("o_orderpriority"), "4"), row(2, F.lit("t2"), "")))))
+
+
+@query("SELECT o_orderkey AS query_id, CASE o_orderkey % 4 WHEN 0 THEN 'density' WHEN 1 THEN 'error' END AS card FROM orders")
+def r23_select_cards(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, "tính khối lượng riêng của dầu").when(k == 1, "sai số tương đối, sai số tương đối").when(k == 2, "khối lượng riêng và sai số").otherwise("không có gì")
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), text.alias("query"))
+    cards = spark.createDataFrame([("mass", "khối lượng"), ("density", "Khối lượng riêng"), ("error", "sai số"), ("error", "sai số tương đối")], "card string, alias string")
+    return E.select_cards(q, cards)
+
+
+@query("""SELECT o_orderkey AS question_id, o_orderstatus AS category, o_orderkey % 3 = 2 AS must_refuse, o_orderkey % 3 = 2 AS refused, CASE o_orderkey % 3 WHEN 1 THEN 1 ELSE 0 END AS n_unsupported, CASE o_orderkey % 3 WHEN 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage FROM orders""")
+def e13_e15_score_records(spark, sf_dir):
+    k = F.col("o_orderkey")
+    a = F.when(k % 3 == 0, "là 5 bar").when(k % 3 == 1, "là 9 bar").otherwise("Không tìm thấy thông tin")
+    q = table(spark, sf_dir, "orders").select(k.alias("question_id"), F.col("o_orderstatus").alias("category"), (k % 3 == 2).alias("must_refuse"), a.alias("answer"), F.lit("áp suất 5 bar").alias("context"))
+    facts = q.select("question_id", F.lit(1).alias("fact_no"), F.lit("number").alias("kind"), F.lit("5 bar").alias("text"), F.array().cast("array<string>").alias("aliases"))
+    return A.score_records(q, facts)
+
+
+@query("SELECT o_orderkey AS question_id, 2 AS fact_no FROM orders WHERE o_orderkey % 4 = 0")
+def e18_gold_consistency(spark, sf_dir):
+    k = F.col("question_id")
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"))
+    fact = lambda n, kind, text: F.struct(F.lit(n).alias("fact_no"), F.lit(kind).alias("kind"), F.lit(text).alias("text"), F.array(F.lit("bí danh")).alias("aliases"))
+    facts = q.select("question_id", F.inline(F.array(fact(1, "formula", r"$\Delta P$"), fact(2, "term", "Chu kỳ"))))
+    return A.inconsistent_gold(facts, q.select("question_id", F.concat(F.lit(r"Là $\Delta  P$, "), F.when(k % 4 == 0, "").when(k % 4 == 1, "BÍ danh").otherwise("chu  kỳ 12 tháng")).alias("answer")))

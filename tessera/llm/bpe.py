@@ -21,7 +21,7 @@ from tessera.llm.tokenize import TextEncoder, byte_letters
 from tessera.session import ship
 
 #: Pair tests that a worker remembers; at the limit it starts anew.
-MEMO_PAIRS = 2_000_000
+MEMO_PAIRS = 400_000
 
 #: Offset of a word's last symbol, which carries the end-of-word mark.
 _END = 0x4000

@@ -16,8 +16,8 @@ from collections.abc import Callable
 #: What the short way can't take: characters whose normal form, case or white-space class needs the library's own tables.
 _UNUSUAL = re.compile("[^\t-\r -ɏ]|[İȺȾ]|<\\|")
 
-#: Chunks, and pieces of chunks, that a worker remembers.
-MEMO_ENTRIES = 500_000
+#: Chunks, and pieces of chunks, in a generation of what a worker remembers.
+MEMO_ENTRIES = 120_000
 
 
 #: The split pattern of the tokenizer file, spelled out for the characters of the short way.
@@ -36,16 +36,20 @@ _LETTERS = str.maketrans({chr(b): x for b, x in enumerate(byte_letters())})
 
 
 class Memo(dict):
-    """Remembers what ``make`` gives; at ``MEMO_ENTRIES`` it starts anew, and long keys pass by."""
+    """Remembers what ``make`` gives, in two generations: at ``MEMO_ENTRIES`` the entries become the old ones, and of these only what is asked for again is kept. Long keys pass by."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
+        out = self.old.pop(key, None)
+        if out is None:
+            out = self.make(key)
         if len(key) <= 64:
             if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out

@@ -14,7 +14,7 @@ from array import array
 from collections.abc import Callable
 
 #: What the short way can't take: characters whose normal form, case or white-space class needs the library's own tables.
-_UNUSUAL = re.compile("[^\t-\r -ɏ]|[İȺȾ]|<\\|")
+_UNUSUAL = re.compile("[^\t-\r -~\u0080-\u024f]|[\u0130\u023a\u023e]|<\\|")
 
 #: Chunks, and pieces of chunks, in a generation of what a worker remembers.
 MEMO_ENTRIES = 120_000

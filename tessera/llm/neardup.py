@@ -31,8 +31,8 @@ PERCENT = 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 
-#: Members of a band that all its others are compared with in one turn.
-HUBS = 4
+#: Members of a band that all its others are compared with: in the first turn, and in each later one.
+HUBS, LATER_HUBS = 3, 1
 
 #: Signature columns: 4 bits of each bin, 16 bins in a long.
 SIGNS = BINS // 16
@@ -189,11 +189,12 @@ def _disagree(a: str, b: str, names: list[str]) -> Column:
 def _stars(apart: DataFrame, turn: int) -> DataFrame:
     """Pairs (u, v), u < v, of each band's hubs with its other members, where their roots differ.
 
-    The hubs of a turn are the members nearest to ``HUBS`` numbers (by exclusive or), so other turns have other hubs.
+    The hubs of a turn are the members nearest to some numbers (by exclusive or), so other turns have other hubs.
     """
-    marks = [0 if turn == k == 0 else int(number(5000 + turn * HUBS + k)) >> 1 for k in range(HUBS)]
+    n = LATER_HUBS if turn else HUBS
+    marks = [0 if turn == k == 0 else int(number(5000 + turn * HUBS + k)) >> 1 for k in range(n)]
     near = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"h{k}") for k, m in enumerate(marks)]
-    hubs = apart.groupBy("band").agg(*near).select("band", F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS)))).alias("hubs"))
+    hubs = apart.groupBy("band").agg(*near).select("band", F.array_distinct(F.array(*(f"h{k}" for k in range(n)))).alias("hubs"))
     pairs = apart.join(hubs, "band").select("band", "node", "root", F.explode("hubs").alias("hub")).filter("node <> hub")
     if turn:
         hub_roots = apart.select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
@@ -256,14 +257,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = settle(named.groupBy("set_key").agg(F.min("doc_id").alias("u"), picked).select("set_key", "u", F.col("x.n_shingles").alias("n"), *(F.col(f"x.{s}").alias(s) for s in signs), "x.bands"))
     bands = nodes.select(F.explode("bands").alias("band"), F.col("u").alias("node"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    signed = nodes.select("u", "n", *signs)
-    sides = lambda pairs: pairs.join(signed.alias("a"), "u").join(signed.withColumnRenamed("u", "v").alias("b"), "v")
     members = settle(bands.join(shared, "band"))
     apart = members.withColumn("root", F.col("node"))
     links = root = None
     for turn in itertools.count():
-        tried = _stars(apart, turn)
-        new = settle(confirmed(settle(sides(tried).filter(_may_link("a", "b")).select("u", "v")), rows))
+        new = settle(confirmed(settle(_stars(apart, turn)), rows))
         if new.isEmpty():
             break
         links = new if links is None else settle(links.unionAll(new))

@@ -210,7 +210,7 @@ def _may_link(a: str, b: str) -> Column:
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    wanted = settle(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct())
     sets = full_sets(docs, wanted)
     left, right = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # What is left apart is compared pair by pair, each pair in the first band that it shares.
     nodes_left = apart.select(F.col("node").alias("doc_id")).distinct()
     fine = fine_signatures(rows, nodes_left).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-    rest = settle(apart.join(nodes.withColumnRenamed("u", "node").drop("set_key"), "node").join(fine, "node"))
+    rest = apart.join(nodes.withColumnRenamed("u", "node").drop("set_key"), "node").join(settle(fine), "node")
     a, b = rest.alias("a"), rest.alias("b")
     shared_first = F.element_at("a.bands", F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True).cast("int")) == F.col("a.band")
     close = _may_link("a", "b") & (_disagree("a", "b", [f"f{k}" for k in range(FINE // 16)]) <= FINE_DISAGREE)

@@ -104,7 +104,11 @@ def numbers_in(text: Column) -> Column:
 
 def parse_quantity(text: Column) -> Column:
     """(rel_op, value_min, value_max, tolerance, unit): a value, a range or a value with tolerance; null without numbers."""
-    values = numbers_in(text)
+    # One element, so that the numbers are read off once and bound to a name.
+    return F.get(F.transform(F.array(numbers_in(text)), lambda values: _quantity(text, values)), F.lit(0))
+
+
+def _quantity(text: Column, values: Column) -> Column:
     n = F.size(values)
     plus_minus, ranged = text.contains("±"), text.contains("÷") | text.rlike("(?U)\\b(đến|tới)\\b")
     unit = collapse(F.regexp_replace(F.regexp_replace(text, NUMBER, " "), "(?U)[±÷()\\[\\]]|\\b(từ|đến|tới)\\b", " "))

@@ -78,7 +78,11 @@ def without_codes(text: Column) -> Column:
 def parse_number(text: Column) -> Column:
     """One number written the Vietnamese way, or null where it is ambiguous or no number."""
     s = F.regexp_replace(F.regexp_replace(collapse(F.regexp_replace(text, "[−–]", "-")), r"(?<=\d) (?=\d)", ""), "e", "E")
-    body = F.regexp_extract(s, r"^[+-]?(\d+(?:[.,]\d+)?|\d[\d.,]*\d)(?:E[+-]?\d+)?$", 1)
+    # Arrays of one element bind a text once, however often it is looked at.
+    return F.get(F.transform(F.array(s), lambda s: F.get(F.transform(F.array(F.regexp_extract(s, r"^[+-]?(\d+(?:[.,]\d+)?|\d[\d.,]*\d)(?:E[+-]?\d+)?$", 1)), lambda body: _number(s, body)), F.lit(0))), F.lit(0))
+
+
+def _number(s: Column, body: Column) -> Column:
     sign = F.regexp_extract(s, "^([+-]?)", 1)
     power = F.regexp_extract(s, r"(E[+-]?\d+)$", 1)
     grouped = body.rlike(r"^\d{1,3}(\.\d{3})+$") & ~body.startswith("0")

@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds lead from training passages to test items, Smith-Waterman alignment scores them.
 
-The runs of ``SEED`` words of all test items are looked up in the corpus and the documents that have each are counted. An item's seeds are its
-runs that at most ``RARE`` times as many documents have as its median run: every item keeps at least half of its runs, however often it was copied,
-so a passage that a third of all documents hold is found as well. Where a document has seeds, the words around them are a passage; passages join items by seed, and each pair is
-aligned. A pair is reported if its score reaches ``LEAST_SCORE`` of a full match.
+The test items (in blocks of ``BLOCK_WORDS`` words) are sent to all tasks. Every run of ``SEED`` words of an item is a seed, however many documents hold it. Where a document has
+one, the words that an alignment through it can cover are a passage of that item. A passage without enough of the item's words to reach ``LEAST_SCORE`` is left out (a
+bound, so nothing is lost by it); all others are aligned. A pair is reported if its score reaches ``LEAST_SCORE`` of a full match.
+
+Seeds can't reach copies that keep no run of ``SEED`` words: every third word replaced (a score of about 0.5), a word put in after every second (0.75), or two words kept of three.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.blocks import blocks, grams, utf8, word_table, words
+from tessera.llm.blocks import blocks, grams, mix, utf8, word_table, words
 from tessera.session import settle, ship
 
 SEED = 3
-RARE = 8.0
 
 # Alignment of words: a match, another word in its place, a word too many or too few.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -27,8 +27,9 @@ LEAST_SCORE = 0.5
 #: Words of test items held by a task at once; more are taken in blocks of items, each a pass over the corpus.
 BLOCK_WORDS = 2_000_000
 
-#: Longest passage aligned at once, in item lengths, and cells of one batch of alignments.
+#: Cells of one batch of alignments, and seeds in documents times items looked at together.
 CELLS = 1 << 20
+SEED_PAIRS = 1 << 20
 
 
 def _words_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -56,18 +57,17 @@ def _hits(g: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, its word hashes and its runs' hashes; an item of fewer than ``SEED`` words is one run. Items without words go."""
+    """item_id and its word hashes. Items without words go."""
     ship(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, first = _words_of(b.column(1))
-            g, where = grams(h, first, SEED, short=True)
-            lists = [pa.ListArray.from_arrays(pa.array(w.astype(np.int32)), pa.array(v.view(np.int64))) for v, w in ((h, first), (g, where))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["item_id", "item_words", "runs"])
+            words_ = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), words_], names=["item_id", "item_words"])
 
     source = items.select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("t")).filter("item_id IS NOT NULL")
-    return source.mapInArrow(run, "item_id long, item_words array<long>, runs array<long>").filter("size(item_words) > 0")
+    return source.mapInArrow(run, "item_id long, item_words array<long>").filter("size(item_words) > 0")
 
 
 def _runs(h: np.ndarray, first: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -88,58 +88,61 @@ def _runs(h: np.ndarray, first: np.ndarray, sizes: list[int]) -> list[tuple[np.n
     return out
 
 
-def _count_runs(docs: DataFrame, wanted, sizes: list[int]) -> DataFrame:
-    """Documents that have each wanted run: counted per batch, then summed."""
+def _seeds_of(block: pa.Table) -> dict[str, np.ndarray]:
+    """A block of items: ids, word hashes, where each item's begin; its runs (sorted), and for each the items and places that have it."""
+    lists = block.column("item_words").combine_chunks()
+    at = np.asarray(lists.offsets).astype(np.int64)
+    h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    first = at - at[0]
+    g, where = grams(h, first, SEED, short=True)
+    item = np.repeat(np.arange(len(first) - 1), np.diff(where))
+    order = np.argsort(g, kind="stable")
+    runs, begin = np.unique(g[order], return_index=True)
+    place = (np.arange(len(g)) - where[item])[order]
+    return {"ids": block.column("item_id").to_numpy(), "words": h, "first": first, "runs": runs, "begin": np.append(begin, len(g)), "item": item[order], "place": place}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(wanted.value)
-        total = np.zeros(len(table[0]), np.int64)
-        for b in batches:
-            data, at = utf8(b.column(0))
-            for i, j in blocks(at):
-                h, _, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], word_table("plain"))
-                for g, where in _runs(h, first, sizes):
-                    hit = _hits(g, table)
-                    if len(hit):
-                        doc = np.searchsorted(where, hit, side="right") - 1
-                        both = np.unique(np.stack([doc, np.searchsorted(table[0], g[hit])], 1), axis=0)
-                        total += np.bincount(both[:, 1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(table[0][some].view(np.int64)), pa.array(total[some])], names=["run", "n"])
 
-    return docs.select("text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, ... (n[k] of them) for each k."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
 
 
-def _passages(docs: DataFrame, wanted, sizes: list[int], reach: int) -> DataFrame:
-    """Passages around seeds: doc_id, text_key, first word's number, word hashes and the seeds inside. Seeds within two reaches of each other share one."""
+def _candidates(run: np.ndarray, pos: np.ndarray, doc: np.ndarray, h: np.ndarray, first: np.ndarray, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, item, from, to): the words of documents that an alignment of ``LEAST_SCORE`` through some of these seeds can cover, if they hold enough of the item's words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(wanted.value)
-        for b in batches:
-            data, at = utf8(b.column(1))
-            for i, j in blocks(at):
-                h, _, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], word_table("plain"))
-                found = []
-                for g, where in _runs(h, first, sizes):
-                    hit = _hits(g, table)
-                    doc = np.searchsorted(where, hit, side="right") - 1
-                    found.append((doc, hit - where[doc] + first[doc], g[hit]))
-                doc, pos, seed = (np.concatenate(c) for c in zip(*found, strict=True))
-                if not len(doc):
-                    continue
-                order = np.argsort(pos, kind="stable")
-                doc, pos, seed = doc[order], pos[order], seed[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > 2 * reach)
-                s = np.flatnonzero(new)
-                e = np.append(s[1:], len(doc))
-                lo = np.maximum(pos[s] - reach, first[doc[s]])
-                hi = np.minimum(pos[e - 1] + SEED + reach, first[doc[s] + 1])
-                listed = lambda a, z, v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(z - a)]).astype(np.int32)), pa.array(np.concatenate([v[p:q] for p, q in zip(a, z, strict=True)]).view(np.int64)))
-                ids = pa.array(doc[s] + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(2).take(ids), pa.array(lo - first[doc[s]]), listed(lo, hi, h), listed(s, e, seed)], names=["doc_id", "text_key", "start", "words", "seeds"])
-
-    return docs.mapInArrow(run, "doc_id long, text_key string, start long, words array<long>, seeds array<long>")
+    Such an alignment has at most as many words too many as the item has words, so it begins no more than (place + length) words before the seed. Places that overlap are one.
+    """
+    n = known["begin"][run + 1] - known["begin"][run]
+    at = _spread(known["begin"][run], n)
+    item, doc = known["item"][at], np.repeat(doc, n)
+    size = known["first"][item + 1] - known["first"][item]
+    zero = np.repeat(pos, n) - known["place"][at]
+    lo, hi = np.maximum(zero - size, first[doc]), np.minimum(zero + 2 * size, first[doc + 1])
+    order = np.lexsort((lo, item, doc))
+    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+    s = np.flatnonzero(new)
+    doc, item, lo, hi = doc[s], item[s], lo[s], hi[np.append(s[1:], len(new)) - 1]
+    keep = np.zeros(len(s), bool)
+    cost = np.cumsum(hi - lo)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(cost, cost[i] + SEED_PAIRS)))
+        keep[i:j] = _enough(item[i:j], lo[i:j], hi[i:j], h, known)
+        i = j
+    return doc[keep], item[keep], lo[keep], hi[keep]
+
+
+def _enough(item: np.ndarray, lo: np.ndarray, hi: np.ndarray, h: np.ndarray, known: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether the words of a passage that stand in the item as well could reach ``LEAST_SCORE`` if all of them matched."""
+    size = known["first"][item + 1] - known["first"][item]
+    salt = mix(np.arange(1, len(item) + 1, dtype=np.uint64))
+    there = np.unique(h[_spread(lo, hi - lo)] ^ np.repeat(salt, hi - lo))
+    asked = known["words"][_spread(known["first"][item], size)] ^ np.repeat(salt, size)
+    found = there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked
+    held = np.add.reduceat(found.astype(np.int64), np.cumsum(size) - size)
+    return held >= LEAST_SCORE * size
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -182,29 +185,52 @@ def _align_batch(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[n
     return best // big, big - 1 - best % big, where
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
+def _aligned(docs: DataFrame, known, sizes: list[int]) -> DataFrame:
+    """Documents (doc_id, text, text_key) aligned with a block of items: a row per passage whose score reaches ``LEAST_SCORE``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = known.value
+        table = _table(items["runs"])
         for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            lists = lambda c: (c.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(c.offsets) - np.asarray(c.offsets)[0])
-            (iv, io), (pv, po) = lists(col["item_words"]), lists(col["words"])
-            n = b.num_rows
-            score, lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            order = np.argsort(np.diff(po), kind="stable")
-            k = 0
-            while k < n:
-                m = k + 1
-                while m < n and (m - k + 1) * (po[order[m] + 1] - po[order[m]] + 1) <= CELLS // 16:
-                    m += 1
-                some = order[k:m]
-                score[some], lo[some], hi[some] = _align_batch([iv[io[x] : io[x + 1]] for x in some], [pv[po[x] : po[x + 1]] for x in some])
-                k = m
-            share = score / (MATCH * np.diff(io))
-            start = col["start"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([col["doc_id"], col["text_key"], col["item_id"], pa.array(share), pa.array(start + lo), pa.array(start + hi)], names=["doc_id", "text_key", "item_id", "score", "first_word", "end_word"])
-
-    found = pairs.select("doc_id", "text_key", "item_id", "start", "words", "item_words").mapInArrow(run, "doc_id long, text_key string, item_id long, score double, first_word long, end_word long")
-    return found.filter(F.col("score") >= LEAST_SCORE)
+            data, at = utf8(b.column(1))
+            for i, j in blocks(at):
+                h, _, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], word_table("plain"))
+                for g, where in _runs(h, first, sizes):
+                    hit = _hits(g, table)
+                    doc = np.searchsorted(where, hit, side="right") - 1
+                    pos, seed = hit - where[doc] + first[doc], np.searchsorted(table[0], g[hit])
+                    cost = np.cumsum(items["begin"][seed + 1] - items["begin"][seed])
+                    k = 0
+                    while k < len(hit):
+                        m = max(k + 1, int(np.searchsorted(cost, cost[k] + SEED_PAIRS)))
+                        d, item, lo, hi = _candidates(seed[k:m], pos[k:m], doc[k:m], h, first, items)
+                        k = m
+                        if not len(d):
+                            continue
+                        score, begin, end = _align_all([items["words"][items["first"][x] : items["first"][x + 1]] for x in item], [h[x:y] for x, y in zip(lo, hi, strict=True)])
+                        share = score / (MATCH * (items["first"][item + 1] - items["first"][item]))
+                        good = np.flatnonzero(share >= LEAST_SCORE)
+                        d, start = d[good], (lo - first[d])[good]
+                        ids = pa.array(d + i)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(2).take(ids), pa.array(items["ids"][item[good]]), pa.array(share[good]), pa.array(start + begin[good]), pa.array(start + end[good])], names=["doc_id", "text_key", "item_id", "score", "first_word", "end_word"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key string, item_id long, score double, first_word long, end_word long")
+
+
+def _align_all(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_align_batch`` of any number of pairs, those of like size together."""
+    n, size = len(items), np.array([len(p) for p in passages])
+    score, lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    order = np.argsort(size, kind="stable")
+    k = 0
+    while k < n:
+        m = k + 1
+        while m < n and (m - k + 1) * (size[order[m]] + 1) <= CELLS // 16:
+            m += 1
+        some = order[k:m]
+        score[some], lo[some], hi[some] = _align_batch([items[x] for x in some], [passages[x] for x in some])
+        k = m
+    return score, lo, hi
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -222,20 +248,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = None
     for p in range(parts):
         block = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) if parts > 1 else known
-        runs = block.select("item_id", F.size("item_words").alias("m"), F.explode(F.array_distinct("runs")).alias("run"))
-        held = np.unique(np.array([r.run for r in runs.select("run").distinct().collect()], np.int64).view(np.uint64))  # at most BLOCK_WORDS
-        shape = block.agg(F.max(F.size("item_words")).alias("most"), F.collect_set(F.least(F.size("item_words"), F.lit(SEED))).alias("sizes")).first()
-        counted = _count_runs(rows, spark.sparkContext.broadcast(held), shape.sizes)
-        usual = F.greatest(F.median("n").over(Window.partitionBy("item_id")), F.lit(1.0))
-        ranked = runs.join(counted, "run", "left").select("run", "item_id", F.coalesce("n", F.lit(0)).alias("n")).withColumn("most", RARE * usual)
-        seeds = settle(ranked.filter("n > 0 AND n <= most").select(F.col("run").alias("seed"), "item_id"))
-        wanted = np.unique(np.array([r.seed for r in seeds.select("seed").distinct().collect()], np.int64).view(np.uint64))
-        found = settle(_passages(rows, spark.sparkContext.broadcast(wanted), shape.sizes, shape.most))
-        by_seed = found.select("doc_id", "text_key", "start", F.explode(F.array_distinct("seeds")).alias("seed"))
-        pairs = by_seed.join(seeds, "seed").select("doc_id", "text_key", "start", "item_id").distinct()
-        once = found.dropDuplicates(["doc_id", "text_key", "start"]).select(*(F.col(c).alias(f"p_{c}") for c in ("doc_id", "text_key", "start")), "words")
-        same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("text_key") == F.col("p_text_key")) & (F.col("start") == F.col("p_start"))
-        got = _aligned(pairs.join(once, same).join(block.select("item_id", "item_words"), "item_id"))
+        held = _seeds_of(block.toArrow())  # at most BLOCK_WORDS words
+        if not len(held["ids"]):
+            continue
+        sizes = sorted({int(x) for x in np.minimum(np.diff(held["first"]), SEED)})
+        got = _aligned(rows, spark.sparkContext.broadcast(held), sizes)
         out = got if out is None else out.unionAll(got)
     if out is None:
         return spark.createDataFrame([], "doc_id long, text_key string, item_id long, score double, first_word long, end_word long")

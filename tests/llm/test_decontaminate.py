@@ -64,6 +64,26 @@ def test_copies_are_found_and_others_left_alone(spark):
     assert ids == sorted((i is None, i or 0) for i, t in docs if i not in bad and not (i is None and t))
 
 
+def test_many_copies_of_heavily_edited_items(spark):
+    """A thousand copies each that keep a quarter of an item's runs, and partial ones, as the whole table of each pair finds them."""
+    rng = random.Random(8)
+    items = [(k, words(rng, 40)) for k in range(3)]
+    fourth = lambda w: ["changed" if i % 4 == 3 else x for i, x in enumerate(w)]
+    part = lambda w: [f"other{i}" if i in (5, 15) else x for i, x in enumerate(w[:25])]
+    third = lambda w: ["changed" if i % 3 == 2 else x for i, x in enumerate(w[:24])]
+    docs = [(n * 10 + k, f"before{n} the text {' '.join(edit(t.split()))} after it {n}") for n in range(1000) for k, ((_, t), edit) in enumerate(zip(items, (fourth, part, third), strict=True))]
+    seen = {}
+    for i, t in docs[:3]:
+        w = t.split()
+        for k, item in items:
+            score = plain(item.split(), w)
+            if score >= D.LEAST_SCORE * D.MATCH * 40:
+                seen[i, k] = score / (D.MATCH * 40)
+    assert set(seen) == {(0, 0), (1, 1)} and max(seen.values()) < 0.65
+    got = D.contaminated(table(spark, docs), item_table(spark, items)).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == {(10 * n + i, k): s for n in range(1000) for (i, k), s in seen.items()}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items, want = corpus()
     monkeypatch.setattr(D, "BLOCK_WORDS", 400)

@@ -103,15 +103,18 @@ def clean_citations(answer: Column, n_sources: Column) -> Column:
 
 
 def ambiguous_devices(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, prefix, n_types): the longest shared name prefix of two words or more that a query holds, where two types or more begin with it and it is at least half of each name; not if the query holds a whole name. Rows (query_id, query), (type, name)."""
+    """(query_id, prefix, n_types): the longest shared name prefix of two words or more that a query holds, where two types or more begin with it and it is at least half of each name; not if the query holds a whole name. Runs of the query have the lengths that the catalogue's prefixes and names have. Rows (query_id, query), (type, name)."""
     w = F.split(F.lower("name"), " ")
     prefixes = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.array_join(F.slice("w", F.lit(1), k), " "))
     named = catalog.withColumn("w", w)
     p = named.select("type", F.size("w").alias("n"), F.explode(prefixes).alias("prefix")).withColumn("k", F.size(F.split("prefix", " "))).filter((F.col("k") >= 2) & (2 * F.col("k") >= F.col("n")))
     shared = p.groupBy("prefix", "k").agg(F.count_distinct("type").alias("n_types")).filter("n_types >= 2")
-    words = F.split(F.lower("query"), " ")
-    runs = lambda: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda k: F.when(F.size("qw") >= k, F.transform(F.sequence(F.lit(1), F.size("qw") - k + 1), lambda i: F.array_join(F.slice("qw", i, k), " "))).otherwise(F.array().cast("array<string>")))))
-    q = queries.withColumn("qw", words).select("query_id", F.explode(runs()).alias("prefix"))
+    sizes = named.agg(F.collect_set(F.when(F.col("name").isNotNull(), F.size("w"))).alias("sizes"))
+    each = lambda n: F.sequence(F.least(n, F.greatest(F.lit(2), F.ceil(n / 2).cast("int"))), n)
+    lengths = F.broadcast(sizes.select(F.array_distinct(F.flatten(F.transform("sizes", each))).alias("lengths")))  # one row
+    fitting = F.filter("lengths", lambda k: k <= F.size("qw"))
+    runs = F.array_distinct(F.flatten(F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), F.size("qw") - k + 1), lambda i: F.array_join(F.slice("qw", i, k), " ")))))
+    q = queries.withColumn("qw", F.split(F.lower("query"), " ")).crossJoin(lengths).select("query_id", F.explode(runs).alias("prefix"))
     best = q.join(shared, "prefix").groupBy("query_id").agg(F.max_by(F.struct("prefix", "n_types"), F.struct("k", "prefix")).alias("x"))
     whole = q.join(named.select(F.lower("name").alias("prefix")).distinct(), "prefix", "left_semi").select("query_id").distinct()
     return best.join(whole, "query_id", "left_anti").select("query_id", "x.prefix", "x.n_types")

@@ -155,3 +155,19 @@ def test_refresh_equals_full_build(spark):
     old = spark.createDataFrame([("f", "f#0", "z"), ("g", "g#1", "b c")], "file_stem string, chunk_id string, text string")
     got = jobs.refresh(jobs.postings(old), now.filter("file_stem = 'f'"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.postings(now).collect()))
+
+
+def test_long_aliases_route(spark):
+    long_ = "quy trình kiểm định áp kế kiểu lò xo và chân không kế"
+    aliases = spark.createDataFrame([(long_, "f"), ("áp kế", "g"), (None, "n")], "alias string, file_stem string")
+    q = spark.createDataFrame([(1, f"theo {long_} thì sao"), (2, "áp kế"), (3, "không có"), (4, None)], "query_id long, query string")
+    codes = spark.createDataFrame([], "code string, file_stem string")
+    assert sorted(map(tuple, scope.route(q, codes, aliases).collect())) == [(1, "f"), (1, "g"), (2, "g")]
+    assert scope.route(q, codes, aliases.limit(0)).count() == 0
+
+
+def test_device_names_of_any_length(spark):
+    stem = "a b c d e f g"
+    catalog = spark.createDataFrame([("t1", f"{stem} one"), ("t2", f"{stem} two"), ("t3", "manometer"), ("t1", "x y one"), ("t2", "x y two"), ("t4", None)], "type string, name string")
+    q = spark.createDataFrame([(1, f"is {stem} good"), (2, f"is {stem} one good"), (3, "x y or manometer"), (4, "the x y"), (5, "x"), (6, "a b c d")], "query_id long, query string")
+    assert sorted(map(tuple, evidence.ambiguous_devices(q, catalog).collect())) == [(1, stem, 2), (4, "x y", 2), (6, "a b c d", 2)]

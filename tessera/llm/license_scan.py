@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.blocks import word_table
+from tessera.llm.spdx import EXCEPTIONS, LICENCES
 from tessera.session import ship
 
 #: Phrases whose places are counted as base matches, and their labels.
@@ -37,9 +38,8 @@ NOTICES = {
     "released into the public domain": "public-domain",
 }
 
-# Licence and exception identifiers that expressions may name, in lower case.
-LICENCES = {"0bsd", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "apache-1.1", "apache-2.0", "artistic-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc-by-3.0", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "cddl-1.0", "epl-1.0", "epl-2.0", "gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "isc", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "mit", "mpl-2.0", "unlicense", "zlib"}
-EXCEPTIONS = {"autoconf-exception-3.0", "classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "linux-syscall-note"}
+#: Label of an expression's operands that are no identifiers, next to the known ones.
+UNKNOWN = "unknown"
 
 TAG = "spdx license identifier"
 
@@ -55,7 +55,7 @@ def parse(text: str) -> list[str] | None:
     """Shunting-yard: a licence expression in reverse Polish order, or None if it is broken.
 
     ``with`` binds tighter than ``and``, ``and`` tighter than ``or``; all are left-associative. Reading ends before an
-    operand that follows a complete expression, so text after the expression does no harm.
+    operand that follows a complete expression, so text after the expression does no harm. Closing punctuation of an operand goes.
     """
     out: list[str] = []
     held: list[str] = []
@@ -86,45 +86,58 @@ def parse(text: str) -> list[str] | None:
         else:
             if operand:
                 break
-            out.append(token.rstrip(",;*/"))
+            if not (name := token.rstrip(".,;:!?*/'\"")):
+                break
+            out.append(name)
             operand = True
     if not operand or depth:
         return None
     return out + held[::-1]
 
 
+def identifiers(rpn: list[str] | None) -> set[str] | None:
+    """Known identifiers of an expression, and ``UNKNOWN`` if it names others as well; None if it is broken or names nothing known."""
+    if rpn is None:
+        return None
+    named: set[str] = set()
+    kinds: list[str] = []  # an operand's kind: of a name "licence", "exception" or "unknown", else "with" or "terms"
+    for t in rpn:
+        if t not in _RANK:
+            kind = "exception" if t in EXCEPTIONS else "licence" if t in LICENCES or t.removesuffix("+") in LICENCES or t.startswith("licenseref-") else UNKNOWN
+            named.add(UNKNOWN if kind == UNKNOWN else t)
+            kinds.append(kind)
+            continue
+        b, a = kinds.pop(), kinds.pop()
+        if t == "with":
+            if a not in ("licence", "with", UNKNOWN) or b not in ("exception", UNKNOWN):
+                return None
+        elif "exception" in (a, b):
+            return None
+        kinds.append("with" if t == "with" else "terms")
+    return None if kinds == ["exception"] or named == {UNKNOWN} else named
+
+
 def evaluate(rpn: list[str] | None) -> tuple[set[str], list[frozenset[str]]] | None:
-    """Identifiers of an expression, and the sets of terms that each satisfy it; None if it is broken or names nothing known.
+    """``identifiers`` of an expression, and the sets of terms that each satisfy it; None if it is broken or names nothing known.
 
-    ``or`` offers either side's sets, ``and`` joins a set of each side, ``with`` adds an exception to a licence.
+    ``or`` offers either side's sets, ``and`` joins a set of each side, ``with`` adds an exception to a licence. Terms that are not known stand as
+    written. There are as many sets as the expression allows, up to two to the power of its ``and``s and more: ask ``identifiers`` where names will do.
     """
-    if rpn is None:
+    named = identifiers(rpn)
+    if named is None:
         return None
     stack: list[list[frozenset[str]]] = []
-    named: set[str] = set()
-    kinds: list[str] = []
     for t in rpn:
         if t not in _RANK:
-            kind = "exception" if t in EXCEPTIONS else "licence" if t.removesuffix("+") in LICENCES or t.startswith("licenseref-") else ""
-            if not kind:
-                return None
-            named.add(t)
             stack.append([frozenset([t])])
-            kinds.append(kind)
             continue
         b, a = stack.pop(), stack.pop()
-        kb, ka = kinds.pop(), kinds.pop()
         if t == "with":
-            if ka != "licence" or kb != "exception" or len(a) != 1 or len(a[0]) != 1:
-                return None
-            stack.append([frozenset([f"{next(iter(a[0]))} with {next(iter(b[0]))}"])])
+            both = [frozenset([f"{next(iter(a[0]))} with {next(iter(b[0]))}"])]
         else:
-            if "exception" in (ka, kb):
-                return None
             both = a + b if t == "or" else [x | y for x in a for y in b]
-            stack.append(list(dict.fromkeys(both))[:64])
-        kinds.append("licence" if t == "with" else "terms")
-    return None if kinds == ["exception"] else (named, stack[0])
+        stack.append(list(dict.fromkeys(both)))
+    return named, stack[0]
 
 
 class Scanner:
@@ -175,12 +188,12 @@ class Scanner:
                     tagged = True
         if tagged:
             for m in _TAG_LINE.finditer(raw.lower()):
-                if (got := evaluate(parse(m[1].decode("latin-1")))) is None:
+                if (got := identifiers(parse(m[1].decode("latin-1")))) is None:
                     more.add("unparsed")
                     evidence.add(("broken", ""))
                 else:
-                    more |= got[0]
-                    evidence |= {("tag", x) for x in got[0]}
+                    more |= got
+                    evidence |= {("broken", "") if x == UNKNOWN else ("tag", x) for x in got}
         doubt = 1.0
         for kind, _ in sorted(evidence):
             doubt *= 1 - WEIGHTS[kind]

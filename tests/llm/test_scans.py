@@ -50,6 +50,22 @@ def test_evaluation():
     assert L.evaluate(L.parse("MIT WITH Apache-2.0")) is None and L.evaluate(L.parse("no-such-licence")) is None
 
 
+def test_expressions_with_unknown_names(spark):
+    lines = ["MIT OR GFDL-1.3-only", "MIT AND BSD-4-Clause", "MIT.", "(MIT OR Own-Terms) AND ISC.", "GPL-2.0-only WITH own-exception", "Own-Terms", "MIT OR */"]
+    want = ["gfdl-1.3-only,mit", "bsd-4-clause,mit", "mit", "isc,mit,unknown", "gpl-2.0-only,unknown", "unparsed", "unparsed"]
+    got = {r.doc_id: r for r in L.scan_licences(table(spark, [(i, f"# SPDX-License-Identifier: {x}\ncode") for i, x in enumerate(lines)])).collect()}
+    assert [got[i].labels for i in range(len(lines))] == want
+    assert got[3].score > got[2].score == pytest.approx(0.9) and got[5].score == pytest.approx(0.2)
+
+
+def test_all_alternatives_are_kept():
+    groups = [(f"LicenseRef-a{i}", f"LicenseRef-b{i}") for i in range(7)]
+    named, sets = L.evaluate(L.parse(" AND ".join(f"({a} OR {b})" for a, b in groups)))
+    assert len(named) == 14 and len(set(sets)) == 128 and all(len(s) == 7 for s in sets)
+    many = " AND ".join(f"(LicenseRef-a{i} OR LicenseRef-b{i})" for i in range(40))
+    assert len(L.identifiers(L.parse(many))) == 80
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

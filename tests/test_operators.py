@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answers, chunking, dense, evidence, fusion, ledger, lexical, metrics, records, scope
+from tessera.operators import answers, chunking, dense, evidence, fusion, ledger, lexical, metrics, records, scope, tables
 from tessera.streaming import jobs
 
 
@@ -171,3 +171,16 @@ def test_device_names_of_any_length(spark):
     catalog = spark.createDataFrame([("t1", f"{stem} one"), ("t2", f"{stem} two"), ("t3", "manometer"), ("t1", "x y one"), ("t2", "x y two"), ("t4", None)], "type string, name string")
     q = spark.createDataFrame([(1, f"is {stem} good"), (2, f"is {stem} one good"), (3, "x y or manometer"), (4, "the x y"), (5, "x"), (6, "a b c d")], "query_id long, query string")
     assert sorted(map(tuple, evidence.ambiguous_devices(q, catalog).collect())) == [(1, stem, 2), (4, "x y", 2), (6, "a b c d", 2)]
+
+
+def test_what_stays_of_tables(spark):
+    head = "| TT | Name | V |\n|---|---|---|\n"
+    long_ = head + "| 1 | red pump | 5 |\n| | | green |\n| 2 | blue pump | 6 |\n| 3 | old pump | 7 |\n| 4 | new pump | 8 |"
+    docs = spark.createDataFrame([("a", long_), ("b", head + "| 1 | red valve | 1 |")], "doc string, text string")
+    keys = spark.createDataFrame([(1, "green"), (2, "pump"), (3, "blue"), (3, "valve")], "query_id long, word string")
+    q = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long")
+    got = {}
+    for r in tables.kept_rows(tables.cells(tables.tables(docs)), keys, q, 3).collect():
+        got.setdefault((r.query_id, r.doc), []).append(r.row_no)
+    want = {1: [1, 2], 2: [1, 2, 3, 4, 5], 3: [3], 4: [1, 2, 3, 4, 5]}
+    assert {k: sorted(v) for k, v in got.items()} == {(i, "a"): v for i, v in want.items()} | {(i, "b"): [1] for i in want}

@@ -21,15 +21,20 @@ def unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, embedding) and vectors (chunk_id, embedding).
 
     A missing vector counts as zeros. Each task keeps k rows per query, so k rows per query and task are shuffled.
+    ``scope`` (query_id, file_stem) is applied before any hit is dropped; a query without a row there has no hits. Chunk ids are ``stem#line`` then.
     """
     spark = queries.sparkSession
     ship(spark)
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     n = queries.count()
+    source = vectors.select(F.col("chunk_id").cast("string"), F.coalesce("embedding", zero).alias("e"))
+    if scope is not None:
+        inside = scope.groupBy("file_stem").agg(F.collect_set(F.col("query_id").cast("long")).alias("inside"))
+        source = source.withColumn("file_stem", F.substring_index("chunk_id", "#", 1)).join(inside, "file_stem").select("chunk_id", "e", "inside")
     out = None
     for block in range(-(-n // BLOCK) or 1):
         own = queries if n <= BLOCK else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == block)
@@ -43,8 +48,16 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFram
             for b in batches:
                 e = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
                 names = np.array(b.column(0).to_pylist(), object)
+                seen = np.ones((len(ids), len(names)), bool)
+                if b.num_columns > 2:
+                    lists = b.column(2)
+                    which, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(names)), np.diff(np.asarray(lists.offsets)))
+                    row, which = row[np.isin(which, ids)], which[np.isin(which, ids)]
+                    order = np.argsort(ids)
+                    seen[:] = False
+                    seen[order[np.searchsorted(ids, which, sorter=order)], row] = True
                 for lo in range(0, len(names), 2048):
-                    s = np.round(q @ e[lo : lo + 2048].T, DIGITS)
+                    s = np.where(seen[:, lo : lo + 2048], np.round(q @ e[lo : lo + 2048].T, DIGITS), -np.inf)
                     best_s = np.concatenate([best_s, s], 1)
                     best_c = np.concatenate([best_c, np.broadcast_to(names[lo : lo + 2048], s.shape)], 1)
                     order = np.stack([np.lexsort((c, -v))[:k] for c, v in zip(best_c, best_s, strict=True)]) if len(ids) else np.zeros((0, 0), int)
@@ -52,7 +65,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFram
             m = best_s.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_c.ravel().tolist(), pa.string()), pa.array(best_s.ravel())], names=["query_id", "chunk_id", "score"])
 
-        found = vectors.select(F.col("chunk_id").cast("string"), F.coalesce("embedding", zero).alias("e")).mapInArrow(run, "query_id long, chunk_id string, score double")
+        found = source.mapInArrow(run, "query_id long, chunk_id string, score double").filter(F.col("score") > float("-inf"))
         out = found if out is None else out.unionAll(found)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)

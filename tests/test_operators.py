@@ -184,3 +184,17 @@ def test_what_stays_of_tables(spark):
         got.setdefault((r.query_id, r.doc), []).append(r.row_no)
     want = {1: [1, 2], 2: [1, 2, 3, 4, 5], 3: [3], 4: [1, 2, 3, 4, 5]}
     assert {k: sorted(v) for k, v in got.items()} == {(i, "a"): v for i, v in want.items()} | {(i, "b"): [1] for i in want}
+
+
+def test_search_inside_a_scope(spark):
+    """A scope far below the whole corpus's best hits is searched by itself, in both branches."""
+    n = 60
+    vec = spark.createDataFrame([(f"far#{i:05d}", [1.0, 0.01 * i]) for i in range(n)] + [("near#00000", [-1.0, 0.0]), ("near#00001", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    rows = spark.createDataFrame([(f"far#{i:05d}", "pump pump") for i in range(n)] + [("near#00000", "one pump in a long line of words"), ("near#00001", "no")], "chunk_id string, indexed string")
+    q = spark.createDataFrame([(1, "pump"), (2, "pump"), (3, "pump")], "query_id long, query string")
+    asked = spark.createDataFrame([(i, [1.0, 0.0]) for i in (3, 1, 2)], "query_id long, embedding array<float>")
+    within = spark.createDataFrame([(1, "near"), (2, "near"), (2, "far"), (9, "near")], "query_id long, file_stem string")
+    got = {i: [r.chunk_id for r in dense.search(asked, vec, 5, 2, within).filter(f"query_id = {i}").orderBy("rank").collect()] for i in (1, 2, 3)}
+    assert got == {1: ["near#00001", "near#00000"], 2: [f"far#{i:05d}" for i in range(5)], 3: []}
+    both = scope.search(q, lexical.build(rows), asked, vec, within, 5, 2).filter("query_id = 1").collect()
+    assert {r.chunk_id for r in both} == {"near#00000", "near#00001"} and {r.chunk_id for r in dense.search(asked, vec, 5, 2).collect()} == {f"far#{i:05d}" for i in range(5)}

@@ -6,15 +6,16 @@ is filled at last. A bin holds the smallest hash of the round that filled it fir
 with the concentration that independent bins would have. Bands of ``ROWS`` bins are the candidates' keys; every link is then
 confirmed on the full sets.
 
-Work and skew: equal sets are one node, so copies cost nothing. Inside a band's key a few hubs are compared with all members
-(stars, linear in the members). What that leaves in different components is compared with other hubs, turn by turn, as long as turns find
-links. The pairs then still apart are compared one by one inside the key, in the join's own loop, which passes only pairs of different components
-whose finer sketches agree enough; no limit is set on members.
+Work and skew: equal sets are one node, so copies cost nothing. In a turn every node is confirmed against at most one hub, the one of its
+bands' hubs whose sketch agrees best with its own (stars, linear in the nodes). What then shares a band and
+has different roots is compared in tiles: members of a band are dealt to parts of bounded size, every two parts that may
+hold different roots meet in one task, and a task hands on a spanning forest of the true links, never pairs. Where tiles would cost many times the
+members, turns with other hubs come first, as long as they link many. No limit is set on members.
 """
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,17 +32,18 @@ PERCENT = 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 
-#: Members of a band that all its others are compared with: in the first turn, and in each later one.
-HUBS, LATER_HUBS = 3, 1
-
 #: Signature columns: 4 bits of each bin, 16 bins in a long.
 SIGNS = BINS // 16
+SIGN_NAMES = [f"s{k}" for k in range(SIGNS)]
 
 #: Bins in whose 4 bits two sets of similarity 0.75 disagree: 30 expected, deviation 4.8. Six deviations above lie under 1e-9 of such pairs.
 MOST_DISAGREE = 59
 
-#: Bins of the finer sketch that pairs left apart are tried with, and how many may disagree: 240 expected at 0.75, deviation 13.6; five deviations above.
-FINE, FINE_DISAGREE = 1024, 308
+#: Members, and elements of their sets, in a part of a band's members: a task compares two parts at once.
+TILE, TILE_ELEMENTS = 1024, 1 << 21
+
+#: Rows in tiles for each member that are cheap enough to end the turns of hubs, which also end when one finds fewer links than a ``FEW``-th of the best turn's.
+SPREAD, FEW = 4, 20
 
 #: Bits of the table of wanted ids (1 MB).
 BITS = 1 << 23
@@ -83,6 +85,10 @@ def _distinct(e: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
     return [np.unique(e[where[i] : where[i + 1]]) for i in range(len(where) - 1)]
 
 
+def _set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None
+
+
 def _elements(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h, _, first = words(data, at, word_table("space"))
     return grams(h, first, WORDS, short=True)
@@ -94,10 +100,7 @@ def _text_key(text: Column) -> Column:
 
 def features(docs: DataFrame) -> DataFrame:
     """For rows of (doc_id, text, text_key): the id and the key again, set size, a 128-bit key of the set, signature and band keys (null for an empty set)."""
-    import hashlib
-
     ship(docs.sparkSession)
-    signs = [f"s{i}" for i in range(SIGNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,16 +110,16 @@ def features(docs: DataFrame) -> DataFrame:
                 sets = _distinct(e, where)
                 size = np.array([len(s) for s in sets], np.int64)
                 none = size == 0
-                keys = [hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
+                keys = [_set_key(s) for s in sets]
                 sketch = sketches(e, where)
                 sign = _signature(sketch)
                 band = sketch.reshape(-1, BANDS, ROWS) * np.array([number(3000 + k) for k in range(ROWS)])
                 band = mix(band.sum(2, dtype=np.uint64) + np.array([number(4000 + k) for k in range(BANDS)])).view(np.int64)
                 offsets = pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(band.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(size), pa.array(keys, pa.binary()), *(pa.array(sign[:, k].copy(), mask=none) for k in range(SIGNS)), lists], names=["doc_id", "text_key", "n_shingles", "set_key", *signs, "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(size), pa.array(keys, pa.binary()), *(pa.array(sign[:, k].copy(), mask=none) for k in range(SIGNS)), lists], names=["doc_id", "text_key", "n_shingles", "set_key", *SIGN_NAMES, "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, " + ", ".join(f"{s} long" for s in signs) + ", bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, " + ", ".join(f"{s} long" for s in SIGN_NAMES) + ", bands array<long>")
 
 
 def _only(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast | None]:
@@ -144,7 +147,7 @@ def _wanted_rows(b: pa.RecordBatch, table: Broadcast | None) -> pa.RecordBatch:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and the sorted 64-bit hashes of its whole set, for at least the wanted ids."""
+    """node and the sorted 64-bit hashes of its whole set, once for each set, for at least the wanted doc_ids."""
     ship(docs.sparkSession)
     rows, table = _only(docs, wanted)
 
@@ -154,68 +157,185 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i, j in blocks(at):
                 sets = _distinct(*_elements(data[at[i] : at[j]], at[i : j + 1] - at[i]))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "elements"])
-
-    return rows.mapInArrow(run, "doc_id long, elements array<long>")
+                keys = pa.array([_set_key(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "set_key", "elements"])
 
+    found = rows.mapInArrow(run, "doc_id long, set_key binary, elements array<long>")
+    return found.groupBy(F.col("doc_id").alias("node"), "set_key").agg(F.first("elements").alias("elements")).drop("set_key")
 
-def fine_signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and the signature columns f0, f1, ... of a sketch of ``FINE`` bins, for at least the wanted ids."""
-    ship(docs.sparkSession)
-    rows, table = _only(docs, wanted)
-    names = [f"f{k}" for k in range(FINE // 16)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (_wanted_rows(b, table) for b in batches):
-            data, at = utf8(b.column(1))
-            for i, j in blocks(at):
-                sign = _signature(sketches(*_elements(data[at[i] : at[j]], at[i : j + 1] - at[i]), FINE))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(sign[:, k].copy()) for k in range(len(names)))], names=["doc_id", *names])
-
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-
-
-def _disagree(a: str, b: str, names: list[str]) -> Column:
-    """Bins whose 4 bits differ."""
+def _disagree(a: str, b: str) -> Column:
+    """Bins whose 4 bits differ, of the signature columns with these prefixes."""
     parts = []
-    for name in names:
-        x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
+    for k in range(SIGNS):
+        x = F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         parts.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
     return reduce(lambda p, q: p + q, parts)
 
 
-def _stars(apart: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v), u < v, of each band's hubs with its other members, where their roots differ.
+def _members(placed: DataFrame, *more: str) -> DataFrame:
+    """A row for each node and each of its bands that another node has too."""
+    return placed.select(F.explode("shared").alias("band"), "node", "root", "n", *SIGN_NAMES, *more)
 
-    The hubs of a turn are the members nearest to some numbers (by exclusive or), so other turns have other hubs.
+
+def _stars(placed: DataFrame, turn: int) -> DataFrame:
+    """At most one pair (node, hub) a node: of its bands' hubs with another root, the one whose sketch agrees best, if it agrees enough.
+
+    A band's hub is the member nearest to a number by exclusive or, so other turns have other hubs.
+    """
+    members = _members(placed)
+    near = F.col("node").bitwiseXOR(F.lit(int(number(5000 + turn)) >> 1 if turn else 0))
+    hub = F.min_by(F.struct("node", "root", "n", *SIGN_NAMES), near).alias("hub")
+    hubs = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub).filter("lo < hi")
+    hubs = hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n").alias("hub_n"), *(F.col(f"hub.{s}").alias(f"hub_{s}") for s in SIGN_NAMES))
+    fits = (F.col("root") != F.col("hub_root")) & (100 * F.col("n") >= PERCENT * F.col("hub_n")) & (100 * F.col("hub_n") >= PERCENT * F.col("n"))
+    tried = members.join(hubs, "band").withColumn("apart", _disagree("", "hub_"))
+    return tried.filter(fits & (F.col("apart") <= MOST_DISAGREE)).groupBy("node").agg(F.min_by("hub", "apart").alias("hub"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v), u < v, of the pairs (node, hub) whose full sets reach the similarity."""
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("elements").alias("hub_elements"))
+    both = F.size(F.array_intersect("elements", "hub_elements"))
+    linked = (100 + PERCENT) * both >= PERCENT * (F.size("elements") + F.size("hub_elements"))
+    found = pairs.join(sets, "node").join(of_hub, "hub").filter(linked)
+    return found.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
+
+
+def _groups(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For mixed bands: (band, root, own, g) of every root, and (band, own, g, c, w, parts) of the groups that tiles are made of.
+
+    A band's members of one root are a group of their own where they fill half a part; the band's other members are its pool. A group is to be
+    cut into parts of about ``TILE`` members and ``TILE_ELEMENTS`` elements.
     """
-    n = LATER_HUBS if turn else HUBS
-    marks = [0 if turn == k == 0 else int(number(5000 + turn * HUBS + k)) >> 1 for k in range(n)]
-    near = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"h{k}") for k, m in enumerate(marks)]
-    hubs = apart.groupBy("band").agg(*near).select("band", F.array_distinct(F.array(*(f"h{k}" for k in range(n)))).alias("hubs"))
-    pairs = apart.join(hubs, "band").select("band", "node", "root", F.explode("hubs").alias("hub")).filter("node <> hub")
-    if turn:
-        hub_roots = apart.select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-        pairs = pairs.join(hub_roots, ["band", "hub"]).filter("root <> hub_root")
-    return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    roots = _members(placed).groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    roots = roots.withColumn("own", (F.col("c") > TILE // 2) | (F.col("w") > TILE_ELEMENTS // 2)).withColumn("g", F.when(F.col("own"), F.col("root")).otherwise(0))
+    mixed = roots.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    roots = settle(roots.join(mixed, "band"))
+    groups = roots.groupBy("band", "own", "g").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).withColumn("parts", _share())
+    return roots.select("band", "root", "own", "g"), settle(groups)
 
 
-def _may_link(a: str, b: str) -> Column:
-    """What pairs of similarity 0.75 have: sizes in proportion, and sketches that agree enough."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & (_disagree(a, b, [f"s{k}" for k in range(SIGNS)]) <= MOST_DISAGREE)
+def _share() -> Column:
+    return F.ceil(F.greatest(F.col("c") / TILE, F.col("w") / TILE_ELEMENTS)).cast("int")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity."""
-    wanted = settle(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct())
-    sets = full_sets(docs, wanted)
-    left, right = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    linked = (100 + PERCENT) * both >= PERCENT * (F.size("a") + F.size("b"))
-    return pairs.join(left, "u").join(right, "v").filter(linked).select("u", "v").distinct()
+def _spread(groups: DataFrame) -> float:
+    """Rows in tiles for each member. A part of the pool meets all parts of its band, another part those of other groups."""
+    band = groups.groupBy("band").agg(F.sum("c").alias("c"), (F.sum("c") * F.sum("parts") - F.sum(F.when(F.col("own"), F.col("c") * F.col("parts")).otherwise(0))).alias("rows"))
+    got = band.agg(F.sum("c").alias("c"), F.sum("rows").alias("rows")).first()
+    return got.rows / got.c if got.c else 0.0
+
+
+def _tiles(placed: DataFrame, roots: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of mixed bands, dealt to tiles so that every two members of a band with different roots meet in a tile.
+
+    Groups are cut into their parts by a hash. Two parts of different groups are the two sides of a tile,
+    as are two parts of the pool; a part of the pool is a tile by itself too, and pools of one part share tiles. So a
+    band of many members with few roots costs its members times the parts of the other roots; a large group is not compared inside itself.
+    """
+    small = groups.filter("NOT own AND parts = 1").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select(_share()).first()[0] or 1
+    side = lambda s: groups.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("own", "g", "parts")))
+    pool = ~F.col("own_a") & ~F.col("own_b")
+    met = side("a").join(side("b"), "band").filter(pool | (F.struct("own_a", "g_a") < F.struct("own_b", "g_b")))
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
+    met = met.withColumn("j", F.explode(F.sequence(F.when(pool, F.col("i")).otherwise(0), F.col("parts_b") - 1)))
+    tile = F.when(pool & (F.col("parts_a") == 1), F.pmod(F.xxhash64("band"), F.lit(small))).otherwise(F.xxhash64("band", "own_a", "g_a", "i", "own_b", "g_b", "j"))
+    slot = lambda s, part, k: F.struct(F.col(f"own_{s}").alias("own"), F.col(f"g_{s}").alias("g"), F.col(part).alias("part"), F.lit(k).alias("side"))
+    both = F.when(pool & (F.col("i") == F.col("j")), F.array(slot("a", "i", 0))).otherwise(F.array(slot("a", "i", 0), slot("b", "j", 1)))
+    slots = met.select("band", tile.alias("tile"), F.explode(both).alias("x")).select("band", "tile", "x.*")
+    group_of = roots.join(groups.select("band", "own", "g", "parts"), ["band", "own", "g"])
+    part = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("root"))), F.col("parts")).cast("int")
+    dealt = _members(placed).select("band", "node", "root").join(group_of, ["band", "root"]).withColumn("part", part)
+    spread = dealt.join(slots, ["band", "own", "g", "part"]).select("tile", "side", "band", "node")
+    return spread.join(placed.select("node", "root", "n", "bands", *SIGN_NAMES), "node")
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy()
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a list column, and where each row's begin."""
+    whole = column.combine_chunks()
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    at = np.concatenate([[0], np.cumsum(whole.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return whole.flatten().to_numpy(), at
+
+
+def candidates(tiles: DataFrame) -> DataFrame:
+    """(tile, node, root, partners): nodes of a tile with another root, a first band shared with the node in this tile, and sizes and sketches that agree enough.
+
+    Each pair is in one row's partners; a node that is only a partner has none itself.
+    """
+    schema = "tile long, node long, root long, partners array<long>"
+
+    def run(t: pa.Table) -> pa.Table:
+        side, band, node, root, n = (_numbers(t[c]) for c in ("side", "band", "node", "root", "n"))
+        bands = _lists(t["bands"])[0].reshape(-1, BANDS)
+        signs = np.stack([_numbers(t[s]) for s in SIGN_NAMES], 1).view(np.uint64)
+        two = side.any()
+        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(side)),) * 2
+        found = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(a), 256):
+            x = a[lo : lo + 256]
+            mask = (band[x, None] == band[b]) & (root[x, None] != root[b]) & (100 * n[x, None] >= PERCENT * n[b]) & (100 * n[b] >= PERCENT * n[x, None])
+            i, j = np.nonzero(mask if two else mask & (x[:, None] < b))
+            i, j = x[i], b[j]
+            bits = signs[i] ^ signs[j]
+            bits |= bits >> np.uint64(1)
+            bits |= bits >> np.uint64(2)
+            near = np.bitwise_count(bits & np.uint64(0x1111111111111111)).sum(1) <= MOST_DISAGREE
+            i, j = i[near], j[near]
+            first = (bands[i] == bands[j]).argmax(1)
+            here = bands[i, first] == band[i]
+            found.append(np.stack([i[here], j[here]], 1))
+        pairs = np.concatenate(found)
+        used, at = np.unique(node[pairs], return_inverse=True)
+        pairs = np.unique(at.reshape(-1, 2), axis=0)
+        offsets = np.searchsorted(pairs[:, 0], np.arange(len(used) + 1)).astype(np.int32)
+        roots = dict(zip(node.tolist(), root.tolist(), strict=True))
+        columns = [pa.array(np.full(len(used), t["tile"][0].as_py(), np.int64)), pa.array(used), pa.array([roots[u] for u in used.tolist()], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(used[pairs[:, 1]]))]
+        return pa.Table.from_arrays(columns, names=["tile", "node", "root", "partners"])
+
+    ship(tiles.sparkSession)
+    return tiles.groupBy("tile").applyInArrow(run, schema)
+
+
+def forests(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v), u < v: of each tile's candidates, true links that join all that its true links join."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label = _numbers(t["node"]), np.unique(_numbers(t["root"]), return_inverse=True)[1]
+        values, at = _lists(t["elements"])
+        partners, where = _lists(t["partners"])
+        code = np.unique(values, return_inverse=True)[1]
+        size = np.diff(at)
+        owner = np.repeat(np.arange(len(node)), size)
+        mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+        out = []
+        for i in range(len(node)):
+            wanted = np.isin(node, partners[where[i] : where[i + 1]]) & (label != label[i])
+            rows = np.flatnonzero(wanted)
+            if not len(rows):
+                continue
+            own = code[at[i] : at[i + 1]]
+            mark[own] = True
+            if 4 * len(rows) > len(node):
+                both = np.bincount(owner[mark[code]], minlength=len(node))[rows]
+            else:
+                both = np.array([np.count_nonzero(mark[code[at[r] : at[r + 1]]]) for r in rows])
+            mark[own] = False
+            for r in rows[(100 + PERCENT) * both >= PERCENT * (size[i] + size[rows])]:
+                if label[r] != label[i]:
+                    label[label == label[r]] = label[i]
+                    out.append(sorted((int(node[i]), int(node[r]))))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    ship(found.sparkSession)
+    return found.join(sets, "node").groupBy("tile").applyInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,47 +363,46 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, set_key (which equal sets share) and text_key (which equal texts share).
 
-    Null and empty texts have an empty set, link with nothing and are kept. Rows that share a doc_id are taken for one
-    document with several texts: a link of either is a link of both. A null doc_id can't be a component's smallest: such a row
-    belongs to the component of the rows with equal sets, where there is none its component_id is null and it is kept. An empty
-    table gives no rows. Other columns of ``docs`` are not looked at.
+    Null and empty texts have an empty set, link with nothing and are kept. Rows that share a doc_id but not the text are each
+    placed by their own set. A null doc_id can't be a component's smallest: such a row belongs to the component of the rows with
+    equal sets, where there is none its component_id is null and it is kept. An empty table gives no rows. Other columns of
+    ``docs`` are not looked at.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signs = [f"s{i}" for i in range(SIGNS)]
     feats = settle(features(rows.withColumn("text_key", _text_key(F.col("text")))))
     # One node for each set, named by its smallest document.
     named = feats.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    picked = F.min_by(F.struct("n_shingles", *signs, "bands"), "doc_id").alias("x")
-    nodes = settle(named.groupBy("set_key").agg(F.min("doc_id").alias("u"), picked).select("set_key", "u", F.col("x.n_shingles").alias("n"), *(F.col(f"x.{s}").alias(s) for s in signs), "x.bands"))
-    bands = nodes.select(F.explode("bands").alias("band"), F.col("u").alias("node"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = settle(bands.join(shared, "band"))
-    apart = members.withColumn("root", F.col("node"))
-    links = root = None
-    for turn in itertools.count():
-        new = settle(confirmed(settle(_stars(apart, turn)), rows))
-        if new.isEmpty():
+    picked = F.min_by(F.struct(F.col("n_shingles").alias("n"), *SIGN_NAMES, "bands"), "doc_id").alias("x")
+    nodes = settle(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), picked).select("set_key", "node", "x.*"))
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
+    shared = bands.join(shared, "band").groupBy("node").agg(F.collect_set("band").alias("shared"))  # BANDS for each set at most
+    alone = settle(nodes.join(shared, "node").select("node", F.col("node").alias("root"), "n", *SIGN_NAMES, "bands", F.array_intersect("bands", "shared").alias("shared")))
+    sets = settle(full_sets(rows, alone.select(F.col("node").alias("doc_id"))))
+
+    def linked(placed: DataFrame, new: DataFrame) -> DataFrame:
+        """``placed`` with the roots that new links between nodes lead to."""
+        root_of = placed.select("node", "root")
+        to = lambda c: root_of.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        edges = new.join(to("u"), "u").join(to("v"), "v").select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).filter("u < v").distinct()
+        moved = components(settle(edges)).select(F.col("node").alias("root"), F.col("root").alias("next"))
+        return settle(placed.join(moved, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next"))
+
+    placed, most = alone, 0
+    for turn in range(BINS):
+        new = settle(confirmed(_stars(placed, turn), sets))
+        found = new.count()
+        if found:
+            placed = linked(placed, new)
+        roots, groups = _groups(placed)
+        if not found or FEW * found <= most or _spread(groups) <= SPREAD:
             break
-        links = new if links is None else settle(links.unionAll(new))
-        root = components(links)
-        placed = members.join(root, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-        apart = settle(placed.join(mixed, "band"))
-    # What is left apart is compared pair by pair, each pair in the first band that it shares.
-    nodes_left = apart.select(F.col("node").alias("doc_id")).distinct()
-    fine = fine_signatures(rows, nodes_left).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-    rest = apart.join(nodes.withColumnRenamed("u", "node").drop("set_key"), "node").join(settle(fine), "node")
-    a, b = rest.alias("a"), rest.alias("b")
-    shared_first = F.element_at("a.bands", F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True).cast("int")) == F.col("a.band")
-    close = _may_link("a", "b") & (_disagree("a", "b", [f"f{k}" for k in range(FINE // 16)]) <= FINE_DISAGREE)
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") < F.col("b.node")) & close & shared_first)
-    more = settle(confirmed(settle(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()), rows))
+        most = max(most, found)
+    more = settle(forests(settle(candidates(_tiles(placed, roots, groups))), sets))
     if not more.isEmpty():
-        links = more if links is None else settle(links.unionAll(more))
-        root = components(links)
-    if root is None:
-        root = nodes.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0)
-    class_root = nodes.select("set_key", "u").join(root.withColumnRenamed("node", "u"), "u", "left").select("set_key", F.coalesce("root", "u").alias("component_id"))
+        placed = linked(placed, more)
+    root = placed.groupBy("node").agg(F.min("root").alias("root"))
+    class_root = nodes.select("set_key", "node").join(root, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "set_key", "text_key").join(class_root, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (own.isNull() | F.coalesce(F.col("doc_id") == own, F.lit(False))).alias("kept"), "set_key", "text_key")

@@ -1,7 +1,9 @@
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tessera.llm import neardup
@@ -78,3 +80,64 @@ def test_sketch_fills_and_estimates(n, seed):
 
 def test_empty_set_has_an_empty_sketch():
     assert (neardup.sketches(np.zeros(0, np.uint64), np.array([0, 0])) == np.uint64(2**64 - 1)).all()
+
+
+def crowd(copies, others, seed=5, length=120):
+    """(doc_id, text): near copies of one text, and texts that are about 0.5 to 0.75 similar to it and to each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    rows = []
+    for k in range(copies + others):
+        w = list(base)
+        edits = rng.randint(0, 3) if k < copies else rng.randint(4, 8)
+        for at in rng.sample(range(0, length, 5), edits):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+def dense_roots(rows):
+    """Root of each id by comparing all sets at once."""
+    ids = np.array([i for i, _ in rows])
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    code = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(code)), np.float32)
+    for r, s in enumerate(sets):
+        m[r, [code[g] for g in s]] = 1
+    both = np.rint(m @ m.T).astype(np.int64)
+    size = both.diagonal()
+    near = 175 * both >= 75 * (size[:, None] + size)
+    label = ids.copy()
+    while True:
+        new = np.where(near, label, ids.max() + 1).min(1)
+        if (new == label).all():
+            return dict(zip(ids.tolist(), label.tolist(), strict=True)), near
+        label = new
+
+
+@pytest.mark.parametrize(("copies", "others", "tile", "elements", "spread"), [(1500, 700, 1024, 1 << 21, 4), (150, 90, 16, 1 << 21, 4), (150, 90, 1024, 1500, 0), (60, 200, 8, 1 << 21, 1e9)])
+def test_one_crowd(spark, monkeypatch, copies, others, tile, elements, spread):
+    """Near copies beside texts half as similar, as in one hot band: equal to comparing all pairs, in one tile or many, with few turns of hubs or many."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "TILE_ELEMENTS", elements)
+    monkeypatch.setattr(neardup, "SPREAD", spread)
+    rows = crowd(copies, others)
+    root, near = dense_roots(rows)
+    assert near.sum() > len(rows) and len(set(root.values())) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == root
+
+
+def test_wanted_rows_by_a_join(spark, monkeypatch):
+    """Beyond an eighth of the bit table the wanted rows are joined; components stay the same."""
+    monkeypatch.setattr(neardup, "BITS", 1 << 16)
+    docs = spark.createDataFrame(crowd(40, 20), "doc_id long, text string")
+    few, table_ = neardup._only(docs, docs.select("doc_id").limit(10))
+    assert table_ is not None and few.count() == 60
+    monkeypatch.setattr(neardup, "BITS", 64)
+    some = docs.select("doc_id").filter("doc_id < 30")
+    joined, none = neardup._only(docs, some)
+    assert none is None and joined.count() == 30
+    root, _ = dense_roots(crowd(40, 20))
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == root

@@ -35,6 +35,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[\\s,;!()\\[\\]{}<>\"'\\\\|]+"), lambda t: t != "")
 
 
+def word_runs(text: Column, lengths: Column) -> Column:
+    """Distinct runs of words that single spaces part, of as many words as the array ``lengths`` names."""
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.filter(lengths, lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))
+        return F.array_distinct(F.flatten(runs))
+
+    return F.get(F.transform(F.array(F.split(text, " ")), of), F.lit(0))  # one element, so that the text is split once
+
+
 def word_tokens(text: Column) -> Column:
     """Words of letters, digits and underscores of any script."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import REFUSAL, UNITS, latex_text, measurement_number, measurement_text
+from tessera.session import settle
 
 
 def normal_form(kind: Column, text: Column) -> Column:
@@ -62,11 +63,26 @@ def side_by_side(records: DataFrame, models: list[str], value: str) -> DataFrame
 
 
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, median, p95 (the element at index min(n - 1, int(0.95 n)) in order) and largest value per key."""
-    listed = F.array_sort(F.collect_list(value))
-    g = rows.groupBy(key).agg(listed.alias("x"), F.avg(value).alias("mean"), F.median(value).alias("p50"), F.max(value).alias("largest"))
-    at = F.least(F.size("x") - 1, F.floor(F.size("x") * 0.95).cast("int"))
-    return g.select(key, "mean", "p50", F.get("x", at).alias("p95"), "largest")
+    """Mean, median, p95 (the element at index min(n - 1, int(0.95 n)) in order) and largest value per key; missing values don't count.
+
+    Equal values are counted first, then sorted into ranges over all keys. Counts by range say in which range an element is, and only such ranges are numbered.
+    """
+    r = rows.select(F.col(key).alias("k"), F.col(value).alias("v"))
+    whole = r.groupBy("k").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.max("v").alias("largest"))
+    at = {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2), "p95": F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))}
+    wanted = whole.filter("n > 0").select("k", F.explode(F.array(*(F.struct(F.lit(name).alias("which"), x.cast("bigint").alias("at")) for name, x in at.items()))).alias("x")).select(F.col("k").alias("wk"), "x.*")
+    counted = r.filter("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("c"))
+    ranged = settle(counted.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()))
+    by_part = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and range
+    parts = ranged.groupBy("k", "part").agg(F.sum("c").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(by_part), F.lit(0)))
+    reached = (F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("c"))
+    there = wanted.join(parts, F.col("wk").eqNullSafe(F.col("k"))).filter(reached).select("wk", "part", "which", (F.col("at") - F.col("before")).alias("at"))
+    inside = Window.partitionBy("k", "part").orderBy("v")
+    held = there.select(F.col("wk").alias("hk"), F.col("part").alias("hp")).distinct()
+    near = ranged.join(held, F.col("k").eqNullSafe(F.col("hk")) & (F.col("part") == F.col("hp")), "left_semi").withColumn("upto", F.sum("c").over(inside))
+    found = near.withColumnRenamed("part", "np").join(there, F.col("k").eqNullSafe(F.col("wk")) & (F.col("np") == F.col("part")) & (F.col("at") < F.col("upto"))).groupBy("wk").pivot("which", list(at)).agg(F.min("v"))
+    out = whole.join(found, F.col("k").eqNullSafe(F.col("wk")), "left")
+    return out.select(F.col("k").alias(key), "mean", ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95", "largest")
 
 
 def stability(runs: DataFrame) -> DataFrame:

@@ -69,3 +69,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, scope: Data
         out = found if out is None else out.unionAll(found)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
+def pairs(queries: DataFrame, vectors: DataFrame, within: DataFrame, dim: int) -> DataFrame:
+    """(query_id, file_stem, chunk_id, score) for all vectors of the files that a query names (query_id, file_stem). A missing vector counts as zeros. Chunk ids are ``stem#line``."""
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    v = vectors.select("chunk_id", F.coalesce("embedding", zero).alias("e"), F.substring_index("chunk_id", "#", 1).alias("file_stem"))
+    q = queries.select("query_id", F.coalesce("embedding", zero).alias("q")).join(within, "query_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    size = lambda a: F.sqrt(dot(a, a))
+    cosine = F.coalesce(F.try_divide(dot("q", "e"), size("q") * size("e")), F.lit(0.0))
+    return q.join(v, "file_stem").select("query_id", "file_stem", "chunk_id", F.round(cosine, DIGITS).alias("score"))

@@ -148,14 +148,17 @@ def with_source_block(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return answers.join(block, "query_id", "left").select("query_id", F.when(F.col("block").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit("\n\nNguồn:\n"), "block")).alias("answer"))
 
 
-def select_cards(questions: DataFrame, aliases: DataFrame, longest: int = 6) -> DataFrame:
+def select_cards(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """The one formula card that a question names, or null (clarify) where it names none or several.
 
-    Aliases are found as runs of words; a run inside a longer run of another card does not count. Rows (query_id, query), (card, alias).
+    Aliases are found as runs of words, of as many words as aliases have; a run inside a longer run of another card does not count. Rows (query_id, query), (card, alias).
     """
-    w = questions.select("query_id", word_tokens(F.col("query")).alias("w"))
-    spans = w.select("query_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(i.alias("lo"), (i + k - 1).alias("hi"), F.array_join(F.slice("w", i, k), " ").alias("run")))).otherwise(F.array().cast("array<struct<lo:int,hi:int,run:string>>"))))).alias("s")).select("query_id", "s.*")
-    found = spans.join(aliases.select("card", F.array_join(word_tokens(F.col("alias")), " ").alias("run")).distinct(), "run")
+    named = aliases.select("card", word_tokens(F.col("alias")).alias("aw")).filter("size(aw) > 0")
+    lengths = F.broadcast(named.agg(F.collect_set(F.size("aw")).alias("lengths")))  # one row
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(i.alias("lo"), (i + k - 1).alias("hi"), F.array_join(F.slice("w", i, k), " ").alias("run")))
+    runs = F.flatten(F.transform(F.filter("lengths", lambda k: k <= F.size("w")), at))
+    spans = questions.select("query_id", word_tokens(F.col("query")).alias("w")).crossJoin(lengths).select("query_id", F.explode(runs).alias("s")).select("query_id", "s.*")
+    found = spans.join(named.select("card", F.array_join("aw", " ").alias("run")).distinct(), "run")
     outer = found.select("query_id", F.col("card").alias("o_card"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
     inside = (F.col("o_lo") <= F.col("lo")) & (F.col("hi") <= F.col("o_hi")) & (F.col("o_hi") - F.col("o_lo") > F.col("hi") - F.col("lo")) & (F.col("o_card") != F.col("card"))
     a, b = found.alias("a"), outer.alias("b")

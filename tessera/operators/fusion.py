@@ -64,12 +64,13 @@ def confident(results: DataFrame, absolute: float, relative: float) -> DataFrame
 
 def budgets(lengths: Column, total: int, floor: int, cap: int) -> Column:
     """Characters for each source in rank order: each takes up to ``cap``, and leaves ``floor`` (or its length, if less) for every later one."""
-    need = F.transform(lengths, lambda n: F.least(n, F.lit(floor)))
-    later = lambda i: F.aggregate(F.slice(need, i + 2, F.size(need)), F.lit(0), lambda a, x: a + x)
+    need = lambda n: F.least(n, F.lit(floor))
+    later = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, n: a + need(n))
 
-    def step(state, i):
-        n = F.get(lengths, i)
-        free = F.lit(total) - F.aggregate(state, F.lit(0), lambda a, x: a + x) - later(i)
-        return F.concat(state, F.array(F.greatest(F.least(n, F.lit(cap), free), F.lit(0)).cast("int")))
+    def step(state, n):
+        rest = state["later"] - need(n)
+        own = F.greatest(F.least(n, F.lit(cap), state["free"] - rest), F.lit(0)).cast("int")
+        return F.struct(rest.alias("later"), (state["free"] - own).alias("free"), F.concat(state["out"], F.array(own)).alias("out"))
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(lengths) - 1), F.array().cast("array<int>"), step))
+    start = F.struct(later.alias("later"), F.lit(total).cast("bigint").alias("free"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, step)["out"]

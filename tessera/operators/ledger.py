@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.matching import containing
+
 EXTENSIONS = (".docx", ".pdf", ".md", ".xlsx")
 
 # Document kinds by what their name or text mentions, in order; spreadsheets have rules of their own.
@@ -106,8 +108,8 @@ def successors(docs: DataFrame, deleted: DataFrame) -> DataFrame:
 def infer_device(titles: DataFrame, devices: DataFrame) -> DataFrame:
     """The device type whose alias is the longest contained in the title (ties: the first listed). Rows (id, title), (ord, device, alias)."""
     norm = lambda c: F.lower(F.trim(c))
-    a = devices.select("ord", "device", norm(F.col("alias")).alias("alias")).filter("alias <> ''")
-    hit = titles.select("id", norm(F.col("title")).alias("t")).join(a, F.col("t").contains(F.col("alias")))
+    a = devices.select("ord", "device", norm(F.col("alias")).alias("alias")).filter("alias <> ''").groupBy("alias").agg(F.min("ord").alias("ord"), F.min_by("device", "ord").alias("device"))
+    hit = containing(titles.select("id", norm(F.col("title")).alias("t")), a, "t", "alias")
     return titles.select("id").join(hit.groupBy("id").agg(F.max_by("device", F.struct(F.length("alias"), -F.col("ord"))).alias("device")), "id", "left")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import tokens
+from tessera.session import sized
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -25,36 +26,47 @@ def is_noise(path: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (term, chunk_id, tf, dl), terms (term, df, idf) and one row of totals (n, avgdl)."""
+    """chunks (chunk_id, t, dl) with the tokens in the row, terms (term, df, idf) and totals (n, avgdl; one row for each scope)."""
 
-    postings: DataFrame
+    chunks: DataFrame
     terms: DataFrame
     totals: DataFrame
+    key: tuple[str, ...] = ()
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, tf, dl) of all terms; searches count those of their own terms only."""
+        return _counted(self.chunks.select(*self.key, "chunk_id", "dl", F.explode("t").alias("term")), self.key)
+
+
+def _counted(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    return rows.groupBy(*key, "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def build(chunks: DataFrame, scope: str | None = None) -> Index:
-    """Index of rows (chunk_id, indexed): term frequencies are counted before any shuffle of text.
+    """Index of rows (chunk_id, indexed), a row for each chunk. What is shuffled is a count for each term and task, never a row for each term and chunk.
 
     ``scope`` names a column within whose values all statistics are counted (and which is then part of every key).
     """
-    key = [scope] if scope else []
+    key = (scope,) if scope else ()
     t = chunks.select(*key, "chunk_id", tokens(F.col("indexed")).alias("t")).withColumn("dl", F.size("t"))
-    postings = t.select(*key, "chunk_id", "dl", F.explode("t").alias("term")).groupBy(*key, "term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     totals = t.groupBy(*key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy(*key, "term").agg(F.count("*").alias("df"))
+    df = t.select(*key, F.explode(F.array_distinct("t")).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("df"))
     raw = (df.join(totals, scope) if scope else df.join(F.broadcast(totals))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*key).agg(F.avg("raw").alias("mean"))
     terms = (raw.join(mean, scope) if scope else raw.join(F.broadcast(mean))).select(*key, "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, totals)
+    return Index(t, terms, totals, key)
 
 
-def scores(queries: DataFrame, index: Index, scope: str | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): sum over query tokens with repetition; only query terms' postings are summed."""
-    key = [scope] if scope else []
+def scores(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_id, chunk_id, score): sum over query tokens with repetition. Tokens that no query has are dropped before anything is counted by chunk."""
+    key = index.key
     q = queries.select(*key, "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy(*key, "query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = q.join(index.terms, [*key, "term"])
-    rows = wanted.join(index.postings, [*key, "term"])
-    rows = rows.join(index.totals, scope) if scope else rows.join(F.broadcast(index.totals))
+    wanted = sized(q.join(index.terms, [*key, "term"]))
+    asked = sized(q.select(*key, "term").distinct())
+    postings = _counted(index.chunks.select(*key, "chunk_id", "dl", F.explode("t").alias("term")).join(asked, [*key, "term"], "left_semi"), key)
+    rows = postings.join(wanted, [*key, "term"])
+    rows = rows.join(index.totals, list(key)) if key else rows.join(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy(*key, "query_id", "chunk_id").agg(F.sum(part).alias("score"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.session import sized
+
 KS = (1, 3, 5, 10)
 
 
@@ -11,7 +13,7 @@ def first_ranks(hits: DataFrame, expected: DataFrame, queries: DataFrame, key: t
     """``rank`` of the first hit that matches an expected (file, path prefix), null where none does; one row per query."""
     same = hits.join(expected.select("query_id", "file_stem", F.col("section_path").alias("wanted")), ["query_id", "file_stem"]).filter(F.startswith("section_path", "wanted"))
     best = same.groupBy(*key, "query_id").agg(F.min("rank").alias("rank"))
-    every = queries.select("query_id") if not key else hits.select(*key).distinct().join(F.broadcast(queries.select("query_id")))
+    every = queries.select("query_id") if not key else queries.select("query_id").crossJoin(sized(hits.select(*key).distinct()))
     return every.join(best, [*key, "query_id"], "left")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,25 +38,83 @@ def mentions(texts: DataFrame, units: DataFrame) -> DataFrame:
     return rows.join(unit_names(units).select("name", "code"), "name").select("id", "number", "code")
 
 
-_ALLOWED = re.compile(r"[\s\d.,+\-*/()a-z_]*")
-_FUNCTIONS = {"sqrt": "sqrt", "abs": "abs", "max": "greatest", "min": "least", "pow": "pow"}
+_TOKEN = re.compile(r"\s*(?:(?P<number>(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)|(?P<name>[a-zA-Z_]\w*)|(?P<mark>\*\*|[-+*/(),]))")
+
+#: Functions of a formula, with how many arguments each takes (None: two or more).
+_FUNCTIONS: dict[str, tuple[Callable[..., Column], int | None]] = {"sqrt": (F.sqrt, 1), "abs": (F.abs, 1), "max": (F.greatest, None), "min": (F.least, None), "pow": (F.pow, 2)}
+
+
+class _Formula:
+    """Reads a formula by precedence: sums, products, signs, powers (from the right), then numbers, variables, calls and parentheses."""
+
+    def __init__(self, text: str, variables: list[str]):
+        self.variables, self.tokens, at = variables, [], 0
+        text = text.strip()
+        while at < len(text):
+            if not (m := _TOKEN.match(text, at)):
+                raise ValueError("the formula has other characters than numbers, names and operators")
+            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            at = m.end()
+
+    def take(self, *marks: str) -> str | None:
+        if self.tokens and self.tokens[0][0] == "mark" and self.tokens[0][1] in marks:
+            return self.tokens.pop(0)[1]
+        return None
+
+    def need(self, mark: str) -> None:
+        if not self.take(mark):
+            raise ValueError(f"the formula lacks a {mark!r}")
+
+    def sum(self) -> Column:
+        out = self.product()
+        while mark := self.take("+", "-"):
+            out = out + self.product() if mark == "+" else out - self.product()
+        return out
+
+    def product(self) -> Column:
+        out = self.signed()
+        while mark := self.take("*", "/"):
+            out = out * self.signed() if mark == "*" else F.try_divide(out, self.signed())
+        return out
+
+    def signed(self) -> Column:
+        if mark := self.take("+", "-"):
+            return -self.signed() if mark == "-" else self.signed()
+        base = self.atom()
+        return F.pow(base, self.signed()) if self.take("**") else base
+
+    def atom(self) -> Column:
+        if self.take("("):
+            out = self.sum()
+            self.need(")")
+            return out
+        kind, text = self.tokens.pop(0) if self.tokens else ("mark", "end")
+        if kind == "number":
+            return F.lit(float(text))
+        if kind == "name" and text in _FUNCTIONS and self.take("("):
+            make, n = _FUNCTIONS[text]
+            arguments = [self.sum()]
+            while self.take(","):
+                arguments.append(self.sum())
+            self.need(")")
+            if len(arguments) != n and (n or len(arguments) < 2):
+                raise ValueError(f"the formula gives {text} {len(arguments)} arguments")
+            return make(*arguments)
+        if kind == "name" and text in self.variables:
+            return F.col(text)
+        raise ValueError(f"the formula has {text}, which is neither a number, a variable nor a known function")
 
 
 def expression(text: str, variables: list[str]) -> Column:
-    """An approved formula as a Column over double columns: only listed variables, numbers, ``+ - * / **`` and a few functions pass."""
-    if not _ALLOWED.fullmatch(text):
-        raise ValueError("the formula has other characters than numbers, names and operators")
-    for name in re.findall(r"[a-z_]\w*", text):
-        if name not in variables and name not in _FUNCTIONS:
-            raise ValueError(f"the formula names {name}, which is neither a variable nor a known function")
-    powered = text
-    while "**" in powered:
-        powered, n = re.subn(r"(\w+|\([^()]*\))\s*\*\*\s*(-?\w+(?:\.\d+)?|\([^()]*\))", r"pow(\1, \2)", powered, count=1)
-        if not n:
-            raise ValueError("a power in the formula can't be read")
-    for name, sql in _FUNCTIONS.items():
-        powered = re.sub(rf"\b{name}\(", f"{sql}(", powered)
-    return F.expr(re.sub(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])", r"\1D", powered))
+    """An approved formula as a Column over double columns: only listed variables, numbers, ``+ - * / **``, parentheses and a few functions pass.
+
+    Powers bind from the right and before a sign, as in Python. A division by zero gives null.
+    """
+    formula = _Formula(text, variables)
+    out = formula.sum()
+    if formula.tokens:
+        raise ValueError(f"the formula can't be read from {formula.tokens[0][1]} on")
+    return out
 
 
 def evaluate(inputs: DataFrame, formulas: list[dict]) -> DataFrame:

@@ -15,12 +15,12 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown: by their place, lines become headings of two levels, table rows, blank lines or stay."""
     mark = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.when(i % 12 == 0, F.concat(F.lit("# "), F.substring(x, 1, 30))).when(i % 12 == 6, F.concat(F.lit("## "), F.substring(x, 1, 30))).when(i % 12 == 3, "").when((i % 12 == 4) | (i % 12 == 5), F.concat(F.lit("| "), F.substring(x, 1, 20), F.lit(" | b |"))).otherwise(x),
+        lambda x, i: F.when(i % 12 == 0, F.concat(F.lit("# "), x)).when(i % 12 == 6, F.concat(F.lit("## "), x)).when(i % 12 == 3, "").when((i % 12 == 4) | (i % 12 == 5), F.concat(F.lit("| "), x, F.lit(" | b |"))).otherwise(x),
     )
     return table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("file_stem"), F.array_join(mark, "\n").alias("text"))
 
 
-_MD = """line AS (SELECT source || '_' || doc_id AS file_stem, i, CASE i % 12 WHEN 0 THEN '# ' || substr(x, 1, 30) WHEN 6 THEN '## ' || substr(x, 1, 30) WHEN 3 THEN '' WHEN 4 THEN '| ' || substr(x, 1, 20) || ' | b |' WHEN 5 THEN '| ' || substr(x, 1, 20) || ' | b |' ELSE x END AS x
+_MD = """line AS (SELECT source || '_' || doc_id AS file_stem, i, CASE i % 12 WHEN 0 THEN '# ' || x WHEN 6 THEN '## ' || x WHEN 3 THEN '' WHEN 4 THEN '| ' || x || ' | b |' WHEN 5 THEN '| ' || x || ' | b |' ELSE x END AS x
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
 numbered AS (SELECT *, sum(CASE WHEN regexp_matches(x, '^#{1,6}\\s+.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY file_stem ORDER BY i) AS section_no FROM line),
 sec AS (SELECT file_stem, CAST(section_no AS INTEGER) AS section_no, max(CASE WHEN x LIKE '## %' AND regexp_matches(x, '^#{1,6}\\s+.+$') THEN 2 WHEN regexp_matches(x, '^#{1,6}\\s+.+$') THEN 1 END) AS level,

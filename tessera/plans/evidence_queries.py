@@ -165,14 +165,14 @@ def e25_fidelity(spark, sf_dir):
     return A.fidelity(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), text.alias("text")))
 
 
-@query("""WITH c AS (SELECT p_brand AS type, lower(p_name || ' ' || p_type) AS name FROM part WHERE p_partkey < 300), w AS (SELECT DISTINCT type, string_split(name, ' ') AS w FROM c),
+@query("""WITH c AS (SELECT p_brand AS type, lower(p_name || ' ' || p_type) AS name FROM part), w AS (SELECT DISTINCT type, string_split(name, ' ') AS w FROM c),
 p AS (SELECT array_to_string(w[1:k], ' ') AS prefix, k, count(DISTINCT type) AS n_types FROM w, range(2, 9) r(k) WHERE k <= len(w) AND 2 * k >= len(w) GROUP BY 1, 2 HAVING count(DISTINCT type) >= 2),
 q AS (SELECT p_partkey AS query_id, 'so ' || lower(p_name) || CASE WHEN p_partkey % 3 = 0 THEN ' ' || lower(p_type) ELSE '' END || ' ?' AS query FROM part),
 b AS (SELECT query_id, query, arg_max({'p': prefix, 'n': n_types}, (k, prefix)) AS x FROM q JOIN p ON contains(' ' || query || ' ', ' ' || prefix || ' ') GROUP BY 1, 2)
 SELECT query_id, x.p AS prefix, x.n AS n_types FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE contains(' ' || b.query || ' ', ' ' || c.name || ' '))""")
 def m17_ambiguous_devices(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    cat = part.filter("p_partkey < 300").select(F.col("p_brand").alias("type"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    cat = part.select(F.col("p_brand").alias("type"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
     q = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("so "), F.lower("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.lower("p_type"))).otherwise(""), F.lit(" ?")).alias("query"))
     return E.ambiguous_devices(q, cat)
 

@@ -60,12 +60,12 @@ def l7_edition(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", L.edition(stem).alias("edition"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS ord, p_brand || '-' || p_partkey AS device, lower(p_name) AS alias FROM part WHERE p_partkey < 60 UNION ALL SELECT p_partkey, p_brand || '-' || p_partkey, lower(string_split(p_name, ' ')[1]) FROM part WHERE p_partkey < 60)
-SELECT t.p_partkey AS id, arg_max(device, (length(alias), -ord)) AS device FROM part t LEFT JOIN a ON contains(lower(t.p_name || ' ' || t.p_type), alias) GROUP BY 1""")
+@query("""WITH a AS (SELECT p_partkey AS ord, p_brand || '-' || p_partkey AS device, lower(p_name) AS alias FROM part UNION ALL SELECT p_partkey, p_brand || '-' || p_partkey, lower(string_split(p_name, ' ')[1]) FROM part), first AS (SELECT alias, min(ord) AS ord, arg_min(device, ord) AS device FROM a GROUP BY 1)
+SELECT t.p_partkey AS id, arg_max(device, (length(alias), -ord)) AS device FROM part t LEFT JOIN first ON contains(lower(t.p_name || ' ' || t.p_type), alias) GROUP BY 1""")
 def l8_infer_device(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    few = part.filter("p_partkey < 60").select(F.col("p_partkey").alias("ord"), F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("device"), F.explode(F.array("p_name", F.substring_index("p_name", " ", 1))).alias("alias"))
-    return L.infer_device(part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title")), few)
+    devices = part.select(F.col("p_partkey").alias("ord"), F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("device"), F.explode(F.array("p_name", F.substring_index("p_name", " ", 1))).alias("alias"))
+    return L.infer_device(part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title")), devices)
 
 
 def versions(spark, sf_dir):

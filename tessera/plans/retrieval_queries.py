@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import dense, fusion, lexical, metrics, scope
+from tessera.operators import dense, fusion, lexical, matching, metrics, scope
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import settle, sized, table
 
 POOL, TOP = 20, 10
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk per document line; a parent per four lines."""
-    docs = table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("file_stem"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+def chunks(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """A chunk per document line; a parent per four lines. Some lines stand in an appendix without a title."""
+    docs = (table(spark, sf_dir, "documents") if docs is None else docs).select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("file_stem"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return docs.select(
         F.concat("file_stem", F.lit("#"), F.lpad(F.col("line").cast("string"), 5, "0")).alias("chunk_id"), "doc_id", "file_stem",
-        F.concat(F.lit("p"), F.col("line").cast("string")).alias("section_path"), F.concat("file_stem", F.lit("@"), F.expr("line div 4").cast("string")).alias("parent_id"), "line", "text",
+        F.concat(F.when(F.col("line") % 40 == 39, "Phụ lục ").otherwise("p"), F.col("line").cast("string")).alias("section_path"), F.concat("file_stem", F.lit("@"), F.expr("line div 4").cast("string")).alias("parent_id"), "line", "text",
     )
 
 
@@ -24,9 +24,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """Of all chunks but noise."""
+    return lexical.build(chunks(spark, sf_dir).filter(~lexical.is_noise(F.col("section_path"))).select("chunk_id", F.col("text").alias("indexed")))
+
+
 def bm25(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
-    rows = chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("indexed"))
-    return lexical.search(questions(spark, sf_dir), lexical.build(rows), k)
+    return lexical.search(questions(spark, sf_dir), index(spark, sf_dir), k)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,27 +39,37 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).filter("line = 0").select("doc_id", "chunk_id").join(e, "doc_id").select("chunk_id", "embedding")
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+
+
 def nearest(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
-    q = questions(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
-    return dense.search(q, vectors(spark, sf_dir), k, 64)
+    return dense.search(asked(spark, sf_dir), vectors(spark, sf_dir), k, 64)
+
+
+def _stem():
+    return F.concat_ws("_", "source", F.col("doc_id").cast("string"))
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage word for word: any line of theirs is a match."""
-    docs = table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("file_stem"), "text")
-    return docs.join(questions(spark, sf_dir), F.col("text").contains(F.col("query"))).select("query_id", "file_stem", F.lit("p").alias("section_path"))
+    """Documents that hold a passage word for word: any line of theirs that is no noise is a match."""
+    docs = table(spark, sf_dir, "documents").select(_stem().alias("file_stem"), "text")
+    return matching.holders(docs, questions(spark, sf_dir)).withColumn("section_path", F.lit("p"))
 
 
 def with_place(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
-    """Hits with file, path, parent and text of their chunk."""
-    return hits.join(chunks(spark, sf_dir).select("chunk_id", "file_stem", "section_path", "parent_id", "text"), "chunk_id")
+    """Hits with file, path, parent and text of their chunk; only documents that were hit are cut into chunks again."""
+    hits = settle(hits)
+    stems = sized(hits.select(F.substring_index("chunk_id", "#", 1).alias("hit_stem")).distinct())
+    docs = table(spark, sf_dir, "documents").join(stems, _stem() == F.col("hit_stem"), "left_semi")
+    return hits.join(chunks(spark, sf_dir, docs).select("chunk_id", "file_stem", "section_path", "parent_id", "text"), "chunk_id")
 
 
-CHUNKS = """chunks AS (SELECT file_stem || '#' || lpad(CAST(line AS VARCHAR), 5, '0') AS chunk_id, doc_id, file_stem, 'p' || line AS section_path, file_stem || '@' || (line // 4) AS parent_id, line, text
+CHUNKS = """chunks AS (SELECT file_stem || '#' || lpad(CAST(line AS VARCHAR), 5, '0') AS chunk_id, doc_id, file_stem, CASE WHEN line % 40 = 39 THEN 'Phụ lục ' ELSE 'p' END || line AS section_path, file_stem || '@' || (line // 4) AS parent_id, line, text
   FROM (SELECT doc_id, source || '_' || doc_id AS file_stem, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))"""
 _TOK = "list_filter(string_split_regex(lower({}), '[\\s,;!()\\[\\]{{}}<>\"''\\\\|]+'), lambda x: x <> '')"
 BM25 = f"""{CHUNKS},
-tok AS (SELECT chunk_id, {_TOK.format("text")} AS t FROM chunks),
+tok AS (SELECT chunk_id, {_TOK.format("text")} AS t FROM chunks WHERE line % 40 <> 39),
 totals AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 postings AS (SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM postings GROUP BY 1), totals),
@@ -63,7 +77,7 @@ terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
 scored AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN terms USING (term) JOIN postings USING (term), totals GROUP BY 1, 2),
 bm AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored WHERE score > 0) WHERE rank <= {POOL})"""
-DENSE = f"""vec AS (SELECT c.chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN chunks c ON vec_id = doc_id AND line = 0),
+DENSE = f"""vec AS (SELECT c.chunk_id, c.doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN chunks c ON vec_id = doc_id AND line = 0),
 qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN benchmark ON vec_id = item_id),
 dn AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(list_cosine_similarity(qv.e, vec.e), 9) AS score FROM qv, vec)) WHERE rank <= {POOL})"""
 FUSED = f"""{BM25}, {DENSE},
@@ -74,10 +88,12 @@ GOLD = "gold AS (SELECT item_id AS query_id, source || '_' || doc_id AS file_ste
 _METRICS = "count(*) AS n, count(rank) AS found, count(*) - count(rank) AS miss, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_{k}, round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END), 9) AS ndcg_{k}" for k in metrics.KS) + ", round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr, round(avg(rank), 9) AS mean_rank"
 
 
-@query(f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM terms")
+@query(f"""WITH line AS (SELECT unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+tok AS (SELECT {_TOK.format("text")} AS t FROM line WHERE line % 40 <> 39),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY 1), (SELECT count(*) AS n FROM tok))
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 9) AS idf FROM raw""")
 def r1_bm25_terms(spark, sf_dir):
-    rows = chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("indexed"))
-    return lexical.build(rows).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return index(spark, sf_dir).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm")
@@ -88,9 +104,8 @@ def r2_bm25_search(spark, sf_dir):
 @query(f"""WITH {BM25}, {GOLD} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT s.query_id, s.chunk_id, score, row_number() OVER (PARTITION BY s.query_id ORDER BY round(score, 9) DESC, s.chunk_id) AS rank
   FROM scored s JOIN chunks c USING (chunk_id) SEMI JOIN gold g ON g.query_id = s.query_id AND g.file_stem = c.file_stem WHERE score > 0) WHERE rank <= 5""")
 def r2_bm25_scoped(spark, sf_dir):
-    rows = chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("indexed"))
     files = expected(spark, sf_dir).select("query_id", "file_stem")
-    return lexical.search(questions(spark, sf_dir), lexical.build(rows), 5, files).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.search(questions(spark, sf_dir), index(spark, sf_dir), 5, files).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {CHUNKS}, {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dn")
@@ -143,21 +158,58 @@ def r11_rerank(spark, sf_dir):
     return fusion.reranked(hits, scored, 8).select("query_id", "chunk_id", F.round("final_score", 9).alias("final_score"), "place")
 
 
-@query("""WITH files AS (SELECT p_partkey, 'f' || p_partkey AS file_stem, trim(p_name) AS alias, '1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS code FROM part WHERE p_partkey < 40),
-q AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 2 = 0 THEN 'sai số 1.' || lpad(CAST(o_orderkey % 80 AS VARCHAR), 3, '0') ELSE 'giá ' || p_name || ' và' END AS query FROM orders JOIN part ON o_orderkey % 60 = p_partkey)
+@query("""WITH files AS (SELECT p_partkey, 'f' || p_partkey AS file_stem, trim(p_name) AS alias, '1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS code FROM part),
+q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN 'sai số 1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') ELSE 'giá ' || p_name || ' và ' || p_type END AS query FROM part)
 SELECT DISTINCT query_id, file_stem FROM q JOIN files ON (query_id % 2 = 0 AND contains(query, code)) OR (query_id % 2 = 1 AND contains(' ' || query || ' ', ' ' || alias || ' '))""")
 def r12_route(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    files = part.filter("p_partkey < 40").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_stem"), F.col("p_name").alias("alias"), F.concat(F.lit("1."), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")).alias("code"))
-    k = F.col("o_orderkey")
-    q = table(spark, sf_dir, "orders").join(part, k % 60 == F.col("p_partkey")).select(k.alias("query_id"), F.when(k % 2 == 0, F.concat(F.lit("sai số 1."), F.lpad((k % 80).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("giá "), F.col("p_name"), F.lit(" và"))).alias("query"))
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("1."), F.lpad((k % 1000).cast("string"), 3, "0"))
+    files = part.select(F.concat(F.lit("f"), k.cast("string")).alias("file_stem"), F.col("p_name").alias("alias"), code.alias("code"))
+    q = part.select(k.alias("query_id"), F.when(k % 2 == 0, F.concat(F.lit("sai số "), code)).otherwise(F.concat(F.lit("giá "), F.col("p_name"), F.lit(" và "), F.col("p_type"))).alias("query"))
     return scope.route(q, files.select("code", "file_stem"), files.select("alias", "file_stem"))
 
 
-@query(f"""WITH {FUSED}, scoped AS (SELECT p.* FROM placed p WHERE hash_file(file_stem) = 0) SELECT 1""".replace("hash_file(file_stem) = 0", "length(file_stem) % 2 = 0").replace("SELECT 1", "SELECT query_id, chunk_id, rank FROM scoped WHERE query_id IN (SELECT query_id FROM scoped GROUP BY 1 HAVING count(*) >= 14) UNION ALL SELECT query_id, chunk_id, rank FROM placed WHERE query_id NOT IN (SELECT query_id FROM scoped GROUP BY 1 HAVING count(*) >= 14)"))
+#: Both searches inside the documents whose id has the query's remainder by 100, and by 10 for the per-file funnel; statistics stay those of the whole corpus.
+SCOPED = f"""{FUSED},
+sbm AS (SELECT * FROM (SELECT s.query_id, s.chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY round(score, 9) DESC, s.chunk_id) AS rank FROM scored s JOIN chunks c USING (chunk_id) WHERE score > 0 AND c.doc_id % 100 = s.query_id % 100) WHERE rank <= {POOL}),
+sdn AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(list_cosine_similarity(qv.e, vec.e), 9) AS score FROM qv, vec WHERE vec.doc_id % 100 = qv.query_id % 100)) WHERE rank <= {POOL}),
+sboth AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS d, b.rank AS b FROM sdn d FULL JOIN sbm b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id),
+sfused AS (SELECT query_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, d NULLS LAST, b NULLS LAST) AS rank FROM (SELECT *, coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + b), 0) AS rrf_score FROM sboth))"""
+
+
+def within(spark, sf_dir, parts: int):
+    """(query_id, file_stem): documents whose id has the query's remainder."""
+    docs = table(spark, sf_dir, "documents").select(_stem().alias("file_stem"), (F.col("doc_id") % parts).alias("r"))
+    return questions(spark, sf_dir).select("query_id", (F.col("query_id") % parts).alias("r")).join(docs, "r").select("query_id", "file_stem")
+
+
+def _scoped(spark, sf_dir):
+    return scope.search(questions(spark, sf_dir), index(spark, sf_dir), asked(spark, sf_dir), vectors(spark, sf_dir), within(spark, sf_dir, 100), POOL, 64)
+
+
+@query(f"WITH {SCOPED} SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, rank FROM sfused")
+def r6_scoped_search(spark, sf_dir):
+    return _scoped(spark, sf_dir).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+
+
+@query(f"""WITH {SCOPED}, enough AS (SELECT query_id FROM sfused GROUP BY 1 HAVING count(*) >= 14)
+SELECT query_id, chunk_id, rank FROM sfused SEMI JOIN enough USING (query_id) UNION ALL SELECT query_id, chunk_id, rank FROM fused ANTI JOIN enough USING (query_id)""")
 def r13_scope_fallback(spark, sf_dir):
-    hits = with_place(spark, sf_dir, _fused(spark, sf_dir)).select("query_id", "chunk_id", "rank", "file_stem")
-    return scope.with_fallback(hits.filter(F.length("file_stem") % 2 == 0), hits, 14).select("query_id", "chunk_id", "rank")
+    hits = ["query_id", "chunk_id", "rank"]
+    return scope.with_fallback(settle(_scoped(spark, sf_dir).select(*hits)), _fused(spark, sf_dir).select(*hits), 14)
+
+
+@query(f"""WITH {FUSED}, own AS (SELECT item_id AS query_id, doc_id, source || '_' || doc_id AS file_stem FROM benchmark JOIN documents ON doc_id % 200 = item_id % 200),
+sbm AS (SELECT * FROM (SELECT s.query_id, o.file_stem, s.chunk_id, row_number() OVER (PARTITION BY s.query_id, o.file_stem ORDER BY round(score, 9) DESC, s.chunk_id) AS rank FROM scored s JOIN chunks c USING (chunk_id) JOIN own o ON o.query_id = s.query_id AND o.doc_id = c.doc_id WHERE score > 0) WHERE rank <= {POOL}),
+sdn AS (SELECT * FROM (SELECT query_id, file_stem, chunk_id, row_number() OVER (PARTITION BY query_id, file_stem ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qv.query_id, o.file_stem, chunk_id, round(list_cosine_similarity(qv.e, vec.e), 9) AS score FROM qv JOIN own o ON o.query_id = qv.query_id JOIN vec ON vec.doc_id = o.doc_id)) WHERE rank <= {POOL}),
+sboth AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.file_stem, b.file_stem) AS file_stem, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS d, b.rank AS b FROM sdn d FULL JOIN sbm b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id),
+sfused AS (SELECT query_id, file_stem, chunk_id, round(s, 12) AS s, row_number() OVER (PARTITION BY query_id, file_stem ORDER BY round(s, 12) DESC, d NULLS LAST, b NULLS LAST) AS rank FROM (SELECT *, coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + b), 0) AS s FROM sboth))
+SELECT query_id, file_stem, chunk_id, rank FROM sfused WHERE rank <= 4""")
+def r14_funnel_per_file(spark, sf_dir):
+    """Each query against each of the documents that it names."""
+    rows = scope.per_file(questions(spark, sf_dir), index(spark, sf_dir), asked(spark, sf_dir), vectors(spark, sf_dir), within(spark, sf_dir, 200), POOL, 64)
+    return rows.filter(F.col("rank") <= 4).select("query_id", "file_stem", "chunk_id", "rank")
 
 
 @query(f"""WITH {FUSED}, r AS (SELECT query_id, lang AS file_stem, f.chunk_id, rank FROM placed f JOIN chunks USING (chunk_id) JOIN documents d ON d.doc_id = chunks.doc_id),
@@ -184,13 +236,15 @@ def r17_confidence_cut(spark, sf_dir):
     return fusion.confident(bm25(spark, sf_dir), 5.0, 0.4).select("query_id", "chunk_id", "rank")
 
 
-@query(f"""WITH {CHUNKS}, l AS (SELECT doc_id, list(length(text) ORDER BY line) AS x FROM chunks WHERE line < 3 GROUP BY 1)
-SELECT doc_id, b1, b2, CASE WHEN len(x) > 2 THEN greatest(0, least(x[3], 400, 600 - b1 - coalesce(b2, 0))) END AS b3 FROM (SELECT *, CASE WHEN len(x) > 1 THEN greatest(0, least(x[2], 400, 600 - b1 - CASE WHEN len(x) > 2 THEN least(x[3], 150) ELSE 0 END)) END AS b2
-  FROM (SELECT *, greatest(0, least(x[1], 400, 600 - CASE WHEN len(x) > 1 THEN least(x[2], 150) ELSE 0 END - CASE WHEN len(x) > 2 THEN least(x[3], 150) ELSE 0 END)) AS b1 FROM l))""")
+@query(f"""WITH RECURSIVE {BM25}, l AS (SELECT query_id, rank, length(text) AS n, sum(least(length(text), 150)) OVER (PARTITION BY query_id ORDER BY rank DESC) - least(length(text), 150) AS later FROM bm JOIN chunks USING (chunk_id)),
+f AS (SELECT query_id, rank, greatest(0, least(n, 400, 4000 - later)) AS budget, greatest(0, least(n, 400, 4000 - later)) AS used FROM l WHERE rank = 1 UNION ALL
+  SELECT l.query_id, l.rank, greatest(0, least(n, 400, 4000 - later - used)), used + greatest(0, least(n, 400, 4000 - later - used)) FROM f JOIN l ON l.query_id = f.query_id AND l.rank = f.rank + 1)
+SELECT query_id, rank, budget::BIGINT AS budget FROM f""")
 def r18_budgets(spark, sf_dir):
-    rows = chunks(spark, sf_dir).filter("line < 3").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", F.length("text").alias("n")))), lambda x: x["n"]).alias("x"))
-    b = fusion.budgets(F.col("x"), 600, 150, 400)
-    return rows.select("doc_id", *(F.get(b, F.lit(i)).cast("bigint").alias(f"b{i + 1}") for i in range(3)))
+    """Characters for each of a query's hits, in rank order."""
+    hits = with_place(spark, sf_dir, bm25(spark, sf_dir)).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.length("text").alias("n")))), lambda x: x["n"]).alias("x"))
+    rows = hits.select("query_id", F.posexplode(fusion.budgets(F.col("x"), 4000, 150, 400)).alias("at", "budget"))
+    return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("budget").cast("bigint").alias("budget"))
 
 
 @query(f"""WITH {CHUNKS}, tok AS (SELECT doc_id % 7 AS scope, chunk_id, {_TOK.format("text")} AS t FROM chunks),
@@ -204,7 +258,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_nu
 def r22_scoped_statistics(spark, sf_dir):
     rows = chunks(spark, sf_dir).select((F.col("doc_id") % 7).alias("scope"), "chunk_id", F.col("text").alias("indexed"))
     q = questions(spark, sf_dir).withColumn("scope", F.col("query_id") % 7)
-    return lexical.top(lexical.scores(q, lexical.build(rows, "scope"), "scope"), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.top(lexical.scores(q, lexical.build(rows, "scope")), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 RANKS = f"{GOLD}, ranks AS (SELECT item_id AS query_id, min(h.rank) AS rank FROM benchmark LEFT JOIN (SELECT f.query_id, f.rank FROM {{hits}} f JOIN gold g ON f.query_id = g.query_id AND f.file_stem = g.file_stem) h ON h.query_id = item_id GROUP BY 1)"

@@ -119,16 +119,17 @@ def n12_foreign_script(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.strip_cjk(raw).alias("x")).select("c_custkey", "x.text", "x.needs_regen", "x.fixed", "x.empty")
 
 
-@query("""WITH lex AS (SELECT p_partkey AS ord, strip_accents(lower(p_name)) AS trig, p_type AS extra FROM part WHERE p_partkey < 200),
-q AS (SELECT o_orderkey, p_name || ' for ' || o_orderpriority AS query FROM orders JOIN part ON o_orderkey % 500 = p_partkey)
-SELECT o_orderkey, query || coalesce(' ' || string_agg(extra, ' ' ORDER BY ord), '') AS expanded FROM q LEFT JOIN lex ON contains(strip_accents(lower(query)), trig) GROUP BY o_orderkey, query""")
+@query("""WITH lex AS (SELECT p_partkey AS ord, strip_accents(lower(p_name)) AS trig, p_type AS extra FROM part UNION ALL SELECT 1000000000 + p_partkey, lower(p_brand || ' ' || string_split(p_type, ' ')[1]), 'size ' || p_size FROM part),
+q AS (SELECT p_partkey, p_name || ' for ' || p_brand || ' ' || p_type AS query FROM part)
+SELECT p_partkey, query || coalesce(' ' || string_agg(extra, ' ' ORDER BY ord), '') AS expanded FROM q LEFT JOIN lex ON contains(strip_accents(lower(query)), trig) GROUP BY p_partkey, query""")
 def n13_expand_query(spark, sf_dir):
     from tessera.operators.scope import expand_queries
 
     part = table(spark, sf_dir, "part")
-    queries = table(spark, sf_dir, "orders").join(part, F.col("o_orderkey") % 500 == F.col("p_partkey")).select(F.col("o_orderkey").alias("query_id"), F.concat_ws(" for ", "p_name", "o_orderpriority").alias("query"))
-    lexicon = part.filter("p_partkey < 200").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("trigger"), F.col("p_type").alias("extra"))
-    return expand_queries(queries, lexicon).select(F.col("query_id").alias("o_orderkey"), "expanded")
+    queries = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.col("p_name"), F.lit(" for "), F.col("p_brand"), F.lit(" "), F.col("p_type")).alias("query"))
+    own = part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("trigger"), F.col("p_type").alias("extra"))
+    kind = part.select((1000000000 + F.col("p_partkey")).alias("ord"), F.concat_ws(" ", "p_brand", F.substring_index("p_type", " ", 1)).alias("trigger"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("extra"))
+    return expand_queries(queries, own.unionAll(kind)).select(F.col("query_id").alias("p_partkey"), "expanded")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'Không tìm thấy thông tin' ELSE text END AS text FROM conversations""")

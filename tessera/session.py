@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -38,6 +38,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which ``sized`` has a table broadcast.
+MOST_BROADCAST = 100_000
+
+
+def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, settled, with a broadcast hint if it has at most ``most`` rows (narrow ones: some MB); larger ones are joined by shuffles."""
+    out = settle(df)
+    return F.broadcast(out) if out.count() <= most else out
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that tasks can import it anywhere."""
     sc = spark.sparkContext

@@ -1,12 +1,14 @@
 """Single operators on rows made by hand, with the edge cases their semantics name."""
 
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answers, chunking, dense, evidence, fusion, ledger, lexical, metrics, records, scope, tables
+from tessera.operators import answers, chunking, dense, evidence, fusion, ledger, lexical, matching, metrics, records, scope, tables
 from tessera.streaming import jobs
 
 
@@ -124,11 +126,57 @@ def test_header_title_stops(spark):
 def test_formula_expressions_are_whitelisted(spark):
     row = spark.createDataFrame([(3.0, 4.0)], "a double, b double").select(records.expression("a ** 2 + sqrt(b) * 3", ["a", "b"]).alias("r")).first()
     assert row.r == 15.0
-    for bad in ("c + 1", "__import__('os')", "a; drop", "exec(a)"):
+    for bad in ("c + 1", "__import__('os')", "a; drop", "exec(a)", "", "a +", "(a", "a b", "sqrt(a, b)", "max(a)", "a ** ", "1e", "sqrt a", "a)"):
         with pytest.raises(ValueError):
             records.expression(bad, ["a", "b"])
 
 
+@pytest.mark.parametrize("text", ["sqrt(b) ** 2", "a ** b ** 0.5", "(a + (b)) ** 2", "-a ** 2", "a ** -2", "1e-3 * a", "2.5E+2 - .5", "max(a, b, 7) / min(a, b)", "pow(a, 2) - abs(-b) * 3", "a - b - 1", "a / b / 2", "2 ** 3 ** 2", "+a - -b"])
+def test_formulas_bind_as_in_python(spark, text):
+    got = spark.createDataFrame([(3.0, 4.0)], "a double, b double").select(records.expression(text, ["a", "b"]).alias("r")).first().r
+    assert math.isclose(got, eval(text, {"a": 3.0, "b": 4.0, "sqrt": math.sqrt, "max": max, "min": min, "pow": pow, "abs": abs}))
+
+
+def test_division_by_zero_is_null(spark):
+    assert spark.createDataFrame([(3.0, 0.0)], "a double, b double").select(records.expression("a / b", ["a", "b"]).alias("r")).first().r is None
+
+
+def test_latency_equals_sorting(spark):
+    rng = random.Random(4)
+    rows = [("a", float(rng.randrange(50))) for _ in range(997)] + [("b", rng.random()) for _ in range(20)] + [("c", 7.0), ("d", None), (None, 1.0), (None, 2.0)]
+    got = {r.k: r for r in answers.latency(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for k in ("a", "b", "c", None):
+        v = sorted(x for y, x in rows if y == k)
+        assert got[k].p95 == v[min(len(v) - 1, int(0.95 * len(v)))] and math.isclose(got[k].p50, statistics.median(v)) and got[k].largest == v[-1] and math.isclose(got[k].mean, sum(v) / len(v))
+    assert got["d"].p95 is None and got["d"].p50 is None
+
+
+def test_containing_equals_comparing_all(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    texts = [(i, word(rng.randrange(0, 40))) for i in range(60)] + [(99, None)]
+    needles = [(i, word(rng.randrange(0, 14))) for i in range(60)] + [(98, None), (97, texts[0][1]), (96, texts[1][1][3:20])]
+    got = matching.containing(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(needles, "n long, s string"), "t", "s")
+    assert sorted((r.id, r.n) for r in got.collect()) == sorted((i, n) for i, t in texts for n, s in needles if s and t is not None and s in t)
+
+
+def test_holders_equals_comparing_all(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice(["ab", "cd", "é", "f", ""]) for _ in range(n))
+    docs = [(f"d{i}", words(60) + "\n" + words(30)) for i in range(40)] + [("null", None)]
+    queries = [(i, docs[i][1][i : i + 4 + 3 * i]) for i in range(30)] + [(50, "ab"), (51, "b c"), (52, "nowhere at all in any of these"), (53, None)]
+    got = matching.holders(spark.createDataFrame(docs, "file_stem string, text string"), spark.createDataFrame(queries, "query_id long, query string"))
+    assert sorted((r.query_id, r.file_stem) for r in got.collect()) == sorted((i, d) for i, q in queries for d, t in docs if q is not None and t is not None and q in t)
+
+
+def test_cards_with_long_aliases(spark):
+    long_ = "a b c d e f g h i"
+    cards = spark.createDataFrame([("long", long_), ("part", "c d"), ("one", "z"), ("none", "")], "card string, alias string")
+    q = spark.createDataFrame([(1, f"x {long_} y"), (2, "c d"), (3, "z and c d"), (4, ""), (5, None)], "query_id long, query string")
+    assert {r.query_id: r.card for r in evidence.select_cards(q, cards).collect()} == {1: "long", 2: "part", 3: None, 4: None, 5: None}
+
+
 def test_range_lookup_needs_one_cell(spark):
     cells = spark.createDataFrame([(1, "c", 0, 5, False, "low"), (1, "c", 5, 9, False, "mid"), (1, "c", 9, 0, True, "open")], "table_id int, class string, low int, high int, open boolean, cell string")
     q = spark.createDataFrame([(1, 1, "c", 3.0), (2, 1, "c", 5.0), (3, 1, "c", 9.0), (4, 1, "c", 99.0), (5, 2, "c", 1.0)], "query_id long, table_id int, class string, value double")

@@ -41,6 +41,13 @@ NOTICES = {
 #: Label of an expression's operands that are no identifiers, next to the known ones.
 UNKNOWN = "unknown"
 
+# First parts of identifiers whose licences ask for the same terms again, and of those that forbid some uses.
+COPYLEFT = ("agpl-", "cc-by-sa-", "cddl-", "cecill-1", "cecill-2", "cpl-", "epl-", "eupl-", "gfdl-", "gpl-", "lgpl-", "mpl-", "ms-rl", "osl-", "qpl-", "sleepycat")
+RESTRICTED = ("aladdin", "busl-", "cc-by-nc-", "cc-by-nd-", "elastic-", "licenseref-", "polyform-", "sspl-")
+
+#: What an expression comes to, from the freest: the terms of its best alternative, whose worst term decides.
+OUTCOMES = ("permissive", "copyleft", "restricted", "unclear")
+
 TAG = "spdx license identifier"
 
 #: What one kind of evidence adds to the score: the score is 1 minus the product of (1 - weight) over distinct evidence.
@@ -140,6 +147,28 @@ def evaluate(rpn: list[str] | None) -> tuple[set[str], list[frozenset[str]]] | N
     return named, stack[0]
 
 
+def outcome(rpn: list[str]) -> tuple[int, tuple[str, ...]]:
+    """The place in ``OUTCOMES`` of an expression that ``identifiers`` can read, and the terms of its best alternative.
+
+    ``or`` takes the better side (the freer, then the one of fewer terms, then the first in order), ``and`` both sides' terms, of which the least free decides; an
+    exception stays with its licence. Each operator is looked at once, however many alternatives there are.
+    """
+    stack: list[tuple[int, int, tuple[str, ...]]] = []
+    for t in rpn:
+        if t not in _RANK:
+            known = t in LICENCES or t.removesuffix("+") in LICENCES or t in EXCEPTIONS or t.startswith("licenseref-")
+            rank = 3 if not known else 2 if t.startswith(RESTRICTED) else 1 if t.startswith(COPYLEFT) else 0
+            stack.append((rank, 1, (t,)))
+            continue
+        b, a = stack.pop(), stack.pop()
+        if t == "or":
+            stack.append(min(a, b))
+            continue
+        terms = (f"{a[2][0]} with {b[2][0]}",) if t == "with" else tuple(sorted({*a[2], *b[2]}))
+        stack.append((max(a[0], b[0]), len(terms), terms))
+    return stack[0][0], stack[0][2]
+
+
 class Scanner:
     """One automaton for all phrases; one per worker process."""
 
@@ -158,13 +187,14 @@ class Scanner:
         self.table = bytes(int(lower[b]) if word[lower[b]] else 32 for b in range(256))
 
     def scan(self, raw: bytes) -> tuple:
-        """(words, base places, first start, last start, base labels, labels, score) of one text's UTF-8 bytes."""
+        """(words, base places, first start, last start, base labels, labels, score, terms) of one text's UTF-8 bytes."""
         words = raw.translate(self.table).split()
         line = " " + b" ".join(words).decode("latin-1") + " "
         n_base, first, last = 0, None, None
         base: set[str] = set()
         more: set[str] = set()
         evidence: set[tuple[str, str]] = set()
+        chosen: set[str] = set()
         at = word = 0
         tagged = False
         for end, (size, what) in self.automaton.iter(line):
@@ -188,29 +218,35 @@ class Scanner:
                     tagged = True
         if tagged:
             for m in _TAG_LINE.finditer(raw.lower()):
-                if (got := identifiers(parse(m[1].decode("latin-1")))) is None:
+                rpn = parse(m[1].decode("latin-1"))
+                if (got := identifiers(rpn)) is None:
                     more.add("unparsed")
                     evidence.add(("broken", ""))
                 else:
-                    more |= got
-                    evidence |= {("broken", "") if x == UNKNOWN else ("tag", x) for x in got}
+                    rank, terms = outcome(rpn)
+                    more |= {*got, f"terms-{OUTCOMES[rank]}"}
+                    chosen.add(" and ".join(terms))
+                    evidence |= {("broken", "") if rank == 3 else ("tag", x) for x in terms}
         doubt = 1.0
         for kind, _ in sorted(evidence):
             doubt *= 1 - WEIGHTS[kind]
-        return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), 1 - doubt if evidence else 0.0
+        return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), 1 - doubt if evidence else 0.0, "; ".join(sorted(chosen))
 
 
 _scanner: list[Scanner] = []
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Words, phrase places, labels and a score for each row's whole text.
+    """Words, phrase places, labels, a score and licence terms for each row's whole text.
+
+    Expressions in identifier tags are evaluated: ``labels`` has all identifiers that they name and what each comes to (``terms-`` and one of ``OUTCOMES``),
+    ``terms`` the best alternative of each, and only its terms count in the score, or as broken if no alternative is clear.
 
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A null or empty text has no words, null
-    places, empty labels and score 0. Rows are independent: repeated rows repeat their result, an empty table gives none.
+    places, empty labels and terms and score 0. Rows are independent: repeated rows repeat their result, an empty table gives none.
     """
     ship(docs.sparkSession)
-    types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
+    types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "terms": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _scanner:
@@ -221,4 +257,4 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types.values(), strict=True))], names=["doc_id", *types])
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return source.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return source.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, terms string")

@@ -13,6 +13,9 @@ from tessera.session import settle, ship
 #: Lengths summed in one window; blocks of lengths are summed in a second, much shorter one.
 BLOCK = 1024
 
+#: Context limits that the query asks for besides the lengths that occur.
+LIMITS = tuple(1 << k for k in range(7, 21))
+
 
 def lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``n_tokens`` of every row; null and empty texts have 0."""
@@ -26,50 +29,39 @@ def lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "n_tokens long")
 
 
-def length_table(counted: DataFrame) -> DataFrame:
-    """From rows with ``n_tokens``: one row per length that occurs, ascending.
+def length_table(counted: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """From rows with ``n_tokens``: one row per length that occurs or that ``limits`` (``context_limit``) asks for.
 
-    n_docs of that length; docs_at_least and tokens_at_least of that length or longer (suffix sums); tokens_truncated, the
-    total when each text is cut at that length; share_at_most, the part of all documents that fit whole. An empty table
-    gives no rows.
+    n_docs of that length (0 for a limit that is no document's length); docs_at_least and tokens_at_least of that length or longer (suffix sums);
+    tokens_truncated, the total when each text is cut at that length; docs_whole and share_at_most, the documents that fit whole. Null lengths and limits are
+    passed over. An empty table gives no rows, for limits neither.
     """
-    hist = settle(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
+    found = counted.filter("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    if limits is not None:
+        asked = limits.select(F.col("context_limit").cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_docs")).filter("n_tokens IS NOT NULL")
+        found = found.unionAll(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    hist = settle(found.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     part = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
-    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row per block of lengths
     whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     part = part.select("block", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("t_after"), F.sum("d").over(whole).alias("d_all"), F.sum("t").over(whole).alias("t_all"))
     own = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
-    rows = hist.join(part, "block").withColumns(
+    rows = hist.join(part.filter("d_all > 0"), "block").withColumns(
         {
             "docs_at_least": F.col("d_after") + F.sum("n_docs").over(own),
             "tokens_at_least": F.col("t_after") + F.sum(F.col("n_docs") * F.col("n_tokens")).over(own),
         }
     )
-    longer = F.col("docs_at_least") - F.col("n_docs")
-    return rows.select(
-        "n_tokens",
-        "n_docs",
-        "docs_at_least",
-        "tokens_at_least",
-        (F.col("t_all") - F.col("tokens_at_least") + F.col("docs_at_least") * F.col("n_tokens")).alias("tokens_truncated"),
-        ((F.col("d_all") - longer) / F.col("d_all")).alias("share_at_most"),
-    )
+    fits = F.col("d_all") - (F.col("docs_at_least") - F.col("n_docs"))
+    cut = F.col("t_all") - F.col("tokens_at_least") + F.col("docs_at_least") * F.col("n_tokens")
+    return rows.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", cut.alias("tokens_truncated"), fits.alias("docs_whole"), (fits / F.col("d_all")).alias("share_at_most"))
 
 
-def at_limits(table: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each row of ``limits`` (``context_limit``, at most some thousand rows): documents that fit, documents cut, tokens kept.
-
-    Between two lengths that occur, the total cut at a limit grows by one per longer document and token: the next longer
-    length's row answers it exactly; beyond the longest, the longest row does.
-    """
-    top = table.agg(F.max("n_tokens").alias("top"), F.max(F.struct("n_tokens", "tokens_truncated"))["tokens_truncated"].alias("all_tokens"), F.max("docs_at_least").alias("all_docs"))
-    span = Window.orderBy("n_tokens")
-    reach = table.withColumn("below", F.coalesce(F.lag("n_tokens").over(span), F.lit(-1)))
-    found = limits.join(F.broadcast(reach), (F.col("context_limit") > F.col("below")) & (F.col("context_limit") <= F.col("n_tokens")), "left").join(F.broadcast(top))
-    exact = F.col("context_limit") == F.col("n_tokens")
-    cut = F.coalesce(F.when(exact, F.col("docs_at_least") - F.col("n_docs")).otherwise(F.col("docs_at_least")), F.lit(0))
-    kept = F.coalesce(F.col("tokens_truncated") - F.col("docs_at_least") * (F.col("n_tokens") - F.col("context_limit")), F.col("all_tokens"))
-    return found.select("context_limit", (F.col("all_docs") - cut).alias("docs_whole"), cut.alias("docs_cut"), kept.alias("tokens_kept"))
+def at_limits(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """For each distinct limit (``context_limit``): documents that fit, documents cut, tokens kept. The limits take part in the suffix sums as lengths without documents."""
+    asked = limits.select(F.col("context_limit").cast("long").alias("context_limit"))
+    rows = length_table(counted, limits).withColumnRenamed("n_tokens", "context_limit").join(asked, "context_limit", "left_semi")
+    return rows.select("context_limit", "docs_whole", (F.col("docs_at_least") - F.col("n_docs")).alias("docs_cut"), F.col("tokens_truncated").alias("tokens_kept"))
 
 
 def quantiles(table: DataFrame, at: list[float]) -> DataFrame:
@@ -81,5 +73,7 @@ def quantiles(table: DataFrame, at: list[float]) -> DataFrame:
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return length_table(lengths(docs, tokenizer))
+def token_counts(docs: DataFrame, tokenizer: str, limits: tuple[int, ...] = LIMITS) -> DataFrame:
+    """``length_table`` of the documents' encoded lengths and of ``limits``. A null or empty text has no tokens; an empty table gives no rows."""
+    asked = docs.sparkSession.createDataFrame([(x,) for x in limits], "context_limit long")
+    return length_table(lengths(docs, tokenizer), asked)

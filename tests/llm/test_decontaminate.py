@@ -84,6 +84,30 @@ def test_many_copies_of_heavily_edited_items(spark):
     assert {(r.doc_id, r.item_id): r.score for r in got} == {(10 * n + i, k): s for n in range(1000) for (i, k), s in seen.items()}
 
 
+def test_small_table_equals_aligning_all_pairs(spark):
+    """Every document with every item, all words, without seeds or bounds."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    code: dict = {}
+    hashed = lambda t: np.array([code.setdefault(w, len(code) + 1) for w in split(t)], np.uint64)
+    d, q = [(r.doc_id, hashed(r.text)) for r in docs.collect()], [(r.item_id, hashed(r.text)) for r in items.collect()]
+    pairs = [(i, k, x, y) for i, x in d for k, y in q if len(x) and len(y) and 2 * np.isin(y, x).sum() >= len(y)]  # fewer words in common can't score half
+    score, lo, hi = D._align_all([y for *_, y in pairs], [x for _, _, x, _ in pairs])
+    want = {(i, k): (round(s / (D.MATCH * len(y)), 9), int(a), int(b)) for (i, k, _, y), s, a, b in zip(pairs, score, lo, hi, strict=True) if s >= D.LEAST_SCORE * D.MATCH * len(y)}
+    got = {(r.doc_id, r.item_id): (round(r.score, 9), r.first_word, r.end_word) for r in D.contaminated(docs, items).collect()}
+    assert set(got) == set(want) and len(want) >= 3
+    assert all(got[p][0] == want[p][0] for p in want)
+
+
+def test_equal_alignments_give_the_first(spark):
+    """Two full copies in one text, a repeated item and a repeated document: one row for each pair, of the first copy."""
+    item = "alpha beta gamma delta epsilon zeta"
+    docs = [(1, f"x {item} y z {item.upper()} w"), (1, f"x {item} y z {item.upper()} w"), (2, "nothing here")]
+    got = D.contaminated(table(spark, docs), item_table(spark, [(5, item), (5, item), (6, item)])).collect()
+    assert sorted((r.doc_id, r.item_id, r.score, r.first_word, r.end_word) for r in got) == [(1, 5, 1.0, 1, 7), (1, 6, 1.0, 1, 7)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items, want = corpus()
     monkeypatch.setattr(D, "BLOCK_WORDS", 400)

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 import re
 import zlib
 
@@ -29,7 +30,8 @@ def test_licence_rows(spark):
     got = sorted(map(tuple, L.scan_licences(table(spark, rows)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()), key=str)
     assert got == sorted(((i, *base(t)) for i, t in rows), key=str)
     full = {r.doc_id: r for r in L.scan_licences(table(spark, list(enumerate(TEXTS)))).collect()}
-    assert full[6].labels == "apache-2.0,bsd-3-clause,mit" and full[7].labels == "classpath-exception-2.0,gpl-2.0-only"
+    assert full[6].labels == "apache-2.0,bsd-3-clause,mit,terms-permissive" and full[6].terms == "apache-2.0 and bsd-3-clause"
+    assert full[7].labels == "classpath-exception-2.0,gpl-2.0-only,terms-copyleft" and full[7].terms == "gpl-2.0-only with classpath-exception-2.0"
     assert full[8].labels == "unparsed" and full[9].labels == "apache,apache-2.0"
     assert full[0].score == full[1].score == 0 and all(0 <= r.score <= 1 for r in full.values())
     assert L.scan_licences(table(spark, [])).count() == 0
@@ -52,10 +54,28 @@ def test_evaluation():
 
 def test_expressions_with_unknown_names(spark):
     lines = ["MIT OR GFDL-1.3-only", "MIT AND BSD-4-Clause", "MIT.", "(MIT OR Own-Terms) AND ISC.", "GPL-2.0-only WITH own-exception", "Own-Terms", "MIT OR */"]
-    want = ["gfdl-1.3-only,mit", "bsd-4-clause,mit", "mit", "isc,mit,unknown", "gpl-2.0-only,unknown", "unparsed", "unparsed"]
+    want = ["gfdl-1.3-only,mit,terms-permissive", "bsd-4-clause,mit,terms-permissive", "mit,terms-permissive", "isc,mit,terms-permissive,unknown", "gpl-2.0-only,terms-unclear,unknown", "unparsed", "unparsed"]
     got = {r.doc_id: r for r in L.scan_licences(table(spark, [(i, f"# SPDX-License-Identifier: {x}\ncode") for i, x in enumerate(lines)])).collect()}
     assert [got[i].labels for i in range(len(lines))] == want
-    assert got[3].score > got[2].score == pytest.approx(0.9) and got[5].score == pytest.approx(0.2)
+    assert got[3].score > got[2].score == got[0].score == pytest.approx(0.9) and got[4].score == got[5].score == pytest.approx(0.2)
+    assert [got[i].terms for i in range(len(lines))] == ["mit", "bsd-4-clause and mit", "mit", "isc and mit", "gpl-2.0-only with own-exception", "", ""]
+
+
+def test_best_alternative_equals_trying_all():
+    """The outcome is that of the freest of all sets of terms that satisfy an expression."""
+    rng = random.Random(6)
+    names = ["mit", "isc", "gpl-2.0-only", "mpl-2.0", "cc-by-nc-4.0", "own-terms"]
+    rank = {"mit": 0, "isc": 0, "gpl-2.0-only": 1, "mpl-2.0": 1, "cc-by-nc-4.0": 2, "own-terms": 3}
+
+    def expression(n):
+        return rng.choice(names) if n < 2 else f"({expression(n // 2)} {rng.choice(['AND', 'OR'])} {expression(n - n // 2)})"
+
+    for _ in range(200):
+        rpn = L.parse(f"mit OR gpl-2.0-only AND {expression(rng.randint(1, 9))}" if rng.random() < 0.2 else expression(rng.randint(1, 9)))
+        if (got := L.evaluate(rpn)) is None:
+            continue
+        best, terms = L.outcome(rpn)
+        assert best == min(max(rank[t] for t in x) for x in got[1]) and frozenset(terms) in got[1]
 
 
 def test_all_alternatives_are_kept():
@@ -76,6 +96,38 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for i, r in got.items())
 
 
+def test_quality_equals_a_plain_discriminant(spark):
+    """Scores of the whole small table against a discriminant written out row by row."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.blocks import utf8
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    x = {r.doc_id: quality.statistics(*utf8(pa.array([r.text or ""])))[0] for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0 and r.doc_id in x}
+    sets = [np.array([x[i] for i, y in known.items() if y == k]) for k in (0, 1)]
+    means = [s.mean(0) for s in sets]
+    own = [np.cov(s.T, bias=True) for s in sets]
+    pooled = sum(len(s) * c for s, c in zip(sets, own, strict=True)) / len(known)
+    shrunk = [(1 - quality.DIAGONAL) * ((1 - quality.POOL) * c + quality.POOL * pooled) + quality.DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled)) for c in own]
+    for i, v in x.items():
+        log = [math.log((len(s) + 1) / (len(known) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (v - m) @ np.linalg.solve(c, v - m) for s, c, m in zip(sets, shrunk, means, strict=True)]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(min(700, log[0] - log[1]))), abs=1e-6)
+
+
+def test_quality_with_repeated_labels(spark):
+    docs = table(spark, awkward())
+    one = [(i, i % 2, 0) for i, _ in awkward() if i is not None]
+    twice = spark.createDataFrame(one + [(i, 0, 0) for i, *_ in one], "doc_id long, quality int, toxic int")
+    scores = lambda labels: sorted((str(r.doc_id), round(r.score, 9)) for r in quality.classify(docs, labels).collect())
+    assert scores(twice) == scores(spark.createDataFrame(one, "doc_id long, quality int, toxic int"))
+
+
 def test_quality_edges(spark):
     rows = awkward()
     labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows if i is not None] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
@@ -151,6 +203,22 @@ def test_shards_are_near_equal(spark):
     assert [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))] == list(range(3000))
 
 
+def test_overfull_ranges_are_cut_until_none_is_left(spark, monkeypatch):
+    """A first draw that misses half of the bytes is mended by as many rounds as it takes."""
+    rows = [(k, "x" * (1 if k < 900 else 400)) for k in range(1000)]
+    first = []
+    draw = sharding._draw
+    monkeypatch.setattr(sharding, "_draw", lambda rows, *a: first.append(1) or ([(k, 0) for k in range(0, 800, 3)] if len(first) == 1 else draw(rows, *a)[: 1 if len(first) < 6 else None]))
+    got = shard_rows(spark, rows, 8)
+    assert len(first) > 5 and {r.shard for r in got} == set(range(8))
+
+
+def test_cuts_are_quantiles_of_each_range():
+    bounds = [(10, 0), (20, 0), (30, 0)]
+    drawn = [(k, 5) for k in (11, 12, 13, 31, 32, 33, 34)]
+    assert sharding._cuts(drawn, bounds, {1: 1, 2: 2, 3: 3}) == [(12, 5), (32, 5), (33, 5), (34, 5)]
+
+
 def test_shards_with_a_hot_key(spark):
     shard_rows(spark, [(7, "same")] * 2000 + [(None, None)] * 500 + [(k, "y" * (k % 9)) for k in range(500)], 10)
     assert sharding.shard(table(spark, [])).count() == 0

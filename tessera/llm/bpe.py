@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.tokenize import TextEncoder, byte_letters
+from tessera.llm.tokenize import TextEncoder, byte_letters, has_short_way
 from tessera.session import ship
 
 #: Pair tests that a worker remembers; at the limit it starts anew.
@@ -28,7 +28,11 @@ _END = 0x4000
 
 
 class PrefixBpe:
-    """Encoder and decoder of a tokenizer file with a BPE model, a word-end suffix and byte-level letters."""
+    """Encoder and decoder of a tokenizer file with a BPE model over byte-level letters, with or without a word-end suffix.
+
+    Files whose model asks for more (unknown or fallback tokens, drop-out, word-inner prefixes, merges that are passed over), or whose special tokens
+    do more than stand for themselves, are refused.
+    """
 
     def __init__(self, path: str):
         import ahocorasick
@@ -37,6 +41,10 @@ class PrefixBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        asked = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        asked += [x["content"] for x in spec["added_tokens"] if x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]]
+        if model["type"] != "BPE" or asked or spec["post_processor"]:
+            raise ValueError(f"not a plain BPE tokenizer: {asked or model['type']}")
         suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.names = {i: s for s, i in self.vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
@@ -61,8 +69,10 @@ class PrefixBpe:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        self.end = _END if suffix else 0
+        self.joined = spec["decoder"] is None
         self.library = Tokenizer.from_file(path)
-        self.text_ids = TextEncoder(self.piece, self.slow)
+        self.text_ids = TextEncoder(self.piece, self.slow, has_short_way(spec))
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merging by rank, the lowest rank and then the leftmost pair first."""
@@ -93,7 +103,7 @@ class PrefixBpe:
         n = len(s)
         last, back = [-1] * n, [-1] * n
         pairs = self.pairs
-        for end, (token, size) in self.automaton.iter(s[:-1] + chr(ord(s[-1]) + _END)):
+        for end, (token, size) in self.automaton.iter(s[:-1] + chr(ord(s[-1]) + self.end)):
             if last[end] < 0:
                 before = end - size
                 if before < 0:
@@ -118,7 +128,8 @@ class PrefixBpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                plain = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(plain):
                     out += self.piece(piece)
         return out
 
@@ -126,8 +137,10 @@ class PrefixBpe:
         return np.frombuffer(self.text_ids(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        """The file names no decoder, so tokens are joined by one space, as the library joins them then."""
-        return " ".join(map(self.names.__getitem__, ids.tolist()))
+        """Where the file names no decoder, tokens are joined by one space, as the library joins them then; else by the file's own."""
+        if self.joined:
+            return " ".join(map(self.names.__getitem__, ids.tolist()))
+        return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
 _known: dict[str, PrefixBpe] = {}
@@ -161,7 +174,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, number of ids, SHA-256 of the ids and of the text decoded from them, for each row; ids are made, digested and dropped batch by batch."""
+    """Key, number of ids, SHA-256 of the ids and of the text decoded from them, for each row; ids are made, digested and dropped batch by batch.
+
+    A null or empty text has no ids and decodes to the empty text. Rows are independent: null keys, repeated rows and very long texts give a row each, an
+    empty table none; other columns are not looked at.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.tokenize import library_encoder
+from tessera.llm.tokenize import WIDE_MEMO, library_encoder
 from tessera.session import settle, ship
 
 #: Lengths summed in one window; blocks of lengths are summed in a second, much shorter one.
@@ -22,7 +22,7 @@ def lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer)
+        encode = library_encoder(tokenizer, WIDE_MEMO)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(x.as_py())) // 4 for x in b.column(0)], pa.int64())], names=["n_tokens"])
 

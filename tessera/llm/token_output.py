@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.files import new_folder, opened, task_number, written
-from tessera.llm.tokenize import library_encoder
+from tessera.llm.tokenize import WIDE_MEMO, library_encoder
 from tessera.session import settle, ship
 
 FRAME_IDS = 1 << 18
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, key: str = "
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = library_encoder(tokenizer), task_number()
+        encode, number = library_encoder(tokenizer, WIDE_MEMO), task_number()
         end = struct.pack("<I", end_id)
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
@@ -197,5 +197,9 @@ def read_documents(path: str, wanted: set[int]) -> dict[int, np.ndarray]:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write the files in a new shared folder and read them back."""
+    """Write the files in a new shared folder and read them back.
+
+    A null key comes first, a null or empty text has the end id alone, repeated rows and very long texts are all written whole; an empty table writes no file and
+    gives no rows. Other columns are not looked at.
+    """
     return read_token_files(write_token_files(docs, tokenizer, new_folder(docs.sparkSession, "token-files"), end_id=end_id))

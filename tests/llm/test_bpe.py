@@ -29,6 +29,34 @@ def test_ids_and_decoding_equal_the_library(library, text):
     assert own.decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="aAbeéÉ sß\n  \t12½<|>!'LL", max_size=40) | st.sampled_from(["<|endoftext|>", "x<|endoftext|> y", "Hello  World's 12", " lead", "a\r\n\r\nb"]))
+def test_every_tokenizer_file(name, text):
+    """Files that normalise, split and decode in other ways take the library's own way for these, never the short one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    ids = library.encode(text, add_special_tokens=False).ids
+    own = bpe.tokenizer(path)
+    assert np.frombuffer(library_encoder(path)(text), "<u4").tolist() == ids
+    assert own.encode(text).tolist() == ids
+    assert own.decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_unknown_models_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(WORD_BPE, encoding="utf-8"))
+    for change in ({"byte_fallback": True}, {"unk_token": "a</w>"}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(spec | {"model": spec["model"] | change}))
+        with pytest.raises(ValueError):
+            bpe.PrefixBpe(str(path))
+
+
 def test_long_pieces_and_memo_limits(library, monkeypatch):
     from tessera.llm import tokenize
 
@@ -104,15 +132,18 @@ def test_length_table(spark, library):
     rows = awkward()
     n = [len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
     got = {r.n_tokens: r for r in token_counts.token_counts(table(spark, rows), WORD_BPE).collect()}
-    assert set(got) == set(n)
+    assert set(got) == set(n) | set(token_counts.LIMITS)
     for k, r in got.items():
         assert r.n_docs == n.count(k)
         assert r.docs_at_least == sum(x >= k for x in n) and r.tokens_at_least == sum(x for x in n if x >= k)
         assert r.tokens_truncated == sum(min(x, k) for x in n)
-        assert abs(r.share_at_most - sum(x <= k for x in n) / len(n)) < 1e-12
-    full = spark.createDataFrame([tuple(r) for r in got.values()], "n_tokens long, n_docs long, docs_at_least long, tokens_at_least long, tokens_truncated long, share_at_most double")
-    limits = [0, 1, 2, 50, 77, 10_000, 10**7]
-    for r in token_counts.at_limits(full, spark.createDataFrame([(x,) for x in limits], "context_limit long")).collect():
+        assert r.docs_whole == sum(x <= k for x in n) and abs(r.share_at_most - r.docs_whole / len(n)) < 1e-12
+    full = token_counts.token_counts(table(spark, rows), WORD_BPE)
+    limits = [0, 1, 2, 50, 77, 77, 10_000, 10**7]
+    counted = spark.createDataFrame([(x,) for x in n] + [(None,)], "n_tokens long")
+    cut = token_counts.at_limits(counted, spark.createDataFrame([(x,) for x in [*limits, None]], "context_limit int")).collect()
+    assert len(cut) == len(set(limits))
+    for r in cut:
         m = r.context_limit
         assert (r.docs_whole, r.docs_cut, r.tokens_kept) == (sum(x <= m for x in n), sum(x > m for x in n), sum(min(x, m) for x in n))
     for r in token_counts.quantiles(full, [0.1, 0.5, 1.0]).collect():

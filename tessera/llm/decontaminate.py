@@ -261,12 +261,19 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of every contaminated document, with the alignment's score (1: a full copy) and its words [first_word, end_word)."""
+    """(doc_id, item_id) of every contaminated document, with the alignment's score (1: a full copy) and its words [first_word, end_word).
+
+    Of equal alignments the first counts; rows that share a doc_id are one document, a null doc_id is one too. Null, empty and wordless texts and items match nothing, an
+    empty table on either side gives no rows; other columns are not looked at.
+    """
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("best")
     return matches(docs, items).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.first_word", "best.end_word")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text matches no item. Rows with a null doc_id are judged by their own text."""
+    """The rows of ``docs``, all columns as they are, whose text matches no item.
+
+    Each row is judged by its own text, whatever doc_id it has or shares; null and empty texts stay, repeated rows stay or go together. Without items all rows stay.
+    """
     bad = matches(docs, items).select(F.col("doc_id").alias("bad_doc_id"), F.col("text_key").alias("bad_text_key")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_doc_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["bad_text_key"]), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.files import new_folder, streamed, task_number, written
-from tessera.session import settle, ship
+from tessera.session import settle, ship, sized
 
 CHUNK = 1 << 16
 
@@ -39,12 +39,14 @@ def page_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     Of equal payloads of at least ``LEAST_SHARED`` bytes the one with the largest key is stored. A null page is an empty payload. A null key
     is never the largest, and where all keys are null each row is stored; rows that share the largest key are all stored.
+
+    Who is stored is settled on digests alone. Payloads are moved only where so many differ that occur twice or more that their digests can't be sent to all tasks.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload"), "same": F.sha2("payload", 256)})
+    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload"), "same": F.unhex(F.sha2("payload", 256))})
     winner = rows.filter(F.col("payload_bytes") >= LEAST_SHARED).groupBy("same").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").drop("n")
     other = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    return rows.join(winner, "same", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(other, F.col("winner")).alias("refers_to"))
+    return rows.join(sized(winner), "same", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(other, F.col("winner")).alias("refers_to"))
 
 
 def to_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -30,9 +30,13 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: What ends a lexical token. Fixed value.
+TOKEN_ENDS = "[\\s,;!()\\[\\]{}<>\"'\\\\|]+"
+
+
 def tokens(text: Column) -> Column:
     """Lexical tokens: lower case, split at white space and the marks that never belong to a code or unit."""
-    return F.filter(F.split(F.lower(text), "[\\s,;!()\\[\\]{}<>\"'\\\\|]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), TOKEN_ENDS), lambda t: t != "")
 
 
 def word_runs(text: Column, lengths: Column) -> Column:
@@ -113,7 +117,13 @@ NUMBER = r"\d+(?:[.,]\d+)?"
 def numbers_in(text: Column) -> Column:
     """All numbers of a text, in order; digit groups joined first."""
     prepared = F.regexp_replace(collapse(text), r"(?<=\d) (?=\d{3}(?!\d))", "")
-    return F.filter(F.transform(F.regexp_extract_all(prepared, F.lit(f"({NUMBER})"), 1), parse_number), lambda x: x.isNotNull())
+    return F.transform(F.regexp_extract_all(prepared, F.lit(f"({NUMBER})"), 1), _plain_number)
+
+
+def _plain_number(body: Column) -> Column:
+    """``parse_number`` of what NUMBER matches, which has neither sign nor power and one mark at most."""
+    grouped = body.contains(".") & body.rlike(r"^[1-9]\d{0,2}\.\d{3}$")
+    return F.when(grouped, F.replace(body, F.lit("."), F.lit(""))).otherwise(F.replace(body, F.lit(","), F.lit("."))).cast("double")
 
 
 def parse_quantity(text: Column) -> Column:
@@ -160,7 +170,7 @@ def sub_sup(text: Column) -> Column:
     return F.struct(t.alias("text"), n.alias("n"))
 
 
-#: Ideographs, kana and hangul.
+#: Ideographs, kana and hangul. Fixed value.
 CJK = "[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af\\uf900-\\ufaff]"
 
 
@@ -180,7 +190,7 @@ def strip_cjk(text: Column, least: int = 6, share: float = 0.4) -> Column:
     return F.struct(kept.alias("text"), ((n > 0) & ~is_tail).alias("needs_regen"), (n > 0).alias("fixed"), (F.trim(kept) == "").alias("empty"))
 
 
-#: The sentence that ends an answer without findings.
+#: The sentence that ends an answer without findings. Fixed value.
 REFUSAL = "không tìm thấy thông tin"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.text import fold
 from tessera.operators.matching import containing
 
 EXTENSIONS = (".docx", ".pdf", ".md", ".xlsx")
@@ -63,6 +64,7 @@ def classify(name: Column, text: Column) -> Column:
     )
 
 
+# A procedure's code with its year, and the lines that end its title.
 _CODE = r"(?i)QTK[ĐDđ]\s*([0-9]+(?:\.[0-9]+)?)\s*[:\-]?\s*(\d{4})"
 _STOP = r"(?iU)^(QUY TRÌNH KIỂM ĐỊNH|HÀ NỘI|HỒ CHÍ MINH)\b"
 
@@ -184,3 +186,48 @@ def replacements(docs: DataFrame, most: int = 12_000) -> DataFrame:
     codes = F.array_distinct(F.regexp_extract_all("p", F.lit(r"(?<!\d)(\d\.\d{3})(?!\d)"), 1))
     rows = paragraphs.filter(F.lower("p").rlike("thay thế|thay the")).select("doc", codes.alias("c")).filter("size(c) >= 2")
     return rows.select("doc", F.get("c", F.lit(0)).alias("new"), F.explode(F.slice("c", F.lit(2), F.size("c"))).alias("old")).distinct()
+
+
+_CODES = r"(?<!\d)(\d\.\d{3})(?!\d)"
+_APPENDIX = r"\bphu luc\s+([a-z])\b"
+
+
+def asks_appendix(query: Column) -> Column:
+    """The letter of the one appendix whose topic a query asks for, or null: it names a code and one appendix, and asks what it is about, not for values in it."""
+    q = fold(query)
+    letters = F.array_distinct(F.regexp_extract_all(q, F.lit(_APPENDIX), 1))
+    topic = q.rlike("noi dung gi|noi dung chinh|la gi|ve gi") & ~q.rlike("cong thuc|he so|dieu kien|tinh toan") & ~q.rlike(r"phu luc\s+[a-z]\s*(?:va|,|/)\s*[a-z]\b")
+    return F.when(q.rlike(_CODES) & (F.size(letters) == 1) & topic, F.get(letters, F.lit(0)))
+
+
+def _topic_lines(lines: Column, letter: Column) -> Column:
+    """(heading, following): the first heading line of an appendix and the lines of its title; marks of its kind in parentheses come along, blank lines before it don't count."""
+    heads = F.transform(lines, lambda x: x.startswith("#") & (F.regexp_replace(fold(x), r"^#+\s*", "") == F.concat(F.lit("phu luc "), letter)))
+    at = F.array_position(heads, True).cast("int")
+
+    def step(state: Column, line: Column) -> Column:
+        x = F.trim(line)
+        kind = fold(F.regexp_replace(x, "^[# ]+", "")).isin("(quy dinh)", "(tham khao)")
+        over = (x.startswith("#") & fold(x).rlike(_APPENDIX)) | (~kind & (x.contains("|") | x.contains("$") | x.rlike(r"^[A-Z]\.\d")))
+        more = F.struct((state["begun"] | ~kind).alias("begun"), F.lit(False).alias("over"), F.concat(state["lines"], F.array(x)).alias("lines"))
+        stop = F.struct(state["begun"].alias("begun"), F.lit(True).alias("over"), state["lines"].alias("lines"))
+        return F.when(state["over"], state).when(x == "", F.when(state["begun"], stop).otherwise(state)).when(over, stop).otherwise(more)
+
+    start = F.struct(F.lit(False).alias("begun"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("lines"))
+    found = F.aggregate(F.slice(lines, at + 1, F.size(lines)), start, step)
+    return F.when(at > 0, F.struct(F.element_at(lines, F.greatest(at, F.lit(1))).alias("heading"), found["begun"].alias("begun"), found["lines"].alias("following")))
+
+
+def appendix_topics(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, file_stem, section, text): what an appendix that a query asks for is about, in every document whose stem has a code that the query names.
+
+    Only for queries all of whose codes stand in the stems or texts that were found. Rows (query_id, query), (file_stem, text); a document is looked through for each query that names it.
+    """
+    q = queries.select("query_id", asks_appendix(F.col("query")).alias("letter"), F.array_distinct(F.regexp_extract_all(fold(F.col("query")), F.lit(_CODES), 1)).alias("codes")).filter("letter IS NOT NULL")
+    named = docs.select("file_stem", F.explode(F.array_distinct(F.regexp_extract_all("file_stem", F.lit(_CODES), 1))).alias("code"))
+    pairs = q.select("query_id", "letter", F.explode("codes").alias("code")).join(named, "code").select("query_id", "letter", "file_stem").distinct()
+    hits = pairs.join(docs, "file_stem").select("query_id", "file_stem", _topic_lines(F.split("text", r"\r?\n"), F.col("letter")).alias("x")).filter("x.begun")
+    rows = hits.select("query_id", "file_stem", F.trim(F.regexp_replace("x.heading", "^[# ]+", "")).alias("section"), F.concat_ws("\n\n", "x.heading", "x.following").alias("text"))
+    covered = rows.select("query_id", F.explode(F.regexp_extract_all(F.concat_ws(" ", "file_stem", "text"), F.lit(_CODES), 1)).alias("code")).distinct()
+    lacking = q.select("query_id", F.explode("codes").alias("code")).join(covered, ["query_id", "code"], "left_anti").select("query_id").distinct()
+    return rows.join(lacking, "query_id", "left_anti")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import answers as A
 from tessera.operators import evidence as E
+from tessera.operators import passages as P
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import BM25, bm25, with_place
-from tessera.session import table
+from tessera.session import settle, table
 
 _HITS = f"{BM25}, hits AS (SELECT bm.*, file_stem, text FROM bm JOIN chunks USING (chunk_id))"
 
@@ -72,7 +73,12 @@ def m10_interleave(spark, sf_dir):
     return E.interleave(c, 2, 4).select("query_id", "n", "place")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_HITS}, fit AS (SELECT query_id, file_stem, round(score, 6) AS score, text FROM hits QUALIFY round(score, 6) >= greatest(3.0::DOUBLE, 0.3::DOUBLE * max(round(score, 6)) OVER (PARTITION BY query_id))),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_stem ORDER BY score DESC, text) AS k FROM fit),
+f AS (SELECT query_id, file_stem, 1 AS k, [text] AS picked FROM c WHERE k = 1 UNION ALL
+  SELECT c.query_id, c.file_stem, f.k + 1, CASE WHEN len(picked) >= 3 OR len(list_filter(picked, lambda p: contains(p, c.text))) > 0 THEN picked ELSE list_append(picked, c.text) END FROM f JOIN c ON c.query_id = f.query_id AND c.file_stem = f.file_stem AND c.k = f.k + 1),
+last AS (SELECT query_id, file_stem, arg_max(picked, k) AS picked FROM f GROUP BY 1, 2)
+SELECT query_id, file_stem, CAST(generate_subscripts(picked, 1) - 1 AS INTEGER) AS place, md5(unnest(picked)) AS text FROM last""")
 def m11_pick_quotes(spark, sf_dir):
     return E.pick_quotes(hits(spark, sf_dir).select("query_id", "file_stem", F.round("score", 6).alias("score"), "text"), 3.0, 0.3, 3).select("query_id", "file_stem", "place", F.md5("text").alias("text"))
 
@@ -218,3 +224,29 @@ def e18_gold_consistency(spark, sf_dir):
     fact = lambda n, kind, text: F.struct(F.lit(n).alias("fact_no"), F.lit(kind).alias("kind"), F.lit(text).alias("text"), F.array(F.lit("bí danh")).alias("aliases"))
     facts = q.select("question_id", F.inline(F.array(fact(1, "formula", r"$\Delta P$"), fact(2, "term", "Chu kỳ"))))
     return A.inconsistent_gold(facts, q.select("question_id", F.concat(F.lit(r"Là $\Delta  P$, "), F.when(k % 4 == 0, "").when(k % 4 == 1, "BÍ danh").otherwise("chu  kỳ 12 tháng")).alias("answer")))
+
+
+def _sections(spark, sf_dir):
+    """Sections of the documents spelled out as Markdown, with a definition list after every formula."""
+    from tessera.operators import chunking as C
+    from tessera.plans.chunk_queries import markdown
+
+    text = C.parent_text(F.col("heading"), F.col("lines"))
+    return C.sections(markdown(spark, sf_dir)).select(F.concat_ws("#", "file_stem", F.col("section_no").cast("string")).alias("section_id"), text.alias("text"))
+
+
+@query(None)
+def m9_evidence_units(spark, sf_dir):
+    """Every section's units; tests hold the operator against sections made by hand."""
+    return P.evidence_units(_sections(spark, sf_dir)).select("section_id", "unit_no", F.md5("ranking_text").alias("ranking_text"), F.md5("quote").alias("quote"))
+
+
+@query(None)
+def r19_context_windows(spark, sf_dir):
+    """Each document that a query hits, cut to a window around its hits; tests hold the operator against the rules for blocks."""
+    found = settle(hits(spark, sf_dir))
+    key = F.concat_ws("/", F.col("query_id").cast("string"), "file_stem")
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("file_stem"), F.regexp_replace("text", "\n", "\n\n").alias("body"))
+    sections = found.select("query_id", "file_stem").distinct().join(docs, "file_stem").select(key.alias("section_id"), F.col("body").alias("text"), F.lit(1500).alias("budget"))
+    windows = P.windows(sections, found.select(key.alias("section_id"), F.col("rank").alias("place"), F.col("text").alias("anchor")))
+    return windows.select("section_id", F.length("text").alias("n_chars"), F.md5("text").alias("text"))

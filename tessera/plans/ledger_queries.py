@@ -175,3 +175,20 @@ def s12_markup_counts(spark, sf_dir):
     from tessera.sources.markup import to_sections
 
     return to_sections(table(spark, sf_dir, "pages")).select("page_id", "title", F.size("paragraphs").cast("bigint").alias("n_paragraphs"), F.size("links").cast("bigint").alias("n_links"))
+
+
+@query("""WITH d AS (SELECT p_partkey, '1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS code, 'QTKD_1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '_' || p_partkey AS file_stem, p_name, p_type FROM part),
+q AS (SELECT p_partkey AS query_id, code FROM d WHERE p_partkey % 3 <> 0)
+SELECT query_id, file_stem, 'Phụ lục D' AS section, '# Phụ lục D' || chr(10) || chr(10) || CASE WHEN d.p_partkey % 2 = 0 THEN '# (Quy định)' || chr(10) || chr(10) ELSE '' END || p_name || chr(10) || chr(10) || p_type AS text
+FROM q JOIN d USING (code) WHERE d.p_partkey % 5 <> 0""")
+def l20_appendix_topics(spark, sf_dir):
+    """Every part is a document with appendices and asks for one; those of every third ask for an unknown document as well, every fifth document has no such appendix."""
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("1."), F.lpad((k % 1000).cast("string"), 3, "0"))
+    part = table(spark, sf_dir, "part")
+    head = F.when(k % 5 == 0, "# Phụ lục E").otherwise("# Phụ lục D")
+    kind = F.when(k % 2 == 0, "\n\n# (Quy định)\n\n").otherwise("\n\n")
+    text = F.concat(F.lit("# Phụ lục A\n\nMẫu\n\n"), head, kind, F.col("p_name"), F.lit("\n"), F.col("p_type"), F.lit("\n\nD.1 Sai số\n\n# Phụ lục F\n"), F.col("p_name"))
+    docs = part.select(F.concat(F.lit("QTKD_"), code, F.lit("_"), k.cast("string")).alias("file_stem"), text.alias("text"))
+    q = part.select(k.alias("query_id"), F.concat(F.lit("Phụ lục D của QTKĐ "), code, F.when(k % 3 == 0, " và QTKĐ 9.999").otherwise(""), F.lit(" có nội dung gì?")).alias("query"))
+    return L.appendix_topics(q, docs)

@@ -67,14 +67,14 @@ def with_place(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
 
 CHUNKS = """chunks AS (SELECT file_stem || '#' || lpad(CAST(line AS VARCHAR), 5, '0') AS chunk_id, doc_id, file_stem, CASE WHEN line % 40 = 39 THEN 'Phụ lục ' ELSE 'p' END || line AS section_path, file_stem || '@' || (line // 4) AS parent_id, line, text
   FROM (SELECT doc_id, source || '_' || doc_id AS file_stem, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))"""
-_TOK = "list_filter(string_split_regex(lower({}), '[\\s,;!()\\[\\]{{}}<>\"''\\\\|]+'), lambda x: x <> '')"
+TOKENS = "list_filter(string_split_regex(lower({}), '[\\s,;!()\\[\\]{{}}<>\"''\\\\|]+'), lambda x: x <> '')"
 BM25 = f"""{CHUNKS},
-tok AS (SELECT chunk_id, {_TOK.format("text")} AS t FROM chunks WHERE line % 40 <> 39),
+tok AS (SELECT chunk_id, {TOKENS.format("text")} AS t FROM chunks WHERE line % 40 <> 39),
 totals AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 postings AS (SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM postings GROUP BY 1), totals),
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
 scored AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN terms USING (term) JOIN postings USING (term), totals GROUP BY 1, 2),
 bm AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored WHERE score > 0) WHERE rank <= {POOL})"""
 DENSE = f"""vec AS (SELECT c.chunk_id, c.doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN chunks c ON vec_id = doc_id AND line = 0),
@@ -89,7 +89,7 @@ _METRICS = "count(*) AS n, count(rank) AS found, count(*) - count(rank) AS miss,
 
 
 @query(f"""WITH line AS (SELECT unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-tok AS (SELECT {_TOK.format("text")} AS t FROM line WHERE line % 40 <> 39),
+tok AS (SELECT {TOKENS.format("text")} AS t FROM line WHERE line % 40 <> 39),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY 1), (SELECT count(*) AS n FROM tok))
 SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 9) AS idf FROM raw""")
 def r1_bm25_terms(spark, sf_dir):
@@ -247,12 +247,12 @@ def r18_budgets(spark, sf_dir):
     return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("budget").cast("bigint").alias("budget"))
 
 
-@query(f"""WITH {CHUNKS}, tok AS (SELECT doc_id % 7 AS scope, chunk_id, {_TOK.format("text")} AS t FROM chunks),
+@query(f"""WITH {CHUNKS}, tok AS (SELECT doc_id % 7 AS scope, chunk_id, {TOKENS.format("text")} AS t FROM chunks),
 totals AS (SELECT scope, count(*) AS n, avg(len(t)) AS avgdl FROM tok GROUP BY 1),
 postings AS (SELECT scope, term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT scope, chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2, 3),
 raw AS (SELECT scope, term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT scope, term, count(*) AS df FROM postings GROUP BY 1, 2) JOIN totals USING (scope)),
 terms AS (SELECT scope, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw JOIN (SELECT scope, avg(raw) AS m FROM raw GROUP BY 1) USING (scope)),
-qt AS (SELECT scope, query_id, term, count(*) AS qtf FROM (SELECT item_id % 7 AS scope, item_id AS query_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY 1, 2, 3),
+qt AS (SELECT scope, query_id, term, count(*) AS qtf FROM (SELECT item_id % 7 AS scope, item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2, 3),
 scored AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN terms USING (scope, term) JOIN postings USING (scope, term) JOIN totals USING (scope) GROUP BY 1, 2)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored) WHERE rank <= 5""")
 def r22_scoped_statistics(spark, sf_dir):
@@ -306,12 +306,11 @@ def _sweep(spark, sf_dir):
 SWEEP = f"""{BM25}, {DENSE}, {GOLD}, both_lists AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS d, b.rank AS b FROM dn d FULL JOIN bm b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id),
 configs AS (SELECT a / 10.0::DOUBLE AS alpha, k FROM range(0, 11) t(a), (VALUES (10), (30), (60), (80), (100)) v(k)),
 swept AS (SELECT *, row_number() OVER (PARTITION BY alpha, k, query_id ORDER BY round(s, 12) DESC, d NULLS LAST, b NULLS LAST) AS rank FROM (SELECT *, coalesce(2 * alpha / (k + d), 0) + coalesce(2 * (1 - alpha) / (k + b), 0) AS s FROM both_lists, configs)),
-best AS (SELECT alpha, k, s.query_id, min(rank) AS rank FROM swept s JOIN chunks c USING (chunk_id) JOIN gold g ON g.query_id = s.query_id AND g.file_stem = c.file_stem WHERE rank <= {TOP} GROUP BY 1, 2, 3),
-ranks AS (SELECT alpha, k, item_id AS query_id, rank FROM configs, benchmark LEFT JOIN best USING (alpha, k) WHERE false)"""
+best AS (SELECT alpha, k, s.query_id, min(rank) AS rank FROM swept s JOIN chunks c USING (chunk_id) JOIN gold g ON g.query_id = s.query_id AND g.file_stem = c.file_stem WHERE rank <= {TOP} GROUP BY 1, 2, 3)"""
 
 
 @query(f"""WITH {SWEEP}, every AS (SELECT c.alpha, c.k, i.item_id AS query_id, b.rank FROM configs c CROSS JOIN benchmark i LEFT JOIN best b ON b.alpha = c.alpha AND b.k = c.k AND b.query_id = i.item_id)
-SELECT round(alpha, 1) AS alpha, k, CASE WHEN GROUPING(query_id % 2) = 1 THEN 'combined' WHEN query_id % 2 = 0 THEN 'tune' ELSE 'holdout' END AS split, {_METRICS} FROM every GROUP BY GROUPING SETS ((alpha, k, query_id % 2), (alpha, k))""".replace(", ranks AS (SELECT alpha, k, item_id AS query_id, rank FROM configs, benchmark LEFT JOIN best USING (alpha, k) WHERE false)", ""))
+SELECT round(alpha, 1) AS alpha, k, CASE WHEN GROUPING(query_id % 2) = 1 THEN 'combined' WHEN query_id % 2 = 0 THEN 'tune' ELSE 'holdout' END AS split, {_METRICS} FROM every GROUP BY GROUPING SETS ((alpha, k, query_id % 2), (alpha, k))""")
 def e8_fusion_sweep(spark, sf_dir):
     ranks = _sweep(spark, sf_dir).withColumn("part", F.col("query_id") % 2)
     rows = ranks.groupingSets([["alpha", "k", "part"], ["alpha", "k"]], "alpha", "k", "part").agg(F.grouping("part").alias("g"), *metrics.metric_columns())

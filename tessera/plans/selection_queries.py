@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import fusion, metrics, selection as S
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import _METRICS, BM25, CHUNKS, FUSED, GOLD, SWEEP, _sweep, bm25, chunks, expected, nearest, questions, with_place
-from tessera.session import shared_dir, table
+from tessera.session import settle, shared_dir, table
 from tessera.sources import io
 
 
@@ -17,9 +17,9 @@ def _folder(spark, kind):
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-_EVERY = SWEEP.split(", \nranks AS")[0].split(",\nranks AS")[0]
-_SUMMARY = f"""WITH {_EVERY}, every AS (SELECT c.alpha, c.k, i.item_id AS query_id, b.rank FROM configs c CROSS JOIN benchmark i LEFT JOIN best b ON b.alpha = c.alpha AND b.k = c.k AND b.query_id = i.item_id),
-s AS (SELECT alpha, k, count(*) AS n, avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS recall, avg(coalesce(1.0::DOUBLE / rank, 0)) AS mrr FROM every GROUP BY 1, 2)"""
+_SUMMARY = f"""WITH {SWEEP}, every AS (SELECT c.alpha, c.k, i.item_id AS query_id, b.rank FROM configs c CROSS JOIN benchmark i LEFT JOIN best b ON b.alpha = c.alpha AND b.k = c.k AND b.query_id = i.item_id),
+hits AS (SELECT *, CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END AS hit FROM every),
+s AS (SELECT alpha, k, count(*) AS n, avg(hit) AS recall, avg(coalesce(1.0::DOUBLE / rank, 0)) AS mrr, avg(hit) FILTER (query_id % 2 = 0) AS tune, avg(hit) FILTER (query_id % 2 = 1) AS holdout, coalesce(list(query_id) FILTER (hit = 0), []) AS misses FROM hits GROUP BY 1, 2)"""
 
 
 def summary(spark, sf_dir):
@@ -33,9 +33,17 @@ def e9_best_settings(spark, sf_dir):
     return rows.select(F.round("alpha", 1).alias("alpha"), "k", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"))
 
 
-@query(None)
+@query(f"""{_SUMMARY},
+p AS (SELECT *, abs(alpha - 0.5) < 1e-9 AND k = 60 AS own, coalesce(round((recall - lag(recall) OVER (PARTITION BY k ORDER BY alpha)) * n) <= 1, true) AND coalesce(round((recall - lead(recall) OVER (PARTITION BY k ORDER BY alpha)) * n) <= 1, true)
+  AND coalesce(round((recall - lag(recall) OVER (PARTITION BY alpha ORDER BY k)) * n) <= 1, true) AND coalesce(round((recall - lead(recall) OVER (PARTITION BY alpha ORDER BY k)) * n) <= 1, true) AS flat FROM s),
+base AS (SELECT recall AS b_recall, mrr AS b_mrr, holdout AS b_holdout, misses AS b_misses FROM p WHERE own),
+fit AS (SELECT * FROM p, base WHERE tune >= 0.5 AND holdout >= b_holdout AND (own OR flat) ORDER BY round(recall, 9) DESC, round(mrr, 9) DESC, round(abs(alpha - 0.5), 6), abs(k - 60), alpha, k LIMIT 1),
+d AS (SELECT *, len(list_filter(misses, lambda x: NOT list_contains(b_misses, x))) > 0 AS worse, round((recall - b_recall) * n) >= 2 OR (recall = b_recall AND mrr - b_mrr >= 0.02 - 1e-9) AS more FROM fit),
+o AS (SELECT CASE WHEN NOT own AND NOT worse AND more THEN alpha ELSE 0.5 END AS alpha, CASE WHEN NOT own AND NOT worse AND more THEN k ELSE 60 END AS k, NOT own AND NOT worse AND more AS change,
+  CASE WHEN own THEN 'the present setting is first' WHEN worse THEN 'misses a question that the present setting has' WHEN more THEN 'better' ELSE 'not better by enough' END AS reason, 0 AS o FROM d UNION ALL SELECT 0.5, 60, false, 'no setting passes the gates', 1)
+SELECT round(alpha, 1) AS alpha, k, change, reason FROM o ORDER BY o LIMIT 1""")
 def e10_decision(spark, sf_dir):
-    return S.decide(summary(spark, sf_dir), 0.5)
+    return S.decide(summary(spark, sf_dir), 0.5).withColumn("alpha", F.round("alpha", 1))
 
 
 @query(f"""WITH {BM25}, {GOLD}, first_gold AS (SELECT query_id, min(file_stem) AS file_stem FROM gold GROUP BY 1), r AS (SELECT g.query_id, g.file_stem, min(b.rank) AS rank FROM first_gold g LEFT JOIN (SELECT bm.query_id, file_stem, rank FROM bm JOIN chunks USING (chunk_id)) b ON b.query_id = g.query_id AND b.file_stem = g.file_stem GROUP BY 1, 2)
@@ -48,9 +56,9 @@ def e4_recall_by_file(spark, sf_dir):
 
 @query(f"""WITH {FUSED}, {GOLD}, u AS (SELECT 'dense' AS mode, query_id, chunk_id, rank FROM dn UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM fused),
 m AS (SELECT mode, u.query_id, min(rank) AS rank FROM u JOIN chunks USING (chunk_id) JOIN gold g ON g.query_id = u.query_id AND g.file_stem = chunks.file_stem GROUP BY 1, 2),
-e AS (SELECT mode, item_id, rank FROM (VALUES ('dense'), ('hybrid')) v(mode) CROSS JOIN benchmark LEFT JOIN m ON m.mode = v.mode AND query_id = item_id),
+e AS (SELECT v.mode, item_id, rank FROM (VALUES ('dense'), ('hybrid')) v(mode) CROSS JOIN benchmark LEFT JOIN m ON m.mode = v.mode AND query_id = item_id),
 p AS (SELECT e.mode, n AS k, avg(CASE WHEN rank <= n THEN 1.0::DOUBLE ELSE 0 END) AS r FROM e, (VALUES (1), (5), (10)) t(n) GROUP BY 1, 2)
-SELECT k, round(max(r) FILTER (mode = 'dense'), 9) AS dense, round(max(r) FILTER (mode = 'hybrid'), 9) AS hybrid, round(max(r) FILTER (mode = 'hybrid') - max(r) FILTER (mode = 'dense'), 9) AS delta, max(r) FILTER (mode = 'hybrid') >= 0.85 AS goal FROM p GROUP BY 1""".replace("SELECT mode, item_id, rank FROM (VALUES", "SELECT v.mode, item_id, rank FROM (VALUES"))
+SELECT k, round(max(r) FILTER (mode = 'dense'), 9) AS dense, round(max(r) FILTER (mode = 'hybrid'), 9) AS hybrid, round(max(r) FILTER (mode = 'hybrid') - max(r) FILTER (mode = 'dense'), 9) AS delta, max(r) FILTER (mode = 'hybrid') >= 0.85 AS goal FROM p GROUP BY 1""")
 def e5_e6_modes_and_goal(spark, sf_dir):
     d = nearest(spark, sf_dir)
     both = d.select(F.lit("dense").alias("mode"), "query_id", "chunk_id", "rank").unionAll(fusion.rrf(d, bm25(spark, sf_dir)).select(F.lit("hybrid"), "query_id", "chunk_id", "rank"))
@@ -82,6 +90,43 @@ def s3_nested_report(spark, sf_dir):
     return rows.select(F.col("file").cast("bigint").alias("file"), F.col("fid").cast("bigint").alias("fid"), "ok")
 
 
+@query("SELECT 'QTKD ' || item_id || ' +%' AS file_stem, text FROM benchmark WHERE item_id % 4 <> 3")
+def s1_markdown_folder(spark, sf_dir):
+    """Passages as a folder of Markdown files among others, read again."""
+    path = _folder(spark, "markdown")
+    k = F.col("item_id")
+    name = F.concat(F.lit("QTKD "), k.cast("string"), F.lit(" +%"), F.when(k % 4 == 3, ".txt").otherwise(".md"))
+    io.write_files(table(spark, sf_dir, "benchmark").select(name.alias("name"), "text"), path)
+    return io.read_markdown(spark, path)
+
+
+@query("""SELECT CASE item_id % 3 WHEN 0 THEN 'QTKD ' || item_id || '.docx' WHEN 1 THEN 'phieu do ' || item_id || '.PDF' ELSE 'khac ' || item_id || '.md' END AS name, CASE item_id % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.pdf' ELSE '.md' END AS ext,
+  strlen(text) AS size_bytes, sha256(text) AS sha256, CASE item_id % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'replace' WHEN 2 THEN 'update type' ELSE 'skip' END AS action FROM benchmark""")
+def s4_import_plan(spark, sf_dir):
+    """A file for each passage; the ledger lacks every fourth, has other bytes or another type for others."""
+    path = _folder(spark, "import")
+    k = F.col("item_id")
+    name = F.when(k % 3 == 0, F.concat(F.lit("QTKD "), k.cast("string"), F.lit(".docx"))).when(k % 3 == 1, F.concat(F.lit("phieu do "), k.cast("string"), F.lit(".PDF"))).otherwise(F.concat(F.lit("khac "), k.cast("string"), F.lit(".md")))
+    kind = F.when(k % 3 == 0, "qtkd").when(k % 3 == 1, "phieu_do").otherwise("khac")
+    files = table(spark, sf_dir, "benchmark").withColumn("name", name)
+    ledger = files.filter(k % 4 > 0).select("name", F.when(k % 4 == 1, "other").otherwise(F.sha2("text", 256)).alias("sha256"), F.when(k % 4 == 2, "danh_muc").otherwise(kind).alias("doc_type"))
+    io.write_files(files.select("name", "text"), path)
+    return io.import_plan(spark, path, ledger)
+
+
+@query(f"{_SUMMARY} SELECT round(alpha, 1) AS alpha, k, round(recall, 6) AS recall FROM s")
+def s5_sweep_files(spark, sf_dir):
+    """The sweep's files, and of these the grid, read again."""
+    path = _folder(spark, "sweep")
+    rows = settle(summary(spark, sf_dir).withColumns({"alpha": F.round("alpha", 1), "recall": F.round("recall", 6)}))
+    io.write_sweep(rows, path, "recall")
+    report = spark.createDataFrame([("results.md", io.sweep_report(rows, S.decide(rows)))], "name string, text string")
+    io.write_files(report, path)
+    grid = spark.read.option("header", True).csv(f"{path}/grid")
+    ks = [c for c in grid.columns if c != "alpha"]
+    return grid.unpivot("alpha", ks, "k", "recall").select(F.col("alpha").cast("double").alias("alpha"), F.col("k").cast("int").alias("k"), F.col("recall").cast("double").alias("recall"))
+
+
 @query("SELECT o_orderstatus AS model, count(*) AS n, round(sum(o_totalprice), 4) AS total FROM orders GROUP BY 1")
 def s6_records_by_model(spark, sf_dir):
     path = _folder(spark, "records")

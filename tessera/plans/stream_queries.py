@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
-from tessera.plans.retrieval_queries import CHUNKS, chunks
+from tessera.plans.retrieval_queries import CHUNKS, TOKENS, chunks
 from tessera.session import settle, table
 from tessera.streaming import jobs as J
 
 
-@query("""WITH p AS (SELECT file_stem, chunk_id, unnest(list_filter(string_split_regex(lower(text), '[\\s,;!()\\[\\]{}<>"''\\\\|]+'), lambda x: x <> '')) AS term FROM chunks)
-SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM p GROUP BY 1""".replace("WITH p", f"WITH {CHUNKS}, p"))
+@query(f"""WITH {CHUNKS}, p AS (SELECT file_stem, chunk_id, unnest({TOKENS.format("text")}) AS term FROM chunks)
+SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM p GROUP BY 1""")
 def w1_index_refresh(spark, sf_dir):
     now = chunks(spark, sf_dir).select("file_stem", "chunk_id", "doc_id", "text")
     before = now.filter("doc_id % 4 <> 1").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")))
@@ -42,7 +42,8 @@ def w3_derived_status(spark, sf_dir):
     return J.run_to_end(J.derived_status(stages(spark, sf_dir), led), "append").drop("batch_no")
 
 
-@query(None)
+@query("""WITH t AS (SELECT conv_id, turn, text, min(turn) FILTER (turn % 3 = 2 AND text IS NOT NULL) OVER (PARTITION BY conv_id) AS stop FROM conversations)
+SELECT conv_id, CAST(coalesce(sum(length(text)), 0) + count(*) FILTER (turn = stop) AS BIGINT) AS passed, max(stop) IS NOT NULL AS stopped FROM t WHERE stop IS NULL OR turn <= stop GROUP BY 1""")
 def w4_stream_guard(spark, sf_dir):
     deltas = J.stream_of(spark, f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat("text", F.when(F.col("turn") % 3 == 2, " 测量结果显示压力合格").otherwise("")).alias("text"))
     return J.newest(J.run_to_end(J.guard(deltas), "update"), "conv_id")

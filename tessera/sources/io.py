@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.session import settle, ship
+
 #: Declared, never inferred: ``id`` is missing in some sets.
 ITEMS = "id string, question string, category string, expected array<struct<file_stem:string,section_path:string>>"
 REPORT = "files array<struct<file:string,formula_detail:array<struct<fid:string,kind:string,latex:string,ok:boolean,section:string>>>>"
@@ -47,8 +52,57 @@ def import_plan(spark: SparkSession, folder: str, ledger: DataFrame) -> DataFram
     return rows.select("name", "ext", "size_bytes", "sha256", action.alias("action"))
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write rows (name, text) to files of that name in a folder, each by one task; returns the settled list (name, size_bytes). A file is there whole or not at all; null texts are empty files.
+
+    Names are basenames; the folder may be of any kind that pyarrow knows.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        for b in batches:
+            sizes = []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not name or "/" in name or name in (".", ".."):
+                    raise ValueError(f"{name!r} is no file name")
+                system.create_dir(base, recursive=True)
+                raw, part = (text or "").encode(), f"{base}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(raw)
+                system.move(part, f"{base}/{name}")
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["name", "size_bytes"])
+
+    return settle(rows.select("name", "text").mapInArrow(run, "name string, size_bytes long"))
+
+
+#: Settings in a sweep's report.
+BEST = 10
+
+
+def sweep_report(rows: DataFrame, decision: DataFrame) -> str:
+    """A sweep as Markdown: the best settings, a grid of each measure, and the decision. Rows of ``selection.summary``, some dozens, and the row of ``selection.decide``."""
+    from tessera.operators.selection import order
+
+    found, won = rows.orderBy(*order()).collect(), decision.first()
+    line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
+    out = ["# Sweep", "", "## Best settings", "", line(["#", "alpha", "k", "recall@5", "MRR"]), line(["---"] * 5)]
+    out += [line([n, f"{r.alpha:.1f}", r.k, f"{r.recall:.3f}", f"{r.mrr:.3f}"]) for n, r in enumerate(found[:BEST], 1)]
+    ks, alphas, at = sorted({r.k for r in found}), sorted({r.alpha for r in found}), {(r.alpha, r.k): r for r in found}
+    for title, value in (("recall@5", "recall"), ("MRR", "mrr")):
+        out += ["", f"## {title} by alpha and k", "", line(["alpha", *ks]), line(["---"] * (len(ks) + 1))]
+        out += [line([f"{a:.1f}", *(f"{at[a, k][value]:.3f}" if (a, k) in at else "-" for k in ks)]) for a in alphas]
+    out += ["", "## Decision", "", f"- Setting: alpha {won.alpha:.1f}, k {won.k}", f"- Change: {'yes' if won.change else 'no'}", f"- Reason: {won.reason}", ""]
+    return "\n".join(out)
+
+
 def write_sweep(rows: DataFrame, folder: str, value: str) -> None:
-    """A sweep's rows as CSV, its questions as JSON lines, and the alpha by k grid of a value."""
+    """A sweep's rows as CSV, its questions as JSON lines, and the alpha by k grid of a value. ``sweep_report`` has it in Markdown."""
     flat = rows.select(*(c for c, t in rows.dtypes if not t.startswith("array")))
     flat.write.mode("overwrite").option("header", True).csv(f"{folder}/rows")
     rows.write.mode("overwrite").json(f"{folder}/questions")

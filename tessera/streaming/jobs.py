@@ -41,7 +41,10 @@ def newest(written: DataFrame, key: str) -> DataFrame:
 
 
 def latest_stage(events: DataFrame) -> DataFrame:
-    """Stage and progress of each document: the newest event's stage; an error keeps the progress that was reached. Rows: doc, stage, progress, ts, event_id."""
+    """Stage and progress of each document: the newest event's stage; an error keeps the progress that was reached. Rows: doc, stage, progress, ts, event_id.
+
+    State is a row for each document for ever, since an event may come at any time: it grows with the documents, as the ledger does, not with the events.
+    """
     at = F.struct("ts", "event_id")
     return events.groupBy("doc").agg(F.max_by("stage", at).alias("stage"), F.max_by("progress", F.when(F.col("stage") != "error", at)).alias("progress"))
 
@@ -58,9 +61,14 @@ def derived_status(jobs: DataFrame, ledger: DataFrame) -> DataFrame:
     return jobs.join(ledger, "doc", "left").select("doc", "event_id", status.alias("status"))
 
 
-def new_documents(arriving: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Arriving documents whose bytes neither the stream nor the ledger had: (sha256)."""
-    return arriving.dropDuplicates(["sha256"]).join(ledger.select("sha256"), "sha256", "left_anti")
+def new_documents(arriving: DataFrame, ledger: DataFrame, at: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Arriving documents whose bytes neither the stream nor the ledger had: (sha256).
+
+    A digest that comes again must not pass however late, so without ``at`` the state keeps every digest seen since the query's first start. With a time column ``at`` only those of
+    the last ``delay`` are kept; what came before must by then be in the ledger.
+    """
+    once = arriving.withWatermark(at, delay).dropDuplicatesWithinWatermark(["sha256"]) if at else arriving.dropDuplicates(["sha256"])
+    return once.join(ledger.select("sha256"), "sha256", "left_anti")
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -177,6 +177,22 @@ def test_cards_with_long_aliases(spark):
     assert {r.query_id: r.card for r in evidence.select_cards(q, cards).collect()} == {1: "long", 2: "part", 3: None, 4: None, 5: None}
 
 
+def test_appendix_topics(spark):
+    docs = spark.createDataFrame(
+        [
+            ("QTKD_8.765_2025", "# Phụ lục A\n\nMẫu giấy\n\n# Phụ lục D\n\n# (Quy định)\n\n# Đánh giá kết quả\nkiểm định\n\nD.1 Sai số\n\nNội dung.\n\n# Phụ lục E\n\nMục khác."),
+            ("QTKD_8.111", "# Phụ lục D\n\n| a | b |\n\n# Phụ lục E"),
+            ("QTKD_8.112", "phụ lục D\nkhông phải tiêu đề"),
+            ("QTKD_8.113", None),
+        ],
+        "file_stem string, text string",
+    )
+    q = lambda i, t: (i, t)
+    rows = [q(1, "Phụ lục D của QTKĐ 8.765 có nội dung gì?"), q(2, "Phụ lục D của QTKĐ 8.765 và QTKĐ 8.222 có nội dung gì?"), q(3, "Phụ lục D và Phụ lục E của QTKĐ 8.765 có nội dung gì?"), q(4, "Phụ lục D của QTKĐ 8.111 là gì?"), q(5, "Phụ lục D của 8.112 nói về gì?"), q(6, "Hệ số ở Phụ lục D của QTKĐ 8.765 là gì?"), q(7, "Sai số là gì?"), q(8, None), q(9, "phụ lục A của 8.765 về gì"), q(10, "Phụ lục D của 8.113 là gì")]
+    got = {r.query_id: (r.file_stem, r.section, r.text) for r in ledger.appendix_topics(spark.createDataFrame(rows, "query_id long, query string"), docs).collect()}
+    assert got == {1: ("QTKD_8.765_2025", "Phụ lục D", "# Phụ lục D\n\n# (Quy định)\n\n# Đánh giá kết quả\n\nkiểm định"), 9: ("QTKD_8.765_2025", "Phụ lục A", "# Phụ lục A\n\nMẫu giấy")}
+
+
 def test_range_lookup_needs_one_cell(spark):
     cells = spark.createDataFrame([(1, "c", 0, 5, False, "low"), (1, "c", 5, 9, False, "mid"), (1, "c", 9, 0, True, "open")], "table_id int, class string, low int, high int, open boolean, cell string")
     q = spark.createDataFrame([(1, 1, "c", 3.0), (2, 1, "c", 5.0), (3, 1, "c", 9.0), (4, 1, "c", 99.0), (5, 2, "c", 1.0)], "query_id long, table_id int, class string, value double")

@@ -4,8 +4,12 @@ The reader takes all the format has: prefix codes (simple and coded), groups of
 cache, and the predictor, cross-colour, subtract-green and palette transforms. Images are (height, width) arrays of
 ARGB as unsigned 32-bit integers.
 
-Where a code group holds literals only, pixels are found side by side: a table look-up at every bit position says how far the
-next pixel would be, so a pixel's place follows from that of the one before by one addition.
+Where a code group holds literals only, or green values and back-references, tokens are found side by side: a table look-up at every bit position says how far the
+next token would be, so a token's place follows from that of the one before by one addition.
+
+Texts are stored as grey images, and what helps is chosen by content, alike for equal texts: a palette with packed pixels for few values, a predictor where it
+makes the values plainer, back-references for what stood before. Grey images leave nothing to cross-colour once green is subtracted, and a colour
+takes no more bits than a cache index, so these two parts are read and written for other images only.
 """
 
 from __future__ import annotations
@@ -224,6 +228,71 @@ def _literals(bits: BitReader, codes: list[Code], n: int) -> np.ndarray:
     return out
 
 
+def _prefixed(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of extra bits and smallest value of length or distance codes."""
+    extra = np.maximum((code - 2) >> 1, 0)
+    return extra, np.where(code < 4, code + 1, ((2 + (code & 1)) << extra) + 1)
+
+
+def _references(bits: BitReader, codes: list[Code], n: int, w: int) -> np.ndarray:
+    """``n`` pixels of a group of green values and back-references; the other channels have one value each."""
+    first = bits.at >> 3
+    raw = np.frombuffer(bits.data, np.uint8)[first:]
+    window = raw.astype(np.int64)
+    for k in (1, 2, 3):
+        window[:-k] |= raw[k:].astype(np.int64) << (8 * k)
+    spread = (window[:, None] >> np.arange(8)).ravel()
+    last = len(spread) - 1
+    green, far_code = codes[0], codes[4]
+    look = (green.size + (np.uint8(64) * (green.symbol >= 256)).astype(np.uint8))[spread & ((1 << green.width) - 1)]
+    jump = np.arange(len(spread)) + (look & 63)
+    refs = np.flatnonzero(look & 64)
+    # Of everything that would be a reference: its length, its distance and where it ends.
+    at = np.minimum(jump[refs], last)
+    extra, least = _prefixed(green.symbol[spread[refs] & ((1 << green.width) - 1)] - 256)
+    length = least + (spread[at] & ((1 << extra) - 1))
+    at = np.minimum(at + extra, last)
+    i = spread[at] & ((1 << far_code.width) - 1)
+    extra, least = _prefixed(far_code.symbol[i])
+    at = np.minimum(at + far_code.size[i], last)
+    distance = least + (spread[at] & ((1 << extra) - 1))
+    jump[refs] = at + extra
+    np.minimum(jump, last, out=jump)
+    far = jump
+    for _ in range(3):
+        far = far[far]
+    anchors, at = [], bits.at - 8 * first
+    step_to = memoryview(np.ascontiguousarray(far))
+    while at < last and len(anchors) <= n:
+        anchors.append(at)
+        at = step_to[at]
+    places = np.empty((len(anchors), 8), np.int64)
+    places[:, 0] = anchors
+    for k in range(1, 8):
+        places[:, k] = jump[places[:, k - 1]]
+    places = places.ravel()
+    is_ref = (look[places] & 64) > 0
+    which = np.searchsorted(refs, places[is_ref])
+    size = np.ones(len(places), np.int64)
+    size[is_ref] = length[which]
+    upto = np.cumsum(size)
+    tokens = int(np.searchsorted(upto, n)) + 1
+    if tokens > len(places) or upto[tokens - 1] != n or (end := int(jump[places[tokens - 1]])) > 8 * (len(bits.data) - 8 - first):
+        raise ValueError("the image ends too soon or a back-reference leaves it")
+    is_ref, start = is_ref[:tokens], (upto - size)[:tokens]
+    out = np.zeros(n, np.uint8)
+    out[start[~is_ref]] = green.symbol[spread[places[:tokens][~is_ref]] & ((1 << green.width) - 1)]
+    which = which[: np.count_nonzero(is_ref)]
+    for begin, m, d in zip(start[is_ref].tolist(), length[which].tolist(), distance[which].tolist(), strict=True):
+        d = d - len(NEAR) if d > len(NEAR) else max(1, NEAR[d - 1][0] + NEAR[d - 1][1] * w)
+        if d > begin:
+            raise ValueError("a back-reference leaves the image")
+        out[begin : begin + m] = out[begin - d : begin - d + m] if d >= m else np.resize(out[begin - d : begin], m)
+    bits.at = 8 * first + end
+    r, b, a = (int(c.symbol[0]) for c in codes[1:4])
+    return out.astype(np.uint32) << np.uint32(8) | np.uint32(a << 24 | r << 16 | b)
+
+
 def _read_image(bits: BitReader, w: int, h: int, main: bool) -> np.ndarray:
     """Pixels of an entropy-coded image; ``main`` ones may have several code groups."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -241,6 +310,8 @@ def _read_image(bits: BitReader, w: int, h: int, main: bool) -> np.ndarray:
     n = w * h
     if groups == 1 and not cache_bits and codes[0][0].symbol.max() < 256 and sum(c.width for c in codes[0][:4]) <= 24 and all(c.width <= 15 for c in codes[0]):
         return _literals(bits, codes[0], n)
+    if main and groups == 1 and not cache_bits and codes[0][0].width and not any(c.width for c in codes[0][1:4]) and all(c.width <= 15 for c in codes[0]):
+        return _references(bits, codes[0], n, w)
     out = [0] * n
     cache = [0] * (1 << cache_bits)
     fresh = at = 0  # pixels before ``fresh`` are in the cache
@@ -317,7 +388,26 @@ def _neighbour_mode(x: int, y: int, mode: int) -> int:
 
 
 def _predicted(pixels: np.ndarray, w: int, h: int, modes: np.ndarray, block: int, forward: bool) -> np.ndarray:
-    """The predictor transform, or its inverse. ``modes`` has a mode for each block."""
+    """The predictor transform, or its inverse. ``modes`` has a mode for each block; where all are the left or all the upper pixel, rows are worked on as a whole."""
+    if (modes == modes[0]).all() and modes[0] in (1, 2):
+        x = np.ascontiguousarray(pixels).view(np.uint8).reshape(h, w, 4)
+        out = x.copy()
+        along, across = (slice(None), slice(1, None)), (slice(1, None), slice(None) if modes[0] == 2 else slice(0, 1))
+        if modes[0] == 2:
+            along = (slice(0, 1), slice(1, None))
+        if forward:
+            out[0, 0] -= np.array([0, 0, 0, 255], np.uint8)
+            out[along] -= x[along[0], :-1]
+            out[across] -= x[:-1, across[1]]
+        else:
+            out[0, 0] += np.array([0, 0, 0, 255], np.uint8)
+            if modes[0] == 1:
+                out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+                out = np.cumsum(out, axis=1, dtype=np.uint8)
+            else:
+                out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+                out = np.cumsum(out, axis=0, dtype=np.uint8)
+        return np.ascontiguousarray(out).view(np.uint32).ravel()
     bw = -(-w // (1 << block))
     source = pixels.view(np.uint8).reshape(-1, 4)[:, ::-1].tolist()
     done: list = list(source) if forward else [None] * len(source)
@@ -526,6 +616,86 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * high + second, v & ((1 << (high - 1)) - 1), high - 1
 
 
+#: Values that a back-reference repeats at least, at most, and how far back at most.
+LEAST_MATCH, MOST_MATCH, MOST_DISTANCE = 16, 4096, (1 << 20) - 512
+
+#: Values that back-references must cover before they are worth codes of their own.
+LEAST_COVERED = 64
+
+
+def _matches(g: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of what stood before in a row of bytes, from the left; each is looked up at the first place of its first ``LEAST_MATCH`` bytes."""
+    n = len(g) - LEAST_MATCH + 1
+    if n < 2:
+        return []
+    words = np.ndarray((len(g) - 7,), "<u8", np.ascontiguousarray(g).tobytes(), 0, (1,))
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15) + (words[8 : 8 + n] ^ words[:n] >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    slot = (h >> np.uint64(64 - max(12, n.bit_length() + 1))).astype(np.int64)
+    table = np.zeros(1 << max(12, n.bit_length() + 1), np.int64)
+    place = np.arange(n)
+    table[slot[::-1]] = place[::-1]
+    before = table[slot]
+    able = np.flatnonzero((before < place) & (h[before] == h) & (place - before <= MOST_DISTANCE))
+    out, at, k = [], 0, 0
+    while (k := k + int(np.searchsorted(able[k:], at))) < len(able):
+        at = int(able[k])
+        source, most, m, step = int(before[at]), min(MOST_MATCH, len(g) - at), 0, 64
+        while m < most:
+            step = min(step, most - m)
+            differ = np.flatnonzero(g[source + m : source + m + step] != g[at + m : at + m + step])[:1]
+            if len(differ):
+                m += int(differ[0])
+                break
+            m, step = m + step, 2 * step
+        if m >= LEAST_MATCH:
+            out.append((at, m, at - source))
+            at += m
+        else:
+            at += 1
+    return out
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix`` of many values."""
+    v = np.maximum(values - 1, 1)
+    high = np.frexp(v.astype(float))[1] - 1
+    small = values <= 4
+    bits = np.where(small, 0, high - 1)
+    return np.where(small, values - 1, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), np.where(small, 0, v & ((1 << np.maximum(bits, 0)) - 1)), bits
+
+
+def _write_matches(bits: BitWriter, pixels: np.ndarray, w: int, found: list[tuple[int, int, int]]) -> bytes:
+    """The main image with these back-references, where only green varies."""
+    g = (pixels >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    near = {x + y * w: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * w > 0}
+    start, length, distance = (np.array(x, np.int64) for x in zip(*((a, m, near.get(d, d + len(NEAR))) for a, m, d in found), strict=True))
+    literal, head = np.ones(len(g), bool), np.zeros(len(g), bool)
+    covered = np.zeros(len(g) + 1, np.int64)
+    covered[start] += 1  # starts differ from each other, as do ends
+    covered[start + length] -= 1
+    literal[np.cumsum(covered[:-1]) > 0] = False
+    head[start] = True
+    place = np.flatnonzero(literal | head)
+    is_ref = head[place]
+    lc, lx, ln = _prefixes(length)
+    dc, dx, dn = _prefixes(distance)
+    symbol = g[place]
+    symbol[is_ref] = 256 + lc
+    one = int(pixels[0])
+    counts = [np.bincount(symbol, minlength=256 + _LENGTHS), *(np.bincount([one >> k & 255], minlength=256) for k in (16, 0, 24)), np.bincount(dc, minlength=_DISTANCES)]
+    lengths = [_code_lengths(c, 15) for c in counts]
+    taken = [_write_code(bits, x) for x in lengths]
+    green, far = _bit_patterns(lengths[0]), _bit_patterns(lengths[4])
+    at = np.arange(len(place)) + np.cumsum(is_ref) - is_ref
+    values, sizes = np.zeros(len(place) + len(start), np.uint64), np.zeros(len(place) + len(start), np.int64)
+    values[at], sizes[at] = green[symbol], taken[0][symbol]
+    values[at[is_ref]] |= lx.astype(np.uint64) << sizes[at[is_ref]].astype(np.uint64)
+    sizes[at[is_ref]] += ln
+    values[at[is_ref] + 1] = far[dc].astype(np.uint64) | dx.astype(np.uint64) << taken[4][dc].astype(np.uint64)
+    sizes[at[is_ref] + 1] = taken[4][dc] + dn
+    return bits.add_all(values, sizes)
+
+
 def _tokens(pixels: list[int], w: int, cache_bits: int, match: bool) -> list[tuple]:
     """Literals, cache hits and back-references: ('lit', argb), ('hit', index), ('ref', length, distance code)."""
     near = {x + y * w: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * w > 0}
@@ -563,8 +733,13 @@ def _write_image(bits: BitWriter, pixels: np.ndarray, w: int, main: bool, cache_
     if main:
         bits.add(0, 1)
     sizes = (256 + _LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, _DISTANCES)
+    varied = int(np.bitwise_or.reduce(pixels ^ pixels[0])) if len(pixels) else 0
+    if match and main and not cache_bits and not varied & 0xFFFF00FF:
+        found = _matches((pixels >> np.uint32(8)).astype(np.uint8))
+        if sum(m for _, m, _ in found) >= LEAST_COVERED:
+            return _write_matches(bits, pixels, w, found)
+        match = False
     if not cache_bits and not match:
-        varied = int(np.bitwise_or.reduce(pixels ^ pixels[0]))
         # A channel of one value is counted as that value once: its code takes no bits.
         symbols = [((pixels if varied >> s & 255 else pixels[:1]) >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0, 24)]
         counts = [np.bincount(x, minlength=n) for x, n in zip(symbols, sizes, strict=False)] + [np.zeros(_DISTANCES, np.int64)]
@@ -648,12 +823,39 @@ def encode(pixels: np.ndarray, subtract_green: bool = False, modes: np.ndarray |
 # The media column -----------------------------------------------------------------------------------------------------
 
 
+def _bits_of(values: np.ndarray) -> float:
+    """Bits that a prefix code takes for these bytes, nearly."""
+    counts = np.bincount(values.ravel(), minlength=256).astype(float)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
+#: Values up to which grey pixels are packed by a palette; part of its bits that a predictor must save.
+FEW_VALUES, SAVING = 16, 0.1
+
+
+def _chosen(grey: np.ndarray) -> dict:
+    """How to encode a grey image: depends on its values alone."""
+    if np.count_nonzero(np.bincount(grey.ravel(), minlength=256)) <= FEW_VALUES:
+        return {"palette": True, "match": True}
+    plain = _bits_of(grey)
+    best, mode = (1 - SAVING) * plain - 64, 0
+    for k, step in ((1, grey[:, 1:] - grey[:, :-1]), (2, grey[1:] - grey[:-1])):
+        if step.size and (cost := _bits_of(step) * grey.size / step.size) < best:
+            best, mode = cost, k
+    out: dict = {"subtract_green": True, "match": True}
+    if mode:
+        block = 9
+        out |= {"modes": np.full(-(-grey.shape[0] // (1 << block)) * -(-grey.shape[1] // (1 << block)), mode), "block": block}
+    return out
+
+
 def to_media(raw: bytes) -> bytes:
     """Bytes as grey images of ``TILE`` columns, one file after the other; padded to whole rows, one at least."""
     padded = raw + bytes([PAD]) * (-len(raw) % TILE if raw else TILE)
-    grey = np.frombuffer(padded, np.uint8).reshape(-1, TILE).astype(np.uint32)
-    pixels = grey * np.uint32(0x010101) | np.uint32(0xFF000000)
-    return b"".join(encode(pixels[k : k + ROWS], subtract_green=True) for k in range(0, len(pixels), ROWS))
+    grey = np.frombuffer(padded, np.uint8).reshape(-1, TILE)
+    parts = [grey[k : k + ROWS] for k in range(0, len(grey), ROWS)]
+    return b"".join(encode(g.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000), **_chosen(g)) for g in parts)
 
 
 def from_media(media: bytes) -> list[np.ndarray]:

@@ -59,6 +59,91 @@ def test_several_code_groups_are_read():
     assert (got[:, :4] == 0xFF010A02).all() and (got[:, 4:] == 0xFF014D02).all()
 
 
+def repeats(rng, n):
+    """Bytes with runs, repeated stretches and noise."""
+    out = bytearray()
+    while len(out) < n:
+        kind = rng.integers(0, 4)
+        if kind == 0:
+            out += bytes(rng.integers(97, 123, rng.integers(1, 60), dtype=np.uint8))
+        elif kind == 1:
+            out += bytes([int(rng.integers(0, 256))]) * int(rng.integers(1, 400))
+        elif out:
+            at = int(rng.integers(0, len(out)))
+            out += out[at : at + int(rng.integers(1, 300))]
+    return bytes(out[:n])
+
+
+@pytest.mark.parametrize("n", [1, 40, 576, 577, 5000, 60_000])
+def test_back_references_of_texts(n, monkeypatch):
+    """Both readers, the one token by token and the one that finds all tokens at once, give the bytes back; files get smaller."""
+    rng = np.random.default_rng(n)
+    for _ in range(6):
+        raw = repeats(rng, n)
+        media = W.to_media(raw)
+        got = b"".join(i[:, :, 1].tobytes() for i in W.from_media(media))
+        assert got[:n] == raw
+        with monkeypatch.context() as m:
+            m.setattr(W, "_references", None)
+            m.setattr(W, "_read_image", lambda bits, w, h, main, read=W._read_image: read(bits, w, h, False) if not main else slowly(bits, w, h))
+            assert b"".join(i[:, :, 1].tobytes() for i in W.from_media(media)) == got
+        if n >= 5000:
+            grey = np.frombuffer(raw[: n // 576 * 576], np.uint8).reshape(-1, 576).astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+            assert len(W.encode(grey, subtract_green=True, match=True)) < len(W.encode(grey, subtract_green=True))
+
+
+def slowly(bits, w, h):
+    """The main image token by token, by the plain rules of the format."""
+    assert not bits.read(1) and not bits.read(1)  # no cache, one group
+    codes = [W._read_code(bits, s) for s in (256 + 24, 256, 256, 256, 40)]
+    out = []
+    while len(out) < w * h:
+        s = codes[0].read(bits)
+        if s < 256:
+            r, b, a = (c.read(bits) for c in codes[1:4])
+            out.append(a << 24 | r << 16 | s << 8 | b)
+        else:
+            length, d = W._value(s - 256, bits), W._value(codes[4].read(bits), bits)
+            d = d - 120 if d > 120 else max(1, W.NEAR[d - 1][0] + W.NEAR[d - 1][1] * w)
+            for _ in range(length):
+                out.append(out[-d])
+    return np.array(out, np.uint32)
+
+
+def test_parts_are_chosen_by_content():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, (4, 576), dtype=np.uint8)
+    assert W._chosen(np.full((1, 576), 255, np.uint8)) == {"palette": True, "match": True}
+    assert W._chosen(text) == {"subtract_green": True, "match": True}
+    slope = np.arange(40 * 576).reshape(40, 576).astype(np.uint8)
+    assert (W._chosen(slope)["modes"] == 1).all()
+    rows = np.tile(rng.integers(0, 256, 576, dtype=np.uint8), (30, 1)) + np.arange(30, dtype=np.uint8)[:, None]
+    assert (W._chosen(rows)["modes"] == 2).all()
+    for g in (text, slope, rows, np.full((3, 576), 9, np.uint8), rng.integers(0, 5, (7, 576), dtype=np.uint8)):
+        media = W.to_media(g.tobytes())
+        assert (W.from_media(media)[0][:, :, 1] == g).all()
+
+
+def test_uniform_predictors_equal_pixel_by_pixel(monkeypatch):
+    rng = np.random.default_rng(4)
+    for h, w in ((1, 1), (1, 9), (6, 1), (7, 5)):
+        p = rng.integers(0, 2**32, h * w, dtype=np.uint32)
+        for mode in (1, 2):
+            blocks = -(-w // 4) * -(-h // 4)
+            fast = W._predicted(p, w, h, np.full(blocks, mode), 2, True)
+            assert (W._predicted(fast, w, h, np.full(blocks, mode), 2, False) == p).all()
+            mixed = np.full(blocks + 1, mode)  # one more block, of another mode, that no pixel is in
+            mixed[-1] = 0
+            assert (W._predicted(p, w, h, mixed, 2, True) == fast).all()
+
+
+def test_a_file_of_another_encoder():
+    """The public one-pixel test image by which browsers' support for lossless WebP is probed."""
+    import base64
+
+    assert W.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[0]]
+
+
 def test_near_pixels():
     assert len(W.NEAR) == 120 and W.NEAR[:6] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0)] and W.NEAR[-1] == (8, 7)
 

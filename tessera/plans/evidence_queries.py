@@ -33,10 +33,12 @@ def m2_select_documents(spark, sf_dir):
     return E.select_documents(g, g.filter((F.col("place") <= k) & (k < 3)).select("query_id", "file_stem"), 5, 2)
 
 
-@query(f"""WITH {_HITS} SELECT query_id, file_stem FROM hits GROUP BY 1, 2 HAVING count(*) FILTER (rank <= 3 AND rank <> 2) = 0""")
+@query(f"""WITH {_HITS} SELECT query_id, file_stem FROM hits GROUP BY 1, 2 HAVING count(*) FILTER (rank = 1 + query_id % 5 OR rank = 1 + query_id % 3) = 0""")
 def m4_uncovered(spark, sf_dir):
+    """Each answer cites two places of its hits, and another in a sentence that denies."""
     h = hits(spark, sf_dir)
-    a = h.select("query_id").distinct().select("query_id", F.lit("Giá trị là 5 [1]. Tài liệu không nêu [2]. Xem thêm [3]\nHết.").alias("answer"))
+    mark = lambda n: F.concat(F.lit(" ["), (1 + F.col("query_id") % n).cast("string"), F.lit("]"))
+    a = h.select("query_id").distinct().select("query_id", F.concat(F.lit("Giá trị là 5"), mark(5), F.lit(". Tài liệu không nêu"), mark(7), F.lit(". Xem thêm"), mark(3), F.lit("\nHết.")).alias("answer"))
     return E.uncovered(a, E.groups(h))
 
 
@@ -52,13 +54,15 @@ def m5_followups(spark, sf_dir):
     return E.followups(hits(spark, sf_dir), 8.0, 4).withColumn("best", F.round("best", 6))
 
 
-@query("SELECT o_orderkey AS query_id, '2.' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS code FROM orders WHERE o_orderkey % 3 = 1")
+@query("""WITH t AS (SELECT conv_id, turn, (1 + turn % 3) || '.' || lpad(CAST(length(text) % 40 AS VARCHAR), 3, '0') AS code FROM conversations WHERE text IS NOT NULL)
+SELECT DISTINCT conv_id AS query_id, code FROM t WHERE turn % 2 = 0 AND NOT EXISTS (SELECT 1 FROM t o WHERE o.conv_id = t.conv_id AND o.turn % 2 = 1 AND o.code = t.code)""")
 def m7_unknown_codes(spark, sf_dir):
-    k = F.col("o_orderkey")
-    code = lambda lead: F.concat(F.lit(lead), F.lpad((k % 1000).cast("string"), 3, "0"))
-    o = table(spark, sf_dir, "orders")
-    q = o.select(k.alias("query_id"), F.concat(F.lit("so 1.000 với "), F.when(k % 3 == 1, code("2.")).otherwise(code("1."))).alias("query"))
-    return E.unknown_codes(q, o.select(k.alias("query_id"), F.concat(F.lit("1.000 và "), code("1.")).alias("text")))
+    """The even turns of a conversation name codes, the odd ones are its sources."""
+    k = F.col("turn")
+    code = F.concat((1 + k % 3).cast("string"), F.lit("."), F.lpad((F.length("text") % 40).cast("string"), 3, "0"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), "turn", code.alias("code"))
+    asked = rows.filter(k % 2 == 0).groupBy("query_id").agg(F.concat_ws(" và ", F.collect_list("code")).alias("query"))
+    return E.unknown_codes(asked, rows.filter(k % 2 == 1).select("query_id", F.concat(F.lit("QTKĐ "), "code", F.lit(".")).alias("text")))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS query_id, l_suppkey % 3 AS file_order, l_partkey % 4 AS source_order, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_linenumber % 2 AS anchored FROM lineitem),
@@ -100,11 +104,15 @@ def m13_unsupported_numbers(spark, sf_dir):
     return E.unsupported_numbers(a, o.select(k.alias("query_id"), F.lit("giá trị 3.1 bar").alias("context")))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a [2] b  c [1][2]' ELSE 'a [2] b [3] c [1][2]' END AS text, CASE WHEN o_orderkey % 2 = 0 THEN '2,1' ELSE '2,3,1' END AS refs FROM orders")
+@query("""WITH a AS (SELECT conv_id, turn, substr(text, 1, 40) AS t, turn % 6 AS k, conv_id % 6 AS j, 1 + conv_id % 4 AS n FROM conversations)
+SELECT conv_id, turn, ltrim(t || ' ' || CASE WHEN k BETWEEN 1 AND n THEN '[' || k || ']' ELSE '' END || ' x ' || CASE WHEN j BETWEEN 1 AND n THEN '[' || j || ']' ELSE '' END || ' y') AS text,
+  concat_ws(',', CASE WHEN k BETWEEN 1 AND n THEN k END, CASE WHEN j BETWEEN 1 AND n AND j <> k THEN j END) AS refs FROM a""")
 def m14_clean_citations(spark, sf_dir):
-    n = F.when(F.col("o_orderkey") % 2 == 0, 2).otherwise(3)
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", E.clean_citations(F.lit("a [2] b [3] c [1][2]\n\nNguồn: [9] x\n[1] y"), n).alias("x"))
-    return rows.select("o_orderkey", "x.text", F.array_join(F.col("x.refs").cast("array<string>"), ",").alias("refs"))
+    """Texts with two marks, of which some name no source, and a source block of their own."""
+    mark = lambda c: F.concat(F.lit("["), (F.col(c) % 6).cast("string"), F.lit("]"))
+    answer = F.concat(F.substring("text", 1, 40), F.lit(" "), mark("turn"), F.lit(" x "), mark("conv_id"), F.lit(" y\n\nNguồn: [9] z\n[1] y"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", E.clean_citations(answer, 1 + F.col("conv_id") % 4).alias("x"))
+    return rows.select("conv_id", "turn", "x.text", F.array_join(F.col("x.refs").cast("array<string>"), ",").alias("refs"))
 
 
 @query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations),
@@ -183,20 +191,23 @@ def m17_ambiguous_devices(spark, sf_dir):
     return E.ambiguous_devices(q, cat)
 
 
-@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS empty FROM orders")
+@query("""WITH a AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Tài liệu KHÔNG nêu: ' || text WHEN 1 THEN text || ' không quy định' ELSE text END AS a FROM conversations)
+SELECT conv_id, turn, length(trim(a)) <= 120 AND regexp_matches(lower(a), 'không (nêu|quy định|đề cập)') AS empty FROM a""")
 def m8_empty_answers(spark, sf_dir):
-    k = F.col("o_orderkey") % 3
-    a = F.when(k == 0, "Tài liệu không nêu rõ.").when(k == 1, "Là 5 bar.").otherwise(F.concat(F.lit("Không nêu, "), F.repeat(F.lit("nhưng "), F.lit(40))))
-    return table(spark, sf_dir, "orders").select("o_orderkey", E.is_empty_answer(a).alias("empty"))
+    k = F.col("turn") % 3
+    a = F.when(k == 0, F.concat(F.lit("Tài liệu KHÔNG nêu: "), "text")).when(k == 1, F.concat("text", F.lit(" không quy định"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", E.is_empty_answer(a).alias("empty"))
 
 
-@query("""SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'không' WHEN 1 THEN 'a [2] b [1]' || chr(10) || chr(10) || 'Nguồn:' || chr(10) || '[2] t2' || chr(10) || '[1] ' || o_orderpriority || ', 4' ELSE 'a [9]' END AS answer FROM orders""")
+@query("""WITH a AS (SELECT conv_id * 1000 + turn AS query_id, text, 1 + turn % 3 AS k, 1 + conv_id % 2 AS j FROM conversations),
+l AS (SELECT *, CASE WHEN k <= 2 THEN '[' || k || '] s' || k || ', ' || (query_id % 9) END AS lk, CASE WHEN j <> k THEN '[' || j || '] s' || j || ', ' || (query_id % 9) END AS lj FROM a)
+SELECT query_id, md5(text || ' [' || k || '] a [' || j || '] b [' || k || ']' || CASE WHEN lk IS NULL AND lj IS NULL THEN '' ELSE chr(10) || chr(10) || 'Nguồn:' || chr(10) || concat_ws(chr(10), lk, lj) END) AS answer FROM l""")
 def m16_source_blocks(spark, sf_dir):
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders")
-    a = o.select(k.alias("query_id"), F.when(k % 3 == 0, "không").when(k % 3 == 1, "a [2] b [1]").otherwise("a [9]").alias("answer"))
-    row = lambda p, t, s: F.struct(F.lit(p).alias("pos"), t.alias("title"), F.lit(s).alias("section_path"))
-    return E.with_source_block(a, o.select(k.alias("query_id"), F.inline(F.array(row(1, F.col("o_orderpriority"), "4"), row(2, F.lit("t2"), "")))))
+    """Texts that cite two of three places, of which two have a source."""
+    q = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", (1 + F.col("turn") % 3).cast("string").alias("k"), (1 + F.col("conv_id") % 2).cast("string").alias("j"))
+    a = q.select("query_id", F.concat("text", F.lit(" ["), "k", F.lit("] a ["), "j", F.lit("] b ["), "k", F.lit("]")).alias("answer"))
+    row = lambda p: F.struct(F.lit(p).alias("pos"), F.lit(f"s{p}").alias("title"), (F.col("query_id") % 9).cast("string").alias("section_path"))
+    return E.with_source_block(a, q.select("query_id", F.inline(F.array(row(1), row(2))))).select("query_id", F.md5("answer").alias("answer"))
 
 
 @query("SELECT o_orderkey AS query_id, CASE o_orderkey % 4 WHEN 0 THEN 'density' WHEN 1 THEN 'error' END AS card FROM orders")

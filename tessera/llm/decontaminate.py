@@ -163,7 +163,7 @@ def _align_batch(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[n
     inside = np.arange(cols) < lb[:, None]
     slope = -GAP * np.arange(cols + 1)
     # A cell is score * big + (big - 1 - start): the larger one has the better score, then the earlier start.
-    big = np.int64(1 << 24)
+    big = np.int64(1 << 32)  # scores and starts of up to 2**31 words
     begin = big - 1 - np.arange(cols + 1, dtype=np.int64)
     h = np.broadcast_to(begin, (n, cols + 1)).copy()
     best, where = np.full(n, big - 1), np.zeros(n, np.int64)

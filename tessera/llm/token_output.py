@@ -9,6 +9,7 @@ and decompresses only these.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,9 @@ from tessera.llm.tokenize import WIDE_MEMO, library_encoder
 from tessera.session import settle, ship
 
 FRAME_IDS = 1 << 18
+
+#: Ids and documents after which a task closes its file and begins another.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 21
 LEVEL = 1
 
 # Fixed values of the zstd frame and seekable formats.
@@ -32,7 +36,10 @@ _SKIPPABLE_INDEX = 0x184D2A50
 _FOOTER_MAGIC = 0x8F92EAB1
 _CHECKSUMS = 0x80
 
-_MANIFEST = "file_no int, path string, n_docs long, n_ids long"
+_MANIFEST = "file_no long, path string, n_docs long, n_ids long"
+
+#: Files of one task are numbered from its own number times this.
+_PARTS = 1 << 20
 
 
 class FrameWriter:
@@ -42,7 +49,7 @@ class FrameWriter:
         self.out, self.most = out, 4 * frame_ids
         self.pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
         self.waiting: list[bytes] = []
-        self.size = 0
+        self.size = self.ids = 0
         self.entries: list[tuple[int, int, int]] = []
         self.keys: list[int | None] = []
         self.lengths: list[int] = []
@@ -50,6 +57,7 @@ class FrameWriter:
     def add(self, key: int | None, ids: bytes) -> None:
         self.keys.append(key)
         self.lengths.append(len(ids) // 4)
+        self.ids += len(ids) // 4
         for k in range(0, len(ids), self.most):
             part = ids[k : k + self.most]
             if self.size and self.size + len(part) > self.most:
@@ -122,8 +130,9 @@ class FrameReader:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 2, files: int | None = None) -> DataFrame:
     """Write every row's ids plus ``end_id`` in ascending key order; returns the settled list of files.
 
-    Rows are dealt to files by ranges of (key, hash of the text), so that even one key that many rows share is spread. A null
-    key comes first, a null text is empty, repeated rows are all written, rows of one key stand in the order of their texts' hashes.
+    Rows are dealt to tasks by ranges of (key, hash of the text, a number of its own), so that even one row that is repeated very often is spread; a task begins another
+    file after ``FILE_IDS`` ids or ``FILE_DOCS`` documents. A null key comes first, a null text is empty, repeated rows are all written, rows of one key
+    stand in the order of their texts' hashes.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -136,18 +145,21 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, key: str = "
         first = next(batches, None)
         if first is None:
             return
-        path = f"{folder}/ids-{number:06d}.zst"
-        with written(path) as out:
-            writer, b = FrameWriter(out), first
-            while b is not None:
-                for k, x in zip(b.column(0), b.column(1), strict=True):
-                    writer.add(k.as_py(), encode(x.as_py()) + end)
-                b = next(batches, None)
-            writer.close()
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([len(writer.keys)], pa.int64()), pa.array([sum(writer.lengths)], pa.int64())], names=["file_no", "path", "n_docs", "n_ids"])
-
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    dealt = rows.repartitionByRange(files, "k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
+        rows = (r for b in itertools.chain([first], batches) for r in zip(b.column(0), b.column(1), strict=True))
+        row, part = next(rows, None), 0
+        while row is not None:
+            path = f"{folder}/ids-{number:06d}-{part:06d}.zst"
+            with written(path) as out:
+                writer = FrameWriter(out)
+                while row is not None and writer.ids < FILE_IDS and len(writer.keys) < FILE_DOCS:
+                    writer.add(row[0].as_py(), encode(row[1].as_py()) + end)
+                    row = next(rows, None)
+                writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([number * _PARTS + part]), pa.array([path]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.ids], pa.int64())], names=["file_no", "path", "n_docs", "n_ids"])
+            part += 1
+
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("own")).withColumn("h", F.xxhash64("t"))
+    dealt = rows.repartitionByRange(files, "k", "h", "own").sortWithinPartitions("k", "h", "t").select("k", "t")
     return settle(dealt.mapInArrow(run, _MANIFEST))
 
 

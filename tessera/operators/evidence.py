@@ -63,7 +63,10 @@ def interleave(candidates: DataFrame, per_source: int, cap: int) -> DataFrame:
 
 
 def pick_quotes(scored: DataFrame, floor: float, relative: float, per_file: int) -> DataFrame:
-    """Quotes of each document by score, from both floors up, without one whose text an earlier pick contains; ``per_file`` at most. Rows: query_id, file_stem, score, text."""
+    """Quotes of each document by score, from both floors up, without one whose text an earlier pick contains; ``per_file`` at most. Rows: query_id, file_stem, score, text.
+
+    Rows are a query's hits, which the search has bounded; those above the floors are folded in order, since any of them may be contained in an earlier one.
+    """
     best = F.max("score").over(Window.partitionBy("query_id"))
     rows = scored.withColumn("best", best).filter(F.col("score") >= F.greatest(F.lit(floor), relative * F.col("best")))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "text")))

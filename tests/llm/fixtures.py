@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, x int, score double, kept boolean, set_key string, text_key string, band long, words array<string>"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, x int, score double, kept boolean, set_key string, text_key string, band long, words array<string>, h long, k long, t string, tie long, own long, size long, text_to_encode string, text_to_score string, bad_doc_id long, bad_text_key string, kept_doc_id long, kept_text_key string, n_tokens long, part int"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -27,4 +27,4 @@ def awkward(seed=1):
 
 def table(spark, rows):
     """Rows with the columns of documents and others whose names the operators might use themselves."""
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "r", 1, 0.5, False, "k", "tk", 7, ["w"]) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "r", 1, 0.5, False, "k", "tk", 7, ["w"], 1, 2, "t", 3, 4, 5, "e", "s", 6, "b", 7, "k", 8, 9) for i, t in rows], SCHEMA)

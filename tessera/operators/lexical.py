@@ -59,12 +59,17 @@ def build(chunks: DataFrame, scope: str | None = None) -> Index:
 
 
 def scores(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, chunk_id, score): sum over query tokens with repetition. Tokens that no query has are dropped before anything is counted by chunk."""
+    """(query_id, chunk_id, score): sum over query tokens with repetition. Tokens that no query has are dropped before anything is counted by chunk.
+
+    Chunks are dealt by their id first, as texts. Terms of a chunk and, while the queries' terms are few enough to be broadcast, scores of a chunk are then counted where
+    it is, so neither postings nor scores of every query and chunk are shuffled; the top of each task is.
+    """
     key = index.key
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(*key, "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy(*key, "query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = sized(q.join(index.terms, [*key, "term"]))
     asked = sized(q.select(*key, "term").distinct())
-    postings = _counted(index.chunks.select(*key, "chunk_id", "dl", F.explode("t").alias("term")).join(asked, [*key, "term"], "left_semi"), key)
+    postings = _counted(index.chunks.repartition(parts, "chunk_id").select(*key, "chunk_id", "dl", F.explode("t").alias("term")).join(asked, [*key, "term"], "left_semi"), key)
     rows = postings.join(wanted, [*key, "term"])
     rows = rows.join(index.totals, list(key)) if key else rows.join(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

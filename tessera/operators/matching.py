@@ -4,29 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.functions.text import word_runs
 from tessera.session import settle, sized
 
-#: Words of the run by which ``holders`` finds a passage's documents.
-RUN = 5
-
-
 def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, file_stem) of documents (file_stem, text) that contain a query's text, character for character.
 
-    The query's words but the first and last stand in such a document as they are, so one run of these is looked up, the one that
-    fewest documents have, and what it finds is confirmed. Queries of fewer than three words have no such run and are compared with every document.
+    The query's words but the first and last stand in such a document as they are, so the one of these that fewest documents have is looked up, and what it
+    finds is confirmed. Queries of fewer than three words have no such word and are compared with every document.
     """
-    inner = F.slice(F.split("query", " "), F.lit(2), F.greatest(F.size(F.split("query", " ")) - 2, F.lit(0)))
-    asked = settle(queries.select("query_id", "query", F.array_join(inner, " ").alias("inner"), F.size(inner).alias("words")).filter("query IS NOT NULL"))
-    runs = settle(asked.filter("words > 0").select("query_id", "words", F.explode(word_runs(F.col("inner"), F.array(F.least(F.col("words"), F.lit(RUN))))).alias("run")))
-    lengths = runs.agg(F.collect_set(F.least(F.col("words"), F.lit(RUN))).alias("lengths"))  # one row of at most RUN numbers
-    held = docs.crossJoin(F.broadcast(lengths)).select("file_stem", F.explode(word_runs(F.col("text"), F.col("lengths"))).alias("run"))
-    held = settle(held.join(sized(runs.select("run").distinct()), "run", "left_semi"))
-    rarest = runs.join(held.groupBy("run").agg(F.count("*").alias("n")), "run", "left").groupBy("query_id").agg(F.min_by("run", F.coalesce("n", F.lit(0))).alias("run"))
-    found = sized(rarest.join(held, "run").select("query_id", "file_stem").distinct().join(asked.select("query_id", "query"), "query_id"))
+    words = F.split("query", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    asked = settle(queries.select("query_id", "query", F.array_distinct(inner).alias("inner")).filter("query IS NOT NULL"))
+    own = settle(asked.select("query_id", F.explode("inner").alias("word")))
+    held = docs.select("file_stem", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    counts = held.join(sized(own.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    found = sized(held.join(sized(rarest), "word").select("query_id", "file_stem").join(asked.select("query_id", "query"), "query_id"))
     long_ = docs.join(found, "file_stem").filter(F.contains("text", "query")).select("query_id", "file_stem")
-    short = asked.filter("words = 0").select("query_id", "query")
+    short = asked.filter("size(inner) = 0").select("query_id", "query")
     if short.isEmpty():
         return long_.distinct()
     return long_.unionAll(docs.join(short, F.contains("text", "query")).select("query_id", "file_stem")).distinct()

@@ -44,3 +44,21 @@ def test_markup(spark):
     r = markup.to_sections(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).orderBy("page_id").collect()
     assert (r[0].title, r[0].heading, r[0].paragraphs, r[0].links) == ("T", "H & h", ["a b c", "d"], ["/u"])
     assert r[2].paragraphs == [] and r[1].title is None
+
+
+def test_files_are_written_whole_and_by_name(spark, tmp_path):
+    import pytest
+
+    rows = spark.createDataFrame([("a.md", "x\ny"), ("b +%.md", None)], "name string, text string")
+    assert sorted(map(tuple, io.write_files(rows, f"{tmp_path}/out").collect())) == [("a.md", 3), ("b +%.md", 0)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.md", "b +%.md"]
+    assert {tuple(r) for r in io.read_markdown(spark, f"{tmp_path}/out").collect()} >= {("a", "x\ny")}
+    with pytest.raises(Exception, match="no file name"):
+        io.write_files(spark.createDataFrame([("../a", "x")], "name string, text string"), f"{tmp_path}/out")
+
+
+def test_sweep_report(spark):
+    rows = spark.createDataFrame([(a, k, 10, 0.5 + a / 10, 0.4) for a in (0.4, 0.5) for k in (30, 60) if (a, k) != (0.4, 30)], "alpha double, k int, n long, recall double, mrr double")
+    decision = spark.createDataFrame([(0.5, 60, False, "the present setting is first")], "alpha double, k int, change boolean, reason string")
+    text = io.sweep_report(rows, decision)
+    assert "| 1 | 0.5 | 60 | 0.550 | 0.400 |" in text and "| 0.4 | - | 0.540 |" in text and "- Change: no\n- Reason: the present" in text

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import fusion, metrics, selection as S
 from tessera.plans.registry import query
-from tessera.plans.retrieval_queries import _METRICS, BM25, CHUNKS, FUSED, GOLD, SWEEP, _sweep, bm25, chunks, expected, nearest, questions, with_place
+from tessera.plans.retrieval_queries import BM25, CHUNKS, FUSED, GOLD, SWEEP, _sweep, bm25, chunks, expected, nearest, questions, with_place
 from tessera.session import settle, shared_dir, table
 from tessera.sources import io
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, license_scan, neardup, quality, sharding, token_counts, token_output, warc, webp
+from tessera.llm import bpe, decontaminate, license_scan, neardup, periodic, quality, sharding, token_counts, token_output, warc, webp
 from tessera.session import table
 
 #: Vocabulary file of the queries; operators take any path.
@@ -52,7 +52,12 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_warc, op3_bpe, op4_token_files, op5_licences, op6_quality, op7_webp, op8_token_counts, op9_shards, op10_contamination)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.periodic_runs(periodic.with_runs(table(spark, sf_dir, "documents"))))
+
+
+_ALL = (op1_near_duplicates, op2_warc, op3_bpe, op4_token_files, op5_licences, op6_quality, op7_webp, op8_token_counts, op9_shards, op10_contamination, op12_periodic_runs)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, license_scan, neardup, periodic, quality, sharding, token_counts, token_output, warc, webp
+from tessera.llm import bpe, decontaminate, license_scan, neardup, periodic, quality, repair, sharding, token_counts, token_output, warc, webp
 from tessera.session import table
 
 #: Vocabulary file of the queries; operators take any path.
@@ -56,7 +56,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.summary(periodic.periodic_runs(periodic.with_runs(table(spark, sf_dir, "documents"))))
 
 
-_ALL = (op1_near_duplicates, op2_warc, op3_bpe, op4_token_files, op5_licences, op6_quality, op7_webp, op8_token_counts, op9_shards, op10_contamination, op12_periodic_runs)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    report, _ = repair.repair(repair.damaged(conversations))
+    return repair.with_all(report, conversations)
+
+
+_ALL = (op1_near_duplicates, op2_warc, op3_bpe, op4_token_files, op5_licences, op6_quality, op7_webp, op8_token_counts, op9_shards, op10_contamination, op12_periodic_runs, op13_conversation_repair)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -81,17 +81,18 @@ def _signature(sketch: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
 
 
-def _distinct(e: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
+def distinct_sets(e: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
     return [np.unique(e[where[i] : where[i + 1]]) for i in range(len(where) - 1)]
 
 
-def _set_key(s: np.ndarray) -> bytes | None:
+def set_key_of(s: np.ndarray) -> bytes | None:
     return hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None
 
 
-def _elements(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def elements(data: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``k`` words of each text, and where each text's begin."""
     h, _, first = words(data, at, word_table("space"))
-    return grams(h, first, WORDS, short=True)
+    return grams(h, first, k, short=True)
 
 
 def _text_key(text: Column) -> Column:
@@ -106,11 +107,11 @@ def features(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, at = utf8(b.column(1))
             for i, j in blocks(at):
-                e, where = _elements(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                sets = _distinct(e, where)
+                e, where = elements(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                sets = distinct_sets(e, where)
                 size = np.array([len(s) for s in sets], np.int64)
                 none = size == 0
-                keys = [_set_key(s) for s in sets]
+                keys = [set_key_of(s) for s in sets]
                 sketch = sketches(e, where)
                 sign = _signature(sketch)
                 band = sketch.reshape(-1, BANDS, ROWS) * np.array([number(3000 + k) for k in range(ROWS)])
@@ -122,7 +123,7 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, " + ", ".join(f"{s} long" for s in SIGN_NAMES) + ", bands array<long>")
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+def only(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast | None]:
     """``docs`` with a hash ``h`` of the id, and a bit table of fixed size (``BITS`` bits) of the wanted ids' hashes, with which tasks pass over most other texts.
 
     Beyond an eighth of the bits the wanted rows are picked by a join instead.
@@ -138,7 +139,7 @@ def _only(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast | No
     return docs.withColumn("h", hashed("doc_id")), docs.sparkSession.sparkContext.broadcast(table)
 
 
-def _wanted_rows(b: pa.RecordBatch, table: Broadcast | None) -> pa.RecordBatch:
+def wanted_rows(b: pa.RecordBatch, table: Broadcast | None) -> pa.RecordBatch:
     """Rows of (doc_id, text, h) whose bit is set."""
     if table is None:
         return b
@@ -146,18 +147,18 @@ def _wanted_rows(b: pa.RecordBatch, table: Broadcast | None) -> pa.RecordBatch:
     return b.filter(pa.array((table.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int = WORDS) -> DataFrame:
     """node and the sorted 64-bit hashes of its whole set, once for each set, for at least the wanted doc_ids."""
     ship(docs.sparkSession)
-    rows, table = _only(docs, wanted)
+    rows, table = only(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (_wanted_rows(b, table) for b in batches):
+        for b in (wanted_rows(b, table) for b in batches):
             data, at = utf8(b.column(1))
             for i, j in blocks(at):
-                sets = _distinct(*_elements(data[at[i] : at[j]], at[i : j + 1] - at[i]))
+                sets = distinct_sets(*elements(data[at[i] : at[j]], at[i : j + 1] - at[i], k))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                keys = pa.array([_set_key(s) for s in sets], pa.binary())
+                keys = pa.array([set_key_of(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "set_key", "elements"])
 
     found = rows.mapInArrow(run, "doc_id long, set_key binary, elements array<long>")
@@ -195,26 +196,26 @@ def _stars(placed: DataFrame, turn: int) -> DataFrame:
     return tried.filter(fits & (F.col("apart") <= MOST_DISAGREE)).groupBy("node").agg(F.min_by("hub", "apart").alias("hub"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v), u < v, of the pairs (node, hub) whose full sets reach the similarity."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v), u < v, of the pairs (node, hub) whose full sets reach the similarity of ``percent``."""
     of_hub = sets.select(F.col("node").alias("hub"), F.col("elements").alias("hub_elements"))
     both = F.size(F.array_intersect("elements", "hub_elements"))
-    linked = (100 + PERCENT) * both >= PERCENT * (F.size("elements") + F.size("hub_elements"))
-    found = pairs.join(sets, "node").join(of_hub, "hub").filter(linked)
+    enough = (100 + percent) * both >= percent * (F.size("elements") + F.size("hub_elements"))
+    found = pairs.join(sets, "node").join(of_hub, "hub").filter(enough)
     return found.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
 
 
-def _groups(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For mixed bands: (band, root, own, g) of every root, and (band, own, g, c, w, parts) of the groups that tiles are made of.
+def groups_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For mixed bands of members (band, node, root, n): (band, root, own, g) of every root, and (band, own, g, lo, c, w, parts) of the groups that tiles are made of.
 
     A band's members of one root are a group of their own where they fill half a part; the band's other members are its pool. A group is to be
     cut into parts of about ``TILE`` members and ``TILE_ELEMENTS`` elements.
     """
-    roots = _members(placed).groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    roots = members.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     roots = roots.withColumn("own", (F.col("c") > TILE // 2) | (F.col("w") > TILE_ELEMENTS // 2)).withColumn("g", F.when(F.col("own"), F.col("root")).otherwise(0))
-    mixed = roots.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    mixed = roots.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "lo")
     roots = settle(roots.join(mixed, "band"))
-    groups = roots.groupBy("band", "own", "g").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).withColumn("parts", _share())
+    groups = roots.groupBy("band", "own", "g").agg(F.min("lo").alias("lo"), F.sum("c").alias("c"), F.sum("w").alias("w")).withColumn("parts", _share())
     return roots.select("band", "root", "own", "g"), settle(groups)
 
 
@@ -222,42 +223,43 @@ def _share() -> Column:
     return F.ceil(F.greatest(F.col("c") / TILE, F.col("w") / TILE_ELEMENTS)).cast("int")
 
 
-def _spread(groups: DataFrame) -> float:
+def spread(groups: DataFrame) -> float:
     """Rows in tiles for each member. A part of the pool meets all parts of its band, another part those of other groups."""
     band = groups.groupBy("band").agg(F.sum("c").alias("c"), (F.sum("c") * F.sum("parts") - F.sum(F.when(F.col("own"), F.col("c") * F.col("parts")).otherwise(0))).alias("rows"))
     got = band.agg(F.sum("c").alias("c"), F.sum("rows").alias("rows")).first()
     return got.rows / got.c if got.c else 0.0
 
 
-def _tiles(placed: DataFrame, roots: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of mixed bands, dealt to tiles so that every two members of a band with different roots meet in a tile.
+def tiles_of(members: DataFrame, roots: DataFrame, groups: DataFrame, home: Column | None = None) -> DataFrame:
+    """(tile, side, band, node): members of mixed bands, dealt to tiles so that every two members of a band with different roots meet in a tile.
 
     Groups are cut into their parts by a hash. Two parts of different groups are the two sides of a tile,
-    as are two parts of the pool; a part of the pool is a tile by itself too, and pools of one part share tiles. So a
+    as are two parts of the pool; a part of the pool is a tile by itself too, and pools of one part share tiles (those of equal ``home``, a hash of columns of ``groups``, share one). So a
     band of many members with few roots costs its members times the parts of the other roots; a large group is not compared inside itself.
     """
     small = groups.filter("NOT own AND parts = 1").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select(_share()).first()[0] or 1
-    side = lambda s: groups.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("own", "g", "parts")))
+    home = F.xxhash64("band") if home is None else home
+    groups = groups.withColumn("home", home)
+    side = lambda s: groups.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("own", "g", "parts", "home")))
     pool = ~F.col("own_a") & ~F.col("own_b")
     met = side("a").join(side("b"), "band").filter(pool | (F.struct("own_a", "g_a") < F.struct("own_b", "g_b")))
     met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
     met = met.withColumn("j", F.explode(F.sequence(F.when(pool, F.col("i")).otherwise(0), F.col("parts_b") - 1)))
-    tile = F.when(pool & (F.col("parts_a") == 1), F.pmod(F.xxhash64("band"), F.lit(small))).otherwise(F.xxhash64("band", "own_a", "g_a", "i", "own_b", "g_b", "j"))
+    tile = F.when(pool & (F.col("parts_a") == 1), F.pmod(F.col("home_a"), F.lit(small))).otherwise(F.xxhash64("band", "own_a", "g_a", "i", "own_b", "g_b", "j"))
     slot = lambda s, part, k: F.struct(F.col(f"own_{s}").alias("own"), F.col(f"g_{s}").alias("g"), F.col(part).alias("part"), F.lit(k).alias("side"))
     both = F.when(pool & (F.col("i") == F.col("j")), F.array(slot("a", "i", 0))).otherwise(F.array(slot("a", "i", 0), slot("b", "j", 1)))
     slots = met.select("band", tile.alias("tile"), F.explode(both).alias("x")).select("band", "tile", "x.*")
     group_of = roots.join(groups.select("band", "own", "g", "parts"), ["band", "own", "g"])
     part = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("root"))), F.col("parts")).cast("int")
-    dealt = _members(placed).select("band", "node", "root").join(group_of, ["band", "root"]).withColumn("part", part)
-    spread = dealt.join(slots, ["band", "own", "g", "part"]).select("tile", "side", "band", "node")
-    return spread.join(placed.select("node", "root", "n", "bands", *SIGN_NAMES), "node")
+    dealt = members.select("band", "node", "root").join(group_of, ["band", "root"]).withColumn("part", part)
+    return dealt.join(slots, ["band", "own", "g", "part"]).select("tile", "side", "band", "node")
 
 
-def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a list column, and where each row's begin."""
     whole = column.combine_chunks()
     whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
@@ -273,9 +275,9 @@ def candidates(tiles: DataFrame) -> DataFrame:
     schema = "tile long, node long, root long, partners array<long>"
 
     def run(t: pa.Table) -> pa.Table:
-        side, band, node, root, n = (_numbers(t[c]) for c in ("side", "band", "node", "root", "n"))
-        bands = _lists(t["bands"])[0].reshape(-1, BANDS)
-        signs = np.stack([_numbers(t[s]) for s in SIGN_NAMES], 1).view(np.uint64)
+        side, band, node, root, n = (numbers(t[c]) for c in ("side", "band", "node", "root", "n"))
+        bands = lists(t["bands"])[0].reshape(-1, BANDS)
+        signs = np.stack([numbers(t[s]) for s in SIGN_NAMES], 1).view(np.uint64)
         two = side.any()
         a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(side)),) * 2
         found = [np.zeros((0, 2), np.int64)]
@@ -304,13 +306,13 @@ def candidates(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("tile").applyInArrow(run, schema)
 
 
-def forests(found: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v), u < v: of each tile's candidates, true links that join all that its true links join."""
+def forests(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v), u < v: of each tile's candidates, true links (similarity of ``percent``) that join all that its true links join."""
 
     def run(t: pa.Table) -> pa.Table:
-        node, label = _numbers(t["node"]), np.unique(_numbers(t["root"]), return_inverse=True)[1]
-        values, at = _lists(t["elements"])
-        partners, where = _lists(t["partners"])
+        node, label = numbers(t["node"]), np.unique(numbers(t["root"]), return_inverse=True)[1]
+        values, at = lists(t["elements"])
+        partners, where = lists(t["partners"])
         code = np.unique(values, return_inverse=True)[1]
         size = np.diff(at)
         owner = np.repeat(np.arange(len(node)), size)
@@ -328,7 +330,7 @@ def forests(found: DataFrame, sets: DataFrame) -> DataFrame:
             else:
                 both = np.array([np.count_nonzero(mark[code[at[r] : at[r + 1]]]) for r in rows])
             mark[own] = False
-            for r in rows[(100 + PERCENT) * both >= PERCENT * (size[i] + size[rows])]:
+            for r in rows[(100 + percent) * both >= percent * (size[i] + size[rows])]:
                 if label[r] != label[i]:
                     label[label == label[r]] = label[i]
                     out.append(sorted((int(node[i]), int(node[r]))))
@@ -360,6 +362,15 @@ def components(edges: DataFrame) -> DataFrame:
     return settle(out) if len(maps) > 1 else out
 
 
+def linked(placed: DataFrame, new: DataFrame) -> DataFrame:
+    """``placed`` with the roots that new links between nodes lead to."""
+    root_of = placed.select("node", "root")
+    to = lambda c: root_of.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    edges = new.join(to("u"), "u").join(to("v"), "v").select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).filter("u < v").distinct()
+    moved = components(settle(edges)).select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return settle(placed.join(moved, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, set_key (which equal sets share) and text_key (which equal texts share).
 
@@ -380,25 +391,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     alone = settle(nodes.join(shared, "node").select("node", F.col("node").alias("root"), "n", *SIGN_NAMES, "bands", F.array_intersect("bands", "shared").alias("shared")))
     sets = settle(full_sets(rows, alone.select(F.col("node").alias("doc_id"))))
 
-    def linked(placed: DataFrame, new: DataFrame) -> DataFrame:
-        """``placed`` with the roots that new links between nodes lead to."""
-        root_of = placed.select("node", "root")
-        to = lambda c: root_of.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        edges = new.join(to("u"), "u").join(to("v"), "v").select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).filter("u < v").distinct()
-        moved = components(settle(edges)).select(F.col("node").alias("root"), F.col("root").alias("next"))
-        return settle(placed.join(moved, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next"))
-
     placed, most = alone, 0
     for turn in range(BINS):
         new = settle(confirmed(_stars(placed, turn), sets))
         found = new.count()
         if found:
             placed = linked(placed, new)
-        roots, groups = _groups(placed)
-        if not found or FEW * found <= most or _spread(groups) <= SPREAD:
+        roots, groups = groups_of(_members(placed))
+        if not found or FEW * found <= most or spread(groups) <= SPREAD:
             break
         most = max(most, found)
-    more = settle(forests(settle(candidates(_tiles(placed, roots, groups))), sets))
+    tiles = tiles_of(_members(placed), roots, groups).join(placed.select("node", "root", "n", "bands", *SIGN_NAMES), "node")
+    more = settle(forests(settle(candidates(tiles)), sets))
     if not more.isEmpty():
         placed = linked(placed, more)
     root = placed.groupBy("node").agg(F.min("root").alias("root"))

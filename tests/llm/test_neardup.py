@@ -133,11 +133,11 @@ def test_wanted_rows_by_a_join(spark, monkeypatch):
     """Beyond an eighth of the bit table the wanted rows are joined; components stay the same."""
     monkeypatch.setattr(neardup, "BITS", 1 << 16)
     docs = spark.createDataFrame(crowd(40, 20), "doc_id long, text string")
-    few, table_ = neardup._only(docs, docs.select("doc_id").limit(10))
+    few, table_ = neardup.only(docs, docs.select("doc_id").limit(10))
     assert table_ is not None and few.count() == 60
     monkeypatch.setattr(neardup, "BITS", 64)
     some = docs.select("doc_id").filter("doc_id < 30")
-    joined, none = neardup._only(docs, some)
+    joined, none = neardup.only(docs, some)
     assert none is None and joined.count() == 30
     root, _ = dense_roots(crowd(40, 20))
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == root

@@ -1,10 +1,13 @@
-"""Benchmark decontamination: n-gram seeds lead from training passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds lead from training passages to test items, Smith-Waterman alignment scores them.
 
-The test items (in blocks of ``BLOCK_WORDS`` words) are sent to all tasks. Every run of ``SEED`` words of an item is a seed, however many documents hold it. Where a document has
-one, the words that an alignment through it can cover are a passage of that item. A passage without enough of the item's words to reach ``LEAST_SCORE`` is left out (a
-bound, so nothing is lost by it); all others are aligned. A pair is reported if its score reaches ``LEAST_SCORE`` of a full match.
+An alignment of ``LEAST_SCORE`` or more of an item of n words has at least n / 2 - 1 matched words whose next matched word follows with one error at most. So it holds at least
+so many of the item's n - 1 seeds: two words, next to each other or with one between, in the item as in the document. All seeds are counted over the corpus;
+of each item only the rarest are searched, about two thirds, so that at least a third of the n / 2 - 1 are among them wherever the commonest stand. A run of words
+that many items and documents share leads nowhere unless the document holds rarer seeds of the item as well.
 
-Seeds can't reach copies that keep no run of ``SEED`` words: every third word replaced (a score of about 0.5), a word put in after every second (0.75), or two words kept of three.
+The test items (in blocks of ``BLOCK_WORDS`` words) are sent to all tasks. Where a document holds enough of an item's rare seeds within the words that an alignment can span, these words are a
+passage of that item. A passage without enough of the item's words to reach ``LEAST_SCORE`` is left out; all others are aligned, and a pair is reported if its score reaches ``LEAST_SCORE`` of a full
+match. Every bound is a necessary condition, so no pair that scores enough is lost. Items of fewer than ``LEAST_WORDS`` words are found only as they stand.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.blocks import blocks, grams, mix, utf8, word_table, words
+from tessera.llm.blocks import blocks, mix, number, utf8, word_table, words
 from tessera.session import settle, ship
 
-SEED = 3
+#: Items of fewer words have no seeds; their whole sequence is one.
+LEAST_WORDS = 3
 
 # Alignment of words: a match, another word in its place, a word too many or too few.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -70,36 +74,82 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     return source.mapInArrow(run, "item_id long, item_words array<long>").filter("size(item_words) > 0")
 
 
-def _runs(h: np.ndarray, first: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The runs of ``SEED`` words, and those of each shorter size that some item consists of."""
-    out = []
-    for k in sizes:
-        if k == SEED:
-            out.append(grams(h, first, SEED, short=False))
-        else:
-            g = np.zeros(0, np.uint64)
-            n = np.maximum(np.diff(first) - k + 1, 0)
-            where = np.concatenate([[0], np.cumsum(n)])
-            start = np.arange(where[-1]) - np.repeat(where[:-1] - first[:-1], n)
-            ends = np.stack([start, start + k], 1).ravel() if len(start) else np.zeros(0, np.int64)
-            pieces = h[(start[:, None] + np.arange(k)).ravel()] if len(start) else np.zeros(0, np.uint64)
-            g, _ = grams(pieces, np.arange(0, len(pieces) + 1, k), SEED, short=True) if len(pieces) else (g, ends)
-            out.append((g, where))
-    return out
+def _runs(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of each run of ``k`` < ``LEAST_WORDS`` words."""
+    n = np.maximum(np.diff(first) - k + 1, 0)
+    at = _spread(first[:-1], n)
+    g = np.full(len(at), number(9000 + k))
+    for i in range(k):
+        g += h[at + i] * number(9010 + i)
+    return mix(g), np.repeat(np.arange(len(n)), n), at
+
+
+def _seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of each two words of a text that are next to each other or have one between; the place is that of the first."""
+    one, two = h * number(9020), h * number(9021)
+    parts = []
+    for apart in (1, 2):
+        n = np.maximum(np.diff(first) - apart, 0)
+        at = _spread(first[:-1], n)
+        parts.append((mix(one[at] + two[at + apart]), np.repeat(np.arange(len(n)), n), at))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _all_seeds(h: np.ndarray, first: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of documents, and runs of the sizes ``short``."""
+    parts = [_seeds(h, first), *(_runs(h, first, k) for k in short)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+Items = dict[str, np.ndarray]
 
 
-def _seeds_of(block: pa.Table) -> dict[str, np.ndarray]:
-    """A block of items: ids, word hashes, where each item's begin; its runs (sorted), and for each the items and places that have it."""
-    lists = block.column("item_words").combine_chunks()
-    at = np.asarray(lists.offsets).astype(np.int64)
-    h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+def _items_of(block: pa.Table) -> Items:
+    """A block of items: ids, word hashes, where each item's begin, and all seeds: hash, item, place."""
+    column = block.column("item_words").combine_chunks()
+    at = np.asarray(column.offsets).astype(np.int64)
+    h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     first = at - at[0]
-    g, where = grams(h, first, SEED, short=True)
-    item = np.repeat(np.arange(len(first) - 1), np.diff(where))
+    size = np.diff(first)
+    g, item, place = _seeds(h, first)
+    long = size[item] >= LEAST_WORDS
+    g, item, place = g[long], item[long], place[long]
+    for k in range(1, LEAST_WORDS):
+        whole = _runs(h, first, k)
+        some = size[whole[1]] == k
+        g, item, place = (np.concatenate([x, y[some]]) for x, y in zip((g, item, place), whole, strict=True))
+    return {"ids": block.column("item_id").to_numpy(), "words": h, "first": first, "seed": g, "item": item, "place": place - first[item]}
+
+
+def _rarest(items: Items, runs: np.ndarray, often: np.ndarray) -> Items:
+    """The items with the seeds that are to be searched: ``runs`` (sorted hashes), for each the items and places that have it, and how many places each item ``need``s.
+
+    ``often`` says how often each of ``runs`` stands in the corpus. Of n - 1 places an alignment holds n / 2 - 1 or more, ``t``; so of all but the t - need commonest it holds ``need``.
+    """
+    size = np.diff(items["first"])
+    t = np.maximum((size + 1) // 2 - 1, 1)
+    need = np.maximum(t // 3, 1)
+    g, item, place = items["seed"], items["item"], items["place"]
+    # Places by how often their seeds stand in the corpus, commonest first.
+    slot = items["first"][item] + place
+    weight = np.bincount(slot, often[np.searchsorted(runs, g)], minlength=len(items["words"]))
+    owner = np.repeat(np.arange(len(size)), size)
+    has = np.bincount(slot, minlength=len(owner)) > 0
+    order = np.lexsort((-weight, ~has, owner))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - items["first"][owner[order]]
+    keep = rank[slot] >= (t - need)[item]
+    g, item, place = g[keep], item[keep], place[keep]
     order = np.argsort(g, kind="stable")
     runs, begin = np.unique(g[order], return_index=True)
-    place = (np.arange(len(g)) - where[item])[order]
-    return {"ids": block.column("item_id").to_numpy(), "words": h, "first": first, "runs": runs, "begin": np.append(begin, len(g)), "item": item[order], "place": place}
+    return {"ids": items["ids"], "words": items["words"], "first": items["first"], "runs": runs, "begin": np.append(begin, len(g)), "item": item[order], "place": place[order], "need": need}
+
+
+def _part(known: Items, p: int, parts: int) -> Items:
+    """The seeds of every ``parts``-th item."""
+    keep = known["item"] % parts == p
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return known | {"begin": before[known["begin"]], "item": known["item"][keep], "place": known["place"][keep]}
 
 
 def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -107,23 +157,44 @@ def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
 
 
-def _candidates(run: np.ndarray, pos: np.ndarray, doc: np.ndarray, h: np.ndarray, first: np.ndarray, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, item, from, to): the words of documents that an alignment of ``LEAST_SCORE`` through some of these seeds can cover, if they hold enough of the item's words.
+def _candidates(run: np.ndarray, pos: np.ndarray, doc: np.ndarray, h: np.ndarray, first: np.ndarray, known: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, item, from, to): the words of documents that an alignment of ``LEAST_SCORE`` can cover, if they hold enough of the item's rare seeds and of its words.
 
-    Such an alignment has at most as many words too many as the item has words, so it begins no more than (place + length) words before the seed. Places that overlap are one.
+    Such an alignment has at most as many words too many as the item has words. So all its seeds stand within twice the item's length, and it begins no more
+    than (place + length) words before one of them. Places that overlap are one.
     """
     n = known["begin"][run + 1] - known["begin"][run]
     at = _spread(known["begin"][run], n)
-    item, doc = known["item"][at], np.repeat(doc, n)
+    item, place, doc, pos = known["item"][at], known["place"][at], np.repeat(doc, n), np.repeat(pos, n)
+    order = np.lexsort((pos, item, doc))
+    item, place, doc, pos = item[order], place[order], doc[order], pos[order]
     size = known["first"][item + 1] - known["first"][item]
-    zero = np.repeat(pos, n) - known["place"][at]
+    # Words of the document with a seed of an item, and those of them that stand close enough to as many as are needed.
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1])
+    u = np.flatnonzero(other)
+    need = known["need"][item[u]]
+    last = np.minimum(np.arange(len(u)) + need - 1, len(u) - 1)
+    enough = (np.arange(len(u)) + need <= len(u)) & (doc[u[last]] == doc[u]) & (item[u[last]] == item[u]) & (pos[u[last]] - pos[u] <= 2 * size[u])
+    over = np.zeros(len(u) + 1, np.int64)
+    np.add.at(over, np.flatnonzero(enough), 1)
+    np.add.at(over, last[enough] + 1, -1)
+    held = np.cumsum(over)[:-1][np.cumsum(other) - 1] > 0 if len(u) else other
+    item, place, doc, pos, size = item[held], place[held], doc[held], pos[held], size[held]
+    zero = pos - place
     lo, hi = np.maximum(zero - size, first[doc]), np.minimum(zero + 2 * size, first[doc + 1])
     order = np.lexsort((lo, item, doc))
     doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+    # An interval may reach beyond a later one only by its place, so the furthest end so far decides.
+    reach = hi.copy()
+    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
+    group = np.concatenate([[0], np.cumsum(~same)]) if len(doc) else np.zeros(0, np.int64)
+    far = np.int64(h.size + 1)
+    reach = np.maximum.accumulate(reach + group * far) - group * far
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+    new[1:] = ~same | (lo[1:] > reach[:-1])
     s = np.flatnonzero(new)
-    doc, item, lo, hi = doc[s], item[s], lo[s], hi[np.append(s[1:], len(new)) - 1]
+    doc, item, lo, hi = doc[s], item[s], lo[s], reach[np.append(s[1:], len(new)) - 1] if len(s) else hi
     keep = np.zeros(len(s), bool)
     cost = np.cumsum(hi - lo)
     i = 0
@@ -185,7 +256,30 @@ def _align_batch(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[n
     return best // big, big - 1 - best % big, where
 
 
-def _aligned(docs: DataFrame, known, sizes: list[int]) -> DataFrame:
+def _often(docs: DataFrame, runs: np.ndarray, short: list[int]) -> np.ndarray:
+    """How often each of the seeds ``runs`` (sorted) stands in the documents (doc_id, text, text_key)."""
+    held = docs.sparkSession.sparkContext.broadcast(runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(held.value)
+        count = np.zeros(len(table[0]), np.int64)
+        for b in batches:
+            data, at = utf8(b.column(0))
+            for i, j in blocks(at):
+                h, _, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], word_table("plain"))
+                g, _, _ = _all_seeds(h, first, short)
+                count += np.bincount(np.searchsorted(table[0], g[_hits(g, table)]), minlength=len(count))
+        seen = np.flatnonzero(count)
+        for k in range(0, len(seen), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + (1 << 16)]), pa.array(count[seen[k : k + (1 << 16)]])], names=["k", "c"])
+
+    total = docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # two for each word of a block at most
+    out = np.zeros(len(runs), np.int64)
+    out[total.column("k").to_numpy()] = total.column("c").to_numpy()
+    return out
+
+
+def _aligned(docs: DataFrame, known, short: list[int]) -> DataFrame:
     """Documents (doc_id, text, text_key) aligned with a block of items: a row per passage whose score reaches ``LEAST_SCORE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,28 +289,37 @@ def _aligned(docs: DataFrame, known, sizes: list[int]) -> DataFrame:
             data, at = utf8(b.column(1))
             for i, j in blocks(at):
                 h, _, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i], word_table("plain"))
-                for g, where in _runs(h, first, sizes):
-                    hit = _hits(g, table)
-                    doc = np.searchsorted(where, hit, side="right") - 1
-                    pos, seed = hit - where[doc] + first[doc], np.searchsorted(table[0], g[hit])
-                    cost = np.cumsum(items["begin"][seed + 1] - items["begin"][seed])
-                    k = 0
-                    while k < len(hit):
-                        m = max(k + 1, int(np.searchsorted(cost, cost[k] + SEED_PAIRS)))
-                        d, item, lo, hi = _candidates(seed[k:m], pos[k:m], doc[k:m], h, first, items)
-                        k = m
-                        if not len(d):
-                            continue
-                        score, begin, end = _align_all([items["words"][items["first"][x] : items["first"][x + 1]] for x in item], [h[x:y] for x, y in zip(lo, hi, strict=True)])
-                        share = score / (MATCH * (items["first"][item + 1] - items["first"][item]))
-                        good = np.flatnonzero(share >= LEAST_SCORE)
-                        d, start = d[good], (lo - first[d])[good]
-                        ids = pa.array(d + i)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(2).take(ids), pa.array(items["ids"][item[good]]), pa.array(share[good]), pa.array(start + begin[good]), pa.array(start + end[good])], names=["doc_id", "text_key", "item_id", "score", "first_word", "end_word"])
+                g, doc, pos = _all_seeds(h, first, short)
+                hit = _hits(g, table)
+                hit = hit[np.argsort(doc[hit], kind="stable")]
+                doc, pos, seed = doc[hit], pos[hit], np.searchsorted(table[0], g[hit])
+                for some, held in _shares(doc, seed, items):
+                    d, item, lo, hi = _candidates(seed[some], pos[some], doc[some], h, first, held)
+                    if not len(d):
+                        continue
+                    score, begin, end = _align_all([items["words"][items["first"][x] : items["first"][x + 1]] for x in item], [h[x:y] for x, y in zip(lo, hi, strict=True)])
+                    share = score / (MATCH * (items["first"][item + 1] - items["first"][item]))
+                    good = np.flatnonzero(share >= LEAST_SCORE)
+                    d, start = d[good], (lo - first[d])[good]
+                    ids = pa.array(d + i)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(2).take(ids), pa.array(items["ids"][item[good]]), pa.array(share[good]), pa.array(start + begin[good]), pa.array(start + end[good])], names=["doc_id", "text_key", "item_id", "score", "first_word", "end_word"])
 
     return docs.mapInArrow(run, "doc_id long, text_key string, item_id long, score double, first_word long, end_word long")
 
 
+def _shares(doc: np.ndarray, seed: np.ndarray, items: Items) -> Iterator[tuple[slice, Items]]:
+    """Seeds of whole documents that lead to about ``SEED_PAIRS`` items in all; a document that has more is taken with a part of the items at a time."""
+    cost = np.concatenate([[0], np.cumsum(items["begin"][seed + 1] - items["begin"][seed])])
+    ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc)) if len(doc) else doc
+    k = 0
+    while k < len(doc):
+        m = int(ends[max(np.searchsorted(cost[ends], cost[k] + SEED_PAIRS, side="right") - 1, np.searchsorted(ends, k, side="right"))])
+        parts = -(-int(cost[m] - cost[k]) // SEED_PAIRS)
+        for p in range(parts):
+            yield slice(k, m), items if parts == 1 else _part(items, p, parts)
+        k = m
+
+
 def _align_all(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_align_batch`` of any number of pairs, those of like size together."""
     n, size = len(items), np.array([len(p) for p in passages])
@@ -248,11 +351,14 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = None
     for p in range(parts):
         block = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) if parts > 1 else known
-        held = _seeds_of(block.toArrow())  # at most BLOCK_WORDS words
+        held = _items_of(block.toArrow())  # at most BLOCK_WORDS words
         if not len(held["ids"]):
             continue
-        sizes = sorted({int(x) for x in np.minimum(np.diff(held["first"]), SEED)})
-        got = _aligned(rows, spark.sparkContext.broadcast(held), sizes)
+        size = np.diff(held["first"])
+        short = [k for k in range(1, LEAST_WORDS) if (size == k).any()]
+        runs = np.unique(held["seed"])
+        held = _rarest(held, runs, _often(rows, runs, short))
+        got = _aligned(rows, spark.sparkContext.broadcast(held), short)
         out = got if out is None else out.unionAll(got)
     if out is None:
         return spark.createDataFrame([], "doc_id long, text_key string, item_id long, score double, first_word long, end_word long")

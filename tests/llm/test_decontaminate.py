@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -141,3 +142,61 @@ def test_pipeline_stages(spark, tmp_path):
     assert names[2][1] == names[3][1] < names[1][1] < names[0][1]
     assert not {i for i, _ in want if i is not None} & {r.doc_id for r in now.collect()}
     assert corpus_pipeline.run(spark, path).count() == names[3][1]
+
+
+def test_edits_of_every_kind_and_rate_equal_aligning_all_pairs(spark):
+    """Words replaced, put in, dropped and swapped at every rate: whatever scores half by the whole table is found, and nothing else."""
+    rng = random.Random(11)
+    items = [(k, words(rng, n)) for k, n in enumerate((3, 4, 5, 8, 13, 30, 30, 61))]
+    edits = {
+        "replace": lambda w, r: [f"x{rng.randrange(99)}" if rng.random() < r else x for x in w],
+        "put in": lambda w, r: [y for x in w for y in ([x, f"x{rng.randrange(99)}"] if rng.random() < r else [x])],
+        "drop": lambda w, r: [x for x in w if rng.random() >= r],
+        "swap": lambda w, r: [w[min(i + 1, len(w) - 1)] if rng.random() < r else x for i, x in enumerate(w)],
+        "regular": lambda w, r: [y for i, x in enumerate(w) for y in ([x, "new"] if i % max(1, round(1 / r)) == 0 else [x])],
+        "all": lambda w, r: [y for x in w if rng.random() >= r / 3 for y in ([x, "new"] if rng.random() < r / 3 else ["other"] if rng.random() < r / 3 else [x])],
+    }
+    docs = []
+    for k, t in items:
+        for edit in edits.values():
+            for rate in (0.1, 0.2, 0.25, 0.3, 0.34, 0.4, 0.5, 0.6, 0.75, 1.0):
+                docs.append((len(docs), f"{words(rng, 9)} {' '.join(edit(t.split(), rate))} {words(rng, 9)}"))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    want = {(i, k) for i, d in docs for k, t in items if plain(split(t), split(d)) >= D.LEAST_SCORE * D.MATCH * len(split(t))}
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(table(spark, docs), item_table(spark, items)).collect()}
+    assert got == want and 150 < len(want) < 450
+
+
+def test_regular_edits_that_leave_no_three_words_in_a_row(spark):
+    rng = random.Random(12)
+    item = words(rng, 30)
+    w = item.split()
+    ways = {
+        "a word put in after every one": [y for x in w for y in (x, "new")],
+        "a word put in after every second": [y for i, x in enumerate(w) for y in ((x, "new") if i % 2 else (x,))],
+        "every third word replaced": ["new" if i % 3 == 2 else x for i, x in enumerate(w)],
+        "every third word dropped": [x for i, x in enumerate(w) if i % 3 != 2],
+        "a word put in after every third": [y for i, x in enumerate(w) for y in ((x, "new") if i % 3 == 2 else (x,))],
+        "every fourth word replaced": ["new" if i % 4 == 3 else x for i, x in enumerate(w)],
+    }
+    docs = [(n * 10 + k, f"before {n} {' '.join(x)} after {n}") for n in range(200) for k, x in enumerate(ways.values())]
+    found = {r.doc_id: r.score for r in D.contaminated(table(spark, docs), item_table(spark, [(1, item)])).collect()}
+    assert found == {i: plain(w, d.split()) / (D.MATCH * 30) for i, d in docs} and min(found.values()) < 0.52
+
+
+def test_a_phrase_that_all_items_and_documents_share(spark):
+    """2,000 questions and 2,000 texts that share nothing but their first eight words: no passage is looked at, so this is a matter of seconds; copies among them are found."""
+    rng = random.Random(13)
+    phrase = "which of the following statements best describes the"
+    items = [(k, f"{phrase} {words(rng, 12)}") for k in range(2000)]
+    docs = [(k, f"{phrase} {words(rng, 60)}") for k in range(2000)] + [(5000 + k, f"{words(rng, 10)} {items[k][1]}") for k in range(0, 2000, 100)]
+    began = time.time()
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(table(spark, docs), item_table(spark, items)).collect()}
+    assert got == {(5000 + k, k) for k in range(0, 2000, 100)}
+    assert time.time() - began < 30
+
+
+def test_parts_of_the_items_give_the_same(spark, monkeypatch):
+    docs, items, want = corpus()
+    monkeypatch.setattr(D, "SEED_PAIRS", 8)
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(table(spark, docs), item_table(spark, items)).collect()} == want

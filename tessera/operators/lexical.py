@@ -38,6 +38,16 @@ class Index:
         """(term, chunk_id, tf, dl) of all terms; searches count those of their own terms only."""
         return _counted(self.chunks.select(*self.key, "chunk_id", "dl", F.explode("t").alias("term")), self.key)
 
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return search(queries, self, k)
+
+    def search_within(self, queries: DataFrame, scope: DataFrame, k: int) -> DataFrame:
+        return search(queries, self, k, scope)
+
+    def scores_within(self, queries: DataFrame, scope: DataFrame) -> DataFrame:
+        """(query_id, file_stem, chunk_id, score) of the chunks of the files that a query names (query_id, file_stem), as far as they are positive."""
+        return scores(queries, self, scope).filter(F.col("score") > 0).withColumn("file_stem", F.substring_index("chunk_id", "#", 1))
+
 
 def _counted(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*key, "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
@@ -58,19 +68,27 @@ def build(chunks: DataFrame, scope: str | None = None) -> Index:
     return Index(t, terms, totals, key)
 
 
-def scores(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, chunk_id, score): sum over query tokens with repetition. Tokens that no query has are dropped before anything is counted by chunk.
+def scores(queries: DataFrame, index: Index, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): sum over query tokens with repetition. Tokens that no query has are dropped in the scan, before anything is counted by chunk or shuffled.
 
-    Chunks are dealt by their id first, as texts. Terms of a chunk and, while the queries' terms are few enough to be broadcast, scores of a chunk are then counted where
-    it is, so neither postings nor scores of every query and chunk are shuffled; the top of each task is.
+    With ``scope`` (query_id, file_stem) only the chunks of a query's own files are scored; chunk ids are ``stem#line`` then. Term weights stay those of the whole index.
+    For searches over a corpus that is asked again and again see ``kept``.
     """
     key = index.key
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(*key, "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy(*key, "query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = sized(q.join(index.terms, [*key, "term"]))
     asked = sized(q.select(*key, "term").distinct())
-    postings = _counted(index.chunks.repartition(parts, "chunk_id").select(*key, "chunk_id", "dl", F.explode("t").alias("term")).join(asked, [*key, "term"], "left_semi"), key)
-    rows = postings.join(wanted, [*key, "term"])
+    chunks = index.chunks
+    if scope is not None:
+        stems = sized(scope.select("file_stem").distinct())
+        chunks = chunks.withColumn("file_stem", F.substring_index("chunk_id", "#", 1)).join(stems, "file_stem", "left_semi")
+    postings = _counted(chunks.select(*key, "chunk_id", "dl", F.explode("t").alias("term")).join(asked, [*key, "term"], "left_semi"), key)
+    if scope is not None:
+        own = scope.select("query_id", "file_stem").distinct()
+        postings = postings.withColumn("file_stem", F.substring_index("chunk_id", "#", 1)).join(own, "file_stem").drop("file_stem")
+        rows = postings.join(wanted, [*key, "query_id", "term"])
+    else:
+        rows = postings.join(wanted, [*key, "term"])
     rows = rows.join(index.totals, list(key)) if key else rows.join(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy(*key, "query_id", "chunk_id").agg(F.sum(part).alias("score"))
@@ -83,8 +101,5 @@ def top(scored: DataFrame, k: int, *key: str) -> DataFrame:
 
 
 def search(queries: DataFrame, index: Index, k: int, scope: DataFrame | None = None) -> DataFrame:
-    """Top ``k`` chunks with a positive score. ``scope`` (query_id, file_stem) filters after scoring, so term weights stay those of the whole corpus; chunk ids are ``stem#line``."""
-    found = scores(queries, index).filter(F.col("score") > 0)
-    if scope is not None:
-        found = found.withColumn("file_stem", F.substring_index("chunk_id", "#", 1)).join(scope, ["query_id", "file_stem"], "left_semi").drop("file_stem")
-    return top(found, k)
+    """Top ``k`` chunks with a positive score, of a query's own files (query_id, file_stem) where there is a ``scope``."""
+    return top(scores(queries, index, scope).filter(F.col("score") > 0), k)

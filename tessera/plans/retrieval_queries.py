@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import dense, fusion, lexical, matching, metrics, scope
+from tessera.operators.kept import Kept
 from tessera.plans.registry import query
-from tessera.session import settle, sized, table
+from tessera.session import settle, shared_dir, sized, table
 
 POOL, TOP = 20, 10
 
@@ -24,13 +25,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """Of all chunks but noise."""
-    return lexical.build(chunks(spark, sf_dir).filter(~lexical.is_noise(F.col("section_path"))).select("chunk_id", F.col("text").alias("indexed")))
+def index(spark: SparkSession, sf_dir: str) -> Kept:
+    """The kept index of all chunks but noise. It is built when the shared folder has none for the table's files as they are now (by name, size and time), and opened otherwise."""
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.hex(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).alias("h")).first().h
+    kept = Kept(spark, f"{shared_dir(spark).rstrip('/')}/lexical-{state}")
+    kept.replace(chunks(spark, sf_dir).filter(~lexical.is_noise(F.col("section_path"))).select("file_stem", "chunk_id", F.col("text").alias("indexed")), 0)
+    return kept
 
 
 def bm25(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
-    return lexical.search(questions(spark, sf_dir), index(spark, sf_dir), k)
+    return index(spark, sf_dir).search(questions(spark, sf_dir), k)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ tok AS (SELECT {TOKENS.format("text")} AS t FROM line WHERE line % 40 <> 39),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY 1), (SELECT count(*) AS n FROM tok))
 SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 9) AS idf FROM raw""")
 def r1_bm25_terms(spark, sf_dir):
-    return index(spark, sf_dir).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return index(spark, sf_dir).weights.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm")
@@ -105,7 +110,7 @@ def r2_bm25_search(spark, sf_dir):
   FROM scored s JOIN chunks c USING (chunk_id) SEMI JOIN gold g ON g.query_id = s.query_id AND g.file_stem = c.file_stem WHERE score > 0) WHERE rank <= 5""")
 def r2_bm25_scoped(spark, sf_dir):
     files = expected(spark, sf_dir).select("query_id", "file_stem")
-    return lexical.search(questions(spark, sf_dir), index(spark, sf_dir), 5, files).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return index(spark, sf_dir).search_within(questions(spark, sf_dir), files, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {CHUNKS}, {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dn")

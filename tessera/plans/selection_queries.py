@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import fusion, metrics, selection as S
+from tessera.operators.kept import Kept
 from tessera.plans.registry import query
-from tessera.plans.retrieval_queries import BM25, CHUNKS, FUSED, GOLD, SWEEP, _sweep, bm25, chunks, expected, nearest, questions, with_place
+from tessera.plans.retrieval_queries import BM25, CHUNKS, FUSED, GOLD, SWEEP, TOKENS, _sweep, bm25, chunks, expected, nearest, questions, with_place
 from tessera.session import settle, shared_dir, table
 from tessera.sources import io
 
@@ -135,11 +136,18 @@ def s6_records_by_model(spark, sf_dir):
     return back.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 4).alias("total"))
 
 
-@query(f"WITH {CHUNKS} SELECT file_stem, count(*) AS n, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS versions FROM chunks WHERE doc_id % 3 <> 0 OR line < 3 GROUP BY 1")
+@query(f"""WITH {CHUNKS}, kept AS (SELECT file_stem, chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'second ' || text ELSE text END AS text FROM chunks WHERE doc_id % 3 = 1 OR (doc_id % 3 = 0 AND line < 3))
+SELECT file_stem, count(*) AS n, CAST(sum(len({TOKENS.format("text")})) AS BIGINT) AS tokens, CAST(sum(len(list_distinct({TOKENS.format("text")}))) AS BIGINT) AS postings FROM kept GROUP BY 1""")
 def s7_replace_by_file(spark, sf_dir):
-    now = chunks(spark, sf_dir).select("file_stem", "chunk_id", "doc_id", "line")
-    new = now.filter("doc_id % 3 = 0 AND line < 3").withColumn("version", F.lit(2))
-    return io.replace_by_file(now.withColumn("version", F.lit(1)), new).groupBy("file_stem").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+    """An index of all chunks in which every third file is then replaced by three chunks of new text, and every third is taken out."""
+    now = chunks(spark, sf_dir).withColumn("indexed", F.col("text"))
+    index = Kept(spark, _folder(spark, "kept"))
+    index.replace(now, 0)
+    new = now.filter("doc_id % 3 = 0 AND line < 3").withColumn("indexed", F.concat(F.lit("second "), "text"))
+    index.replace(new, 1, gone=now.filter("doc_id % 3 = 2").select("file_stem"))
+    size = index.chunks.groupBy("file_stem").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"))
+    own = index.postings.groupBy("file_stem").agg(F.count("*").alias("postings"))
+    return size.join(own, "file_stem", "left").select("file_stem", "n", "tokens", F.coalesce("postings", F.lit(0)).cast("bigint").alias("postings"))
 
 
 @query(f"WITH {CHUNKS} SELECT count(DISTINCT file_stem) FILTER (doc_id % 4 = 1) AS files_indexed, count(DISTINCT file_stem) FILTER (doc_id % 4 = 0) AS files_skipped, count(*) FILTER (doc_id % 4 = 1) AS chunks_added, count(*) FILTER (doc_id % 4 <> 2 AND doc_id % 4 <> 3) AS total FROM chunks")

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessera.operators.kept import Kept
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import CHUNKS, TOKENS, chunks
-from tessera.session import settle, table
+from tessera.session import shared_dir, table
 from tessera.streaming import jobs as J
 
 
-@query(f"""WITH {CHUNKS}, p AS (SELECT file_stem, chunk_id, unnest({TOKENS.format("text")}) AS term FROM chunks)
-SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM p GROUP BY 1""")
+@query(f"""WITH {CHUNKS}, p AS (SELECT file_stem, chunk_id, unnest({TOKENS.format("text")}) AS term FROM chunks), d AS (SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM p GROUP BY 1),
+raw AS (SELECT term, df, tf, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, (SELECT count(*) AS n FROM chunks))
+SELECT term, df, tf, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 9) AS idf FROM raw""")
 def w1_index_refresh(spark, sf_dir):
-    now = chunks(spark, sf_dir).select("file_stem", "chunk_id", "doc_id", "text")
-    before = now.filter("doc_id % 4 <> 1").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")))
-    kept = settle(J.postings(before))
-    touched = now.filter("doc_id % 4 IN (0, 1)")
-    return J.refresh(kept, touched).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """A stream of the documents in two arrivals: first without every fourth and with others cut short, then those that were missing and those that were short. The index is as if built at once."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    home = f"{shared_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    index = Kept(spark, f"{home}/index")
+    first = docs.withColumn("text", F.when(k == 0, F.substring("text", 1, 20)).otherwise(F.col("text"))).filter(k != 1)
+    for arriving in (first, docs.filter(k.isin(0, 1))):
+        arriving.write.mode("append").parquet(f"{home}/files")
+        J.keep_index(spark.readStream.schema(docs.schema).parquet(f"{home}/files"), index, lambda d: chunks(spark, sf_dir, d).select("file_stem", "chunk_id", F.col("text").alias("indexed")), f"{home}/progress")
+    tf = index.postings.groupBy("term").agg(F.sum("tf").alias("tf"))
+    return index.weights.join(tf, "term").select("term", "df", "tf", F.round("idf", 9).alias("idf"))
 
 
 _EVENTS = "e AS (SELECT event_id, ts, user_id AS doc, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'chunk' WHEN 'view' THEN 'embed' ELSE 'done' END AS stage, value AS progress FROM events)"

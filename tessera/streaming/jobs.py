@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.functions.text import CJK, tokens
+from tessera.functions.text import CJK
+from tessera.operators.kept import Kept
 from tessera.session import shared_dir, ship
 
 
@@ -71,15 +72,18 @@ def new_documents(arriving: DataFrame, ledger: DataFrame, at: str | None = None,
     return once.join(ledger.select("sha256"), "sha256", "left_anti")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(file_stem, chunk_id, term, tf) of rows (file_stem, chunk_id, text)."""
-    return chunks.select("file_stem", "chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("file_stem", "chunk_id", "term").agg(F.count("*").alias("tf"))
+def keep_index(files: DataFrame, index: Kept, cut: Callable[[DataFrame], DataFrame], progress: str) -> None:
+    """Bring a kept index up to date with all files that a stream has now, a version for each micro-batch; ``cut`` makes chunks (file_stem, chunk_id, indexed) of files.
 
+    A file that comes again replaces what it was. Only its bucket is rewritten, weights move by the difference, and a micro-batch that is repeated after a failure changes nothing twice. ``progress`` is
+    the stream's own folder; with it the stream goes on where it stopped. Of a file that comes twice in one micro-batch the rows are taken together, so writers keep
+    versions of a file apart.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        index.replace(cut(batch), number)
 
-def refresh(old: DataFrame, touched: DataFrame) -> DataFrame:
-    """Postings after all chunks of the touched files were replaced; equal to an index built anew."""
-    stems = touched.select("file_stem").distinct()
-    return old.join(stems, "file_stem", "left_anti").unionByName(postings(touched))
+    files.writeStream.foreachBatch(apply).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
 _FOREIGN = re.compile(CJK)

@@ -214,13 +214,6 @@ def test_stream_guard(held, delta, want):
     assert jobs.guard_text(held, delta) == want
 
 
-def test_refresh_equals_full_build(spark):
-    now = spark.createDataFrame([("f", "f#1", "a b a"), ("g", "g#1", "b c")], "file_stem string, chunk_id string, text string")
-    old = spark.createDataFrame([("f", "f#0", "z"), ("g", "g#1", "b c")], "file_stem string, chunk_id string, text string")
-    got = jobs.refresh(jobs.postings(old), now.filter("file_stem = 'f'"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.postings(now).collect()))
-
-
 def test_long_aliases_route(spark):
     long_ = "quy trình kiểm định áp kế kiểu lò xo và chân không kế"
     aliases = spark.createDataFrame([(long_, "f"), ("áp kế", "g"), (None, "n")], "alias string, file_stem string")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def unit_names(units: DataFrame) -> DataFrame:
@@ -44,11 +43,29 @@ _TOKEN = re.compile(r"\s*(?:(?P<number>(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)
 _FUNCTIONS: dict[str, tuple[Callable[..., Column], int | None]] = {"sqrt": (F.sqrt, 1), "abs": (F.abs, 1), "max": (F.greatest, None), "min": (F.least, None), "pow": (F.pow, 2)}
 
 
+class _Columns:
+    """Builds a Column over double columns."""
+
+    number, name = staticmethod(lambda x: F.lit(x)), staticmethod(lambda x: F.col(x))
+    sign = staticmethod(lambda a: -a)
+
+    @staticmethod
+    def binary(mark: str, a: Column, b: Column) -> Column:
+        return F.pow(a, b) if mark == "**" else F.try_divide(a, b) if mark == "/" else a + b if mark == "+" else a - b if mark == "-" else a * b
+
+    @staticmethod
+    def call(name: str, arguments: list[Column]) -> Column:
+        make, n = _FUNCTIONS.get(name, (None, 0))
+        if make is None or (len(arguments) != n and (n or len(arguments) < 2)):
+            raise ValueError(f"the formula gives {name} {len(arguments)} arguments")
+        return make(*arguments)
+
+
 class _Formula:
-    """Reads a formula by precedence: sums, products, signs, powers (from the right), then numbers, variables, calls and parentheses."""
+    """Reads a formula by precedence: sums, products, signs, powers (from the right), then numbers, variables, calls and parentheses. ``make`` builds what comes out."""
 
-    def __init__(self, text: str, variables: list[str]):
-        self.variables, self.tokens, at = variables, [], 0
+    def __init__(self, text: str, variables: list[str], make):
+        self.variables, self.make, self.tokens, at = variables, make, [], 0
         text = text.strip()
         while at < len(text):
             if not (m := _TOKEN.match(text, at)):
@@ -65,76 +82,58 @@ class _Formula:
         if not self.take(mark):
             raise ValueError(f"the formula lacks a {mark!r}")
 
-    def sum(self) -> Column:
+    def sum(self):
         out = self.product()
         while mark := self.take("+", "-"):
-            out = out + self.product() if mark == "+" else out - self.product()
+            out = self.make.binary(mark, out, self.product())
         return out
 
-    def product(self) -> Column:
+    def product(self):
         out = self.signed()
         while mark := self.take("*", "/"):
-            out = out * self.signed() if mark == "*" else F.try_divide(out, self.signed())
+            out = self.make.binary(mark, out, self.signed())
         return out
 
-    def signed(self) -> Column:
+    def signed(self):
         if mark := self.take("+", "-"):
-            return -self.signed() if mark == "-" else self.signed()
+            return self.make.sign(self.signed()) if mark == "-" else self.signed()
         base = self.atom()
-        return F.pow(base, self.signed()) if self.take("**") else base
+        return self.make.binary("**", base, self.signed()) if self.take("**") else base
 
-    def atom(self) -> Column:
+    def atom(self):
         if self.take("("):
             out = self.sum()
             self.need(")")
             return out
         kind, text = self.tokens.pop(0) if self.tokens else ("mark", "end")
         if kind == "number":
-            return F.lit(float(text))
-        if kind == "name" and text in _FUNCTIONS and self.take("("):
-            make, n = _FUNCTIONS[text]
+            return self.make.number(float(text))
+        if kind == "name" and self.take("("):
             arguments = [self.sum()]
             while self.take(","):
                 arguments.append(self.sum())
             self.need(")")
-            if len(arguments) != n and (n or len(arguments) < 2):
-                raise ValueError(f"the formula gives {text} {len(arguments)} arguments")
-            return make(*arguments)
+            return self.make.call(text, arguments)
         if kind == "name" and text in self.variables:
-            return F.col(text)
+            return self.make.name(text)
         raise ValueError(f"the formula has {text}, which is neither a number, a variable nor a known function")
 
 
-def expression(text: str, variables: list[str]) -> Column:
-    """An approved formula as a Column over double columns: only listed variables, numbers, ``+ - * / **``, parentheses and a few functions pass.
-
-    Powers bind from the right and before a sign, as in Python. A division by zero gives null.
-    """
-    formula = _Formula(text, variables)
+def read_formula(text: str, variables: list[str], make):
+    """What ``make`` builds of a formula: only listed variables, numbers, ``+ - * / **``, parentheses and calls pass. Powers bind from the right and before a sign, as in Python."""
+    formula = _Formula(text, variables, make)
     out = formula.sum()
     if formula.tokens:
         raise ValueError(f"the formula can't be read from {formula.tokens[0][1]} on")
     return out
 
 
-def evaluate(inputs: DataFrame, formulas: list[dict]) -> DataFrame:
-    """Batch evaluation: one row per case with its formula's value or the reason why not.
+def expression(text: str, variables: list[str]) -> Column:
+    """An approved formula as a Column over double columns: only listed variables, numbers, ``+ - * / **``, parentheses and a few functions pass.
 
-    ``inputs`` has (case_id, formula, variable, value); a formula has ``id``, ``expression`` and ``variables`` (name -> (low, high), inclusive). Missing
-    or unlisted inputs and values outside the bounds give a status instead of a value.
+    Powers bind from the right and before a sign, as in Python. A division by zero gives null.
     """
-    names = sorted({v for f in formulas for v in f["variables"]})
-    wide = inputs.groupBy("case_id", "formula").agg(F.array_sort(F.collect_set("variable")).alias("given"), *(F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in names))
-    status: Column = F.lit("unknown formula")
-    value: Column = F.lit(None).cast("double")
-    for f in formulas:
-        own = F.col("formula") == f["id"]
-        wanted = F.array(*map(F.lit, sorted(f["variables"])))
-        outside = reduce(lambda a, b: a | b, [(F.col(v) < lo) | (F.col(v) > hi) for v, (lo, hi) in f["variables"].items()])
-        this = F.when(F.size(F.array_except(wanted, "given")) > 0, "missing input").when(F.size(F.array_except("given", wanted)) > 0, "extra input").when(outside, "out of bounds").otherwise("ok")
-        status = F.when(own, this).otherwise(status)
-        value = F.when(own & (this == "ok"), expression(f["expression"], list(f["variables"]))).otherwise(value)
-    return wide.select("case_id", "formula", status.alias("status"), value.alias("value"))
+    return read_formula(text, variables, _Columns)
 
 
 def verdict(points: DataFrame) -> DataFrame:
@@ -148,14 +147,6 @@ def series(points: DataFrame, key: str) -> DataFrame:
     return points.groupBy(key).agg(F.avg("y").alias("mean"), F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("rss"), F.regr_slope("y", "x").alias("slope"), F.max("y").alias("largest"), F.min("y").alias("smallest"))
 
 
-def registry_state(events: DataFrame, current: DataFrame) -> DataFrame:
-    """Latest state of each formula from its event log: approved only while its source has the hash it was approved with, else stale. Rows: formula_id, revision, status, source_hash; current: formula_id, source_hash."""
-    last = events.groupBy("formula_id").agg(F.max_by(F.struct("status", "source_hash"), "revision").alias("x"), F.max("revision").alias("revision"))
-    rows = last.join(current.withColumnRenamed("source_hash", "now"), "formula_id", "left")
-    status = F.when(F.col("x.source_hash").eqNullSafe(F.col("now")), F.col("x.status")).otherwise("stale")
-    return rows.select("formula_id", "revision", status.alias("status"))
-
-
 def approved_only(rows: DataFrame, extractions: DataFrame) -> DataFrame:
     """Rows whose extraction is approved."""
     return rows.join(extractions.filter("status = 'approved'"), "extraction_id", "left_semi")
@@ -177,12 +168,36 @@ def by_time(records: DataFrame, verdict_: str, n: int) -> DataFrame:
     return records.filter(F.col("verdict") == verdict_).orderBy(F.desc("at"), "record_id").limit(n)
 
 
+#: A range's bucket is at most this fine against its own size: numbers of buckets stay below 2 ** 41.
+_FINE = 40
+
+
+def _bucket(x: Column, level: Column) -> Column:
+    """Number of the bucket of width 2 ** level that holds x; null where ranges of that level can't reach x."""
+    return F.when(F.abs(x) < F.pow(F.lit(2.0), level + _FINE + 1), F.floor(x / F.pow(F.lit(2.0), level)))
+
+
 def range_lookup(cells: DataFrame, questions: DataFrame) -> DataFrame:
     """The one cell whose table, class and row range hold a value; null where none or several do.
 
-    Cells (table_id, class, low, high, open, cell), where an open range begins above ``low`` and has no end; questions (query_id, table_id, class, value). Table and class
-    are equality keys, so the range is tested inside one table's column.
+    Cells (table_id, class, low, high, open, cell), where an open range begins above ``low`` and has no end; questions (query_id, table_id, class, value).
+
+    A closed range lies in two buckets at most of the width (a power of two) next above its own, and a value looks in the one bucket that holds it for each width that its table
+    and class have. So what is joined is a small factor of what is found, however many ranges a class has. Of open ranges the two lowest of a class say whether a value has none,
+    one or several.
     """
-    hit = questions.join(cells, ["table_id", "class"]).filter(F.when(F.col("open"), F.col("value") > F.col("low")).otherwise((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))))
-    one = hit.groupBy("query_id").agg(F.count("*").alias("n"), F.min("cell").alias("cell"))
+    key = ["table_id", "class"]
+    bounds = cells.select(*key, F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "open", "cell")
+    closed = bounds.filter("NOT open AND low <= high AND abs(low) < 1e300 AND abs(high) < 1e300").drop("open")
+    width, size = F.col("high") - F.col("low"), F.greatest(F.abs("low"), F.abs("high"), F.lit(1e-270))
+    level = F.greatest(F.when(F.col("high") > F.col("low"), F.ceil(F.log2(width))), F.ceil(F.log2(size)) - _FINE).cast("int")
+    closed = closed.withColumn("level", level)
+    placed = closed.withColumn("bucket", F.explode(F.array_distinct(F.array(_bucket(F.col("low"), F.col("level")), _bucket(F.col("high"), F.col("level"))))))
+    value = questions.select("query_id", *key, F.col("value").cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
+    asked = value.join(closed.select(*key, "level").distinct(), key).withColumn("bucket", _bucket(F.col("value"), F.col("level")))
+    inside = asked.join(placed, [*key, "level", "bucket"]).filter((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).select("query_id", "cell")
+    lowest = Window.partitionBy(*key).orderBy("low", "cell")
+    two = bounds.filter("open AND low IS NOT NULL").withColumn("k", F.row_number().over(lowest)).filter("k <= 2").select(*key, "low", "cell")
+    above = value.join(two, key).filter(F.col("value") > F.col("low")).select("query_id", "cell")
+    one = inside.unionAll(above).groupBy("query_id").agg(F.count("*").alias("n"), F.min("cell").alias("cell"))
     return questions.select("query_id").join(one, "query_id", "left").select("query_id", F.when(F.col("n") == 1, F.col("cell")).alias("cell"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import records as R
+from tessera.operators import formulas, records as R, registry
 from tessera.plans.registry import query
 from tessera.plans.text_queries import _MEASURED, measured
 from tessera.session import table
@@ -44,24 +44,53 @@ def u3_mentions(spark, sf_dir):
     return R.mentions(rows, units(spark)).groupBy("id", "code").agg(F.count("*").alias("n"), F.round(F.sum("number"), 6).alias("total"))
 
 
-FORMULAS = [
-    {"id": "net", "expression": "price * (1 - discount) * (1 + tax)", "variables": {"price": (0, 1e9), "discount": (0, 0.09), "tax": (0, 1)}},
-    {"id": "size", "expression": "sqrt(price ** 2 + quantity ** 2)", "variables": {"price": (0, 1e9), "quantity": (0, 100)}},
-]
+#: Six kinds of formula; a part's own number stands in each.
+_EXPRESSIONS = ["p * (1 - d) * (1 + t) / {}", "sqrt(p ** 2 + q ** 2) + {}", "mean(xs) * {} - q", "max(p, q, {}) - abs(q - {})", "slope(xs, ys) / (q - {})", "rss(xs) + q ** 0.5 * {}"]
+_VARIABLES = [["p", "d", "t"], ["p", "q"], ["xs", "q"], ["p", "q"], ["xs", "ys", "q"], ["xs", "q"]]
+_VALUES_SQL = "[l_extendedprice * 1000 * (1 - l_discount) * (1 + l_tax) / z, sqrt((l_extendedprice * 1000) ** 2 + l_quantity ** 2) + z, (l_quantity + l_linenumber + 2) / 3.0::DOUBLE * z - l_quantity, greatest(l_extendedprice * 1000, l_quantity, z) - abs(l_quantity - z), CASE WHEN l_quantity = z THEN NULL ELSE 2.0::DOUBLE / (l_quantity - z) END, NULL]"
 
 
-@query("""SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS case_id, CASE WHEN l_linenumber % 2 = 0 THEN 'net' ELSE 'size' END AS formula,
-  CASE WHEN l_linenumber % 2 = 1 AND l_linenumber = 5 THEN 'missing input' WHEN l_linenumber % 2 = 0 AND l_discount > 0.09 THEN 'out of bounds' ELSE 'ok' END AS status,
-  CASE WHEN l_linenumber % 2 = 0 AND l_discount <= 0.09 THEN round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) WHEN l_linenumber % 2 = 1 AND l_linenumber <> 5 THEN round(sqrt(l_extendedprice ** 2 + l_quantity ** 2), 6) END AS value
-FROM (SELECT DISTINCT ON (l_orderkey * 10000000 + l_partkey * 10 + l_linenumber) * FROM lineitem ORDER BY l_orderkey * 10000000 + l_partkey * 10 + l_linenumber, l_suppkey, l_quantity)""")
+@query(f"""WITH c AS (SELECT l.*, CAST(p_size AS DOUBLE) AS z, CAST(p_partkey % 6 AS INTEGER) AS kind, l_partkey % 100 = 99 AS gone, l_partkey % 100 = 98 AS odd FROM lineitem l JOIN part ON p_partkey = l_partkey),
+s AS (SELECT *, {_VALUES_SQL}[kind + 1] AS v, CASE WHEN gone THEN 'unknown formula' WHEN odd THEN 'unreadable' WHEN l_linenumber = 7 OR (l_linenumber = 6 AND l_orderkey % 2 = 0) THEN 'missing or extra input'
+  WHEN kind IN (0, 1, 3) AND l_orderkey % 11 = 0 THEN 'unit' WHEN kind IN (2, 4, 5) AND l_orderkey % 11 = 1 THEN 'items' WHEN kind IN (0, 1, 3) AND l_orderkey % 11 = 2 THEN 'number' WHEN kind = 0 AND l_discount > 0.09 THEN 'bounds'
+  WHEN kind <> 0 AND l_quantity >= 50 THEN 'bounds' WHEN l_partkey % 5 = 0 AND l_suppkey % 3 = 0 THEN 'unconfirmed' END AS fault FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(fault, CASE WHEN v IS NULL THEN 'no value' ELSE 'ok' END) AS status, CASE WHEN fault IS NULL THEN floor(v * 1000) / 1000 END AS value FROM s""")
 def u4_formula_batch(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").withColumn("case_id", F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))  # noqa: E741
-    one = l.groupBy("case_id").agg(F.min_by(F.struct("l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_quantity"), F.struct("l_suppkey", "l_quantity")).alias("x")).select("case_id", "x.*")
-    even = F.col("l_linenumber") % 2 == 0
-    part = lambda v, c: F.struct(F.lit(v).alias("variable"), F.col(c).cast("double").alias("value"))
-    given = F.when(even, F.array(part("price", "l_extendedprice"), part("discount", "l_discount"), part("tax", "l_tax"))).when(F.col("l_linenumber") == 5, F.array(part("price", "l_extendedprice"))).otherwise(F.array(part("price", "l_extendedprice"), part("quantity", "l_quantity")))
-    rows = one.select("case_id", F.when(even, "net").otherwise("size").alias("formula"), F.inline(given))
-    return R.evaluate(rows, FORMULAS).select("case_id", "formula", "status", F.round("value", 6).alias("value"))
+    """A formula for each part, of six kinds; each line item asks for its part's. Prices come in kPa for a variable in Pa, some in another category; quantities of 50 are just outside."""
+    part, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    null = lambda t: F.lit(None).cast(t)
+
+    def variable(name: str):
+        series = name in ("xs", "ys")
+        high, open_ = {"q": (F.lit(50.0), True), "d": (F.lit(0.09), False)}.get(name, (null("double"), False))
+        unit = {"p": "Pa", "q": "mm"}.get(name, "1")
+        return F.struct(F.lit(name).alias("key"), F.lit(unit).alias("unit"), F.lit("series" if series else "scalar").alias("kind"), F.lit(0.0).alias("min"), high.alias("max"), F.lit(False).alias("exclusive_min"), F.lit(open_).alias("exclusive_max"), (F.lit(3) if series else null("int")).alias("min_items"), null("int").alias("max_items"))
+
+    kind, k = F.col("p_partkey") % 6, F.col("p_partkey")
+    text = F.get(F.array(*map(F.lit, _EXPRESSIONS)), kind.cast("int"))
+    text = F.when(k % 100 == 98, F.lit("p +* 2")).otherwise(F.replace(text, F.lit("{}"), F.col("p_size").cast("string")))
+    conditions = F.when(k % 5 == 0, F.array(F.lit("level"))).otherwise(F.array().cast("array<string>"))
+    defined = part.filter(k % 100 != 99).select(k.alias("formula"), text.alias("expression"), conditions.alias("conditions"), F.get(F.array(*(F.array(*map(variable, v)) for v in _VARIABLES)), kind.cast("int")).alias("variables"))
+    n, o = F.col("l_linenumber"), F.col("l_orderkey") % 11
+    value = lambda unit, *x: F.struct(F.array(*(c.cast("double") for c in x)).alias("values"), F.lit(unit).alias("unit") if isinstance(unit, str) else unit.alias("unit"))
+    price = value(F.when(o == 0, "mm").otherwise("kPa"), F.when(o == 2, null("double")).otherwise(F.col("l_extendedprice")))
+    xs, two = value("1", F.col("l_quantity"), n, F.lit(2)), value("1", F.col("l_quantity"), n)
+    xs = F.when(o == 1, two).otherwise(xs)
+    ramp = lambda a: value("1", F.lit(a), F.lit(2 * a), F.lit(3 * a))
+    given = {"p": price, "q": value("mm", F.col("l_quantity")), "d": value("1", F.col("l_discount")), "t": value("1", F.col("l_tax")), "xs": xs, "ys": ramp(2)}
+    slope = F.when(o == 1, two).otherwise(ramp(1))
+    own = F.col("l_partkey") % 6
+
+    def inputs(j: int):
+        names = _VARIABLES[j]
+        pairs = [F.struct(F.lit(v).alias("key"), (slope if j == 4 and v == "xs" else given[v]).alias("value")) for v in names]
+        return F.array(*pairs)
+
+    every = F.get(F.array(*map(inputs, range(6))), own.cast("int"))
+    some = F.when(n == 7, F.slice(every, 1, F.size(every) - 1)).when((n == 6) & (F.col("l_orderkey") % 2 == 0), F.concat(every, F.array(F.struct(F.lit("z").alias("key"), given["q"].alias("value"))))).otherwise(every)
+    cases = l.join(part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").alias("formula"), F.map_from_entries(some).alias("inputs"), F.when(F.col("l_suppkey") % 3 != 0, F.array(F.lit("level"))).alias("confirmed"))
+    measures = spark.createDataFrame([("Pa", "pressure", 1.0), ("kPa", "pressure", 1000.0), ("mm", "length", 0.001), ("1", "number", 1.0)], "code string, category string, factor double")
+    return formulas.evaluate(cases, defined, measures).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "status", (F.floor(F.col("value") * 1000) / 1000).alias("value"))
 
 
 @query("SELECT l_suppkey, round(avg(l_extendedprice), 6) AS mean, round(sqrt(sum(l_extendedprice * l_extendedprice)), 4) AS rss, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, max(l_extendedprice) AS largest, min(l_extendedprice) AS smallest FROM lineitem GROUP BY 1")
@@ -70,13 +99,47 @@ def u5_series(spark, sf_dir):
     return s.select("l_suppkey", F.round("mean", 6).alias("mean"), F.round("rss", 4).alias("rss"), F.round("slope", 6).alias("slope"), "largest", "smallest")
 
 
-@query("""WITH e AS (SELECT o_custkey AS formula_id, o_orderkey AS revision, CASE WHEN o_orderkey % 3 = 0 THEN 'approved' ELSE 'pending' END AS status, o_orderpriority AS h FROM orders),
-l AS (SELECT formula_id, max(revision) AS revision, arg_max(status, revision) AS status, arg_max(h, revision) AS h FROM e GROUP BY 1)
-SELECT formula_id, revision, CASE WHEN h IS NOT DISTINCT FROM now THEN status ELSE 'stale' END AS status FROM l LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS now FROM orders GROUP BY 1) ON o_custkey = formula_id""")
+_REGISTRY_EVENTS = """e AS (SELECT o_custkey AS document, o_orderkey AS seq, m, CASE WHEN m < 3 THEN 'add' WHEN m < 5 THEN 'update' WHEN m < 8 THEN 'approve' WHEN m = 8 THEN 'reject' WHEN o_orderkey % 2 = 0 THEN 'patch' ELSE 'invalidate' END AS action,
+  CASE WHEN m = 2 THEN 'b' ELSE 'a' END AS h, CASE WHEN m = 1 THEN ['f0'] ELSE ['f0', 'f1'] END AS fids, 'f' || o_orderkey // 2 % 2 AS fid, 1 + o_orderkey // 4 % 3 AS rev, o_orderpriority AS proposal FROM (SELECT *, (o_orderkey * 7 + o_custkey) % 10 AS m FROM orders))"""
+
+
+@query(f"""WITH RECURSIVE {_REGISTRY_EVENTS},
+rec AS (SELECT DISTINCT document, h, unnest(fids) AS fid FROM e WHERE action = 'add' UNION SELECT document, h, fid FROM e WHERE action IN ('update', 'approve', 'reject', 'patch')),
+ev AS (SELECT *, row_number() OVER (PARTITION BY document, h, fid ORDER BY seq) AS k FROM (
+  SELECT r.document, r.h, r.fid, seq, action, action = 'add' AND e.h = r.h AS same, list_contains(fids, r.fid) AS listed, NULL AS rev, NULL AS proposal FROM rec r JOIN e ON e.document = r.document AND action IN ('add', 'invalidate')
+  UNION ALL SELECT document, h, fid, seq, action, true, true, rev, proposal FROM e WHERE action NOT IN ('add', 'invalidate'))),
+s AS (SELECT document, h, fid, 0::BIGINT AS k, '' AS status, 0::BIGINT AS revision, NULL::VARCHAR AS proposal, NULL::VARCHAR AS approved, 0::BIGINT AS conflicts FROM rec
+  UNION ALL SELECT document, h, fid, k, CASE kind WHEN 'keep' THEN status WHEN 'patch' THEN status WHEN 'conflict' THEN status WHEN 'stale' THEN 'stale' WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END,
+    CASE WHEN kind IN ('keep', 'patch', 'conflict') THEN revision ELSE revision + 1 END, CASE WHEN kind IN ('patch', 'update') THEN new_proposal ELSE proposal END,
+    CASE WHEN kind = 'approve' THEN coalesce(proposal, '') WHEN kind IN ('keep', 'patch', 'conflict', 'stale') THEN approved END, conflicts + (kind = 'conflict')::INT
+  FROM (SELECT s.document, s.h, s.fid, ev.k, status, revision, s.proposal, approved, conflicts, ev.proposal AS new_proposal,
+    CASE WHEN action = 'add' AND same THEN CASE WHEN NOT listed THEN 'keep' WHEN status = '' THEN 'new' WHEN status = 'stale' THEN 'again' ELSE 'keep' END
+      WHEN status = '' THEN CASE WHEN action IN ('update', 'approve', 'reject') THEN 'conflict' ELSE 'keep' END
+      WHEN action IN ('add', 'invalidate') THEN CASE WHEN status = 'stale' THEN 'keep' ELSE 'stale' END
+      WHEN action = 'patch' THEN 'patch' WHEN status = 'stale' OR rev <> revision OR (action <> 'update' AND status <> 'pending') THEN 'conflict' ELSE action END AS kind
+    FROM s JOIN ev ON ev.document = s.document AND ev.h = s.h AND ev.fid = s.fid AND ev.k = s.k + 1)),
+last AS (SELECT * FROM s QUALIFY k = max(k) OVER (PARTITION BY document, h, fid)),
+now AS (SELECT document, CASE WHEN arg_max(action, seq) = 'add' THEN arg_max(h, seq) END AS now_hash FROM e WHERE action IN ('add', 'invalidate') GROUP BY 1)
+SELECT document, h AS source_hash, fid, revision, conflicts, CASE WHEN h = now_hash THEN status ELSE 'stale' END AS shown, coalesce(h = now_hash AND status = 'approved' AND approved = coalesce(proposal, ''), false) AS usable FROM last LEFT JOIN now USING (document) WHERE status <> ''""")
 def u7_registry_state(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    e = o.select(F.col("o_custkey").alias("formula_id"), F.col("o_orderkey").alias("revision"), F.when(F.col("o_orderkey") % 3 == 0, "approved").otherwise("pending").alias("status"), F.col("o_orderpriority").alias("source_hash"))
-    return R.registry_state(e, o.groupBy(F.col("o_custkey").alias("formula_id")).agg(F.max("o_orderpriority").alias("source_hash")))
+    """Orders as events of their customers' documents: two files' bytes, two formulas in each."""
+    events, sources = registry_events(table(spark, sf_dir, "orders"))
+    found = registry.current(registry.states(events), sources)
+    return found.select(F.col("document").cast("bigint").alias("document"), "source_hash", "fid", "revision", "conflicts", "shown", "usable")
+
+
+def registry_events(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of the registry, and the bytes that each document has after them."""
+    k = F.col("o_orderkey")
+    m = (k * 7 + F.col("o_custkey")) % 10
+    action = F.when(m < 3, "add").when(m < 5, "update").when(m < 8, "approve").when(m == 8, "reject").when(k % 2 == 0, "patch").otherwise("invalidate")
+    document = F.col("o_custkey").cast("string").alias("document")
+    whole = action.isin("add", "invalidate")
+    fids = F.when(action == "add", F.when(m == 1, F.array(F.lit("f0"))).otherwise(F.array(F.lit("f0"), F.lit("f1"))))
+    fid = F.when(~whole, F.concat(F.lit("f"), F.expr("o_orderkey div 2 % 2").cast("string")))
+    events = orders.select(document, k.alias("seq"), action.alias("action"), F.when(m == 2, "b").otherwise("a").alias("source_hash"), fids.alias("fids"), fid.alias("fid"), F.expr("1 + o_orderkey div 4 % 3").cast("long").alias("revision"), F.col("o_orderpriority").alias("proposal"))
+    last = events.filter("action IN ('add', 'invalidate')").groupBy("document").agg(F.max_by(F.struct("action", "source_hash"), "seq").alias("x"))
+    return events, last.select("document", F.when(F.col("x.action") == "add", F.col("x.source_hash")).alias("source_hash"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(lim, 6) AS "limit", CASE WHEN abs(measured - nominal) <= lim THEN 'Đạt' ELSE 'Không đạt' END AS verdict FROM (SELECT *, greatest(abs(nominal) * rate / 100, 0.4) AS lim FROM (SELECT *, l_quantity AS nominal, l_quantity + l_linenumber / 8.0::DOUBLE AS measured, CAST(l_linenumber AS DOUBLE) AS rate FROM lineitem))""")

@@ -291,6 +291,37 @@ def e7_rank_by_stage(spark, sf_dir):
     return ranks.groupBy("query_id").pivot("stage", ["dense", "bm25", "fused"]).agg(F.min("rank"))
 
 
+_PATH = "CASE WHEN line % 3 = 2 THEN 'annex' ELSE (line // 40 + 1) || ' part > ' || (line // 40 + 1) || '.' || (line % 40 // 10 + 1) || ' piece' END"
+_PARENT = "'# ' || (line // 40 + 1) || '. part' || chr(10) || '## ' || (line // 40 + 1) || '.' || (line % 40 // 10 + 1) || chr(10) || text"
+_WANTED = "CASE WHEN query_id % 2 = 0 THEN CAST(line // 40 + 1 AS VARCHAR) ELSE (line // 40 + 1) || '.' || (line % 40 // 10 + 1) END"
+
+
+@query(f"""WITH {BM25}, q AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'multi_version' ELSE 'single' END AS type, CASE WHEN item_id % 5 = 0 THEN 'a' ELSE 'b' END AS grp FROM benchmark),
+gold AS (SELECT DISTINCT query_id, file_stem, {_WANTED} AS section FROM (SELECT item_id AS query_id, c.file_stem, c.line FROM chunks c JOIN benchmark b ON contains(c.text, b.text))),
+h AS (SELECT query_id, rank, file_stem, {_PATH} AS path, {_PARENT} AS parent_text FROM bm JOIN chunks USING (chunk_id)),
+pairs AS (SELECT g.query_id, g.file_stem, g.section, h.rank, len(list_filter(string_split(h.path, '>'), lambda p: trim(p) = g.section OR starts_with(trim(p), g.section || ' ') OR starts_with(trim(p), g.section || '.'))) > 0 AS exact,
+  regexp_matches(h.parent_text, '(?m)^[#\\s]*' || replace(g.section, '.', '\\.') || '[.\\s]') AS loose FROM gold g LEFT JOIN h ON h.query_id = g.query_id AND h.file_stem = g.file_stem),
+each AS (SELECT query_id, file_stem, section, coalesce(bool_or(exact), false) AS topn, coalesce(bool_or(exact AND rank <= 3), false) AS shown, coalesce(bool_or(exact OR loose), false) AS loose, min(rank) FILTER (exact) AS rank FROM pairs GROUP BY 1, 2, 3),
+found AS (SELECT q.query_id, type, grp, coalesce(CASE WHEN type = 'multi_version' THEN bool_and(topn) ELSE bool_or(topn) END, false) AS hit_topn, coalesce(CASE WHEN type = 'multi_version' THEN bool_and(shown) ELSE bool_or(shown) END, false) AS hit_shown,
+  coalesce(CASE WHEN type = 'multi_version' THEN bool_and(loose) ELSE bool_or(loose) END, false) AS hit_loose, min(rank) AS first_rank FROM q LEFT JOIN each USING (query_id) GROUP BY 1, 2, 3)
+SELECT type, grp AS "group", count(*) AS n, round(avg(hit_topn::INT), 9) AS hit_topn, round(avg(hit_shown::INT), 9) AS hit_shown, round(avg(hit_loose::INT), 9) AS hit_loose, round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 9) AS mrr FROM found GROUP BY GROUPING SETS ((), (type), (grp))""")
+def e19_gold_hits(spark, sf_dir):
+    """Sections of the documents that hold a passage, against the sections of its hits; every third line stands under a path without a number."""
+    line, k = F.col("line"), F.col("query_id")
+    big, small = F.expr("line div 40 + 1").cast("string"), F.expr("line % 40 div 10 + 1").cast("string")
+    docs = table(spark, sf_dir, "documents")
+    holds = matching.holders(docs.select(_stem().alias("file_stem"), "text"), questions(spark, sf_dir))
+    lines = chunks(spark, sf_dir, docs.join(sized(holds.select(F.col("file_stem").alias("held")).distinct()), _stem() == F.col("held"), "left_semi"))
+    there = holds.join(questions(spark, sf_dir), "query_id").join(lines, "file_stem").filter(F.contains("text", "query"))
+    gold = there.select("query_id", "file_stem", F.when(k % 2 == 0, big).otherwise(F.concat(big, F.lit("."), small)).alias("section")).distinct().withColumn("gold_no", F.xxhash64("file_stem", "section"))
+    hits = with_place(spark, sf_dir, bm25(spark, sf_dir)).withColumn("line", F.substring_index("chunk_id", "#", -1).cast("int"))
+    path = F.when(line % 3 == 2, "annex").otherwise(F.concat(big, F.lit(" part > "), big, F.lit("."), small, F.lit(" piece")))
+    parent = F.concat(F.lit("# "), big, F.lit(". part\n## "), big, F.lit("."), small, F.lit("\n"), "text")
+    hits = hits.select("query_id", "rank", "file_stem", path.alias("path"), (F.col("rank") <= 3).alias("shown"), parent.alias("parent_text"))
+    q = questions(spark, sf_dir).select("query_id", F.when(k % 3 == 0, "multi_version").otherwise("single").alias("type"), F.when(k % 5 == 0, "a").otherwise("b").alias("group"))
+    return metrics.rounded(metrics.gold_rates(metrics.gold_hits(q, gold, hits)))
+
+
 ALPHAS, SWEEP_KS = [round(0.1 * i, 1) for i in range(11)], [10, 30, 60, 80, 100]
 
 

@@ -98,16 +98,72 @@ def gate(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("file", F.when(F.col("converted") < F.col("old_converted"), "fewer converted").when(F.col("rate") < F.col("old_rate"), "lower rate").alias("reason"))
 
 
-def fidelity(lines: DataFrame) -> DataFrame:
-    """(doc, problem, n): brace and ``\\left``/``\\right`` balance and empty fractions, per document. Rows: doc, text."""
-    t = F.regexp_replace("text", r"\\[{}]", "")
-    checks = {
-        "braces": F.regexp_count(t, F.lit(r"\{")) - F.regexp_count(t, F.lit(r"\}")),
-        "left and right": F.regexp_count("text", F.lit(r"\\left(?![a-z])")) - F.regexp_count("text", F.lit(r"\\right(?![a-z])")),
-        "empty fraction": F.regexp_count("text", F.lit(r"\\frac\{\s*\}")),
-    }
-    rows = lines.select("doc", F.explode(F.array(*(F.struct(F.lit(name).alias("problem"), (c != 0).cast("int").alias("bad")) for name, c in checks.items()))).alias("x"))
-    return rows.groupBy("doc", "x.problem").agg(F.sum("x.bad").alias("n")).filter("n > 0")
+# What stands where a formula could not be read, and the commands that letters must not follow.
+SENTINEL = "[công thức không đọc được]"
+_GREEK = "varepsilon|vartheta|varsigma|epsilon|upsilon|Upsilon|varrho|lambda|varphi|Lambda|alpha|gamma|delta|theta|kappa|varpi|sigma|omega|Gamma|Delta|Theta|Sigma|Omega|beta|zeta|iota|eta|rho|tau|phi|chi|psi|Phi|Psi|mu|nu|xi|pi|Xi|Pi"
+
+
+def _braces(latex: Column) -> Column:
+    """Unescaped braces in order: array of (at, depth after it)."""
+    plain = F.regexp_replace(latex, r"(?s)\\.", "  ")
+    found = F.filter(F.transform(F.split(plain, ""), lambda c, i: F.struct(i.alias("at"), F.when(c == "{", 1).when(c == "}", -1).otherwise(0).alias("d"))), lambda x: x["d"] != 0)
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + x["d"]
+        return F.struct(depth.alias("depth"), F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), depth.alias("depth")))).alias("out"))
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<at:int,depth:int>>").alias("out")), step)["out"]
+
+
+def _empty_fraction(latex: Column, braces: Column) -> Column:
+    """Whether a ``\\frac`` has a numerator or a denominator without anything in it."""
+    parts = F.split(latex, r"\\frac(?![a-zA-Z])", -1)
+    ends = F.slice(F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x) + 5)), F.lit(1), F.size(parts) - 1)
+
+    def close(at: Column) -> Column:
+        """Place of the brace that closes the group which begins at ``at``; null if none begins there or it never ends."""
+        depth = F.get(F.transform(F.filter(braces, lambda b: b["at"] == at), lambda b: b["depth"]), F.lit(0))
+        later = F.filter(braces, lambda b: (b["at"] > at) & (b["depth"] < depth))
+        return F.when(F.substring(latex, at + 1, F.lit(1)) == "{", F.get(F.transform(later, lambda b: b["at"]), F.lit(0)))
+
+    empty = lambda lo, hi: F.coalesce(F.substring(latex, lo + 2, hi - lo - 1).rlike(r"^\s*$"), F.lit(False))
+    groups = F.transform(ends, lambda e: F.struct(e.alias("a"), close(e).alias("b")))
+    groups = F.transform(groups, lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), close(g["b"] + 1).alias("c")))
+    return F.exists(groups, lambda g: empty(g["a"], g["b"]) | empty(g["b"] + 1, g["c"]))
+
+
+def latex_problem(formulas: DataFrame, latex: str) -> DataFrame:
+    """``formulas`` with ``problem`` of a column of bare LaTeX: the first rule that it breaks, or null.
+
+    dollar; extra closing brace (with ``place``, its number of characters before it), open braces; left and right; glued command; bare brace as a delimiter; empty fraction. Escaped characters are
+    no braces; depth is followed from brace to brace.
+    """
+    t = F.col(latex)
+    rows = formulas.withColumn("_braces", _braces(t))
+    low = F.get(F.filter("_braces", lambda b: b["depth"] < 0), F.lit(0))
+    last = F.coalesce(F.try_element_at("_braces", F.lit(-1))["depth"], F.lit(0))
+    sides = F.regexp_count(t, F.lit(r"\\left(?![a-zA-Z])")) != F.regexp_count(t, F.lit(r"\\right(?![a-zA-Z])"))
+    problem = F.when(F.contains(t, F.lit("$")), "dollar").when(low.isNotNull(), "extra closing brace").when(last != 0, "open braces").when(sides, "left and right")
+    problem = problem.when(t.rlike(rf"\\({_GREEK})[A-Za-z]"), "glued command").when(t.rlike(r"\\(?:left|right)[{}]"), "bare brace").when(_empty_fraction(t, F.col("_braces")), "empty fraction")
+    rows = rows.withColumn("problem", problem)
+    return rows.withColumn("place", F.when(F.col("problem") == "extra closing brace", low["at"])).drop("_braces")
+
+
+def fidelity(markdown: DataFrame, formulas: DataFrame, totals: DataFrame) -> DataFrame:
+    """(doc, problem, n) of an extraction: Markdown lines (doc, text), formulas (doc, latex) and what the report says (doc, found, converted, rates, a map).
+
+    ``rate`` of each kind below 1; ``lost`` formulas, found but not converted; ``spans``, by how many the formulas in the Markdown (``$..$`` within a line) differ from those converted;
+    ``unread`` marks left in the Markdown; and each formula's own problem. A document without Markdown or formulas has none of them.
+    """
+    spans = F.regexp_count("text", F.lit(r"\$[^$\n]+\$"))
+    text = markdown.groupBy("doc").agg(F.sum(spans).alias("spans"), F.sum(F.contains("text", F.lit(SENTINEL)).cast("int")).alias("unread"))
+    rows = totals.join(text, "doc", "full").select(
+        "doc", F.size(F.filter(F.map_values("rates"), lambda r: F.abs(r - 1) > 1e-9)).alias("rate"), F.when(F.col("found") != F.col("converted"), F.abs(F.col("found") - F.col("converted"))).alias("lost"),
+        F.when(F.col("converted").isNotNull(), F.abs(F.coalesce("spans", F.lit(0)) - F.col("converted"))).alias("spans"), "unread",
+    )
+    whole = rows.unpivot("doc", [F.col(c).cast("long").alias(c) for c in ("rate", "lost", "spans", "unread")], "problem", "n").filter("n > 0")
+    own = latex_problem(formulas, "latex").filter("problem IS NOT NULL").groupBy("doc", "problem").agg(F.count("*").alias("n"))
+    return whole.unionByName(own)
 
 
 def score_records(questions: DataFrame, facts: DataFrame) -> DataFrame:

@@ -88,12 +88,53 @@ def grounded(answers: DataFrame, sources: DataFrame, share: float, stop: list[st
     return answers.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("covered", F.lit(0.0)).alias("covered"), F.coalesce(F.col("covered") >= share, F.lit(False)).alias("grounded"))
 
 
+# A number, the units that make it a claim, and a value with its tolerance.
+_PLAIN = r"\d+(?:\.\d+)?"
+_UNITS = r"(?:mm/min|mm/s|r/min|mbar|bar|MPa|kPa|Pa|mm|cm|mL|ml|min|phút|giờ|giây|tháng|năm|ngày|oC|°C|℃|kg|%|[hsLm])"
+_WITH_UNIT = rf"(?<![\w.]){_PLAIN}\s*{_UNITS}(?![A-Za-zÀ-ỹ])"
+_TOLERANCE = rf"{_PLAIN}\s*±\s*{_PLAIN}"
+
+
+def number_text(text: Column) -> Column:
+    """A text with one way to write numbers: marks of LaTeX gone, a decimal point for a comma, groups of thousands joined."""
+    t = F.replace(F.replace(F.replace(text, F.lit("\\pm"), F.lit("±")), F.lit("\\%"), F.lit("%")), F.lit("\\times"), F.lit("×"))
+    t = F.translate(F.regexp_replace(t, r"\\(?:left|right|text|mathrm|,|;|!)", ""), "${}", "")
+    return F.regexp_replace(F.regexp_replace(t, r"(?<=\d),(?=\d)", "."), r"(?<=\d) (?=\d{3}(?!\d))", "")
+
+
+def canonical(number: Column) -> Column:
+    """``01`` as ``1``, ``2.50`` as ``2.5``."""
+    return F.regexp_replace(F.regexp_replace(number, r"^0+(?=\d)", ""), r"\.0*$|(\.\d*?)0+$", "$1")
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """All places of a pattern: array of (lo, hi, text), ``hi`` past the end, from 0."""
+    found, rest = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int,text:string>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        lo = s["at"] + p["rest"]
+        hi = lo + F.length(p["found"])
+        return F.struct(hi.alias("at"), F.concat(s["out"], F.array(F.struct(lo.alias("lo"), hi.alias("hi"), p["found"].alias("text")))).alias("out"))
+
+    return F.aggregate(F.arrays_zip(found.alias("found"), F.slice(rest, F.lit(1), F.size(found)).alias("rest")), start, step)["out"]
+
+
 def unsupported_numbers(answers: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Distinct numbers of an answer, in canonical form, that its context lacks: (query_id, numbers). Citation marks and list numbers do not count."""
-    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\[\d+\]", " "), r"(?m)^\s*\d+[.)]\s", " ")
-    canon = lambda c: F.transform(F.regexp_extract_all(plain(c), F.lit(_NUMBER), 1), lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit(".")), r"^0+(?=\d)|(\.\d*?)0+$", "$1"))
-    rows = answers.join(contexts, "query_id", "left")
-    return rows.select("query_id", F.array_join(F.array_sort(F.array_except(canon(F.col("answer")), F.coalesce(canon(F.col("context")), F.array().cast("array<string>")))), ",").alias("numbers"))
+    """What an answer states in numbers and its context doesn't: (query_id, claims, an array in order of first use, tolerances first).
+
+    ``a ± b`` must stand in the context with both numbers together; a number with a unit must stand there as a number, unless it lies inside one of the answer's ``a ± b``. Numbers are compared in
+    canonical form; citation marks, section numbers and codes are no claims. Rows (query_id, answer), (query_id, context); a missing context supports nothing.
+    """
+    of = lambda pattern, c: F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    pair = lambda c: F.concat_ws("±", F.transform(F.split(c, r"\s*±\s*"), canonical))
+    rows = answers.join(contexts, "query_id", "left").select("query_id", number_text(F.regexp_replace("answer", r"\[\d+\]", "")).alias("body"), number_text(F.coalesce("context", F.lit(""))).alias("ctx"))
+    rows = rows.select("query_id", spans(F.col("body"), _TOLERANCE).alias("pm"), spans(F.col("body"), _WITH_UNIT).alias("nu"), F.transform(of(rf"(?<![\d.]){_PLAIN}", F.col("ctx")), canonical).alias("numbers"), F.transform(of(_TOLERANCE, F.col("ctx")), pair).alias("pairs"))
+    bad_pairs = F.filter("pm", lambda m: ~F.array_contains("pairs", pair(m["text"])))
+    alone = F.filter("nu", lambda m: ~F.exists("pm", lambda p: (p["lo"] <= m["lo"]) & (m["lo"] < p["hi"])))
+    bad = F.filter(alone, lambda m: ~F.array_contains("numbers", canonical(F.regexp_extract(m["text"], _PLAIN, 0))))
+    text = lambda ms: F.transform(ms, lambda m: F.trim(F.regexp_replace(m["text"], r"\s+", " ")))
+    return rows.select("query_id", F.array_distinct(F.concat(text(bad_pairs), text(bad))).alias("claims"))
 
 
 def clean_citations(answer: Column, n_sources: Column) -> Column:

@@ -9,6 +9,7 @@ from tessera.operators import evidence as E
 from tessera.operators import passages as P
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import BM25, bm25, with_place
+from tessera.plans.text_queries import _MEASURED, measured
 from tessera.session import settle, table
 
 _HITS = f"{BM25}, hits AS (SELECT bm.*, file_stem, text FROM bm JOIN chunks USING (chunk_id))"
@@ -95,13 +96,26 @@ def m12_grounded(spark, sf_dir):
     return E.grounded(a, hits(spark, sf_dir).filter("rank <= 3"), 0.7, ["the", "of", "de"]).withColumn("covered", F.round("covered", 9))
 
 
-@query("SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(7000000 + o_orderkey AS VARCHAR) ELSE '0.5,' || CAST(7000000 + o_orderkey AS VARCHAR) END AS numbers FROM orders")
+_STATED = """stated AS (SELECT *, txt || ' [3], (' || q || ' ± ' || l_linenumber || ') %, 0' || q || '.50 mm' AS body FROM measured)"""
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace({}, '\\[\\d+\\]', '', 'g'), '(\\d),(\\d)', '\\1.\\2', 'g'), '(\\d) (\\d\\d\\d)\\b', '\\1\\2', 'g')"
+_SQL_UNIT = "(?:mm/min|mm/s|r/min|mbar|bar|MPa|kPa|Pa|mm|cm|mL|ml|min|kg|%|[hsLm])"
+_SQL_CANON = "CAST(CAST({} AS DOUBLE) AS VARCHAR)"
+
+
+@query(f"""WITH {_MEASURED}, {_STATED}, r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CLEAN.format("body")} AS body, coalesce({_CLEAN.format("lead(body) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, q)")}, '') AS ctx FROM stated),
+x AS (SELECT *, regexp_extract_all(body, '\\d+(?:\\.\\d+)? ± \\d+(?:\\.\\d+)?') AS pm, regexp_extract_all(regexp_replace(body, '\\d+(?:\\.\\d+)? ± \\d+(?:\\.\\d+)?', '~', 'g'), '(?:^|[^\\w.])(\\d+(?:\\.\\d+)?\\s*{_SQL_UNIT})(?:[^A-Za-zÀ-ỹ]|$)', 1) AS nu,
+  list_transform(regexp_extract_all(ctx, '(?:^|[^\\d.])(\\d+(?:\\.\\d+)?)', 1), lambda n: CAST(n AS DOUBLE)) AS numbers, list_transform(regexp_extract_all(ctx, '\\d+(?:\\.\\d+)? ± \\d+(?:\\.\\d+)?'), lambda p: list_transform(string_split(p, ' ± '), lambda n: CAST(n AS DOUBLE))) AS pairs FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(pm, lambda p: NOT list_contains(pairs, list_transform(string_split(p, ' ± '), lambda n: CAST(n AS DOUBLE)))), list_filter(nu, lambda m: NOT list_contains(numbers, CAST(regexp_extract(m, '\\d+(?:\\.\\d+)?') AS DOUBLE)))))), '|') AS claims FROM x""")
 def m13_unsupported_numbers(spark, sf_dir):
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders")
-    mine = (7000000 + k).cast("string")
-    a = o.select(k.alias("query_id"), F.concat(F.lit("2. sai số 3,10 [4] "), F.when(k % 3 == 0, "").when(k % 3 == 1, mine).otherwise(F.concat(F.lit("0,50 và "), mine))).alias("answer"))
-    return E.unsupported_numbers(a, o.select(k.alias("query_id"), F.lit("giá trị 3.1 bar").alias("context")))
+    """Each line item's statement, judged by that of the next item of its order."""
+    from pyspark.sql import Window
+
+    q = F.col("q").cast("string")
+    body = F.concat("txt", F.lit(" [3], ("), q, F.lit(" ± "), F.col("l_linenumber").cast("string"), F.lit(") %, 0"), q, F.lit(".50 mm"))
+    rows = measured(spark, sf_dir).withColumn("body", body).withColumn("ctx", F.lead("body").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "q")))
+    rows = settle(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "body", "ctx").withColumn("query_id", F.monotonically_increasing_id()))
+    found = E.unsupported_numbers(rows.select("query_id", F.col("body").alias("answer")), rows.select("query_id", F.col("ctx").alias("context")))
+    return rows.join(found, "query_id").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.array_sort("claims"), "|").alias("claims"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, substr(text, 1, 40) AS t, turn % 6 AS k, conv_id % 6 AS j, 1 + conv_id % 4 AS n FROM conversations)
@@ -172,11 +186,30 @@ def e24_regression_gate(spark, sf_dir):
     return A.gate(stats(l, F.col("l_linenumber") % 2 == 0), stats(l.filter("l_orderkey % 20 <> 0 OR l_suppkey % 2 = 0"), F.col("l_partkey") % 2 == 0))
 
 
-@query("""SELECT o_custkey AS doc, p AS problem, count(*) AS n FROM (SELECT o_custkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['braces'] WHEN 1 THEN ['left and right'] WHEN 2 THEN ['empty fraction'] ELSE [] END) AS p FROM orders) GROUP BY 1, 2""")
+#: Pieces of which formulas are put together.
+_PIECES = [r"\frac{a}{b}", r"\frac{ }{b}", "{", "}", r"\left(", r"\right)", r"\{", r"\Deltax", r"\sqrt{x_{1}}", r"\frac{\frac{1}{2}}{{c}}", "$", r"\leftarrow", r"\frac{\{ \}}{}", r"\frac{{1}{2}}{3}", r"\left{", r"\alpha y"]
+_LATEX_SQL = "".join(f"{'' if k == 0 else ' || '}([{', '.join(chr(39) + p + chr(39) for p in _PIECES)}])[1 + {n} % {len(_PIECES)}]" for k, n in enumerate(("o_orderkey", "(o_custkey // 3)", "(o_orderkey // 16)")))
+_INNER = r"(?:[^{}\\]|\\.)*"
+_GROUP1 = rf"\{{{_INNER}\}}"
+_GROUP2 = rf"\{{(?:[^{{}}\\]|\\.|{_GROUP1})*\}}"
+_DEPTHS = "list_transform(range(1, len(p) + 1), lambda i: len(regexp_replace(substr(p, 1, i), '[^{]', '', 'g')) - len(regexp_replace(substr(p, 1, i), '[^}]', '', 'g')))"
+
+
+@query(f"""WITH f AS (SELECT o_custkey AS doc, o_orderkey, {_LATEX_SQL} AS t FROM orders), d AS (SELECT *, regexp_replace(t, '\\\\.', '  ', 'g') AS p FROM f),
+x AS (SELECT *, {_DEPTHS} AS depths, len(regexp_extract_all(replace(t, '\\leftarrow', ''), '\\\\left')) AS l, len(regexp_extract_all(t, '\\\\right')) AS r FROM d),
+y AS (SELECT doc, CASE WHEN contains(t, '$') THEN 'dollar' WHEN coalesce(list_min(depths), 0) < 0 THEN 'extra closing brace' WHEN coalesce(depths[-1], 0) <> 0 THEN 'open braces' WHEN l <> r THEN 'left and right' WHEN regexp_matches(t, '\\\\(Delta|alpha)[A-Za-z]') THEN 'glued command'
+  WHEN regexp_matches(t, '\\\\(left|right)[{{}}]') THEN 'bare brace' WHEN regexp_matches(t, '\\\\frac(\\{{\\s*\\}}|{_GROUP2}\\{{\\s*\\}})') THEN 'empty fraction' END AS problem FROM x),
+m AS (SELECT doc, count(*) AS found, count(*) FILTER (o_orderkey % 9 <> 0) AS converted, count(*) FILTER (o_orderkey % 8 <> 0 AND replace(t, '$', '') <> '') AS spans, count(*) FILTER (o_orderkey % 8 = 0) AS unread, (count(*) FILTER (o_orderkey % 9 <> 0) < count(*))::INT AS rate FROM f GROUP BY 1)
+SELECT doc, problem, count(*) AS n FROM y WHERE problem IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT doc, 'rate', rate FROM m WHERE rate > 0 UNION ALL SELECT doc, 'lost', found - converted FROM m WHERE found <> converted UNION ALL SELECT doc, 'spans', abs(spans - converted) FROM m WHERE spans <> converted UNION ALL SELECT doc, 'unread', unread FROM m WHERE unread > 0""")
 def e25_fidelity(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, r"\frac{a}{b").when(k == 1, r"\left( x").when(k == 2, r"\frac{ }{b}").otherwise(r"\{ \left( a \right) {b}")
-    return A.fidelity(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), text.alias("text")))
+    """A formula of three pieces for each order; every eighth isn't in the Markdown, every ninth isn't converted."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders")
+    piece = lambda n: F.get(F.array(*map(F.lit, _PIECES)), (n % len(_PIECES)).cast("int"))
+    found = o.select(c.alias("doc"), k, F.concat(piece(k), piece(F.expr("o_custkey div 3")), piece(F.expr("o_orderkey div 16"))).alias("latex"))
+    lines = found.select("doc", F.when(k % 8 == 0, F.concat(F.lit("x = "), F.lit(A.SENTINEL))).otherwise(F.concat(F.lit("x = $"), F.translate("latex", "$", ""), F.lit("$"))).alias("text"))
+    totals = o.groupBy(c.alias("doc")).agg(F.count("*").alias("found"), F.sum((k % 9 != 0).cast("int")).alias("converted")).withColumn("rates", F.create_map(F.lit("a"), F.col("converted") / F.col("found"), F.lit("b"), F.lit(1.0)))
+    return A.fidelity(lines, found.select("doc", "latex"), totals)
 
 
 @query("""WITH c AS (SELECT p_brand AS type, lower(p_name || ' ' || p_type) AS name FROM part), w AS (SELECT DISTINCT type, string_split(name, ' ') AS w FROM c),

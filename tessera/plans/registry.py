@@ -27,4 +27,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["e3_retrieval_metrics"](spark, sf_dir)
 
 
-from tessera.plans import chunk_queries, evidence_queries, ledger_queries, record_queries, report_queries, retrieval_queries, selection_queries, stream_queries, table_queries, text_queries  # noqa: E402, F401
+from tessera.plans import text_queries  # noqa: E402, F401, I001  (light queries are registered first)
+from tessera.plans import chunk_queries, evidence_queries, ledger_queries, record_queries, report_queries, retrieval_queries, selection_queries, stream_queries, table_queries  # noqa: E402, F401

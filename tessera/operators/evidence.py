@@ -79,13 +79,28 @@ def pick_quotes(scored: DataFrame, floor: float, relative: float, per_file: int)
     return picked.select("query_id", "file_stem", F.posexplode("p").alias("place", "text"))
 
 
-def grounded(answers: DataFrame, sources: DataFrame, share: float, stop: list[str]) -> DataFrame:
-    """Share of an answer's keywords that its sources hold, and whether it reaches ``share``. Rows (query_id, answer), (query_id, text)."""
-    words = F.array_except(F.array_distinct(word_tokens(F.col("answer"))), F.array(*map(F.lit, stop)))
-    a = answers.select("query_id", F.explode(words).alias("w")).filter(F.length("w") > 1)
-    held = sources.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("w")).distinct().withColumn("hit", F.lit(1))
-    got = a.join(held, ["query_id", "w"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("covered"))
-    return answers.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("covered", F.lit(0.0)).alias("covered"), F.coalesce(F.col("covered") >= share, F.lit(False)).alias("grounded"))
+def _run_together(texts: DataFrame, name: str) -> DataFrame:
+    """(query_id, name): the words of a query's texts (query_id, rank, text) in order of rank, without anything between them. A query's texts are what its search gave."""
+    words = F.array_join(word_tokens(F.col("text")), "")
+    listed = texts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(words, F.lit("")).alias("w")))).alias("x"))
+    return listed.select("query_id", F.array_join(F.col("x.w"), "").alias(name))
+
+
+def grounded(questions: DataFrame, quotes: DataFrame, sources: DataFrame, share: float, absent_share: float, stop: list[str]) -> DataFrame:
+    """(query_id, covered, status): whether quotations are about what was asked.
+
+    ``unknown code``: the question names a code that none of its sources has; ``no keywords``: it has none but stop words, which passes; ``too few``: less than ``share`` of its keywords stand in the
+    quotes; ``absent word``: a keyword is in no source at all and the quotes hold less than ``absent_share``; else ``grounded``. A keyword is looked up in run-together text, so one that a source
+    writes apart or as part of a longer word is found. Rows: questions (query_id, question), quotes and sources (query_id, rank, text). A question without quotes or sources is covered by none.
+    """
+    keys = F.array_except(F.array_distinct(word_tokens(F.coalesce("question", F.lit("")))), F.transform(F.array(*map(F.lit, stop)), F.lower) if stop else F.array().cast("array<string>"))
+    unknown = unknown_codes(questions.select("query_id", F.col("question").alias("query")), sources).select("query_id", F.lit(True).alias("unknown")).distinct()
+    rows = questions.select("query_id", keys.alias("keys")).join(_run_together(quotes, "quoted"), "query_id", "left").join(_run_together(sources, "corpus"), "query_id", "left").join(unknown, "query_id", "left")
+    held = lambda c: F.filter("keys", lambda w: F.contains(F.coalesce(F.col(c), F.lit("")), w))
+    rows = rows.withColumn("covered", F.coalesce(F.try_divide(F.size(held("quoted")), F.size("keys")), F.lit(0.0)))
+    absent = F.size(held("corpus")) < F.size("keys")
+    status = F.when(F.col("unknown"), "unknown code").when(F.size("keys") == 0, "no keywords").when(F.col("covered") < share, "too few").when(absent & (F.col("covered") < absent_share), "absent word").otherwise("grounded")
+    return rows.select("query_id", "covered", status.alias("status"))
 
 
 # A number, the units that make it a claim, and a value with its tolerance.

@@ -103,3 +103,13 @@ def test_totals_of_an_extraction(spark):
     formulas = spark.createDataFrame([("a", "}{"), ("a", None), ("a", "x")], "doc string, latex string")
     totals = spark.createDataFrame([("a", 4, 3, {"ole": 0.75, "omml": 1.0, "none": None}), ("b", 0, 0, None), ("d", 1, 1, {})], "doc string, found long, converted long, rates map<string,double>")
     assert {tuple(r) for r in answers.fidelity(md, formulas, totals).collect()} == {("a", "rate", 1), ("a", "lost", 1), ("a", "spans", 1), ("a", "unread", 1), ("a", "extra closing brace", 1), ("d", "spans", 1)}
+
+
+def test_each_way_not_to_be_grounded(spark):
+    """Words that a source runs together or writes apart are found; a code and an absent word are not."""
+    q = [(1, "áp kế đo 2"), (2, "theo QTKĐ 1.061 áp kế"), (3, "the OF"), (4, "một hai ba bốn"), (5, "áp kế lò xo zzz"), (6, "áp kế lò xo đo đúng chuẩn mới zzz"), (7, None), (8, "Áp")]
+    texts = [(1, 2, "đo2"), (1, 1, "ápkế"), (2, 1, "1.062 áp kế"), (4, 1, "một"), (4, 2, "hai ba bốn"), (5, 1, "áp kế lò xo"), (6, 1, "áp kế lò xo đo đúng chuẩn mới"), (3, 1, None)]
+    questions = spark.createDataFrame(q, "query_id long, question string")
+    sources = spark.createDataFrame(texts, "query_id long, rank int, text string")
+    got = {r.query_id: (r.status, round(r.covered, 6)) for r in evidence.grounded(questions, sources.filter("rank = 1 OR query_id = 1"), sources, 0.5, 0.85, ["The", "of"]).collect()}
+    assert got == {1: ("grounded", 1.0), 2: ("unknown code", 0.5), 3: ("no keywords", 0.0), 4: ("too few", 0.25), 5: ("absent word", 0.8), 6: ("grounded", 0.888889), 7: ("no keywords", 0.0), 8: ("too few", 0.0)}

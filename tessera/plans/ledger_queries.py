@@ -177,6 +177,45 @@ def s12_markup_counts(spark, sf_dir):
     return to_sections(table(spark, sf_dir, "pages")).select("page_id", "title", F.size("paragraphs").cast("bigint").alias("n_paragraphs"), F.size("links").cast("bigint").alias("n_links"))
 
 
+_TEXT = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head, regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)(</article>|<footer|$)', 1), '<br[^>]*>', ' ', 'g') AS body FROM pages WHERE html LIKE '%<h1>%'),
+t AS (SELECT page_id, {_TEXT.format("head")} AS heading, list_filter(list_transform(string_split_regex(body, '</?p>'), lambda x: {_TEXT.format("x")}), lambda x: x <> '') AS paragraphs FROM p)
+SELECT page_id, 1 AS section_no, 1 AS level, heading, array_to_string(paragraphs, chr(10)) AS body FROM t
+WHERE NOT (heading = '' OR regexp_matches(heading, '^[-–] |[.;]$') OR (len(heading) > 80 AND contains(heading, '. ')) OR regexp_matches(heading, '^(Hình|Bảng)\\s+\\d'))""")
+def s12_markup_sections(spark, sf_dir):
+    """Pages as Markdown, cut into sections as any other document is."""
+    from tessera.operators.chunking import sections
+    from tessera.sources.markup import to_markdown
+
+    found = sections(to_markdown(table(spark, sf_dir, "pages")), "page_id")
+    return found.select(F.col("file_stem").alias("page_id"), "section_no", "level", "heading", F.array_join(F.filter("lines", lambda x: F.trim(x) != ""), "\n").alias("body"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER w AS row_no, first_value(l_returnflag) OVER w AS flag FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))
+SELECT l_orderkey AS doc, row_no, unnest([0, 1, 2, 3, 4]) AS col_no, unnest(['State', 'Line', 'Goods - Part', 'Goods - State', 'Goods - State']) AS label,
+  unnest([flag, CAST(l_linenumber AS VARCHAR), l_partkey || ' / ' || l_linestatus, CASE WHEN row_no % 2 = 1 THEN l_returnflag ELSE l_returnflag || '|' END, CASE WHEN row_no % 2 = 1 THEN l_returnflag ELSE l_linestatus END]) AS value FROM n""")
+def s12_markup_tables(spark, sf_dir):
+    """An order's lines as a table of markup whose header has two tiers, whose first cell spans all rows, and every other line of which has a cell over two columns; its cells from the Markdown."""
+    from pyspark.sql import Window
+
+    from tessera.operators import tables as T
+    from tessera.sources.markup import to_markdown
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", F.col("l_partkey").cast("string").alias("part"), F.row_number().over(w).alias("row_no"))
+    cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
+    wide = F.concat(F.lit('<td colspan="2">'), "l_returnflag", F.lit("</td>"))
+    row = F.concat(cell(F.col("l_linenumber").cast("string")), cell("part", F.lit("<br>"), "l_linestatus"), F.when(F.col("row_no") % 2 == 1, wide).otherwise(F.concat(cell("l_returnflag", F.lit("|")), cell("l_linestatus"))), F.lit("</tr>"))
+    # a page holds one order
+    orders = line.groupBy("l_orderkey").agg(F.min_by("l_returnflag", "row_no").alias("flag"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("row_no", row.alias("row")))).alias("rows"))
+    head = "</td></tr><h2>Lines</h2><table><tr><th rowspan=2>State<th rowspan=2>Line<th colspan=3>Goods</tr><tr><th>Part<th colspan=2>State</tr><tr><td rowspan="
+    body = F.concat(F.lit(head), F.col("n").cast("string"), F.lit(">"), "flag", F.lit("</td>"), F.array_join(F.transform("rows", lambda x: x["row"]), "<tr>"), F.lit("</table>"))
+    found = T.cells(T.tables(to_markdown(orders.select(F.col("l_orderkey").alias("page_id"), body.alias("html"))).withColumnRenamed("page_id", "doc")))
+    return found.select("doc", "row_no", "col_no", "label", "value")
+
+
 @query("""WITH d AS (SELECT p_partkey, '1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS code, 'QTKD_1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '_' || p_partkey AS file_stem, p_name, p_type FROM part),
 q AS (SELECT p_partkey AS query_id, code FROM d WHERE p_partkey % 3 <> 0)
 SELECT query_id, file_stem, 'Phụ lục D' AS section, '# Phụ lục D' || chr(10) || chr(10) || CASE WHEN d.p_partkey % 2 = 0 THEN '# (Quy định)' || chr(10) || chr(10) ELSE '' END || p_name || chr(10) || chr(10) || p_type AS text

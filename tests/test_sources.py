@@ -62,3 +62,49 @@ def test_sweep_report(spark):
     decision = spark.createDataFrame([(0.5, 60, False, "the present setting is first")], "alpha double, k int, change boolean, reason string")
     text = io.sweep_report(rows, decision)
     assert "| 1 | 0.5 | 60 | 0.550 | 0.400 |" in text and "| 0.4 | - | 0.540 |" in text and "- Change: no\n- Reason: the present" in text
+
+
+PAGE = """<html><head><title>x</title><body><nav><h2>no</nav><h1>Title <b>b</b>old</h1>text &amp; more<p>one<br>two<ul><li>a<li>b</ul><h2>This is a sentence.</h2>
+<table border=1><caption>Cap</caption><tr><th rowspan=2>A<th colspan="2">B</tr><tr><th>x<th>y</tr><tr><td rowspan=2>r|s<td>1<br>2<td>3</tr><tr></tr><tr><td>4<td><table><tr><td>in<td>ner</table></tr></table>after</table> # x<h3>Hình 2</h3><footer>no</footer>"""
+
+
+def test_markup_as_markdown(spark):
+    from tessera.operators import chunking, tables
+
+    rows = [(1, PAGE), (2, None), (3, ""), (4, "a < b <p># h"), (5, "<table><tr><td colspan=2>h</table><table><td>k</td></table>"), (6, '<!-- <h1>a --><h2 title="a>b">H</h2></table><tr><td>loose<nav>n')]
+    found = markup.to_markdown(spark.createDataFrame(rows, "page_id long, html string"))
+    got = {r.page_id: r.text for r in found.collect()}
+    assert got[1] == (
+        "# Title bold\n\ntext & more\n\none two\n\n- a\n\n- b\n\nThis is a sentence.\n\nCap\n\n| A | B - x | B - y |\n| --- | --- | --- |\n| r\\|s | 1 / 2 | 3 |\n| r\\|s |  |  |\n| 4 | in / ner |  |\n\nafter\n\n\\# x\n\nHình 2"
+    )
+    assert got[2] == got[3] == "" and got[4] == "a < b\n\n\\# h" and got[5] == "| h | h |\n| --- | --- |\n\n| k |\n| --- |" and got[6].startswith("## H") and "n" not in got[6].split("H")[1].replace("loose", "")
+    assert [(r.heading, r.level) for r in chunking.sections(found, "page_id").collect() if r.file_stem == 1] == [("Title bold", 1)]
+    cells = tables.cells(tables.tables(found.withColumnRenamed("page_id", "doc"))).filter("doc = 1 AND row_no = 1").orderBy("col_no").collect()
+    assert [(c.label, c.value) for c in cells] == [("A", "r|s"), ("B - x", "1 / 2"), ("B - y", "3")]
+    assert markup.to_markdown(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_grid_equals_marking_squares():
+    """Random spans: every square belongs to the first cell that reaches it, and each cell starts in the first square of its row that is free when its turn comes."""
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        n = rnd.randint(1, 6)
+        cells = [(r, rnd.choice([1, 1, 1, 2, 3, 0]), rnd.choice([1, 1, 2, 3]), f"{r}.{k}") for r in range(n) for k in range(rnd.randint(0, 4))]
+        squares = {}
+        for r, down, over, text in cells:
+            c = next(c for c in range(100) if (r, c) not in squares)
+            last = max(x[0] for x in cells) if not down else min(r + down - 1, max(x[0] for x in cells))
+            for y in range(r, last + 1):
+                for x in range(c, c + over):
+                    squares.setdefault((y, x), text)
+        got = markup.grid(cells)
+        first = cells[0][0] if cells else 0
+        assert {(y + first, x): v for y, row in enumerate(got) for x, v in enumerate(row) if v} == squares
+
+
+def test_headings_that_are_text(spark):
+    texts = ["1 Phạm vi", "- a", "– b", "Sai số.", "a;", "Hình 1. Sơ đồ", "Bảng 2", "Bảng tính", "x" * 70 + ". " + "y" * 20, ""]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(markup.is_heading(markup.F.col("t"))).collect()]
+    assert got == [True, False, False, False, False, False, False, True, False, False]

@@ -74,3 +74,27 @@ def budgets(lengths: Column, total: int, floor: int, cap: int) -> Column:
 
     start = F.struct(later.alias("later"), F.lit(total).cast("bigint").alias("free"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(lengths, start, step)["out"]
+
+
+def sweep(pairs: DataFrame, configs: DataFrame, top: int, pool: int) -> DataFrame:
+    """(alpha, k, query_id, rank, in_pool, place, reranked) for every setting (alpha, k) and query that has hits.
+
+    Pairs: (query_id, chunk_id, dense rank ``d``, lexical rank ``b``, parent_id, score, gold), each once: what is looked up or scored for a pair is so for all settings, which only order the pairs anew.
+    ``rank`` is that of the first gold hit among the ``top``; the ``pool`` holds that many hits, of which the first of each parent stays, and these count as they stand (``place``) and in order of score (``reranked``; ties: as they stand).
+    Each of the three is null where there is no gold hit. A hit without a parent is its own.
+    """
+    a, k, gold = F.col("alpha"), F.col("k"), F.col("gold")
+    own = Window.partitionBy("alpha", "k", "query_id")
+    fused = F.coalesce(2 * a / (k + F.col("d")), F.lit(0.0)) + F.coalesce(2 * (1 - a) / (k + F.col("b")), F.lit(0.0))
+    rows = pairs.join(configs).withColumn("s", F.round(fused, DIGITS))
+    ranked = rows.withColumn("rank", F.row_number().over(own.orderBy(F.desc("s"), F.col("d").asc_nulls_last(), F.col("b").asc_nulls_last()))).filter(F.col("rank") <= max(top, pool))
+    inside = F.col("rank") <= pool
+    first = F.row_number().over(Window.partitionBy("alpha", "k", "query_id", F.coalesce("parent_id", "chunk_id")).orderBy("rank"))
+    rows = ranked.withColumn("leads", inside & (first == 1))
+    place = F.sum(F.col("leads").cast("int")).over(own.orderBy("rank"))
+    reranked = F.row_number().over(own.orderBy(F.desc("leads"), F.desc("score"), "rank"))
+    rows = rows.withColumn("place", place).withColumn("reranked", reranked)
+    lead = F.col("leads") & gold
+    return rows.groupBy("alpha", "k", "query_id").agg(
+        F.min(F.when(gold & (F.col("rank") <= top), F.col("rank"))).alias("rank"), F.bool_or(inside & gold).alias("in_pool"), F.min(F.when(lead, F.col("place"))).alias("place"), F.min(F.when(lead, F.col("reranked"))).alias("reranked")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.functions.text import tokens
 from tessera.operators import dense, fusion, lexical, matching, metrics, scope
 from tessera.operators.kept import Kept
 from tessera.plans.registry import query
@@ -326,17 +327,15 @@ ALPHAS, SWEEP_KS = [round(0.1 * i, 1) for i in range(11)], [10, 30, 60, 80, 100]
 
 
 def _sweep(spark, sf_dir):
+    """Ranks of every setting and query. Hits are found, placed and scored once; the score, for want of a reranker, is the number of different tokens that a hit shares with its query."""
     configs = F.broadcast(spark.createDataFrame([(a, k) for a in ALPHAS for k in SWEEP_KS], "alpha double, k int"))  # 55 rows
-    d, b = nearest(spark, sf_dir), bm25(spark, sf_dir)
+    d, b, q = nearest(spark, sf_dir), bm25(spark, sf_dir), questions(spark, sf_dir)
     by = ["query_id", "chunk_id"]
-    both = d.select(*by, F.col("rank").alias("d")).join(b.select(*by, F.col("rank").alias("b")), by, "full").join(configs)
-    a, k = F.col("alpha"), F.col("k")
-    scored = both.withColumn("rrf_score", F.coalesce(2 * a / (k + F.col("d")), F.lit(0.0)) + F.coalesce(2 * (1 - a) / (k + F.col("b")), F.lit(0.0)))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("alpha", "k", "query_id").orderBy(F.desc(F.round("rrf_score", 12)), F.col("d").asc_nulls_last(), F.col("b").asc_nulls_last())
-    hits = with_place(spark, sf_dir, scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP))
-    return metrics.first_ranks(hits, expected(spark, sf_dir), questions(spark, sf_dir), ("alpha", "k"))
+    hits = with_place(spark, sf_dir, d.select(*by, F.col("rank").alias("d")).join(b.select(*by, F.col("rank").alias("b")), by, "full"))
+    gold = expected(spark, sf_dir).select("query_id", "file_stem", F.col("section_path").alias("wanted"))
+    score = F.size(F.array_intersect(tokens(F.col("query")), tokens(F.col("text"))))
+    pairs = hits.join(q, "query_id").join(gold, ["query_id", "file_stem"], "left").groupBy(*by, "d", "b", "parent_id").agg(F.max(score).alias("score"), F.coalesce(F.bool_or(F.startswith("section_path", "wanted")), F.lit(False)).alias("gold"))
+    return q.select("query_id").crossJoin(configs).join(fusion.sweep(settle(pairs), configs, TOP, POOL), ["alpha", "k", "query_id"], "left")
 
 
 SWEEP = f"""{BM25}, {DENSE}, {GOLD}, both_lists AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS d, b.rank AS b FROM dn d FULL JOIN bm b ON d.query_id = b.query_id AND d.chunk_id = b.chunk_id),
@@ -345,10 +344,20 @@ swept AS (SELECT *, row_number() OVER (PARTITION BY alpha, k, query_id ORDER BY
 best AS (SELECT alpha, k, s.query_id, min(rank) AS rank FROM swept s JOIN chunks c USING (chunk_id) JOIN gold g ON g.query_id = s.query_id AND g.file_stem = c.file_stem WHERE rank <= {TOP} GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {SWEEP}, every AS (SELECT c.alpha, c.k, i.item_id AS query_id, b.rank FROM configs c CROSS JOIN benchmark i LEFT JOIN best b ON b.alpha = c.alpha AND b.k = c.k AND b.query_id = i.item_id)
-SELECT round(alpha, 1) AS alpha, k, CASE WHEN GROUPING(query_id % 2) = 1 THEN 'combined' WHEN query_id % 2 = 0 THEN 'tune' ELSE 'holdout' END AS split, {_METRICS} FROM every GROUP BY GROUPING SETS ((alpha, k, query_id % 2), (alpha, k))""")
+@query(f"""WITH {SWEEP},
+pool AS (SELECT s.alpha, s.k, s.query_id, s.rank, c.parent_id, g.file_stem IS NOT NULL AS gold, len(list_intersect(list_distinct({TOKENS.format("i.text")}), list_distinct({TOKENS.format("c.text")}))) AS score
+  FROM swept s JOIN chunks c USING (chunk_id) JOIN benchmark i ON i.item_id = s.query_id LEFT JOIN gold g ON g.query_id = s.query_id AND g.file_stem = c.file_stem WHERE s.rank <= {POOL}),
+lead AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY alpha, k, query_id, parent_id ORDER BY rank) = 1),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY alpha, k, query_id ORDER BY rank) AS place, row_number() OVER (PARTITION BY alpha, k, query_id ORDER BY score DESC, rank) AS reranked FROM lead),
+pooled AS (SELECT alpha, k, query_id, min(place) AS place, min(reranked) AS reranked FROM ordered WHERE gold GROUP BY 1, 2, 3),
+every AS (SELECT c.alpha, c.k, i.item_id AS query_id, b.rank, EXISTS (SELECT 1 FROM pool x WHERE x.gold AND x.alpha = c.alpha AND x.k = c.k AND x.query_id = i.item_id) AS in_pool, place, reranked FROM configs c CROSS JOIN benchmark i
+  LEFT JOIN best b ON b.alpha = c.alpha AND b.k = c.k AND b.query_id = i.item_id LEFT JOIN pooled p ON p.alpha = c.alpha AND p.k = c.k AND p.query_id = i.item_id)
+SELECT round(alpha, 1) AS alpha, k, CASE WHEN GROUPING(query_id % 2) = 1 THEN 'combined' WHEN query_id % 2 = 0 THEN 'tune' ELSE 'holdout' END AS split, {_METRICS}, round(avg(in_pool::INT), 9) AS pool_recall,
+  round(avg(coalesce(place <= 5, false)::INT), 9) AS rrf_recall_5, round(avg(coalesce(reranked <= 5, false)::INT), 9) AS reranked_recall_5 FROM every GROUP BY GROUPING SETS ((alpha, k, query_id % 2), (alpha, k))""")
 def e8_fusion_sweep(spark, sf_dir):
     ranks = _sweep(spark, sf_dir).withColumn("part", F.col("query_id") % 2)
-    rows = ranks.groupingSets([["alpha", "k", "part"], ["alpha", "k"]], "alpha", "k", "part").agg(F.grouping("part").alias("g"), *metrics.metric_columns())
+    share = lambda c, name: F.avg(F.when(c, 1.0).otherwise(0.0)).alias(name)
+    shares = [share(F.col("in_pool"), "pool_recall"), share(F.col("place") <= 5, "rrf_recall_5"), share(F.col("reranked") <= 5, "reranked_recall_5")]
+    rows = ranks.groupingSets([["alpha", "k", "part"], ["alpha", "k"]], "alpha", "k", "part").agg(F.grouping("part").alias("g"), *metrics.metric_columns(), *shares)
     split = F.when(F.col("g") == 1, "combined").when(F.col("part") == 0, "tune").otherwise("holdout")
     return metrics.rounded(rows.withColumn("split", split).drop("g", "part")).withColumn("alpha", F.round("alpha", 1))

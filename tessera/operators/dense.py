@@ -33,11 +33,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, scope: Data
     n = queries.count()
     source = vectors.select(F.col("chunk_id").cast("string"), F.coalesce("embedding", zero).alias("e"))
     if scope is not None:
-        inside = scope.groupBy("file_stem").agg(F.collect_set(F.col("query_id").cast("long")).alias("inside"))
-        source = source.withColumn("file_stem", F.substring_index("chunk_id", "#", 1)).join(inside, "file_stem").select("chunk_id", "e", "inside")
+        source = source.withColumn("file_stem", F.substring_index("chunk_id", "#", 1))
     out = None
     for block in range(-(-n // BLOCK) or 1):
-        own = queries if n <= BLOCK else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == block)
+        part = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(max(1, -(-n // BLOCK)))) == block
+        own = queries.filter(part)
         rows = own.select("query_id", F.coalesce("embedding", zero).alias("e")).collect()
         ids = np.array([r.query_id for r in rows], np.int64)
         held = spark.sparkContext.broadcast((ids, unit(np.array([r.e for r in rows], float).reshape(-1, dim))))
@@ -65,7 +65,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, scope: Data
             m = best_s.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_c.ravel().tolist(), pa.string()), pa.array(best_s.ravel())], names=["query_id", "chunk_id", "score"])
 
-        found = source.mapInArrow(run, "query_id long, chunk_id string, score double").filter(F.col("score") > float("-inf"))
+        searched = source
+        if scope is not None:
+            # a file's queries of this block, of which there are about BLOCK at most
+            inside = scope.filter(part).groupBy("file_stem").agg(F.collect_set(F.col("query_id").cast("long")).alias("inside"))
+            searched = source.join(inside, "file_stem").select("chunk_id", "e", "inside")
+        found = searched.mapInArrow(run, "query_id long, chunk_id string, score double").filter(F.col("score") > float("-inf"))
         out = found if out is None else out.unionAll(found)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)

@@ -108,12 +108,19 @@ def successors(docs: DataFrame, deleted: DataFrame) -> DataFrame:
     return left.groupBy("number").agg(F.max_by("document_id", F.struct(F.coalesce("year", F.lit(-1)), "processed_at", "document_id")).alias("document_id"))
 
 
-def infer_device(titles: DataFrame, devices: DataFrame) -> DataFrame:
-    """The device type whose alias is the longest contained in the title (ties: the first listed). Rows (id, title), (ord, device, alias)."""
+def infer_device(titles: DataFrame, devices: DataFrame, by_number: DataFrame | None = None) -> DataFrame:
+    """The device type whose alias is the longest contained in the title (ties: the first listed). Rows (id, title), (ord, device, alias).
+
+    With ``by_number`` (number, device; the first by name where a number has several), a title without an alias takes the device of its ``number``.
+    """
     norm = lambda c: F.lower(F.trim(c))
     a = devices.select("ord", "device", norm(F.col("alias")).alias("alias")).filter("alias <> ''").groupBy("alias").agg(F.min("ord").alias("ord"), F.min_by("device", "ord").alias("device"))
     hit = containing(titles.select("id", norm(F.col("title")).alias("t")), a, "t", "alias")
-    return titles.select("id").join(hit.groupBy("id").agg(F.max_by("device", F.struct(F.length("alias"), -F.col("ord"))).alias("device")), "id", "left")
+    best = hit.groupBy("id").agg(F.max_by("device", F.struct(F.length("alias"), -F.col("ord"))).alias("device"))
+    if by_number is None:
+        return titles.select("id").join(best, "id", "left")
+    numbered = by_number.groupBy("number").agg(F.min("device").alias("by_number"))
+    return titles.select("id", "number").join(best, "id", "left").join(numbered, "number", "left").select("id", F.coalesce("device", "by_number").alias("device"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -172,13 +179,30 @@ def toc(lines: DataFrame, head: str, most: int = 120, orphans: int = 2) -> DataF
     return cut.groupBy("doc", "number").agg(F.min_by(F.struct("title", "page"), "pos").alias("x")).select("doc", "number", "x.title", "x.page")
 
 
+#: Fixed value: letters of a title that must stand in the other one.
+TITLE_START = 12
+
+
 def page_of(sections: DataFrame, contents: DataFrame) -> DataFrame:
-    """(doc, number, page, exact): the section's own page, or that of its nearest numbered ancestor. Rows: doc, number."""
+    """(doc, number, page, exact): the section's own page, or that of its nearest numbered ancestor. Rows: doc, number, and ``title`` where it is known.
+
+    With titles, a section whose own number stands in the contents under another title has no page (and is not exact): neither title holds the start of the other one. Empty titles clash with nothing.
+    """
+    titled = "title" in sections.columns
+    keys = ["doc", "number", *(["title"] if titled else [])]
     parts = F.split("number", r"\.")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
-    rows = sections.select("doc", "number", F.explode(ups).alias("up")).join(contents.select("doc", F.col("number").alias("up"), "page"), ["doc", "up"])
-    best = rows.groupBy("doc", "number").agg(F.max_by(F.struct("page", "up"), F.length("up")).alias("x"))
-    return sections.select("doc", "number").distinct().join(best, ["doc", "number"], "left").select("doc", "number", "x.page", (F.col("x.up") == F.col("number")).alias("exact"))
+    wanted = sections.select(*keys).distinct()
+    rows = wanted.select(*keys, F.explode(ups).alias("up")).join(contents.select("doc", F.col("number").alias("up"), "page", fold(F.col("title")).alias("there")), ["doc", "up"])
+    best = rows.withColumn("given", fold(F.coalesce("title", F.lit(""))) if titled else F.lit("")).groupBy(*keys).agg(F.max_by(F.struct("page", "up", "given", "there"), F.length("up")).alias("x"))
+    exact = F.col("x.up") == F.col("number")
+    held = lambda a, b: F.contains(a, F.substring(b, 1, TITLE_START))
+    clash = exact & (F.col("x.given") != "") & (F.col("x.there") != "") & ~held(F.col("x.given"), F.col("x.there")) & ~held(F.col("x.there"), F.col("x.given"))
+    found = best.select(*(F.col(c).alias(f"own_{c}") for c in keys), F.when(~clash, F.col("x.page")).alias("page"), (exact & ~clash).alias("exact"))
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    return wanted.join(found, on, "left").select(*keys, "page", "exact")
 
 
 def replacements(docs: DataFrame, most: int = 12_000) -> DataFrame:

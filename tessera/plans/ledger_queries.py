@@ -68,6 +68,18 @@ def l8_infer_device(spark, sf_dir):
     return L.infer_device(part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title")), devices)
 
 
+@query("""WITH a AS (SELECT lower(p_name) AS alias, min(p_partkey) AS ord, arg_min(p_brand || '-' || p_partkey, p_partkey) AS device FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+t AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS title, p_size AS number FROM part), m AS (SELECT p_size AS number, min(p_brand || '-' || p_partkey) AS by_number FROM part WHERE p_size % 3 <> 0 GROUP BY 1),
+h AS (SELECT id, arg_max(device, (length(alias), -ord)) AS device FROM t JOIN a ON contains(title, alias) GROUP BY 1)
+SELECT id, coalesce(device, by_number) AS device FROM t LEFT JOIN h USING (id) LEFT JOIN m USING (number)""")
+def l8_device_by_number(spark, sf_dir):
+    """Names of every other part are aliases; other titles go by their size, a third of which is in no map."""
+    part = table(spark, sf_dir, "part").withColumn("device", F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")))
+    devices = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("ord"), "device", F.col("p_name").alias("alias"))
+    titles = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_size").alias("number"))
+    return L.infer_device(titles, devices, part.filter("p_size % 3 <> 0").select(F.col("p_size").alias("number"), "device"))
+
+
 def versions(spark, sf_dir):
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("number"), k.alias("document_id"), F.when(k % 6 != 0, F.year("o_orderdate")).alias("year"), (k * 7919 % 100003).alias("processed_at"))
@@ -146,6 +158,18 @@ def l18_page_of_section(spark, sf_dir):
     return L.page_of(wanted, contents)
 
 
+@query(f"""WITH {_TOC}, w AS (SELECT doc, CAST(k AS VARCHAR) AS number, CASE q % 3 WHEN 0 THEN 'MỤC ' || (k * 2) || 'X và thêm' WHEN 1 THEN p_name ELSE '' END AS title, 'mục ' || (k * 2) || 'x' AS there, CAST(q AS INTEGER) AS page FROM l JOIN part ON p_partkey = 1 + q),
+f AS (SELECT *, lower(strip_accents(title)) AS a, lower(strip_accents(there)) AS b FROM w)
+SELECT doc, number, title, CASE WHEN a = '' OR contains(a, left(b, 12)) OR contains(b, left(a, 12)) THEN page END AS page, a = '' OR contains(a, left(b, 12)) OR contains(b, left(a, 12)) AS exact FROM f""")
+def l18_page_by_title(spark, sf_dir):
+    """Sections under the title of the contents, under another one or under none."""
+    contents = L.toc(_toc_lines(spark, sf_dir), "Mục lục")
+    other = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).cast("int").alias("page"), "p_name")
+    title = F.when(F.col("page") % 3 == 0, F.concat(F.upper("title"), F.lit(" và thêm"))).when(F.col("page") % 3 == 1, F.col("p_name")).otherwise("")
+    wanted = contents.join(other, "page").select("doc", "number", title.alias("title"))
+    return L.page_of(wanted, contents)
+
+
 @query("""SELECT o_orderkey AS doc, '2.' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS new, '1.' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS old FROM orders WHERE o_orderkey % 3 = 0""")
 def l19_replacements(spark, sf_dir):
     k = F.col("o_orderkey")

@@ -81,12 +81,12 @@ def s2_question_set(spark, sf_dir):
 
 @query("SELECT s_suppkey AS file, l_partkey AS fid, l_quantity > 25 AS ok FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey")
 def s3_nested_report(spark, sf_dir):
-    """A report per nation, each a JSON file of its suppliers' lists."""
+    """A report per supplier, each a JSON file with the list of its lines."""
     path = _folder(spark, "report")
     d = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("fid"), (F.col("l_quantity") > 25).alias("ok"))).alias("formula_detail"))
     one = F.struct(F.col("s_suppkey").cast("string").alias("file"), F.coalesce("formula_detail", F.array()).alias("formula_detail"))
-    reports = table(spark, sf_dir, "supplier").join(d, F.col("s_suppkey") == F.col("l_suppkey"), "left").groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(one).alias("files"))).alias("value"))
-    reports.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    reports = table(spark, sf_dir, "supplier").join(d, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    io.write_files(reports.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct(F.array(one).alias("files"))).alias("text")), path)
     rows = io.read_report(spark, path)
     return rows.select(F.col("file").cast("bigint").alias("file"), F.col("fid").cast("bigint").alias("fid"), "ok")
 

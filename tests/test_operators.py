@@ -235,7 +235,7 @@ def test_what_stays_of_tables(spark):
     long_ = head + "| 1 | red pump | 5 |\n| | | green |\n| 2 | blue pump | 6 |\n| 3 | old pump | 7 |\n| 4 | new pump | 8 |"
     docs = spark.createDataFrame([("a", long_), ("b", head + "| 1 | red valve | 1 |")], "doc string, text string")
     keys = spark.createDataFrame([(1, "green"), (2, "pump"), (3, "blue"), (3, "valve")], "query_id long, word string")
-    q = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long")
+    q = spark.createDataFrame([(i, d) for i in (1, 2, 3, 4) for d in ("a", "b")], "query_id long, doc string")
     got = {}
     for r in tables.kept_rows(tables.cells(tables.tables(docs)), keys, q, 3).collect():
         got.setdefault((r.query_id, r.doc), []).append(r.row_no)
@@ -255,3 +255,75 @@ def test_search_inside_a_scope(spark):
     assert got == {1: ["near#00001", "near#00000"], 2: [f"far#{i:05d}" for i in range(5)], 3: []}
     both = scope.search(q, lexical.build(rows), asked, vec, within, 5, 2).filter("query_id = 1").collect()
     assert {r.chunk_id for r in both} == {"near#00000", "near#00001"} and {r.chunk_id for r in dense.search(asked, vec, 5, 2).collect()} == {f"far#{i:05d}" for i in range(5)}
+
+
+def test_only_tables_that_were_found_are_pruned(spark):
+    head = "| TT | Name | V |\n|---|---|---|\n"
+    docs = spark.createDataFrame([(d, head + "\n".join(f"| {i} | {'red' if i == 2 else 'blue'} pump | {i} |" for i in range(1, 6))) for d in "abc"], "doc string, text string")
+    keys = spark.createDataFrame([(1, "red"), (1, "red"), (2, "none"), (3, "red")], "query_id long, word string")
+    found = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (4, "c"), (1, "z")], "query_id long, doc string")
+    got = tables.kept_rows(tables.cells(tables.tables(docs)), keys, found, 3).collect()
+    assert sorted((r.query_id, r.doc, r.row_no) for r in got) == [(1, "a", 2), *((2, "b", i) for i in range(1, 6)), *((4, "c", i) for i in range(1, 6))]
+
+
+def test_bars_inside_cells(spark):
+    docs = spark.createDataFrame([("a", "| x | y |\n|---|---|\n| p \\| q | r\\| |\n| | s |")], "doc string, text string")
+    assert [(r.row_no, r.col_no, r.value) for r in tables.cells(tables.tables(docs)).orderBy("row_no", "col_no").collect()] == [(1, 0, "p | q"), (1, 1, "r|"), (2, 0, ""), (2, 1, "s")]
+
+
+def test_sweep_equals_fusing_each_setting(spark):
+    """Random lists of hits, by plain loops."""
+    import random
+
+    rnd, pairs = random.Random(3), []
+    for q in range(6):
+        names = [f"c{i}" for i in range(14)]
+        d, b = rnd.sample(names, rnd.randint(0, 9)), rnd.sample(names, rnd.randint(1, 9))
+        for c in sorted({*d, *b}):
+            pairs.append((q, c, d.index(c) + 1 if c in d else None, b.index(c) + 1 if c in b else None, rnd.choice(["p1", "p2", "p3", None]), rnd.randint(0, 3), rnd.random() < 0.3))
+    settings = [(0.0, 10), (0.3, 60), (1.0, 30)]
+    top, pool, want = 3, 7, {}
+    for a, k in settings:
+        for q in range(6):
+            own = [p for p in pairs if p[0] == q]
+            own.sort(key=lambda p: (-round((2 * a / (k + p[2]) if p[2] else 0) + (2 * (1 - a) / (k + p[3]) if p[3] else 0), 12), p[2] or 99, p[3] or 99))
+            first, seen = [], set()
+            for p in own[:pool]:
+                if (p[4] or p[1]) not in seen:
+                    seen.add(p[4] or p[1])
+                    first.append(p)
+            at = lambda hits: next((i for i, p in enumerate(hits, 1) if p[6]), None)
+            want[a, k, q] = (at(own[:top]), any(p[6] for p in own[:pool]), at(first), at(sorted(first, key=lambda p: -p[5])))
+    rows = spark.createDataFrame(pairs, "query_id long, chunk_id string, d int, b int, parent_id string, score int, gold boolean")
+    got = fusion.sweep(rows, spark.createDataFrame(settings, "alpha double, k int"), top, pool).collect()
+    assert {(r.alpha, r.k, r.query_id): (r["rank"], r.in_pool, r.place, r.reranked) for r in got} == want
+
+
+def test_a_sweep_scores_each_pair_once(spark, monkeypatch):
+    from tessera.plans import registry  # noqa: F401  (it imports the queries in their order)
+    from tessera.plans import retrieval_queries as R
+
+    given, real = [], fusion.sweep
+    monkeypatch.setattr(R.fusion, "sweep", lambda pairs, *rest: given.append(pairs) or real(pairs, *rest))
+    R._sweep(spark, "/root/testdata/sf0.001")
+    hits = given[0].select("query_id", "chunk_id")
+    assert hits.count() == hits.distinct().count() <= 2 * R.POOL * R.questions(spark, "/root/testdata/sf0.001").count()
+    assert given[0].filter("d IS NULL AND b IS NULL").count() == 0
+
+
+def test_pages_by_title(spark):
+    from tessera.operators import ledger
+
+    contents = spark.createDataFrame([("a", "3", "Phương pháp kiểm định", 7), ("a", "3.1", "Sai số", 9), ("a", "4", "", 11)], "doc string, number string, title string, page int")
+    wanted = [("a", "3", "PHUONG PHAP KIEM DINH mới"), ("a", "3.1", "Độ ẩm"), ("a", "3.1", ""), ("a", "3.1", None), ("a", "3.2", "Khác"), ("a", "4", "x"), ("a", "5", "y"), ("b", "3", "z")]
+    got = {(r.doc, r.number, r.title): (r.page, r.exact) for r in ledger.page_of(spark.createDataFrame(wanted, "doc string, number string, title string"), contents).collect()}
+    assert got == dict(zip(wanted, [(7, True), (None, False), (9, True), (9, True), (7, False), (11, True), (None, None), (None, None)], strict=True))
+
+
+def test_devices_by_number(spark):
+    from tessera.operators import ledger
+
+    titles = spark.createDataFrame([(1, "Áp kế số", "1.001"), (2, "khác", "1.001"), (3, "khác", "9.999"), (4, None, None)], "id long, title string, number string")
+    devices = spark.createDataFrame([(1, "gauge", "áp kế")], "ord int, device string, alias string")
+    known = spark.createDataFrame([("1.001", "z"), ("1.001", "b")], "number string, device string")
+    assert sorted(map(tuple, ledger.infer_device(titles, devices, known).collect())) == [(1, "gauge"), (2, "b"), (3, None), (4, None)]

@@ -71,13 +71,14 @@ PAGE = """<html><head><title>x</title><body><nav><h2>no</nav><h1>Title <b>b</b>o
 def test_markup_as_markdown(spark):
     from tessera.operators import chunking, tables
 
-    rows = [(1, PAGE), (2, None), (3, ""), (4, "a < b <p># h"), (5, "<table><tr><td colspan=2>h</table><table><td>k</td></table>"), (6, '<!-- <h1>a --><h2 title="a>b">H</h2></table><tr><td>loose<nav>n')]
+    rows = [(1, PAGE), (2, None), (3, ""), (4, "a < b <p># h"), (5, "<table><tr><td colspan=2>h</table><table><td>k</td></table>"), (6, '<!-- <h1>a --><h2 title="a>b">H</h2></table><tr><td>loose<nav>n'), (7, "p > q> <b>r ></b> s<"), (8, "x >")]
     found = markup.to_markdown(spark.createDataFrame(rows, "page_id long, html string"))
     got = {r.page_id: r.text for r in found.collect()}
     assert got[1] == (
         "# Title bold\n\ntext & more\n\none two\n\n- a\n\n- b\n\nThis is a sentence.\n\nCap\n\n| A | B - x | B - y |\n| --- | --- | --- |\n| r\\|s | 1 / 2 | 3 |\n| r\\|s |  |  |\n| 4 | in / ner |  |\n\nafter\n\n\\# x\n\nHình 2"
     )
     assert got[2] == got[3] == "" and got[4] == "a < b\n\n\\# h" and got[5] == "| h | h |\n| --- | --- |\n\n| k |\n| --- |" and got[6].startswith("## H") and "n" not in got[6].split("H")[1].replace("loose", "")
+    assert got[7] == "p > q> r > s<" and got[8] == "x >"
     assert [(r.heading, r.level) for r in chunking.sections(found, "page_id").collect() if r.file_stem == 1] == [("Title bold", 1)]
     cells = tables.cells(tables.tables(found.withColumnRenamed("page_id", "doc"))).filter("doc = 1 AND row_no = 1").orderBy("col_no").collect()
     assert [(c.label, c.value) for c in cells] == [("A", "r|s"), ("B - x", "1 / 2"), ("B - y", "3")]

@@ -327,3 +327,30 @@ def test_devices_by_number(spark):
     devices = spark.createDataFrame([(1, "gauge", "áp kế")], "ord int, device string, alias string")
     known = spark.createDataFrame([("1.001", "z"), ("1.001", "b")], "number string, device string")
     assert sorted(map(tuple, ledger.infer_device(titles, devices, known).collect())) == [(1, "gauge"), (2, "b"), (3, None), (4, None)]
+
+
+def last_steps(df):
+    """What the plan does above its last join: what happens to the pairs once they are made."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_many_queries_name_many_files(spark):
+    """Files are looked up once for each set of names; the pairs are made last and not brought together again."""
+    files = spark.range(2500).selectExpr("'1.061' AS code", "concat('f', id % 2000) AS file_stem")
+    aliases = spark.createDataFrame([("áp kế", "f7"), ("áp kế", "g"), ("1.061", "f8")], "alias string, file_stem string")
+    q = spark.createDataFrame([(i, "theo 1.061" if i % 2 else "áp kế 1.061") for i in range(100)] + [(100, "áp kế"), (101, "không")], "query_id long, query string")
+    got = scope.route(q, files, aliases)
+    assert "Aggregate" not in last_steps(got) and "Deduplicate" not in last_steps(got)
+    pairs = got.collect()
+    assert len(pairs) == len(set(pairs)) == 50 * 2000 + 50 * 2001 + 2
+    assert {r.file_stem for r in pairs if r.query_id == 100} == {"f7", "g"}
+
+
+def test_groups_in_pieces(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(300)] + [(300, None), (301, "c")], "id long, g string")
+    for n in (90_000, 900):
+        values = spark.range(n).selectExpr("if(id % 3 = 0, 'a', 'b') AS g", "id AS v")
+        packs = matching.packed(values, "g", F.col("v"), 100)
+        assert packs.agg(F.max(F.size("values"))).first()[0] < 200
+        got = matching.expanded(rows, packs, "g", "v")
+        assert got.count() == got.distinct().count() == 200 * n // 3 + 100 * (n - n // 3)

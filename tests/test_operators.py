@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answers, chunking, dense, evidence, fusion, ledger, lexical, matching, metrics, records, scope, tables
+from tessera.operators import answers, chunking, dense, evidence, fusion, ledger, lexical, matching, metrics, records, scope, selection, tables
 from tessera.streaming import jobs
 
 
@@ -354,3 +354,15 @@ def test_groups_in_pieces(spark):
         assert packs.agg(F.max(F.size("values"))).first()[0] < 200
         got = matching.expanded(rows, packs, "g", "v")
         assert got.count() == got.distinct().count() == 200 * n // 3 + 100 * (n - n // 3)
+
+
+def test_formulas_of_a_kind_are_scored_once(spark):
+    """Formulas alike and questions alike: the first formulas of a kind have its places; pairs of rows are not made."""
+    variables = spark.createDataFrame([(i, ["tilt"], ["red", "gear"]) for i in range(400)] + [(i, ["red"], ["x"]) for i in range(400)] + [(1000, ["red"], ["red"]), (1001, ["a"], ["none"])], "formula long, title array<string>, label array<string>")
+    q = spark.createDataFrame([(i, ["red", "gear"] if i % 2 else ["gear", "red", "red"]) for i in range(300)] + [(300, ["x"]), (301, [])], "query_id long, words array<string>")
+    got = selection.rank_formulas(q, variables, 0.5, 3)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append((r.place, r.formula, round(r.coverage, 9), r.n))
+    assert {i: sorted(v) for i, v in found.items()} == {i: [(1, 1000, 1.0, 1), (2, 0, 0.5, 2), (3, 1, 0.5, 2)] for i in range(300)} | {300: [(1, 0, 0.5, 2), (2, 1, 0.5, 2), (3, 2, 0.5, 2)]}
+    assert "Window" not in last_steps(got)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import fold
-from tessera.operators.matching import containing
+from tessera.operators.matching import containing, expanded, packed
+from tessera.session import settle
 
 EXTENSIONS = (".docx", ".pdf", ".md", ".xlsx")
 
@@ -246,13 +247,22 @@ def _topic_lines(lines: Column, letter: Column) -> Column:
 def appendix_topics(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, file_stem, section, text): what an appendix that a query asks for is about, in every document whose stem has a code that the query names.
 
-    Only for queries all of whose codes stand in the stems or texts that were found. Rows (query_id, query), (file_stem, text); a document is looked through for each query that names it.
+    Only for queries all of whose codes stand in the stems or texts that were found. Rows (query_id, query), (file_stem, text); file_stem is a key. A document is looked through once for each letter that is asked of it,
+    and queries that ask for the same are answered once; pairs are made last.
     """
-    q = queries.select("query_id", asks_appendix(F.col("query")).alias("letter"), F.array_distinct(F.regexp_extract_all(fold(F.col("query")), F.lit(_CODES), 1)).alias("codes")).filter("letter IS NOT NULL")
-    named = docs.select("file_stem", F.explode(F.array_distinct(F.regexp_extract_all("file_stem", F.lit(_CODES), 1))).alias("code"))
-    pairs = q.select("query_id", "letter", F.explode("codes").alias("code")).join(named, "code").select("query_id", "letter", "file_stem").distinct()
-    hits = pairs.join(docs, "file_stem").select("query_id", "file_stem", _topic_lines(F.split("text", r"\r?\n"), F.col("letter")).alias("x")).filter("x.begun")
-    rows = hits.select("query_id", "file_stem", F.trim(F.regexp_replace("x.heading", "^[# ]+", "")).alias("section"), F.concat_ws("\n\n", "x.heading", "x.following").alias("text"))
-    covered = rows.select("query_id", F.explode(F.regexp_extract_all(F.concat_ws(" ", "file_stem", "text"), F.lit(_CODES), 1)).alias("code")).distinct()
-    lacking = q.select("query_id", F.explode("codes").alias("code")).join(covered, ["query_id", "code"], "left_anti").select("query_id").distinct()
-    return rows.join(lacking, "query_id", "left_anti")
+    codes_of = lambda text: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(_CODES), 1)))
+    q = queries.select("query_id", asks_appendix(F.col("query")).alias("letter"), codes_of(fold(F.col("query"))).alias("codes")).filter("letter IS NOT NULL").select("query_id", F.struct("letter", "codes").alias("asked"))
+    kinds = settle(q.select("asked").distinct().select("asked", "asked.letter", F.explode("asked.codes").alias("code")))
+    named = docs.select("file_stem", F.explode(codes_of(F.col("file_stem"))).alias("code")).join(kinds.select("code", "letter").distinct(), "code")
+    wanted = named.select("file_stem", "letter").distinct().join(docs, "file_stem")
+    hits = wanted.select("file_stem", "letter", _topic_lines(F.split("text", r"\r?\n"), F.col("letter")).alias("x")).filter("x.begun")
+    rows = hits.select("file_stem", "letter", F.trim(F.regexp_replace("x.heading", "^[# ]+", "")).alias("section"), F.concat_ws("\n\n", "x.heading", "x.following").alias("text"))
+    rows = settle(rows.withColumn("codes", codes_of(F.concat_ws(" ", "file_stem", "text"))))
+    of_code = rows.join(named.select("file_stem", "letter", "code").distinct(), ["file_stem", "letter"])
+    # one row a code and letter with the codes of what was found by it
+    seen = of_code.select("code", "letter", F.explode("codes").alias("c")).distinct()
+    covered = kinds.join(seen, ["code", "letter"]).select("asked", F.col("c").alias("code")).distinct()
+    answered = settle(kinds.select("asked").distinct().join(kinds.select("asked", "code").join(covered, ["asked", "code"], "left_anti").select("asked").distinct(), "asked", "left_anti"))
+    found = kinds.join(answered, "asked").join(of_code.select("code", "letter", "file_stem", "section", "text"), ["code", "letter"]).select("asked", "file_stem", "section", "text").distinct()
+    packs = packed(found, "asked", F.struct("file_stem", "section", "text"), 64)
+    return expanded(q, packs, "asked", "x").select("query_id", "x.file_stem", "x.section", "x.text")

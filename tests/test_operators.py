@@ -366,3 +366,12 @@ def test_formulas_of_a_kind_are_scored_once(spark):
         found.setdefault(r.query_id, []).append((r.place, r.formula, round(r.coverage, 9), r.n))
     assert {i: sorted(v) for i, v in found.items()} == {i: [(1, 1000, 1.0, 1), (2, 0, 0.5, 2), (3, 1, 0.5, 2)] for i in range(300)} | {300: [(1, 0, 0.5, 2), (2, 1, 0.5, 2), (3, 2, 0.5, 2)]}
     assert "Window" not in last_steps(got)
+
+
+def test_appendices_are_looked_through_once(spark):
+    docs = spark.createDataFrame([(f"QTKD_1.061_{i}", "# Phụ lục D\n\n(Quy định)\n\nMẫu\n\n# Phụ lục E") for i in range(200)], "file_stem string, text string")
+    q = spark.createDataFrame([(i, "Phụ lục D của QTKĐ 1.061 có nội dung gì?") for i in range(150)] + [(150, "Phụ lục D của QTKĐ 1.061 và QTKĐ 9.999 có nội dung gì?")], "query_id long, query string")
+    got = ledger.appendix_topics(q, docs)
+    assert "begun" not in got._jdf.queryExecution().optimizedPlan().toString(), "documents are looked through before the pairs are made"
+    rows = got.collect()
+    assert len(rows) == len({(r.query_id, r.file_stem) for r in rows}) == 150 * 200 and all(r.query_id < 150 for r in rows)

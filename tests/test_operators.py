@@ -375,3 +375,14 @@ def test_appendices_are_looked_through_once(spark):
     assert "begun" not in got._jdf.queryExecution().optimizedPlan().toString(), "documents are looked through before the pairs are made"
     rows = got.collect()
     assert len(rows) == len({(r.query_id, r.file_stem) for r in rows}) == 150 * 200 and all(r.query_id < 150 for r in rows)
+
+
+def test_extras_are_put_together_once(spark, monkeypatch):
+    seen, real = [], scope.containing
+    monkeypatch.setattr(scope, "containing", lambda texts, needles, *x: (seen.append((texts.count(), needles.count())), real(texts, needles, *x))[1])
+    lexicon = spark.createDataFrame([(i, "bơm" if i % 2 else "van", f"e{i}") for i in range(600)], "ord long, trigger string, extra string")
+    q = spark.createDataFrame([(i, ["cái bơm", "van và bơm", "không"][i % 3]) for i in range(90)] + [(90, None)], "query_id long, query string")
+    got = scope.expand_queries(q, lexicon)
+    assert seen == [(4, 2)]
+    rows = {r.query_id: r.expanded for r in got.collect()}
+    assert rows[0] == " ".join(["cái bơm", *(f"e{i}" for i in range(1, 600, 2))]) and rows[1] == " ".join(["van và bơm", *(f"e{i}" for i in range(600))]) and rows[2] == "không" and rows[90] == ""

@@ -386,3 +386,12 @@ def test_extras_are_put_together_once(spark, monkeypatch):
     assert seen == [(4, 2)]
     rows = {r.query_id: r.expanded for r in got.collect()}
     assert rows[0] == " ".join(["cái bơm", *(f"e{i}" for i in range(1, 600, 2))]) and rows[1] == " ".join(["van và bơm", *(f"e{i}" for i in range(600))]) and rows[2] == "không" and rows[90] == ""
+
+
+def test_rows_in_focus_of_many_queries(spark):
+    """Different names are matched with different queries once; rows and queries are not brought together again."""
+    docs = spark.createDataFrame([(d, "| TT | Name |\n|---|---|\n| 1 | red pump |\n| 2 | blue valve |") for d in range(40)], "doc long, text string")
+    q = spark.createDataFrame([(i, "find red pump now" if i % 2 else "no such") for i in range(60)], "query_id long, query string")
+    got = tables.focused(tables.cells(tables.tables(docs)), q, 2)
+    assert "Aggregate" not in last_steps(got) and "Deduplicate" not in last_steps(got)
+    assert sorted((r.query_id, r.doc, r.row_no) for r in got.collect()) == [(i, d, 1) for i in range(1, 60, 2) for d in range(40)]

@@ -395,3 +395,13 @@ def test_rows_in_focus_of_many_queries(spark):
     got = tables.focused(tables.cells(tables.tables(docs)), q, 2)
     assert "Aggregate" not in last_steps(got) and "Deduplicate" not in last_steps(got)
     assert sorted((r.query_id, r.doc, r.row_no) for r in got.collect()) == [(i, d, 1) for i in range(1, 60, 2) for d in range(40)]
+
+
+PUMPS = "| TT | Name | V |\n|---|---|---|\n" + "\n".join(f"| {i} | {'red' if i == 2 else 'blue'} pump | {i} |" for i in range(1, 6))
+
+
+def test_pruned_pairs_are_made_last(spark):
+    cells = tables.cells(tables.tables(spark.createDataFrame([(d, PUMPS) for d in range(20)], "doc long, text string")))
+    got = tables.pruned(cells, spark.createDataFrame([(i, w) for i in range(50) for w in ("red", "pump", "red")], "query_id long, word string"), 3)
+    assert "Aggregate" not in last_steps(got) and "Deduplicate" not in last_steps(got)
+    assert sorted((r.query_id, r.doc, r.row_no) for r in got.collect()) == [(i, d, 2) for i in range(50) for d in range(20)]

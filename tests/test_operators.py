@@ -400,6 +400,14 @@ def test_rows_in_focus_of_many_queries(spark):
 PUMPS = "| TT | Name | V |\n|---|---|---|\n" + "\n".join(f"| {i} | {'red' if i == 2 else 'blue'} pump | {i} |" for i in range(1, 6))
 
 
+def test_marks_of_found_tables(spark):
+    """Whether a row was hit comes with what stays, so that no query meets tables that it did not find."""
+    cells = tables.cells(tables.tables(spark.createDataFrame([(d, PUMPS) for d in "ab"], "doc string, text string")))
+    keys = spark.createDataFrame([(1, "red"), (2, "none")], "query_id long, word string")
+    found = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, doc string")
+    assert sorted(map(tuple, tables.marked_rows(cells, keys, found, 3).collect())) == [(1, "a", 0, 2, True), *((2, "b", 0, i, False) for i in range(1, 6))]
+
+
 def test_pruned_pairs_are_made_last(spark):
     cells = tables.cells(tables.tables(spark.createDataFrame([(d, PUMPS) for d in range(20)], "doc long, text string")))
     got = tables.pruned(cells, spark.createDataFrame([(i, w) for i in range(50) for w in ("red", "pump", "red")], "query_id long, word string"), 3)

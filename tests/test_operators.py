@@ -408,6 +408,17 @@ def test_marks_of_found_tables(spark):
     assert sorted(map(tuple, tables.marked_rows(cells, keys, found, 3).collect())) == [(1, "a", 0, 2, True), *((2, "b", 0, i, False) for i in range(1, 6))]
 
 
+def test_kinds_of_keywords_are_hit_once(spark):
+    """A continuation row goes with its row; queries alike are one kind."""
+    text = PUMPS + "\n| | | green |"
+    cells = tables.cells(tables.tables(spark.createDataFrame([("a", text)], "doc string, text string")))
+    keys = spark.createDataFrame([(i, w) for i in range(6) for w in ("green", "none")] + [(6, "red"), (7, "pump")], "query_id long, word string")
+    sets, kinds = tables.alike(keys)
+    assert kinds.select("words").distinct().count() == 3 and sets.count() == 8
+    got = tables.hit_rows(cells, kinds, 3, "words")
+    assert sorted((*r.words, r.row_no) for r in got.collect()) == [("green", "none", 5), ("green", "none", 6), ("red", 2)]
+
+
 def test_pruned_pairs_are_made_last(spark):
     cells = tables.cells(tables.tables(spark.createDataFrame([(d, PUMPS) for d in range(20)], "doc long, text string")))
     got = tables.pruned(cells, spark.createDataFrame([(i, w) for i in range(50) for w in ("red", "pump", "red")], "query_id long, word string"), 3)

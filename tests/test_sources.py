@@ -85,6 +85,14 @@ def test_markup_as_markdown(spark):
     assert markup.to_markdown(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_cells_without_spans_cost_no_failed_cast(spark):
+    """A cast that may fail raises and drops an error for each cell; spans are cast only where there are digits."""
+    pages = spark.createDataFrame([(1, "<table><tr><td rowspan='' colspan=x>a<td colspan=00002>b<td>c</table>")], "page_id long, html string")
+    found = markup.to_markdown(pages)
+    assert "try_cast" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert found.first().text == "| a | b | b | c |\n| --- | --- | --- | --- |"
+
+
 def test_grid_equals_marking_squares():
     """Random spans: every square belongs to the first cell that reaches it, and each cell starts in the first square of its row that is free when its turn comes."""
     import random

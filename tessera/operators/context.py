@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import sized
+
 
 def document_title(lines: Column, stop: str, most: int = 5, chars: int = 140) -> Column:
     """Up to ``most`` non-blank lines after the code line (the first), up to a closing line, cut at ``chars`` characters."""
@@ -74,10 +76,15 @@ def pick_source(answers: DataFrame, sources: DataFrame) -> DataFrame:
 def out_of_scope(queries: DataFrame, names: DataFrame, generic: list[str]) -> DataFrame:
     """Queries whose object (the words after "kiểm định" without generic ones) no known name holds word for word. Rows (query_id, query), (name)."""
     words = F.filter(F.split(F.regexp_extract(F.lower("query"), r"(?U)kiểm định\s+(.+?)[?.!]*$", 1), r"\s+"), lambda w: (w != "") & ~w.isin(*generic))
-    asked = queries.select("query_id", words.alias("w")).filter("size(w) > 0")
-    held = names.select(F.lower("name").alias("name_id")).distinct().select("name_id", F.explode(F.array_distinct(F.split("name_id", r"\s+"))).alias("x"))
-    found = asked.select("query_id", F.size(F.array_distinct("w")).alias("n"), F.explode(F.array_distinct("w")).alias("x")).join(held, "x").groupBy("query_id", "n", "name_id").agg(F.count("*").alias("got")).filter("got = n").select("query_id").distinct()
-    return asked.join(found, "query_id", "left_anti").select("query_id")
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(words)).alias("w")).filter("size(w) > 0")
+    # queries that ask for the same words are looked up once, among the names that hold the one of them that fewest names hold
+    sets = asked.select("w").distinct()
+    known = names.select(F.array_distinct(F.split(F.lower("name"), r"\s+")).alias("words")).distinct()
+    held = known.select("words", F.explode("words").alias("x"))
+    counts = held.groupBy("x").agg(F.count("*").alias("n"))
+    rarest = sets.select("w", F.explode("w").alias("x")).join(counts, "x", "left").groupBy("w").agg(F.min_by("x", F.struct(F.coalesce("n", F.lit(0)), "x")).alias("x"))
+    found = sized(rarest.join(held, "x").filter(F.size(F.array_except("w", "words")) == 0).select("w").distinct())
+    return asked.join(found, "w", "left_anti").select("query_id")
 
 
 def names_device(queries: DataFrame, aliases: DataFrame) -> DataFrame:

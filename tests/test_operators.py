@@ -193,6 +193,35 @@ def test_appendix_topics(spark):
     assert got == {1: ("QTKD_8.765_2025", "Phụ lục D", "# Phụ lục D\n\n# (Quy định)\n\n# Đánh giá kết quả\n\nkiểm định"), 9: ("QTKD_8.765_2025", "Phụ lục A", "# Phụ lục A\n\nMẫu giấy")}
 
 
+def test_out_of_scope_looks_up_equal_queries_once(spark):
+    """2,000 queries that share a word with 2,000 names: what is joined is no pair of query and name."""
+    from tessera.operators import context
+
+    q = spark.range(2000).selectExpr("id AS query_id", "concat('Kiểm định thiết bị đo ', CASE WHEN id % 4 = 0 THEN 'xa' WHEN id % 4 = 1 THEN 'n7 n7' WHEN id % 4 = 2 THEN 'n7 n8' ELSE '' END, '?') AS query")
+    names = spark.range(2000).selectExpr("concat('Đo n', id) AS name").unionByName(spark.createDataFrame([(None,)], "name string"))
+    found = context.out_of_scope(q, names, ["thiết", "bị"])
+    assert sorted(r.query_id for r in found.collect()) == [i for i in range(2000) if i % 4 in (0, 2)]
+    assert _most_joined(found) <= 2000
+
+
+def _most_joined(df):
+    """The most rows that a join of an executed plan gave."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if name.endswith("Join"):
+            metric = node.metrics().get("numOutputRows")
+            most = max(most, metric.get().value() if metric.isDefined() else 0)
+    return most
+
+
 def test_range_lookup_needs_one_cell(spark):
     cells = spark.createDataFrame([(1, "c", 0, 5, False, "low"), (1, "c", 5, 9, False, "mid"), (1, "c", 9, 0, True, "open")], "table_id int, class string, low int, high int, open boolean, cell string")
     q = spark.createDataFrame([(1, 1, "c", 3.0), (2, 1, "c", 5.0), (3, 1, "c", 9.0), (4, 1, "c", 99.0), (5, 2, "c", 1.0)], "query_id long, table_id int, class string, value double")

@@ -184,20 +184,21 @@ def range_lookup(cells: DataFrame, questions: DataFrame) -> DataFrame:
 
     A closed range lies in two buckets at most of the width (a power of two) next above its own, and a value looks in the one bucket that holds it for each width that its table
     and class have. So what is joined is a small factor of what is found, however many ranges a class has. Of open ranges the two lowest of a class say whether a value has none,
-    one or several.
+    one or several. Equal ranges of a class are one with a count, and equal values are looked up once for all questions.
     """
     key = ["table_id", "class"]
     bounds = cells.select(*key, F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "open", "cell")
-    closed = bounds.filter("NOT open AND low <= high AND abs(low) < 1e300 AND abs(high) < 1e300").drop("open")
+    closed = bounds.filter("NOT open AND low <= high AND abs(low) < 1e300 AND abs(high) < 1e300").groupBy(*key, "low", "high").agg(F.count("*").alias("n"), F.min("cell").alias("cell"))
     width, size = F.col("high") - F.col("low"), F.greatest(F.abs("low"), F.abs("high"), F.lit(1e-270))
     level = F.greatest(F.when(F.col("high") > F.col("low"), F.ceil(F.log2(width))), F.ceil(F.log2(size)) - _FINE).cast("int")
     closed = closed.withColumn("level", level)
     placed = closed.withColumn("bucket", F.explode(F.array_distinct(F.array(_bucket(F.col("low"), F.col("level")), _bucket(F.col("high"), F.col("level"))))))
-    value = questions.select("query_id", *key, F.col("value").cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
+    own = questions.select("query_id", *key, F.col("value").cast("double").alias("value"))
+    value = own.drop("query_id").filter("value IS NOT NULL AND NOT isnan(value)").distinct()
     asked = value.join(closed.select(*key, "level").distinct(), key).withColumn("bucket", _bucket(F.col("value"), F.col("level")))
-    inside = asked.join(placed, [*key, "level", "bucket"]).filter((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).select("query_id", "cell")
+    inside = asked.join(placed, [*key, "level", "bucket"]).filter((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).select(*key, "value", "n", "cell")
     lowest = Window.partitionBy(*key).orderBy("low", "cell")
     two = bounds.filter("open AND low IS NOT NULL").withColumn("k", F.row_number().over(lowest)).filter("k <= 2").select(*key, "low", "cell")
-    above = value.join(two, key).filter(F.col("value") > F.col("low")).select("query_id", "cell")
-    one = inside.unionAll(above).groupBy("query_id").agg(F.count("*").alias("n"), F.min("cell").alias("cell"))
-    return questions.select("query_id").join(one, "query_id", "left").select("query_id", F.when(F.col("n") == 1, F.col("cell")).alias("cell"))
+    above = value.join(two, key).filter(F.col("value") > F.col("low")).select(*key, "value", F.lit(1).cast("bigint").alias("n"), "cell")
+    one = inside.unionAll(above).groupBy(*key, "value").agg(F.sum("n").alias("n"), F.min("cell").alias("cell"))
+    return own.join(one, [*key, "value"], "left").select("query_id", F.when(F.col("n") == 1, F.col("cell")).alias("cell"))

@@ -222,6 +222,15 @@ def _most_joined(df):
     return most
 
 
+def test_range_lookup_joins_equal_values_and_ranges_once(spark):
+    cells = spark.range(1000).selectExpr("1 AS table_id", "'c' AS class", "id % 10 AS low", "id % 10 + 3 AS high", "false AS open", "concat('x', id) AS cell")
+    cells = cells.unionByName(spark.createDataFrame([(1, "c", 50, 60, False, "own"), (1, "c", 70, 80, False, "twin"), (1, "c", 70, 80, False, "twin")], cells.schema))
+    q = spark.range(1000).selectExpr("id AS query_id", "1 AS table_id", "'c' AS class", "CAST(CASE id % 4 WHEN 0 THEN 5 WHEN 1 THEN 55 WHEN 2 THEN 75 END AS double) AS value")
+    found = records.range_lookup(cells, q)
+    assert {(r.query_id % 4, r.cell) for r in found.collect()} == {(0, None), (1, "own"), (2, None), (3, None)}
+    assert found.count() == 1000 and _most_joined(found) <= 1000
+
+
 def test_range_lookup_needs_one_cell(spark):
     cells = spark.createDataFrame([(1, "c", 0, 5, False, "low"), (1, "c", 5, 9, False, "mid"), (1, "c", 9, 0, True, "open")], "table_id int, class string, low int, high int, open boolean, cell string")
     q = spark.createDataFrame([(1, 1, "c", 3.0), (2, 1, "c", 5.0), (3, 1, "c", 9.0), (4, 1, "c", 99.0), (5, 2, "c", 1.0)], "query_id long, table_id int, class string, value double")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import tokens
-from tessera.session import sized
+from tessera.session import settle, sized
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -60,8 +60,13 @@ def build(chunks: DataFrame, scope: str | None = None) -> Index:
     """
     key = (scope,) if scope else ()
     t = chunks.select(*key, "chunk_id", tokens(F.col("indexed")).alias("t")).withColumn("dl", F.size("t"))
-    totals = t.groupBy(*key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = t.select(*key, F.explode(F.array_distinct("t")).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("df"))
+    # one pass for both: a row without a term for each chunk counts chunks and tokens
+    every = F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string"))))
+    df = settle(t.select(*key, "dl", every.alias("term")).groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("tokens")))
+    totals = df.filter("term IS NULL").select(*key, F.col("df").alias("n"), (F.col("tokens") / F.col("df")).alias("avgdl"))
+    if not scope:  # one row, also of no chunks
+        totals = totals.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("avgdl").alias("avgdl"))
+    df = df.filter("term IS NOT NULL").drop("tokens")
     raw = (df.join(totals, scope) if scope else df.join(F.broadcast(totals))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*key).agg(F.avg("raw").alias("mean"))
     terms = (raw.join(mean, scope) if scope else raw.join(F.broadcast(mean))).select(*key, "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

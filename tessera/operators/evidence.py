@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import word_tokens
+from tessera.session import sized
 
 _NUMBER = r"(\d+(?:[.,]\d+)?)"
 
@@ -141,15 +142,31 @@ def unsupported_numbers(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     ``a ± b`` must stand in the context with both numbers together; a number with a unit must stand there as a number, unless it lies inside one of the answer's ``a ± b``. Numbers are compared in
     canonical form; citation marks, section numbers and codes are no claims. Rows (query_id, answer), (query_id, context); a missing context supports nothing.
     """
+    read = read_numbers(answers.select(F.col("answer").alias("text")).unionAll(contexts.select("context")))
+    said, given = read.select(F.col("text").alias("answer"), "said"), read.select(F.col("text").alias("context"), "given")
+    rows = answers.join(contexts, "query_id", "left").join(said, "answer", "left").join(given, "context", "left")
+    return rows.select("query_id", unsupported(F.col("said"), F.col("given")).alias("claims"))
+
+
+def read_numbers(texts: DataFrame) -> DataFrame:
+    """(text, said, given) of the different texts that are not null: what each claims in numbers as an answer, and the numbers and pairs that it supports as a context. A text is read once, however many rows have it."""
     of = lambda pattern, c: F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
     pair = lambda c: F.concat_ws("±", F.transform(F.split(c, r"\s*±\s*"), canonical))
-    rows = answers.join(contexts, "query_id", "left").select("query_id", number_text(F.regexp_replace("answer", r"\[\d+\]", "")).alias("body"), number_text(F.coalesce("context", F.lit(""))).alias("ctx"))
-    rows = rows.select("query_id", spans(F.col("body"), _TOLERANCE).alias("pm"), spans(F.col("body"), _WITH_UNIT).alias("nu"), F.transform(of(rf"(?<![\d.]){_PLAIN}", F.col("ctx")), canonical).alias("numbers"), F.transform(of(_TOLERANCE, F.col("ctx")), pair).alias("pairs"))
-    bad_pairs = F.filter("pm", lambda m: ~F.array_contains("pairs", pair(m["text"])))
+    rows = texts.filter("text IS NOT NULL").select("text").distinct().select("text", number_text(F.regexp_replace("text", r"\[\d+\]", "")).alias("body"), number_text(F.col("text")).alias("ctx"))
+    rows = rows.select("text", "ctx", spans(F.col("body"), _TOLERANCE).alias("pm"), spans(F.col("body"), _WITH_UNIT).alias("nu"))
+    plain = lambda m: F.trim(F.regexp_replace(m["text"], r"\s+", " "))
     alone = F.filter("nu", lambda m: ~F.exists("pm", lambda p: (p["lo"] <= m["lo"]) & (m["lo"] < p["hi"])))
-    bad = F.filter(alone, lambda m: ~F.array_contains("numbers", canonical(F.regexp_extract(m["text"], _PLAIN, 0))))
-    text = lambda ms: F.transform(ms, lambda m: F.trim(F.regexp_replace(m["text"], r"\s+", " ")))
-    return rows.select("query_id", F.array_distinct(F.concat(text(bad_pairs), text(bad))).alias("claims"))
+    pairs = F.transform("pm", lambda m: F.struct(plain(m).alias("text"), pair(m["text"]).alias("number")))
+    numbers = F.transform(alone, lambda m: F.struct(plain(m).alias("text"), canonical(F.regexp_extract(m["text"], _PLAIN, 0)).alias("number")))
+    said = F.struct(pairs.alias("pairs"), numbers.alias("numbers"))
+    given = F.struct(F.transform(of(_TOLERANCE, F.col("ctx")), pair).alias("pairs"), F.transform(of(rf"(?<![\d.]){_PLAIN}", F.col("ctx")), canonical).alias("numbers"))
+    return sized(rows.select("text", said.alias("said"), given.alias("given")))
+
+
+def unsupported(said: Column, given: Column) -> Column:
+    """The claims of ``said`` that ``given`` (null: nothing) doesn't support, tolerances first; null where nothing was said."""
+    bad = lambda kind: F.filter(said[kind], lambda m: ~F.coalesce(F.array_contains(given[kind], m["number"]), F.lit(False)))
+    return F.array_distinct(F.transform(F.concat(bad("pairs"), bad("numbers")), lambda m: m["text"]))
 
 
 def clean_citations(answer: Column, n_sources: Column) -> Column:

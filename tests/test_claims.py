@@ -113,3 +113,12 @@ def test_each_way_not_to_be_grounded(spark):
     sources = spark.createDataFrame(texts, "query_id long, rank int, text string")
     got = {r.query_id: (r.status, round(r.covered, 6)) for r in evidence.grounded(questions, sources.filter("rank = 1 OR query_id = 1"), sources, 0.5, 0.85, ["The", "of"]).collect()}
     assert got == {1: ("grounded", 1.0), 2: ("unknown code", 0.5), 3: ("no keywords", 0.0), 4: ("too few", 0.25), 5: ("absent word", 0.8), 6: ("grounded", 0.888889), 7: ("no keywords", 0.0), 8: ("too few", 0.0)}
+
+
+def test_a_text_is_read_once_however_often_it_is_said(spark):
+    texts = ["5 mm và 2 ± 1 bar", "5 mm", "2.0 ± 1 và 5", None]
+    a = spark.createDataFrame([(i, texts[i % 4]) for i in range(64)], "query_id long, answer string")
+    c = spark.createDataFrame([(i, texts[i // 4 % 4]) for i in range(64)], "query_id long, context string")
+    assert evidence.read_numbers(a.select(F.col("answer").alias("text"))).count() == 3
+    want = [[[], [], [], None], [["2 ± 1"], [], ["2.0 ± 1"], None], [[], [], [], None], [["2 ± 1", "5 mm"], ["5 mm"], ["2.0 ± 1"], None]]
+    assert {r.query_id: r.claims for r in evidence.unsupported_numbers(a, c).collect()} == {i: want[i // 4 % 4][i % 4] for i in range(64)}

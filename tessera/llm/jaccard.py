@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.blocks import blocks, mix, number, utf8
-from tessera.llm.neardup import BITS, FEW, SPREAD, TILE, confirmed, distinct_sets, elements, forests, full_sets, groups_of, linked, lists, numbers, only, set_key_of, spread, tiles_of, wanted_rows
+from tessera.llm.neardup import FEW, SPREAD, TILE, confirmed, distinct_sets, elements, forests, full_sets, groups_of, linked, lists, numbers, only, set_key_of, spread, tiles_of, wanted_rows
 from tessera.session import settle, ship
 
 WORDS = 4
@@ -138,38 +138,31 @@ def _cells(rows: DataFrame, table: Broadcast | None) -> DataFrame:
     return rows.mapInArrow(run, "key long, node long")
 
 
-def _nodes(rows: DataFrame, table: Broadcast | None, keys: Broadcast | None) -> DataFrame:
-    """(node, set_key, n, counts, cells) of the wanted documents; cells that none shares are mostly left out by a bit table of the shared keys, where there is one."""
+def _points(rows: DataFrame, table: Broadcast | None) -> DataFrame:
+    """(node, set_key, n, counts) of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (wanted_rows(b, table) for b in batches):
             data, at = utf8(b.column(1))
             for i, j in blocks(at):
                 sets, e, where = _sets(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                row, key = cell_keys(e, where)
-                if keys is not None:
-                    h = (key & np.uint64(BITS - 1)).astype(np.int64)
-                    near = (keys.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
-                    row, key = row[near], key[near]
-                order = np.argsort(row, kind="stable")
-                offsets = pa.array(np.searchsorted(row[order], np.arange(j - i + 1)).astype(np.int32))
                 counts = pa.array([c.tobytes() for c in points(e, where)], pa.binary())
-                cells = pa.ListArray.from_arrays(offsets, pa.array(key[order].view(np.int64)))
-                out = pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([set_key_of(s) for s in sets], pa.binary()), pa.array(np.diff(where)), counts, cells], names=["node", "set_key", "n", "counts", "cells"])
-                yield out.filter(pa.array(np.diff(np.asarray(offsets)) > 0))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([set_key_of(s) for s in sets], pa.binary()), pa.array(np.diff(where)), counts], names=["node", "set_key", "n", "counts"])
+
+    return rows.mapInArrow(run, "node long, set_key binary, n long, counts binary")
+
 
-    return rows.mapInArrow(run, "node long, set_key binary, n long, counts binary, cells array<long>")
+def _shared(rows: DataFrame, table: Broadcast | None) -> DataFrame:
+    """(node, shared): the cells of each wanted document that another one has too. Cells are shuffled once; where those of one key meet, each is picked or left."""
+    of_key = Window.partitionBy("key")
+    cells = _cells(rows, table).select("key", "node", F.min("node").over(of_key).alias("lo"), F.max("node").over(of_key).alias("hi")).filter("lo < hi")
+    return cells.groupBy("node").agg(F.collect_set("key").alias("shared"))  # a document's own cells
 
 
 def _key_table(shared: DataFrame) -> Broadcast | None:
-    """A bit table of fixed size of the shared keys, if they fill an eighth of it at most."""
-    if shared.count() > BITS // 8:
-        return None
-    at = shared.select((F.col("key").bitwiseAND(F.lit(BITS - 1)) + 1).alias("b"))
-    table = np.zeros(BITS // 8, np.uint8)
-    for r in at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect():  # BITS in all
-        table[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return shared.sparkSession.sparkContext.broadcast(table)
+    """The bit table (see ``only``) of the documents that share a cell; None if there are too many, and all texts are cut again."""
+    nodes = shared.select(F.col("node").alias("doc_id"))
+    return only(nodes, nodes)[1]
 
 
 def _members(placed: DataFrame) -> DataFrame:
@@ -190,6 +183,20 @@ def _stars(placed: DataFrame, turn: int) -> DataFrame:
     return tried.groupBy("node", "hub").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
 
 
+def _near(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The pairs (node, hub) whose points allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, DIMS) for c in ("counts", "hub_counts"))
+            n = b.column("n").to_numpy() + b.column("hub_n").to_numpy()
+            yield b.select(["node", "hub"]).filter(pa.array((100 + PERCENT) * np.minimum(one, other).sum(axis=1) >= PERCENT * n))
+
+    of_hub = placed.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("counts").alias("hub_counts"))
+    both = pairs.join(placed.select("node", "n", "counts"), "node").join(of_hub, "hub")
+    return both.select("node", "hub", "n", "hub_n", "counts", "hub_counts").mapInArrow(run, "node long, hub long")
+
+
 class _Tree:
     """An R-tree over points (band, counts, n, root), packed: sorted by band, then in slabs of the coordinates that differ most. Levels from the points up."""
 
@@ -282,6 +289,11 @@ def _tiles(placed: DataFrame, roots: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.groupBy("tile", "side", "node").agg(F.collect_list("band").alias("bands")).join(placed.select("node", "root", "n", "counts"), "node")  # a node's own cells at most
 
 
+def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The full sets of some documents (doc_id), which are cut from their texts for each step, so that no step shuffles those of others."""
+    return settle(full_sets(rows, settle(ids.distinct()), WORDS))
+
+
 def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links lead to, itself included).
 
@@ -294,16 +306,13 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = settle(feats.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
     wanted = nodes.filter(F.col("n") >= LEAST).select(F.col("node").alias("doc_id"))
     texts, table = only(rows.filter("doc_id IS NOT NULL"), wanted)
-    shared = _cells(texts, table).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    shared = settle(shared)
-    marked = settle(_nodes(texts, table, _key_table(shared)).join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]))
-    cells = marked.select("node", "set_key", F.explode("cells").alias("key")).join(shared, "key", "left_semi")
-    cells = cells.groupBy("node", "set_key").agg(F.collect_set("key").alias("shared"))  # a set's own cells
-    placed = settle(marked.drop("cells").join(cells, ["node", "set_key"]).select("node", F.col("node").alias("root"), "n", "counts", "shared"))
-    sets = settle(full_sets(rows, placed.select(F.col("node").alias("doc_id")), WORDS))
+    shared = settle(_shared(texts, table))
+    marked = _points(texts, _key_table(shared)).join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
+    placed = settle(marked.drop("set_key").join(shared, "node").select("node", F.col("node").alias("root"), "n", "counts", "shared"))
     most, turn = 0, 0
     while True:
-        new = settle(confirmed(_stars(placed, turn), sets, PERCENT))
+        pairs = settle(_near(_stars(placed, turn), placed))
+        new = settle(confirmed(pairs, _sets_of(rows, pairs.select(F.explode(F.array("node", "hub")).alias("doc_id"))), PERCENT))
         found = new.count()
         if found:
             placed = linked(placed, new)
@@ -311,7 +320,8 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if not found or FEW * found <= most or spread(groups) <= SPREAD:
             break
         most, turn = max(most, found), turn + 1
-    more = settle(forests(settle(candidates(_tiles(placed, roots, groups))), sets, PERCENT))
+    tried = settle(candidates(_tiles(placed, roots, groups)))
+    more = settle(forests(tried, _sets_of(rows, tried.select(F.col("node").alias("doc_id"))), PERCENT))
     if not more.isEmpty():
         placed = linked(placed, more)
     root = placed.groupBy("node").agg(F.min("root").alias("root"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import jaccard as J
+from tessera.llm.neardup import full_sets
 from tests.llm.fixtures import awkward, table, words
 
 
@@ -126,5 +127,16 @@ def test_many_texts_about_the_threshold(spark):
     assert {(r.doc_id, r.component_id) for r in J.similarity_join(table(spark, rows)).collect()} == {(i, i) for i in range(600)}
 
 
+def test_sets_are_cut_only_where_points_allow_a_link(spark, monkeypatch):
+    """Half-similar texts in the same cells have no sets cut and shuffled; two copies among them have."""
+    asked = []
+    monkeypatch.setattr(J, "full_sets", lambda docs, wanted, k: asked.append(sorted(r.doc_id for r in wanted.collect())) or full_sets(docs, wanted, k))
+    rng = random.Random(8)
+    line, near = words(rng, 200), words(rng, 90)
+    rows = [(i, f"{words(rng, 40)} {line} {words(rng, 40)}") for i in range(60)] + [(100, near + " a"), (101, near + " b")]
+    assert {r.doc_id: r.component_id for r in J.similarity_join(table(spark, rows)).collect()} == {i: i for i in range(60)} | {100: 100, 101: 100}
+    assert asked[0] == [100, 101] and not any(asked[1:])
+
+
 def test_empty_table(spark):
     assert J.similarity_join(table(spark, [])).count() == 0

@@ -426,6 +426,17 @@ def test_extras_are_put_together_once(spark, monkeypatch):
     assert rows[0] == " ".join(["cái bơm", *(f"e{i}" for i in range(1, 600, 2))]) and rows[1] == " ".join(["van và bơm", *(f"e{i}" for i in range(600))]) and rows[2] == "không" and rows[90] == ""
 
 
+def test_extras_of_a_trigger_are_one_text(spark, monkeypatch):
+    """The rows of a lexicon are not brought to every set of triggers: a trigger's extras come in one row, in order also where they lie between those of another. Extras that are null add nothing."""
+    seen, real = [], scope.settle
+    monkeypatch.setattr(scope, "settle", lambda df: seen.append(real(df)) or seen[-1])
+    rows = [(i, ["a", "b"][i % 2], f"e{i}") for i in range(40)] + [(i, "c", f"e{i}") for i in range(40, 60)] + [(60, "c", None), (61, "d", None)]
+    q = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "c b a"), (4, "d"), (5, "c")], "query_id long, query string")
+    got = scope.expand_queries(q, spark.createDataFrame(rows, "ord long, trigger string, extra string"))
+    assert {r.query_id: r.expanded for r in got.collect()} == {r.query_id: " ".join([r.query, *(e for _, t, e in rows if e and t in r.query)]) for r in q.collect()}
+    assert [x.count() for x in seen] == [3, 4] and "e59" in got.filter("query_id = 2").first().expanded
+
+
 def test_rows_in_focus_of_many_queries(spark):
     """Different names are matched with different queries once; rows and queries are not brought together again."""
     docs = spark.createDataFrame([(d, "| TT | Name |\n|---|---|\n| 1 | red pump |\n| 2 | blue valve |") for d in range(40)], "doc long, text string")

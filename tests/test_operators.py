@@ -468,6 +468,36 @@ def test_kinds_of_keywords_are_hit_once(spark):
     assert sorted((*r.words, r.row_no) for r in got.collect()) == [("green", "none", 5), ("green", "none", 6), ("red", 2)]
 
 
+def test_hits_are_not_grouped_after_the_tables(spark):
+    """Tables as they are give the hits of their cells, also those of long tables and continuation rows, and what is hit is neither sorted nor grouped: it would be spilled."""
+    head = "| TT | Name | V |\n|---|---|---|\n"
+    text = lambda d: head + "\n".join("| | | more |" if i % 7 == 3 else f"| {i} | {['red', 'blue', 'old'][(i + d) % 3]} pump{i % 5} | {i} |" for i in range(1, [4, 9, 150][d % 3]))
+    found = tables.tables(spark.createDataFrame([(d, text(d)) for d in range(12)], "doc long, text string")).localCheckpoint()
+    keys = spark.createDataFrame([(1, "red"), (1, "pump2"), (2, "more"), (2, "7"), (3, "blue"), (3, "old"), (3, "red"), (4, "none"), (5, None)], "query_id long, word string")
+    asked = {}
+    for q, w in ((r.query_id, r.word) for r in keys.filter("word IS NOT NULL").collect()):
+        asked.setdefault(q, set()).add(w)
+    for continued in (False, True):
+        want = set()
+        for r in found.collect():
+            own = []
+            for k, row in enumerate(r.rows, 1):
+                if continued and own and not row[0] and not row[1]:
+                    own[-1][0].append(k)
+                    own[-1][1].update(row[2].split())
+                else:
+                    own.append(([k], {w for c in row for w in c.split()}))
+            n = {w: sum(w in ws for _, ws in own) for _, ws in own for w in ws}
+            for q, words in asked.items():
+                want |= {(q, r.doc, k) for ks, ws in own for k in ks if len(own) > 4 and any(w in words and 2 * n[w] <= len(own) for w in ws)}
+        for rows in (found, tables.cells(found)):
+            got = tables.hit_rows(rows, keys, 4, continued=continued)
+            listed = [(r.query_id, r.doc, r.row_no) for r in got.collect()]
+            assert len(listed) == len(set(listed)) and set(listed) == want
+        plan = tables.hit_rows(found, keys, 4, continued=continued)._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Sort" not in plan
+
+
 def test_pruned_pairs_are_made_last(spark):
     cells = tables.cells(tables.tables(spark.createDataFrame([(d, PUMPS) for d in range(20)], "doc long, text string")))
     got = tables.pruned(cells, spark.createDataFrame([(i, w) for i in range(50) for w in ("red", "pump", "red")], "query_id long, word string"), 3)

@@ -498,6 +498,31 @@ def test_hits_are_not_grouped_after_the_tables(spark):
         assert "Aggregate" not in plan and "Sort" not in plan
 
 
+def test_tables_are_made_once_for_what_stays(spark, tmp_path):
+    """An order of more rows than a number has bits is one table; its digest is in the order of rows, and tables are not made again for the total."""
+    from hashlib import md5
+
+    from tessera.plans import table_queries
+
+    lines = [(d, d * 7 % 50 + (0 if i % 9 == 0 else i % 3 + 1), i, 1, 5.0, 1.0, "R") for d in (1, 3, 5, 10) for i in range(1, {1: 200, 3: 4}.get(d, 8))]
+    cols = "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string"
+    spark.createDataFrame(lines, cols).write.parquet(f"{tmp_path}/lineitem.parquet")
+    part = {k: f"a{k % 4} b{k % 3}" for k in range(101)}
+    spark.createDataFrame(list(part.items()), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = table_queries.t5_kept_rows(spark, str(tmp_path))
+    assert "lineitem" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for q in (0, 50, 100):
+        total, text = 0, []
+        for d in (1, 3, 5):
+            names = [part[p].split() for o, p, *_ in lines if o == d]
+            hit = [k for k, x in enumerate(names, 1) if len(names) > 4 and any(w in part[q].split() and 2 * sum(w in y for y in names) <= len(names) for w in x)]
+            total += len(hit) or len(names)
+            text += [f"{d}:" + ",".join(map(str, hit))] if hit else []
+        want[q] = (total, len(text), md5(";".join(text).encode()).hexdigest() if text else None)
+    assert {r.query_id: (r.n_kept, r.n_pruned, r.pruned) for r in got.collect()} == want and any(v[1] for v in want.values())
+
+
 def test_pruned_pairs_are_made_last(spark):
     cells = tables.cells(tables.tables(spark.createDataFrame([(d, PUMPS) for d in range(20)], "doc long, text string")))
     got = tables.pruned(cells, spark.createDataFrame([(i, w) for i in range(50) for w in ("red", "pump", "red")], "query_id long, word string"), 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import fold
-from tessera.operators.matching import containing, expanded, packed
+from tessera.operators.matching import containing, expanded, packed, with_once
 from tessera.session import settle
 
 EXTENSIONS = (".docx", ".pdf", ".md", ".xlsx")
@@ -220,16 +220,23 @@ _APPENDIX = r"\bphu luc\s+([a-z])\b"
 
 def asks_appendix(query: Column) -> Column:
     """The letter of the one appendix whose topic a query asks for, or null: it names a code and one appendix, and asks what it is about, not for values in it."""
-    q = fold(query)
+    return _asks_folded(fold(query))
+
+
+def _asks_folded(q: Column) -> Column:
     letters = F.array_distinct(F.regexp_extract_all(q, F.lit(_APPENDIX), 1))
     topic = q.rlike("noi dung gi|noi dung chinh|la gi|ve gi") & ~q.rlike("cong thuc|he so|dieu kien|tinh toan") & ~q.rlike(r"phu luc\s+[a-z]\s*(?:va|,|/)\s*[a-z]\b")
     return F.when(q.rlike(_CODES) & (F.size(letters) == 1) & topic, F.get(letters, F.lit(0)))
 
 
-def _topic_lines(lines: Column, letter: Column) -> Column:
-    """(heading, following): the first heading line of an appendix and the lines of its title; marks of its kind in parentheses come along, blank lines before it don't count."""
+def _topic_at(lines: Column, letter: Column) -> Column:
+    """Number of the first heading line of an appendix, from 1; 0 where there is none."""
     heads = F.transform(lines, lambda x: x.startswith("#") & (F.regexp_replace(fold(x), r"^#+\s*", "") == F.concat(F.lit("phu luc "), letter)))
-    at = F.array_position(heads, True).cast("int")
+    return F.array_position(heads, True).cast("int")
+
+
+def _topic_lines(lines: Column, at: Column) -> Column:
+    """(begun, over, lines): the lines of an appendix's title, whose heading is line ``at``; marks of its kind in parentheses come along, blank lines before it don't count."""
 
     def step(state: Column, line: Column) -> Column:
         x = F.trim(line)
@@ -240,8 +247,7 @@ def _topic_lines(lines: Column, letter: Column) -> Column:
         return F.when(state["over"], state).when(x == "", F.when(state["begun"], stop).otherwise(state)).when(over, stop).otherwise(more)
 
     start = F.struct(F.lit(False).alias("begun"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("lines"))
-    found = F.aggregate(F.slice(lines, at + 1, F.size(lines)), start, step)
-    return F.when(at > 0, F.struct(F.element_at(lines, F.greatest(at, F.lit(1))).alias("heading"), found["begun"].alias("begun"), found["lines"].alias("following")))
+    return F.aggregate(F.slice(lines, at + 1, F.size(lines)), start, step)
 
 
 def appendix_topics(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -251,12 +257,16 @@ def appendix_topics(queries: DataFrame, docs: DataFrame) -> DataFrame:
     and queries that ask for the same are answered once; pairs are made last.
     """
     codes_of = lambda text: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(_CODES), 1)))
-    q = queries.select("query_id", asks_appendix(F.col("query")).alias("letter"), codes_of(fold(F.col("query"))).alias("codes")).filter("letter IS NOT NULL").select("query_id", F.struct("letter", "codes").alias("asked"))
+    # small files are read by few tasks, and a text takes far longer to look through than to read
+    spread = lambda rows: rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    q = with_once(spread(queries.select("query_id", "query")), "folded", fold(F.col("query")))
+    q = with_once(q, "letter", _asks_folded(F.col("folded"))).filter("letter IS NOT NULL").withColumn("codes", codes_of(F.col("folded"))).select("query_id", F.struct("letter", "codes").alias("asked"))
     kinds = settle(q.select("asked").distinct().select("asked", "asked.letter", F.explode("asked.codes").alias("code")))
     named = docs.select("file_stem", F.explode(codes_of(F.col("file_stem"))).alias("code")).join(kinds.select("code", "letter").distinct(), "code")
     wanted = named.select("file_stem", "letter").distinct().join(docs, "file_stem")
-    hits = wanted.select("file_stem", "letter", _topic_lines(F.split("text", r"\r?\n"), F.col("letter")).alias("x")).filter("x.begun")
-    rows = hits.select("file_stem", "letter", F.trim(F.regexp_replace("x.heading", "^[# ]+", "")).alias("section"), F.concat_ws("\n\n", "x.heading", "x.following").alias("text"))
+    lines = with_once(spread(wanted), "lines", F.split("text", r"\r?\n"))
+    hits = with_once(with_once(lines, "at", _topic_at(F.col("lines"), F.col("letter"))).filter("at > 0"), "x", _topic_lines(F.col("lines"), F.col("at"))).filter("x.begun")
+    rows = hits.select("file_stem", "letter", F.trim(F.regexp_replace(F.element_at("lines", F.col("at")), "^[# ]+", "")).alias("section"), F.concat_ws("\n\n", F.element_at("lines", F.col("at")), "x.lines").alias("text"))
     rows = settle(rows.withColumn("codes", codes_of(F.concat_ws(" ", "file_stem", "text"))))
     of_code = rows.join(named.select("file_stem", "letter", "code").distinct(), ["file_stem", "letter"])
     # one row a code and letter with the codes of what was found by it
@@ -264,5 +274,6 @@ def appendix_topics(queries: DataFrame, docs: DataFrame) -> DataFrame:
     covered = kinds.join(seen, ["code", "letter"]).select("asked", F.col("c").alias("code")).distinct()
     answered = settle(kinds.select("asked").distinct().join(kinds.select("asked", "code").join(covered, ["asked", "code"], "left_anti").select("asked").distinct(), "asked", "left_anti"))
     found = kinds.join(answered, "asked").join(of_code.select("code", "letter", "file_stem", "section", "text"), ["code", "letter"]).select("asked", "file_stem", "section", "text").distinct()
-    packs = packed(found, "asked", F.struct("file_stem", "section", "text"), 64)
+    # queries are brought to each piece of their kind's answers, so pieces are as long as a row may be
+    packs = packed(found, "asked", F.struct("file_stem", "section", "text"), 4096)
     return expanded(q, packs, "asked", "x").select("query_id", "x.file_stem", "x.section", "x.text")

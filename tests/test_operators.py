@@ -426,6 +426,19 @@ def test_extras_are_put_together_once(spark, monkeypatch):
     assert rows[0] == " ".join(["cái bơm", *(f"e{i}" for i in range(1, 600, 2))]) and rows[1] == " ".join(["van và bơm", *(f"e{i}" for i in range(600))]) and rows[2] == "không" and rows[90] == ""
 
 
+def test_appendix_queries_are_not_copied_for_each_piece(spark, monkeypatch):
+    """Answers of a kind are in pieces as long as a row may be, as each query of the kind is brought to each of them; a value that is worked out once stays out of filters."""
+    seen, real = [], ledger.packed
+    monkeypatch.setattr(ledger, "packed", lambda *x: seen.append(real(*x)) or seen[-1])
+    docs = spark.createDataFrame([(f"QTKD_1.061_{i}", "# Phụ lục D\n\nMẫu\n\n# Phụ lục E\nKhác") for i in range(300)], "file_stem string, text string")
+    q = spark.createDataFrame([(i, f"Phụ lục {'DE'[i % 2]} của QTKĐ 1.061 có nội dung gì?") for i in range(10)], "query_id long, query string")
+    got = ledger.appendix_topics(q, docs)
+    assert got.count() == got.distinct().count() == 3000 and seen[0].count() == 2
+    assert got.filter("query_id = 1").first().text == "# Phụ lục E\n\nKhác"
+    once = matching.with_once(q, "x", F.sqrt(F.length("query"))).filter("x > 3").select("x", (F.col("x") + 1).alias("y"))
+    assert once._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt") == 1
+
+
 def test_extras_of_a_trigger_are_one_text(spark, monkeypatch):
     """The rows of a lexicon are not brought to every set of triggers: a trigger's extras come in one row, in order also where they lie between those of another. Extras that are null add nothing."""
     seen, real = [], scope.settle

@@ -459,6 +459,20 @@ def test_rows_in_focus_of_many_queries(spark):
     assert sorted((r.query_id, r.doc, r.row_no) for r in got.collect()) == [(i, d, 1) for i in range(1, 60, 2) for d in range(40)]
 
 
+def test_names_are_met_in_one_pass(spark, monkeypatch):
+    """A name that shares several runs with a query is met once, without a look for different names first; many numbers are broadcast, and where they are too many, each row goes to few pieces."""
+    docs = spark.createDataFrame([(d, "| TT | Name |\n|---|---|\n| 1 | old red pump |\n| 2 | red pump old red |\n| 3 | x |") for d in range(5)], "doc long, text string")
+    cells = tables.cells(tables.tables(docs)).localCheckpoint()
+    q = spark.range(150_000).selectExpr("id AS query_id", "if(id < 149990, 'no such', concat('find old red pump old ', id % 2)) AS query")
+    got = tables.focused(cells, q, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange hashpartitioning" not in plan
+    want = sorted((i, d, r) for i in range(149_990, 150_000) for d in range(5) for r in (1, 2))
+    assert sorted((r.query_id, r.doc, r.row_no) for r in got.collect()) == want
+    monkeypatch.setattr(matching, "MOST_BYTES", 80)
+    assert sorted((r.query_id, r.doc, r.row_no) for r in tables.focused(cells, q, 2).collect()) == want
+
+
 PUMPS = "| TT | Name | V |\n|---|---|---|\n" + "\n".join(f"| {i} | {'red' if i == 2 else 'blue'} pump | {i} |" for i in range(1, 6))
 
 

@@ -93,6 +93,14 @@ def test_cells_without_spans_cost_no_failed_cast(spark):
     assert found.first().text == "| a | b | b | c |\n| --- | --- | --- | --- |"
 
 
+def test_lines_of_a_unit_are_cut_once(spark):
+    """The text of a cell or block is cut into lines once for all that is made of it; tags and spans may be written in capitals, and a first cell over two rows makes two header rows."""
+    pages = spark.createDataFrame([(1, "<H2>Span</H2><TABLE><TR><TD ROWSPAN=2>a<TD>span<TR><TD>c<BR>d&nbsp;</TABLE>"), (2, "<p>no span</p>")], "page_id long, html string")
+    found = markup.to_markdown(pages)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("&nbsp;") == 1
+    assert {r.page_id: r.text for r in found.collect()} == {1: "## Span\n\n| a | span - c / d |\n| --- | --- |", 2: "no span"}
+
+
 def test_grid_equals_marking_squares():
     """Random spans: every square belongs to the first cell that reaches it, and each cell starts in the first square of its row that is free when its turn comes."""
     import random
